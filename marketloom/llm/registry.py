@@ -1,11 +1,16 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from marketloom.llm import chat, quality
+from marketloom.llm import chat, decontaminate, pii, quality, secrets, tokens
 
 QUERIES = {
+    "op1_secret_scans": secrets.query,
+    "op6_decontamination": decontaminate.query,
+    "op7_pii": pii.query,
     "op8_quality_rules": quality.query,
     "op9_chat_formatting": chat.query,
+    "op10_token_output": tokens.query,
 }
 ORACLES = {
+    "op6_decontamination": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
