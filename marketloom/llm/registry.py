@@ -1,9 +1,11 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from marketloom.llm import chat, decontaminate, pii, quality, secrets, tokens
+from marketloom.llm import chat, decontaminate, jaccard, mixing, pii, quality, secrets, tokens
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
+    "op2_ngram_jaccard_join": jaccard.query,
+    "op3_mixing": mixing.query,
     "op6_decontamination": decontaminate.query,
     "op7_pii": pii.query,
     "op8_quality_rules": quality.query,
@@ -11,6 +13,7 @@ QUERIES = {
     "op10_token_output": tokens.query,
 }
 ORACLES = {
+    "op2_ngram_jaccard_join": jaccard.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
