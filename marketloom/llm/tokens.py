@@ -8,8 +8,8 @@ block of 512. The chunk of id i at the next level stands at rank(i), so any toke
 Segments are binary rows of a Parquet table, so they are written and committed by Spark in whatever store its paths name, and a
 lost executor's files are written anew. Reading needs the table alone.
 
-A text is encoded by its pieces between spaces and newlines, which the tokenizer never joins, and pieces that come again in a task
-are encoded once.
+A text is encoded word by word: the tokenizer never joins what stands between spaces and newlines, so a word that comes again in a
+task is encoded once.
 
 Defined cases: a null text is an empty one, whose only token is the end id; a null doc_id comes first; rows of one doc_id follow
 by hash and text; an empty table gives no segment; other columns are not read.
@@ -17,6 +17,7 @@ by hash and text; an empty table gives no segment; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -39,8 +40,8 @@ class TokenRules:
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
     bits: int = 8
-    segment_tokens: int = 1 << 21
-    most_pieces: int = 400_000
+    segment_tokens: int = 1 << 20
+    most_pieces: int = 300_000
 
 
 def pack(doc_ids: np.ndarray, nulls: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int = 8) -> bytes:
@@ -112,26 +113,58 @@ class Segment:
         return np.append(self.starts, np.uint64(self.n_tokens)).astype(np.int64)
 
 
+#: A word of letters, and marks after it: the tokenizer takes either as one piece, whatever stands around the word.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+WORD_END = "</w>"
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers, each different word encoded once."""
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {"": b""}
         self.tokenizer.encode_special_tokens = True
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
+
+    def learn(self, new: list[str], together: int = 64, at_once: int = 4096) -> None:
+        """Adds words. Letters, lower-cased, are encoded many in a text and told apart by their last ids; other words one by one."""
+        encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        split = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
+        cores = list({c for c, _ in split.values()}.difference(self.parts))
+        single = [w for w in new if w not in split] + list({m for _, m in split.values()}.difference(self.parts))
+        for i in range(0, len(cores), at_once):
+            some = cores[i : i + at_once]
+            rows = [some[k : k + together] for k in range(0, len(some), together)]
+            for words, e in zip(rows, encode([" ".join(r) for r in rows])):
+                ids = np.array(e.ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) != len(words) or cuts[-1] != len(ids):
+                    single += words
+                    continue
+                data, start = ids.tobytes(), 0
+                for w, c in zip(words, cuts):
+                    self.parts[w] = data[4 * start : 4 * c]
+                    start = c
+        for i in range(0, len(single), at_once):
+            some = single[i : i + at_once]
+            for w, e in zip(some, encode(some)):
+                self.parts[w] = np.array(e.ids, "<u4").tobytes()
+        for w in new:
+            core = split.get(w)
+            self.known[w] = self.parts[core[0]] + self.parts[core[1]] if core else self.parts[w]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+            self.parts = {"": b""}
+        found = [list(map(self.known.get, words)) for words in split]
+        self.learn(list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}))
+        return [b"".join(map(self.known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found)]
 
 
 def vocabulary_path(name: str) -> str:
@@ -140,7 +173,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def grouped(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def grouped(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most `most` characters together, or one longer text."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -172,14 +205,15 @@ def segments(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
             return pa.RecordBatch.from_pydict({"partition": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "first": [first], "n_docs": [len(held)], "n_tokens": [int(lengths.sum())], "body": pa.array([data], pa.binary())})
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in grouped(texts):
-                for d, x in zip(doc_ids[a:b], encode(texts[a:b])):
-                    held.append((d, x + end))
-                    size += len(x) // 4 + 1
-                    if size >= rules.segment_tokens:
-                        yield body()
-                        number, first, held, size = number + 1, first + size, [], 0
+            for at in range(0, len(batch), 500):
+                doc_ids, texts = batch.column(0)[at : at + 500].to_pylist(), [t or "" for t in batch.column(1)[at : at + 500].to_pylist()]
+                for a, b in grouped(texts):
+                    for d, x in zip(doc_ids[a:b], encode(texts[a:b])):
+                        held.append((d, x + end))
+                        size += len(x) // 4 + 1
+                        if size >= rules.segment_tokens:
+                            yield body()
+                            number, first, held, size = number + 1, first + size, [], 0
         if held:
             yield body()
 
