@@ -194,7 +194,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates (shingles of five words, 80 %) the document of the smallest doc_id stays."""
     group = groups(docs, JaccardRules(width=5, percent=80)).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(group, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    return docs.join(group, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 ORACLE = r"""

@@ -1,11 +1,13 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from marketloom.llm import chat, decontaminate, jaccard, mixing, pii, quality, secrets, tokens
+from marketloom.llm import chat, counts, decontaminate, jaccard, mixing, pii, quality, secrets, suffixes, tokens
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
     "op2_ngram_jaccard_join": jaccard.query,
     "op3_mixing": mixing.query,
+    "op4_token_counts": counts.query,
+    "op5_suffix_array_dedup": suffixes.query,
     "op6_decontamination": decontaminate.query,
     "op7_pii": pii.query,
     "op8_quality_rules": quality.query,
