@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
-from marketloom.llm.tokens import Encoder, grouped, shared_path, vocabulary_path
+from marketloom.llm.tokens import Encoder, shared_path, slices, vocabulary_path
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class CountRules:
     width: int = 2
     block_tokens: int = 1 << 20
     file_tokens: int = 1 << 24
-    most_pieces: int = 300_000
+    most_words: int = 1_000_000
 
 
 def opened(uri: str):
@@ -49,7 +49,7 @@ def write_flat(docs: DataFrame, folder: str, rules: CountRules = CountRules()) -
     path = vocabulary_path(rules.vocabulary)
 
     def written(batches):
-        encode, end = Encoder(path, rules.most_pieces), np.array([rules.end_id], "<u4").tobytes()
+        encode = Encoder(path, rules.most_words)
         system, base = opened(folder)
         system.create_dir(f"{base}/flat")
         state = {"out": None, "ids": [], "n": 0, "name": ""}
@@ -60,19 +60,16 @@ def write_flat(docs: DataFrame, folder: str, rules: CountRules = CountRules()) -
             return pa.RecordBatch.from_pydict({"file": [f"{folder}/flat/{state['name']}"], "n_bytes": [state["n"] * rules.width], "doc_ids": pa.array([state["ids"]], pa.list_(pa.int64()))})
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                ids, texts = batch.column(0)[at : at + 500].to_pylist(), [t or "" for t in batch.column(1)[at : at + 500].to_pylist()]
-                for a, b in grouped(texts):
-                    data = [x + end for x in encode(texts[a:b])]
-                    if state["out"] is None:
-                        state |= {"name": f"{uuid.uuid4().hex}.bin", "ids": [], "n": 0}
-                        state["out"] = system.open_output_stream(f"{base}/flat/{state['name']}")
-                    flat = np.frombuffer(b"".join(data), "<u4")
-                    state["out"].write(flat.astype(f"<u{rules.width}").tobytes())
-                    state["ids"] += ids[a:b]
-                    state["n"] += len(flat)
-                    if state["n"] >= rules.file_tokens:
-                        yield closed()
+            for ids, texts in slices(batch):
+                if state["out"] is None:
+                    state |= {"name": f"{uuid.uuid4().hex}.bin", "ids": [], "n": 0}
+                    state["out"] = system.open_output_stream(f"{base}/flat/{state['name']}")
+                flat, _ = encode(texts, rules.end_id)
+                state["out"].write(flat.astype(f"<u{rules.width}").tobytes())
+                state["ids"] += ids
+                state["n"] += len(flat)
+                if state["n"] >= rules.file_tokens:
+                    yield closed()
         if state["out"] is not None:
             yield closed()
 

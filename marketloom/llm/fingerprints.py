@@ -66,8 +66,8 @@ def pieces(size: int, stops: np.ndarray, most: int = PIECE) -> Iterator[tuple[in
         start = min(end, size)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A to Z lower-cased, and the first word of each text, one more at the end."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A to Z lower-cased, the first word of each text, one more at the end, and the words' starts and ends."""
     space = SPACES[data]
     inner = np.ones(len(data) + 1, bool)
     inner[offsets] = False  # no word goes on across the start of a text
@@ -82,7 +82,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[
         h = powers.prefix(data[a:b], table)
         s, e = starts[i:j] - a, ends[i:j] - a
         hashes[i:j] = mix(powers.between(h, s, e) + (e - s).astype(np.uint64) * ODD[4])
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, ends
 
 
 def shingle_sets(texts: pa.Array, width: int, powers: Powers, most: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
@@ -93,7 +93,7 @@ def shingle_sets(texts: pa.Array, width: int, powers: Powers, most: int = PIECE)
     while row < len(texts):
         last = max(row + 1, int(np.searchsorted(bounds, offsets[row] + most, "right")) - 1)
         last = min(last, len(texts))
-        words, firsts = word_hashes(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row], powers)
+        words, firsts, _, _ = word_hashes(data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row], powers)
         n = max(0, len(words) - width + 1)
         full = np.full(n, 0, np.uint64)
         for k in range(width):

@@ -8,8 +8,7 @@ block of 512. The chunk of id i at the next level stands at rank(i), so any toke
 Segments are binary rows of a Parquet table, so they are written and committed by Spark in whatever store its paths name, and a
 lost executor's files are written anew. Reading needs the table alone.
 
-A text is encoded word by word: the tokenizer never joins what stands between spaces and newlines, so a word that comes again in a
-task is encoded once.
+A text is encoded word by word: the tokenizer never joins what white space parts, so a word that comes again in a task is encoded once.
 
 Defined cases: a null text is an empty one, whose only token is the end id; a null doc_id comes first; rows of one doc_id follow
 by hash and text; an empty table gives no segment; other columns are not read.
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import cut, table
+from marketloom.llm.fingerprints import Powers, buffers, word_hashes
 
 MAGIC, BLOCK = b"DACS", 512
 HEAD = "<4sBBxxQQ"  # magic, bits, levels, documents, tokens
@@ -41,7 +41,7 @@ class TokenRules:
     end_id: int = 2
     bits: int = 8
     segment_tokens: int = 1 << 20
-    most_pieces: int = 300_000
+    most_words: int = 1_000_000
 
 
 def pack(doc_ids: np.ndarray, nulls: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int = 8) -> bytes:
@@ -119,52 +119,71 @@ WORD_END = "</w>"
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, each different word encoded once."""
+    """Ids of texts, each different word encoded once. Words are told apart by 64-bit hashes, A to Z lower-cased as the tokenizer does."""
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {"": b""}
+        self.tokenizer, self.most, self.powers = Tokenizer.from_file(path), most, Powers()
         self.tokenizer.encode_special_tokens = True
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
+        self.forget()
 
-    def learn(self, new: list[str], together: int = 64, at_once: int = 4096) -> None:
-        """Adds words. Letters, lower-cased, are encoded many in a text and told apart by their last ids; other words one by one."""
+    def forget(self) -> None:
+        self.parts, self.hashes = {"": b""}, np.zeros(0, np.uint64)  # sorted
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, words: list[str], together: int = 64, at_once: int = 4096) -> list[bytes]:
+        """Ids of each word. Letters are encoded many in a text and told apart by their last ids; other words one by one."""
         encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        split = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
-        cores = list({c for c, _ in split.values()}.difference(self.parts))
-        single = [w for w in new if w not in split] + list({m for _, m in split.values()}.difference(self.parts))
+        split = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else None for w in words]
+        cores = list({x[0] for x in split if x}.difference(self.parts))
+        single = [w for w, x in zip(words, split) if not x] + list({x[1] for x in split if x}.difference(self.parts))
         for i in range(0, len(cores), at_once):
             some = cores[i : i + at_once]
             rows = [some[k : k + together] for k in range(0, len(some), together)]
-            for words, e in zip(rows, encode([" ".join(r) for r in rows])):
+            for row, e in zip(rows, encode([" ".join(r) for r in rows])):
                 ids = np.array(e.ids, "<u4")
                 cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-                if len(cuts) != len(words) or cuts[-1] != len(ids):
-                    single += words
+                if len(cuts) != len(row) or cuts[-1] != len(ids):
+                    single += row
                     continue
                 data, start = ids.tobytes(), 0
-                for w, c in zip(words, cuts):
+                for w, c in zip(row, cuts):
                     self.parts[w] = data[4 * start : 4 * c]
                     start = c
+        alone = {}
         for i in range(0, len(single), at_once):
             some = single[i : i + at_once]
-            for w, e in zip(some, encode(some)):
-                self.parts[w] = np.array(e.ids, "<u4").tobytes()
-        for w in new:
-            core = split.get(w)
-            self.known[w] = self.parts[core[0]] + self.parts[core[1]] if core else self.parts[w]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-            self.parts = {"": b""}
-        found = [list(map(self.known.get, words)) for words in split]
-        self.learn(list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}))
-        return [b"".join(map(self.known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found)]
+            alone |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, encode(some))}
+        self.parts |= {w: x for w, x in alone.items() if len(w) < 32}
+        part = lambda w: self.parts[w] if w in self.parts else alone[w]
+        return [part(x[0]) + part(x[1]) if x else alone[w] for w, x in zip(words, split)]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, end_id after each text's, and how many each text has."""
+        data, offsets = buffers(texts)
+        hashes, firsts, starts, ends = word_hashes(data, offsets, self.powers)
+        different, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.most:
+            self.forget()
+        new = np.flatnonzero(~np.isin(different, self.hashes, assume_unique=True))
+        if len(new):
+            raw = data.tobytes()
+            ids = self.encoded([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            order = np.argsort(all_ := np.concatenate([self.hashes, different[new]]))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])[order]
+            self.hashes, self.sizes = all_[order], np.concatenate([self.sizes, sizes])[order]
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        known = np.searchsorted(self.hashes, different)[which]
+        sizes = self.sizes[known]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.pool[np.repeat(self.starts[known] - upto[:-1], sizes) + np.arange(upto[-1])]
+        bounds = upto[firsts]
+        return np.insert(flat, bounds[1:], end_id), np.diff(bounds) + 1
 
 
 def vocabulary_path(name: str) -> str:
@@ -173,16 +192,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def grouped(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most `most` characters together, or one longer text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[list, pa.Array]]:
+    """The doc_ids and texts of a batch, in runs of at most `most` bytes of text, or one longer text."""
+    _, offsets = buffers(batch.column(1))
+    row = 0
+    while row < len(batch):
+        last = min(len(batch), max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1))
+        yield batch.column(0)[row:last].to_pylist(), batch.column(1)[row:last]
+        row = last
 
 
 SEGMENTS = "partition int, number int, first bigint, n_docs bigint, n_tokens bigint, body binary"
@@ -195,26 +212,23 @@ def segments(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
     def packed(batches):
         from pyspark import TaskContext
 
-        encode, end = Encoder(path, rules.most_pieces), np.array([rules.end_id], "<u4").tobytes()
-        part, number, first, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        encode, part, number, first = Encoder(path, rules.most_words), TaskContext.get().partitionId(), 0, 0
+        docs, held, size = [], [], 0
 
         def body():
-            ids, nulls = np.array([d or 0 for d, _ in held], np.int64), np.array([d is None for d, _ in held])
-            lengths = np.array([len(x) // 4 for _, x in held], np.int64)
-            data = pack(ids, nulls, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(x for _, x in held), "<u4"), rules.bits)
-            return pa.RecordBatch.from_pydict({"partition": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "first": [first], "n_docs": [len(held)], "n_tokens": [int(lengths.sum())], "body": pa.array([data], pa.binary())})
+            ids, nulls, lengths = np.array([d or 0 for d in docs], np.int64), np.array([d is None for d in docs]), np.concatenate([n for _, n in held])
+            data = pack(ids, nulls, np.cumsum(lengths) - lengths, np.concatenate([x for x, _ in held]), rules.bits)
+            return pa.RecordBatch.from_pydict({"partition": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "first": [first], "n_docs": [len(docs)], "n_tokens": [size], "body": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                doc_ids, texts = batch.column(0)[at : at + 500].to_pylist(), [t or "" for t in batch.column(1)[at : at + 500].to_pylist()]
-                for a, b in grouped(texts):
-                    for d, x in zip(doc_ids[a:b], encode(texts[a:b])):
-                        held.append((d, x + end))
-                        size += len(x) // 4 + 1
-                        if size >= rules.segment_tokens:
-                            yield body()
-                            number, first, held, size = number + 1, first + size, [], 0
-        if held:
+            for ids, texts in slices(batch):
+                held.append(encode(texts, rules.end_id))
+                docs += ids
+                size += len(held[-1][0])
+                if size >= rules.segment_tokens:
+                    yield body()
+                    number, first, docs, held, size = number + 1, first + size, [], [], 0
+        if docs:
             yield body()
 
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
