@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm import decontaminate, jaccard, mixing, quality, tokens
+from marketloom.llm.common import shared_path
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -22,7 +23,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = tokens.shared_path(spark, name)
+        path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

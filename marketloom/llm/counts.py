@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import table
-from marketloom.llm.tokens import Encoder, shared_path, slices, vocabulary_path
+from marketloom.llm.common import shared_path, table
+from marketloom.llm.tokens import Encoder, slices, vocabulary_path
 
 
 @dataclass(frozen=True)

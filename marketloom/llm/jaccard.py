@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, table
+from marketloom.llm.common import cut, stored, table
 from marketloom.llm.components import components
 from marketloom.llm.fingerprints import Powers, mix, shingle_sets
 
@@ -38,6 +38,12 @@ class JaccardRules:
     percent: int = 90
     frequent: int = 64
     sketch_bits: int = 20
+    group: int = 256
+
+    @property
+    def shared(self) -> int:
+        """k: what different sets that link share at least, 8 at most."""
+        return max(1, min(8, self.percent // (100 - self.percent)))
 
 
 def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
@@ -69,9 +75,9 @@ def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """doc_id, n, digest of the set (two hashes) and the tokens of the prefix for k = 2, in order."""
+    """doc_id, n, digest of the set (two hashes) and the tokens of the prefix, in order."""
     common = docs.sparkSession.sparkContext.broadcast(np.packbits(count_sketch(docs, rules)))
-    percent = rules.percent
+    percent, shared = rules.percent, rules.shared
 
     def made(batches):
         powers, cells = Powers(), np.uint64((1 << rules.sketch_bits) - 1)
@@ -83,7 +89,7 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 if not n:
                     rows.append((ids[r], 0, None, None, []))
                     continue
-                p = min(n, n - (percent * n + 99) // 100 + 2)
+                p = min(n, n - (percent * n + 99) // 100 + shared)
                 late = flags[tokens & cells]
                 first = tokens[~late][:p]
                 if len(first) < p:
@@ -99,29 +105,30 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFrame:
     """Those of pairs (a, b) whose texts' sets are similar enough, with the sizes of intersection and union."""
-    texts = docs.select("doc_id", "text")
-    needed = wanted(pairs, texts)
-    both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), "a").join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb")), "b")
+    texts = wanted(pairs, docs.select("doc_id", "text"))
+    groups_ = pairs.groupBy("a").agg(F.ceil(F.count("*") / rules.group).cast("int").alias("_s"))
+    members = pairs.join(groups_, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("s"), F.col("b").alias("d"))
+    heads = groups_.select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("s"), F.col("a").alias("d"))
+    rows = members.unionByName(heads).join(texts, F.col("d") == F.col("doc_id")).select("a", "s", "d", "text")
+    dealt = rows.repartition("a", "s").sortWithinPartitions("a", "s", F.col("d") != F.col("a"))
     percent = rules.percent
 
     def compared(batches):
-        powers = Powers()
+        powers, head, x = Powers(), None, None
         for batch in batches:
-            which = []
-            for side in ("_ta", "_tb"):
-                sets = dict(shingle_sets(batch.column(side), rules.width, powers))
-                which.append(sets)
-            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i in range(len(a)):
-                x, y = which[0][i], which[1][i]
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - same
-                if same and 100 * same >= percent * union:
-                    keep.append((a[i], b[i], same, union))
+            a, s, d, keep = batch.column("a").to_pylist(), batch.column("s").to_pylist(), batch.column("d").to_pylist(), []
+            for i, y in shingle_sets(batch.column("text"), rules.width, powers):
+                if a[i] == d[i]:
+                    head, x = (a[i], s[i]), y
+                elif head == (a[i], s[i]):
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    union = len(x) + len(y) - same
+                    if same and 100 * same >= percent * union:
+                        keep.append((a[i], d[i], same, union))
             cols = list(zip(*keep)) if keep else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "same", "union"])
 
-    return both.select("a", "b", "_ta", "_tb").mapInArrow(compared, "a bigint, b bigint, same bigint, union bigint")
+    return dealt.mapInArrow(compared, "a bigint, b bigint, same bigint, union bigint")
 
 
 def wanted(pairs: DataFrame, texts: DataFrame, bits: int = 23) -> DataFrame:
@@ -144,38 +151,43 @@ def wanted(pairs: DataFrame, texts: DataFrame, bits: int = 23) -> DataFrame:
 
 def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFrame, DataFrame]:
     """The classes (doc_id, n, rep) and enough verified links between representatives to join what is linked."""
-    made = cut(prefixes(docs, rules))
-    firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "tokens")).alias("_f"))
-    reps = cut(firsts.select("d1", "d2", "n", F.col("_f.doc_id").alias("rep"), F.col("_f.tokens").alias("tokens")))
-    classes = made.select("doc_id", "d1", "d2", "n").join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
-    classes = classes.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    made = stored(prefixes(docs, rules), "prefixes")
+    firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    firsts = stored(firsts, "classes")
+    classes = made.select("doc_id", "d1", "d2", "n").join(firsts, ["d1", "d2", "n"], "left")
+    classes = stored(classes.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
+    reps = firsts.join(made.select(F.col("doc_id").alias("rep"), "d1", "d2", "tokens"), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
     rows = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("head")).filter("df > 1")
-    index = cut(rows.join(counts, "token"))
+    index = stored(rows.join(counts, "token"), "index")
     fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * rules.percent
-    heads = reps.select(F.col("rep").alias("head"), F.col("n").alias("m"))
-    first = index.filter("rep <> head").select("head", "rep", "n").distinct().join(heads, "head").filter(fits(F.col("m"), F.col("n")))
-    first = cut(first.select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    heads = firsts.select(F.col("rep").alias("head"), F.col("n").alias("m"))
+    first = index.filter("rep <> head").groupBy("head", "rep", "n").agg(F.count("*").alias("_c")).filter(F.col("_c") >= (rules.shared + 1) // 2)
+    first = cut(first.join(heads, "head").filter(fits(F.col("m"), F.col("n"))).select(F.col("head").alias("a"), F.col("rep").alias("b")))
     found = cut(verified(first, docs, rules).select("a", "b"))
     label = components(found)
 
     # Second turn: keys whose representatives are in several components.
     label = label.select(F.col("node").alias("rep"), "component")
     index = index.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rare = index.filter(F.col("df") <= rules.frequent).select(F.col("token").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "rep", "n", "pos", "component")
+    rare = index.filter(F.col("df") <= rules.frequent).select(F.col("token").alias("k1"), F.lit(None).cast("bigint").alias("k2"), "rep", "n", "pos", "component")
     common = index.filter(F.col("df") > rules.frequent).groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("_t"))
     combos = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: F.struct(x.alias("k1"), y.alias("k2")))))
     paired = common.select("rep", "n", "component", F.explode(combos).alias("_k")).select("_k.k1", "_k.k2", "rep", "n", F.lit(None).cast("int").alias("pos"), "component")
-    keys = rare.unionByName(paired)
-    open_keys = keys.groupBy("k1", "k2").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("k1", "k2")
-    keys = cut(keys.join(open_keys, ["k1", "k2"]))
+    keys = rare.unionByName(paired).withColumn("k2", F.coalesce("k2", F.lit(0))).withColumn("k", F.xxhash64("k1", "k2"))
+    open_keys = keys.groupBy("k").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("k")
+    keys = stored(keys.join(open_keys, "k").select("k", (F.col("pos").isNull()).alias("combined"), "rep", "n", "pos", "component"), "keys")
     x, y = keys.alias("x"), keys.alias("y")
     # Of a pair that shares a token at places i and j at most min(i, j) tokens before and the shorter rest after it are shared.
     after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     room = F.coalesce((F.least("x.pos", "y.pos") + after) * (100 + rules.percent) >= (F.col("x.n") + F.col("y.n")) * rules.percent, F.lit(True))
-    met = x.join(y, (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-    second = met.filter(fits(F.col("x.n"), F.col("y.n")) & room).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
+    met = met.filter(fits(F.col("x.n"), F.col("y.n")) & room).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    met = met.agg(F.count(F.when(~F.col("x.combined"), 1)).alias("_rare"), F.count(F.when(F.col("x.combined"), 1)).alias("_two"))
+    # f frequent tokens in common make f (f - 1) / 2 combinations; none of these may still be one token.
+    frequent = F.when(F.col("_two") == 0, 1).otherwise(F.round((1 + F.sqrt(1 + 8 * F.col("_two"))) / 2))
+    second = met.filter(F.col("_rare") + frequent >= rules.shared).select("a", "b").join(first, ["a", "b"], "left_anti")
     more = verified(cut(second), docs, rules).select("a", "b")
     return classes, cut(found.unionByName(more))
 

@@ -32,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import table
-from marketloom.llm.fingerprints import ODD, PIECE, TABLE, Powers, buffers, mix
-from marketloom.llm.tokens import shared_path
+from marketloom.llm.common import shared_path, table
+from marketloom.llm.fingerprints import ODD, TABLE, Powers, buffers, mix
 
 NONE, REPEATED, SEVERAL, MANY = range(4)
 SEEN = np.dtype([("id", "<u4"), ("low", "<u4"), ("high", "<u2")])
@@ -47,7 +46,8 @@ class SuffixRules:
     gram: int = 32
     most_contexts: int = 16_384
     table_bits: int = 25
-    flush: int = 1 << 20
+    flush: int = 1 << 19
+    piece: int = 1 << 19
 
     @property
     def before(self) -> int:
@@ -72,12 +72,12 @@ def parts(ids: list, data: np.ndarray, offsets: np.ndarray, rules: SuffixRules)
         a, b = int(offsets[i]), int(offsets[i + 1])
         if doc is None or b - a < rules.length:
             continue
-        for s in range(a, b - rules.length + 1, PIECE):
-            t = min(s + PIECE, b - rules.length + 1)
+        for s in range(a, b - rules.length + 1, rules.piece):
+            t = min(s + rules.piece, b - rules.length + 1)
             lo, hi = max(a, s - rules.before), min(b, t + rules.before + rules.length)
             held.append((doc, lo - a, lo, hi, s - lo, t - lo))
             size += hi - lo
-            if size >= PIECE:
+            if size >= rules.piece:
                 yield held
                 held, size = [], 0
     if held:
@@ -354,7 +354,7 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
                     context[i] = raw[where[i] - x["left"][i] : where[i] + x["right"][i]]
                 rows.append(x[keep])
                 contexts.append(context[keep])
-                if sum(map(len, rows)) >= rules.flush // 4:
+                if sum(map(len, rows)) >= rules.flush // 2:
                     yield from send(rows, contexts, [])
                     rows, contexts = [], []
         if rows:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, table
+from marketloom.llm.common import shared_path, table
 from marketloom.llm.fingerprints import Powers, buffers, word_hashes
 
 MAGIC, BLOCK = b"DACS", 512
@@ -263,13 +262,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("partition", "first", "body").mapInArrow(unpacked, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    if not spark.sparkContext.getCheckpointDir():
-        cut(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def encode(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
     """Writes the segments of docs to the shared folder and reads them back."""
     path = shared_path(docs.sparkSession, "tokens")
