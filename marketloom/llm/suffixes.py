@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ class SuffixRules:
     length: int = 100
     gram: int = 32
     most_contexts: int = 16_384
-    table_bits: int = 25
+    table_bits: int = 27
     flush: int = 1 << 19
     piece: int = 1 << 19
 
@@ -322,7 +323,7 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
     """doc and payload: intervals (pairs of little-endian 32-bit integers) of bytes to remove, in any number of rows a document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    bits = min(16, max(6, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    bits = min(16, max(6, (8 * docs.rdd.getNumPartitions() - 1).bit_length()))
     levels = spark.sparkContext.broadcast(repeats(docs, rules, bits))
 
     def send(rows: list, contexts: list, many: list) -> Iterator[pa.RecordBatch]:
@@ -334,10 +335,11 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
         x = rows[again]
         yield intervals_of(x["doc"], x["pos"] - x["left"], x["pos"] + x["right"])
         rows, contexts = rows[~again], contexts[~again]
-        buckets, payloads = [], []
+        buckets, payloads, small = [], [], zstandard.ZstdCompressor(3)
         for k, i in by_bucket(rows, rows["anchor"], bits):
             own = rows[i]
-            payloads.append(np.array([len(own)], "<i8").tobytes() + own.tobytes() + b"".join(contexts[i[own["several"] > 0]].tolist()))
+            columns = [np.ascontiguousarray(own[n]).tobytes() for n in FOUND.names]
+            payloads.append(small.compress(b"".join([np.array([len(own)], "<i8").tobytes(), *columns, *contexts[i[own["several"] > 0]].tolist()])))
             buckets.append(k)
         yield pa.RecordBatch.from_pydict({"doc": pa.array([None] * len(buckets), pa.int64()), "bucket": pa.array(buckets, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
@@ -365,13 +367,15 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
         if not out:
             rows, contexts = [], []
             for p in part.column("payload"):
-                p = p.as_buffer()
-                n = int(np.frombuffer(p, "<i8", 1)[0])
-                x = np.frombuffer(p, FOUND, n, 8)
+                raw = zstandard.ZstdDecompressor().decompress(p.as_py())
+                x = np.zeros(int(np.frombuffer(raw, "<i8", 1)[0]), FOUND)
+                at = 8
+                for name in FOUND.names:
+                    x[name] = np.frombuffer(raw, FOUND[name], len(x), at)
+                    at += FOUND[name].itemsize * len(x)
                 rows.append(x)
                 size = np.where(x["several"] > 0, x["left"].astype(np.int64) + x["right"], 0)
-                ends = 8 + x.nbytes + np.cumsum(size)
-                raw = p.to_pybytes()
+                ends = at + np.cumsum(size)
                 contexts += [raw[e - s : e] if s else b"" for e, s in zip(ends.tolist(), size.tolist())]
             rows = np.concatenate(rows)
             order = np.lexsort([rows["pos"], rows["doc"], rows["context"], rows["anchor"]])
