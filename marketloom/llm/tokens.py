@@ -16,6 +16,7 @@ by hash and text; an empty table gives no segment; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -121,6 +122,7 @@ class Encoder:
     """Ids of texts, each different word encoded once. Words are told apart by 64-bit hashes, A to Z lower-cased as the tokenizer does."""
 
     def __init__(self, path: str, most: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.powers = Tokenizer.from_file(path), most, Powers()
