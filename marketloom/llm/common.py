@@ -49,3 +49,36 @@ def held(df: DataFrame, **exprs) -> DataFrame:
     """
     one = F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))
     return df.select("*", F.inline(one))
+
+
+def release() -> None:
+    """Gives memory that Python, numpy and Arrow have freed back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(f):
+    """f, a function over a task's batches or over one array, with release() after it."""
+    import inspect
+
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            yield from f(batches)
+            release()
+
+        return run
+
+    def once(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    return once

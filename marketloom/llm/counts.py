@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import shared_path, table
+from marketloom.llm.common import shared_path, table, tidy
 from marketloom.llm.tokens import Encoder, slices, vocabulary_path
 
 
@@ -73,7 +73,7 @@ def write_flat(docs: DataFrame, folder: str, rules: CountRules = CountRules()) -
         if state["out"] is not None:
             yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(written, "file string, n_bytes bigint, doc_ids array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(written), "file string, n_bytes bigint, doc_ids array<bigint>")
     rows.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
@@ -98,7 +98,7 @@ def count_flat(files: DataFrame, rules: CountRules = CountRules()) -> DataFrame:
                     "last_end": pa.array([int(ends[-1]) if len(ends) else None], pa.int64()), "ends": pa.array([ends], pa.list_(pa.int64())),
                 })
 
-    found = blocks.mapInArrow(searched, "file string, n bigint, block bigint, n_ends bigint, last_end bigint, ends array<bigint>")
+    found = blocks.mapInArrow(tidy(searched), "file string, n bigint, block bigint, n_ends bigint, last_end bigint, ends array<bigint>")
     # The scan: over a file's blocks, the last end and the number of ends before each.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")

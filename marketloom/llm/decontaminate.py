@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ascii_lower, table
+from marketloom.llm.common import ascii_lower, table, tidy
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,7 +79,7 @@ def _by_broadcast(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationR
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([windows.value.hits((t or "").encode()) for t in texts.to_pylist()], kind)
 
-    return docs.withColumn("_hit", F.arrow_udf(found, HIT)(F.col("text")))
+    return docs.withColumn("_hit", F.arrow_udf(tidy(found), HIT)(F.col("text")))
 
 
 def _by_join(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules) -> DataFrame:

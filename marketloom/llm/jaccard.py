@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, stored, table
+from marketloom.llm.common import cut, stored, table, tidy
 from marketloom.llm.components import components
 from marketloom.llm.fingerprints import Powers, mix, shingle_sets
 
@@ -37,7 +37,7 @@ class JaccardRules:
     width: int = 3
     percent: int = 90
     frequent: int = 64
-    sketch_bits: int = 20
+    sketch_bits: int = 22
     group: int = 256
 
     @property
@@ -49,28 +49,42 @@ class JaccardRules:
 def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
     """Whether each cell of the sketch is common: counts of distinct tokens of all documents, by their lowest bits.
 
-    A task sends its counts in parts, which are added up part by part; the driver gets 2**sketch_bits bits, whatever the input.
+    A task sends its counts in parts, which are added up part by part; the driver gets 2**sketch_bits short numbers, whatever the input.
     """
     size, parts = 1 << rules.sketch_bits, 16
 
+    most = np.iinfo(np.uint16).max
+
     def counted(batches):
-        powers, counts = Powers(), np.zeros(size, np.int64)
+        powers, counts = Powers(), np.zeros(size, np.uint16)
+
+        def add(held):
+            cells, n = np.unique(np.concatenate(held) & np.uint64(size - 1), return_counts=True)
+            cells = cells.astype(np.int64)
+            counts[cells] = np.minimum(counts[cells].astype(np.int64) + n, most)
+
         for batch in batches:
+            held, n = [], 0
             for _, tokens in shingle_sets(batch.column(0), rules.width, powers):
-                cells = (tokens & np.uint64(size - 1)).astype(np.int64)
-                np.add.at(counts, cells, 1)
+                held.append(tokens)
+                n += len(tokens)
+                if n > 1 << 19:
+                    add(held)
+                    held, n = [], 0
+            if held:
+                add(held)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "counts": [x.tobytes() for x in counts.reshape(parts, -1)]})
 
     def added(key, rows):
         total = np.zeros(size // parts, np.int64)
         for x in rows.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
+            total += np.frombuffer(x.as_py(), np.uint16)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": [np.minimum(total, most).astype(np.uint16).tobytes()]})
 
-    rows = docs.select("text").mapInArrow(counted, "part int, counts binary").groupBy("part").applyInArrow(added, "part int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(tidy(counted), "part int, counts binary").groupBy("part").applyInArrow(added, "part int, counts binary").collect()
     if not rows:
         return np.zeros(size, bool)
-    total = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)])
+    total = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(rows)])
     return total > max(rules.frequent, 4 * total.mean())
 
 
@@ -100,7 +114,7 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "d1", "d2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -128,7 +142,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFram
             cols = list(zip(*keep)) if keep else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "same", "union"])
 
-    return dealt.mapInArrow(compared, "a bigint, b bigint, same bigint, union bigint")
+    return dealt.mapInArrow(tidy(compared), "a bigint, b bigint, same bigint, union bigint")
 
 
 def wanted(pairs: DataFrame, texts: DataFrame, bits: int = 23) -> DataFrame:
@@ -170,14 +184,15 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
 
     # Second turn: keys whose representatives are in several components.
     label = label.select(F.col("node").alias("rep"), "component")
-    index = index.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    index = stored(index.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    several = index.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
+    index = index.join(several, "token")
     rare = index.filter(F.col("df") <= rules.frequent).select(F.col("token").alias("k1"), F.lit(None).cast("bigint").alias("k2"), "rep", "n", "pos", "component")
     common = index.filter(F.col("df") > rules.frequent).groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("_t"))
     combos = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: F.struct(x.alias("k1"), y.alias("k2")))))
     paired = common.select("rep", "n", "component", F.explode(combos).alias("_k")).select("_k.k1", "_k.k2", "rep", "n", F.lit(None).cast("int").alias("pos"), "component")
     keys = rare.unionByName(paired).withColumn("k2", F.coalesce("k2", F.lit(0))).withColumn("k", F.xxhash64("k1", "k2"))
-    open_keys = keys.groupBy("k").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("k")
-    keys = stored(keys.join(open_keys, "k").select("k", (F.col("pos").isNull()).alias("combined"), "rep", "n", "pos", "component"), "keys")
+    keys = stored(keys.select("k", F.col("pos").isNull().alias("combined"), "rep", "n", "pos", "component"), "keys")
     x, y = keys.alias("x"), keys.alias("y")
     # Of a pair that shares a token at places i and j at most min(i, j) tokens before and the shorter rest after it are shared.
     after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import table
+from marketloom.llm.common import table, tidy
 from marketloom.llm.secrets import digest
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -231,7 +231,7 @@ def mark(docs: DataFrame, rules: PiiRules = PiiRules(), weights: Weights | None
         rows = label([t or "" for t in texts.to_pylist()], weights, rules)
         return pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in x] for x in rows], kind)
 
-    return docs.withColumn("pii", F.arrow_udf(found, "array<struct<kind:string,start:int,end:int,base:boolean>>")(F.col("text")))
+    return docs.withColumn("pii", F.arrow_udf(tidy(found), "array<struct<kind:string,start:int,end:int,base:boolean>>")(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

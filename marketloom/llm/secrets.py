@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import table
+from marketloom.llm.common import table, tidy
 
 KINDS = ["assign", "access", "hex"]
 # What counts as a secret, and what as an encoded run.
@@ -168,7 +168,7 @@ def scan(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFrame:
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([scan_text(t or "", rules) for t in texts.to_pylist()], pa.struct([("spans", pa.list_(SPAN)), ("n_closed", pa.int32())]))
 
-    udf = F.arrow_udf(found, FOUND)
+    udf = F.arrow_udf(tidy(found), FOUND)
     df = docs.drop("secrets", "n_closed").withColumn("_found", udf(F.col("text")))
     return df.withColumns({"secrets": F.col("_found.spans"), "n_closed": F.col("_found.n_closed")}).drop("_found")
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import shared_path, table
+from marketloom.llm.common import release, shared_path, table, tidy
 from marketloom.llm.fingerprints import ODD, TABLE, Powers, buffers, mix
 
 NONE, REPEATED, SEVERAL, MANY = range(4)
@@ -189,7 +189,7 @@ def repeats(docs: DataFrame, rules: SuffixRules, bits: int) -> np.ndarray:
     kind = "bucket int, payload binary"
     out = np.zeros(1 << (rules.table_bits - 2), np.uint8)
     size = cells // 4
-    for r in docs.mapInArrow(seen, kind).groupBy("bucket").applyInArrow(told, kind).toLocalIterator():
+    for r in docs.mapInArrow(tidy(seen), kind).groupBy("bucket").applyInArrow(told, kind).toLocalIterator():
         out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["payload"], np.uint8)
     return out
 
@@ -394,11 +394,12 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
             left, right = cover(x, [contexts[i] for i in order[pick]], rules)
             some = right > 0
             out.append(intervals_of(x["doc"][some], x["pos"][some] - left[some], x["pos"][some] + right[some]))
+        release()
         return pa.Table.from_batches([b.select(["doc", "payload"]) for b in out])
 
     path = shared_path(spark, "covered")
     # Intervals that tasks know already pass through in groups of their own.
-    made = docs.mapInArrow(found, KIND).withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).cast("int")))
+    made = docs.mapInArrow(tidy(found), KIND).withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).cast("int")))
     made.groupBy("bucket").applyInArrow(resolved, "doc bigint, payload binary").write.parquet(path)
     near = spark.read.parquet(path)
     return near.unionByName(many_contexts(docs, levels, rules))
@@ -423,7 +424,7 @@ def many_contexts(docs: DataFrame, levels, rules: SuffixRules) -> DataFrame:
                 at = x["pos"][i] - x["left"][i] + lag
                 yield pa.RecordBatch.from_pydict({"h1": a, "h2": b, "doc": x["doc"][i], "start": at.astype(np.int64)})
 
-    rows = docs.mapInArrow(strings, "h1 bigint, h2 bigint, doc bigint, start bigint")
+    rows = docs.mapInArrow(tidy(strings), "h1 bigint, h2 bigint, doc bigint, start bigint")
     firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     later = rows.join(firsts, ["h1", "h2"]).filter((F.col("doc") != F.col("_first.doc")) | (F.col("start") != F.col("_first.start"))).select("doc", "start").distinct()
     size = rules.length
@@ -469,7 +470,7 @@ def removed(docs: DataFrame, rules: SuffixRules = SuffixRules(), with_text: bool
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = both.mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = both.mapInArrow(tidy(cut_out), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import shared_path, table
+from marketloom.llm.common import shared_path, table, tidy
 from marketloom.llm.fingerprints import Powers, buffers, word_hashes
 
 MAGIC, BLOCK = b"DACS", 512
@@ -233,7 +233,7 @@ def segments(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
             yield body()
 
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
-    return dealt.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(packed, SEGMENTS)
+    return dealt.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(packed), SEGMENTS)
 
 
 def write(docs: DataFrame, path: str, rules: TokenRules = TokenRules()) -> None:
@@ -261,7 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     "n_tokens": np.diff(bounds), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
-    return rows.select("partition", "first", "body").mapInArrow(unpacked, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.select("partition", "first", "body").mapInArrow(tidy(unpacked), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
