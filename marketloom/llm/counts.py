@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import shared_path, table, tidy
-from marketloom.llm.tokens import Encoder, slices, vocabulary_path
+from marketloom.llm.tokens import kept_encoder, slices, vocabulary_path
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class CountRules:
     width: int = 2
     block_tokens: int = 1 << 20
     file_tokens: int = 1 << 24
-    most_words: int = 1_000_000
+    most_words: int = 700_000
 
 
 def opened(uri: str):
@@ -49,7 +49,7 @@ def write_flat(docs: DataFrame, folder: str, rules: CountRules = CountRules()) -
     path = vocabulary_path(rules.vocabulary)
 
     def written(batches):
-        encode = Encoder(path, rules.most_words)
+        encode = kept_encoder(path, rules.most_words)
         system, base = opened(folder)
         system.create_dir(f"{base}/flat")
         state = {"out": None, "ids": [], "n": 0, "name": ""}

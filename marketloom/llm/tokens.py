@@ -41,7 +41,7 @@ class TokenRules:
     end_id: int = 2
     bits: int = 8
     segment_tokens: int = 1 << 20
-    most_words: int = 1_000_000
+    most_words: int = 700_000
 
 
 def pack(doc_ids: np.ndarray, nulls: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int = 8) -> bytes:
@@ -139,29 +139,25 @@ class Encoder:
     def encoded(self, words: list[str], together: int = 64, at_once: int = 4096) -> list[bytes]:
         """Ids of each word. Letters are encoded many in a text and told apart by their last ids; other words one by one."""
         encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        split = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else None for w in words]
-        cores = list({x[0] for x in split if x}.difference(self.parts))
-        single = [w for w, x in zip(words, split) if not x] + list({x[1] for x in split if x}.difference(self.parts))
+        parts = self.parts
+        split = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (None, w) for w in words]
+        cores = list({c for c, _ in split if c}.difference(parts))
+        single = list({m for _, m in split}.difference(parts))
         for i in range(0, len(cores), at_once):
             some = cores[i : i + at_once]
             rows = [some[k : k + together] for k in range(0, len(some), together)]
             for row, e in zip(rows, encode([" ".join(r) for r in rows])):
                 ids = np.array(e.ids, "<u4")
-                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-                if len(cuts) != len(row) or cuts[-1] != len(ids):
+                cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                data = ids.tobytes()
+                if len(cuts) != len(row) or cuts[-1] != len(data):
                     single += row
-                    continue
-                data, start = ids.tobytes(), 0
-                for w, c in zip(row, cuts):
-                    self.parts[w] = data[4 * start : 4 * c]
-                    start = c
-        alone = {}
+                else:
+                    parts.update(zip(row, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
         for i in range(0, len(single), at_once):
             some = single[i : i + at_once]
-            alone |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, encode(some))}
-        self.parts |= {w: x for w, x in alone.items() if len(w) < 32}
-        part = lambda w: self.parts[w] if w in self.parts else alone[w]
-        return [part(x[0]) + part(x[1]) if x else alone[w] for w, x in zip(words, split)]
+            parts.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in encode(some)]))
+        return [parts[c] + parts[m] if c else parts[m] for c, m in split]
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end_id after each text's, and how many each text has."""
@@ -187,6 +183,16 @@ class Encoder:
         return np.insert(flat, bounds[1:], end_id), np.diff(bounds) + 1
 
 
+def kept_encoder(path: str, most: int) -> Encoder:
+    """The worker process's encoder: words that one of its tasks has met are known to the next."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path, most)
+    return kept[path]
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -213,7 +219,7 @@ def segments(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
     def packed(batches):
         from pyspark import TaskContext
 
-        encode, part, number, first = Encoder(path, rules.most_words), TaskContext.get().partitionId(), 0, 0
+        encode, part, number, first = kept_encoder(path, rules.most_words), TaskContext.get().partitionId(), 0, 0
         docs, held, size = [], [], 0
 
         def body():
