@@ -3,16 +3,19 @@ r"""N-gram Jaccard join: token-combination prefixes over shingle sets, then veri
 A token is the 64-bit hash of a shingle. Documents of equal sets form a class, whose smallest doc_id stands for it; only those
 representatives are joined, since a class's members share all of its links.
 
-Order: tokens that a count sketch of fixed size calls common come last, within either kind by hash. Two sets of similarity t share
-at least k tokens among the first n - ceil(t n) + k of either (n its size). The index holds these prefixes for k = 2.
-- Rare classes of tokens are indexed singly: representatives of one token are candidates.
+Order: by how often a token occurs, as a count sketch of fixed size tells it in steps, then by hash. Two sets of sizes m and n and
+similarity t share at least k tokens among the first m - a + k of one and the first n - a + k of the other, where
+a = ceil(t (m + n) / (1 + t)) is what they share in all. The index holds prefixes for k = 2 and the smallest partner allowed.
+- Rare classes of tokens are indexed singly.
 - Frequent classes, of more than `frequent` representatives, are indexed by combinations of two such tokens of one prefix. A pair
-  shares two tokens of the prefix: one is rare, or both are frequent; either index finds it.
-Candidates are taken in two turns. First each key's representatives meet the key's smallest one, and verified links are merged to
-components. A key whose representatives are then in one component is settled, for no further link could join more of them. Of the
-other keys all pairs across components are verified. So large groups of near copies cost a few pairs a member.
+  shares two tokens of the prefixes: one is rare, or both are frequent, so either index finds it.
+Candidates are taken in two turns. First each key's representatives meet the one among them whose tokens are the most common, the
+middle of a group of near copies, and verified links are merged to components. A key whose representatives are then in one component
+is settled, for no further link could join more of them. Of the other keys all pairs across components whose tokens stand early
+enough in both prefixes are candidates. So large groups of near copies cost a few pairs a member.
 
-Verification recomputes both sets from the texts and compares sizes of intersection and union in integers.
+Verification recomputes sets from the texts and compares sizes of intersection and union in integers. A text meets its candidates
+in groups around one of them, which are split where they are large.
 
 Defined cases: texts without words, and null ones, have an empty set, link with nothing and are components of their own; equal
 rows are one class; rows without doc_id get no component; an empty table gives an empty result; other columns are not read.
@@ -21,10 +24,11 @@ rows are one class; rows without doc_id get no component; an empty table gives a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import cut, stored, table, tidy
@@ -40,14 +44,9 @@ class JaccardRules:
     sketch_bits: int = 22
     group: int = 256
 
-    @property
-    def shared(self) -> int:
-        """k: what different sets that link share at least, 8 at most."""
-        return max(1, min(8, self.percent // (100 - self.percent)))
-
 
 def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
-    """Whether each cell of the sketch is common: counts of distinct tokens of all documents, by their lowest bits.
+    """How common each cell of the sketch is, in steps: counts of distinct tokens of all documents, by their lowest bits.
 
     A task sends its counts in parts, which are added up part by part; the driver gets 2**sketch_bits short numbers, whatever the input.
     """
@@ -83,19 +82,20 @@ def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
 
     rows = docs.select("text").mapInArrow(tidy(counted), "part int, counts binary").groupBy("part").applyInArrow(added, "part int, counts binary").collect()
     if not rows:
-        return np.zeros(size, bool)
+        return np.zeros(size, np.uint8)
     total = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(rows)])
-    return total > max(rules.frequent, 4 * total.mean())
+    usual = max(2.0, 1.25 * total.mean())
+    return np.floor(2 * np.log2(np.maximum(total, usual) / usual)).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     """doc_id, n, digest of the set (two hashes) and the tokens of the prefix, in order."""
-    common = docs.sparkSession.sparkContext.broadcast(np.packbits(count_sketch(docs, rules)))
-    percent, shared = rules.percent, rules.shared
+    common = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, rules))
+    percent = rules.percent
 
     def made(batches):
         powers, cells = Powers(), np.uint64((1 << rules.sketch_bits) - 1)
-        flags = np.unpackbits(common.value).view(bool)
+        levels = common.value
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for r, tokens in shingle_sets(batch.column(1), rules.width, powers):
@@ -103,11 +103,8 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 if not n:
                     rows.append((ids[r], 0, None, None, []))
                     continue
-                p = min(n, n - (percent * n + 99) // 100 + shared)
-                late = flags[tokens & cells]
-                first = tokens[~late][:p]
-                if len(first) < p:
-                    first = np.concatenate([first, tokens[late][: p - len(first)]])
+                p = min(n, n - (percent * n + 99) // 100 + 2)
+                first = tokens[np.argsort(levels[tokens & cells], kind="stable")[:p]]
                 sums = [int(mix(tokens + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2)]
                 rows.append((ids[r], n, *sums, first.view(np.int64)))
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -173,12 +170,15 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
 
     reps = firsts.join(made.select(F.col("doc_id").alias("rep"), "d1", "d2", "tokens"), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
     rows = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("head")).filter("df > 1")
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     index = stored(rows.join(counts, "token"), "index")
+    central = index.groupBy("rep").agg(F.sum("df").alias("_c"))
+    heads = index.join(central, "rep").groupBy("token").agg(F.max(F.struct("_c", (-F.col("rep")).alias("r"), "n")).alias("_h"))
+    heads = heads.select("token", (-F.col("_h.r")).alias("head"), F.col("_h.n").alias("m"))
     fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * rules.percent
-    heads = firsts.select(F.col("rep").alias("head"), F.col("n").alias("m"))
-    first = index.filter("rep <> head").groupBy("head", "rep", "n").agg(F.count("*").alias("_c")).filter(F.col("_c") >= (rules.shared + 1) // 2)
-    first = cut(first.join(heads, "head").filter(fits(F.col("m"), F.col("n"))).select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    first = index.select("token", "rep", "n").join(heads, "token").filter((F.col("rep") != F.col("head")) & fits(F.col("m"), F.col("n")))
+    first = first.groupBy("head", "rep").agg(F.count("*").alias("_c")).filter("_c > 1")
+    first = cut(first.select(F.col("head").alias("a"), F.col("rep").alias("b")))
     found = cut(verified(first, docs, rules).select("a", "b"))
     label = components(found)
 
@@ -187,22 +187,21 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     index = stored(index.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
     several = index.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
     index = index.join(several, "token")
-    rare = index.filter(F.col("df") <= rules.frequent).select(F.col("token").alias("k1"), F.lit(None).cast("bigint").alias("k2"), "rep", "n", "pos", "component")
-    common = index.filter(F.col("df") > rules.frequent).groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list("token")).alias("_t"))
-    combos = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: F.struct(x.alias("k1"), y.alias("k2")))))
-    paired = common.select("rep", "n", "component", F.explode(combos).alias("_k")).select("_k.k1", "_k.k2", "rep", "n", F.lit(None).cast("int").alias("pos"), "component")
-    keys = rare.unionByName(paired).withColumn("k2", F.coalesce("k2", F.lit(0))).withColumn("k", F.xxhash64("k1", "k2"))
-    keys = stored(keys.select("k", F.col("pos").isNull().alias("combined"), "rep", "n", "pos", "component"), "keys")
+    pos = F.col("pos").cast("int")
+    rare = index.filter(F.col("df") <= rules.frequent).select("token", "rep", "n", pos.alias("p1"), pos.alias("p2"), "component", F.lit(1).alias("tokens"))
+    common = index.filter(F.col("df") > rules.frequent).groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct(pos.alias("p"), "token"))).alias("_t"))
+    combined = lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("token"), x["p"].alias("p1"), y["p"].alias("p2"))
+    combos = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: combined(x, y))))
+    paired = common.select("rep", "n", "component", F.explode(combos).alias("_k")).select("_k.token", "rep", "n", "_k.p1", "_k.p2", "component", F.lit(2).alias("tokens"))
+    keys = stored(rare.unionByName(paired), "keys")
     x, y = keys.alias("x"), keys.alias("y")
-    # Of a pair that shares a token at places i and j at most min(i, j) tokens before and the shorter rest after it are shared.
-    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    room = F.coalesce((F.least("x.pos", "y.pos") + after) * (100 + rules.percent) >= (F.col("x.n") + F.col("y.n")) * rules.percent, F.lit(True))
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-    met = met.filter(fits(F.col("x.n"), F.col("y.n")) & room).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    met = met.agg(F.count(F.when(~F.col("x.combined"), 1)).alias("_rare"), F.count(F.when(F.col("x.combined"), 1)).alias("_two"))
-    # f frequent tokens in common make f (f - 1) / 2 combinations; none of these may still be one token.
-    frequent = F.when(F.col("_two") == 0, 1).otherwise(F.round((1 + F.sqrt(1 + 8 * F.col("_two"))) / 2))
-    second = met.filter(F.col("_rare") + frequent >= rules.shared).select("a", "b").join(first, ["a", "b"], "left_anti")
+    all_ = F.ceil((F.col("x.n") + F.col("y.n")) * rules.percent / (100 + rules.percent))
+    # A single token may be the second that is shared; of two the first stands one place earlier.
+    early = [F.col(f"{s}.p1") <= F.col(f"{s}.n") - all_ + 2 - F.col("x.tokens") for s in "xy"] + [F.col(f"{s}.p2") <= F.col(f"{s}.n") - all_ + 1 for s in "xy"]
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
+    met = x.join(y, reduce(Column.__and__, early, (F.col("x.token") == F.col("y.token")) & (F.col("x.tokens") == F.col("y.tokens")) & apart))
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     more = verified(cut(second), docs, rules).select("a", "b")
     return classes, cut(found.unionByName(more))
 
