@@ -14,6 +14,9 @@ middle of a group of near copies, and verified links are merged to components. A
 is settled, for no further link could join more of them. Of the other keys all pairs across components whose tokens stand early
 enough in both prefixes are candidates. So large groups of near copies cost a few pairs a member.
 
+A bitmap of `bits` bits stands for each set: the parity of its tokens by cell. Bitmaps cannot differ in more cells than their sets do
+in tokens, so candidates whose bitmaps differ in more than a link allows are left out.
+
 Verification recomputes sets from the texts and compares sizes of intersection and union in integers. A text meets its candidates
 in groups around one of them, which are split where they are large.
 
@@ -43,6 +46,7 @@ class JaccardRules:
     frequent: int = 64
     sketch_bits: int = 22
     group: int = 256
+    bits: int = 1024
 
 
 def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
@@ -89,9 +93,9 @@ def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """doc_id, n, digest of the set (two hashes) and the tokens of the prefix, in order."""
+    """doc_id, n, digest of the set (two hashes) the tokens of the prefix, in order, and the set's bitmap."""
     common = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, rules))
-    percent = rules.percent
+    percent, bits = rules.percent, rules.bits
 
     def made(batches):
         powers, cells = Powers(), np.uint64((1 << rules.sketch_bits) - 1)
@@ -101,17 +105,18 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
             for r, tokens in shingle_sets(batch.column(1), rules.width, powers):
                 n = len(tokens)
                 if not n:
-                    rows.append((ids[r], 0, None, None, []))
+                    rows.append((ids[r], 0, None, None, [], []))
                     continue
                 p = min(n, n - (percent * n + 99) // 100 + 2)
                 first = tokens[np.argsort(levels[tokens & cells], kind="stable")[:p]]
                 sums = [int(mix(tokens + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2)]
-                rows.append((ids[r], n, *sums, first.view(np.int64)))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "d1", "d2", "tokens"])
+                parity = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+                rows.append((ids[r], n, *sums, first.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "d1", "d2", "tokens", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, bitmap array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -142,6 +147,15 @@ def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFram
     return dealt.mapInArrow(tidy(compared), "a bigint, b bigint, same bigint, union bigint")
 
 
+def near(pairs: DataFrame, bitmaps: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Those of pairs (a, b) whose bitmaps (rep, n, bitmap) leave room for a link."""
+    side = lambda k: bitmaps.select(F.col("rep").alias(k), F.col("n").alias(f"_n{k}"), F.col("bitmap").alias(f"_m{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = F.col("_na") + F.col("_nb")
+    differ = F.aggregate(F.zip_with("_ma", "_mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.filter(differ <= sizes - 2 * F.ceil(sizes * rules.percent / (100 + rules.percent))).select("a", "b")
+
+
 def wanted(pairs: DataFrame, texts: DataFrame, bits: int = 23) -> DataFrame:
     """Rows of texts whose ids may stand in pairs: a bitmap of fixed size keeps the other texts from being shuffled."""
     size = 1 << bits
@@ -168,7 +182,8 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     classes = made.select("doc_id", "d1", "d2", "n").join(firsts, ["d1", "d2", "n"], "left")
     classes = stored(classes.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
-    reps = firsts.join(made.select(F.col("doc_id").alias("rep"), "d1", "d2", "tokens"), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
+    own = lambda *c: firsts.join(made.select(F.col("doc_id").alias("rep"), "d1", "d2", *c), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
+    reps, bitmaps = own("tokens"), stored(own("bitmap").select("rep", "n", "bitmap"), "bitmaps")
     rows = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     index = stored(rows.join(counts, "token"), "index")
@@ -178,7 +193,7 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * rules.percent
     first = index.select("token", "rep", "n").join(heads, "token").filter((F.col("rep") != F.col("head")) & fits(F.col("m"), F.col("n")))
     first = first.groupBy("head", "rep").agg(F.count("*").alias("_c")).filter("_c > 1")
-    first = cut(first.select(F.col("head").alias("a"), F.col("rep").alias("b")))
+    first = cut(near(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), bitmaps, rules))
     found = cut(verified(first, docs, rules).select("a", "b"))
     label = components(found)
 
@@ -202,7 +217,7 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     met = x.join(y, reduce(Column.__and__, early, (F.col("x.token") == F.col("y.token")) & (F.col("x.tokens") == F.col("y.tokens")) & apart))
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    more = verified(cut(second), docs, rules).select("a", "b")
+    more = verified(cut(near(second, bitmaps, rules)), docs, rules).select("a", "b")
     return classes, cut(found.unionByName(more))
 
 
