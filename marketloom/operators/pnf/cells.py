@@ -284,3 +284,69 @@ def render(cells_: DataFrame, columns: int = 30) -> DataFrame:
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("int")], F.lit("."))), " ")
     rank = F.row_number().over(by_chart().orderBy(F.desc("box_index")))
     return marks.select("chart_id", rank.alias("line"), "box_value", line.alias("text"))
+
+
+def weak_trendlines(cells_: DataFrame, stats: DataFrame, marks: DataFrame, length: int = 4) -> DataFrame:
+    """Weak lines: as strong ones, but a line ends only at a breakout against it that lies beyond it.
+
+    A falling line ends at the first later column that breaks out upwards at or above the line, a rising one at the first that breaks
+    down at or below it. Lines and breakouts of a chart meet by a range condition within the chart, bounded by the chart's columns.
+    """
+    least = max(4, length)
+    ends = stats.groupBy("chart_id").agg(F.max("column_index").alias("_end"))
+    start = F.when(F.col("trend") == 1, F.col("high") + 1).otherwise(F.col("low") - 1)
+    lines = stats.select("chart_id", "column_index", F.col("trend").alias("_t"), start.alias("box_index"))
+    by = Window.partitionBy("chart_id", "_t")
+    # In coordinates of the line, a breakout is beyond it when its own diagonal is: the next one in column order whose diagonal passes.
+    b = marks.groupBy("chart_id", F.col("trend").alias("_t"), "column_index").agg(F.max(F.col("trend") * F.col("box_index") + F.col("column_index")).alias("_b"))
+    df = lines.withColumn("_d", F.col("_t") * F.col("box_index") + F.col("column_index"))
+    later = F.array_sort(F.collect_list(F.struct("column_index", "_b")))
+    df = df.join(b.groupBy("chart_id", "_t").agg(later.alias("_all")), ["chart_id", "_t"], "left")
+    hit = F.filter("_all", lambda x: (x["column_index"] > F.col("column_index")) & (x["_b"] >= F.col("_d")))
+    df = df.withColumn("_stop", F.get(hit, F.lit(0))["column_index"]).drop("_all").join(ends, "chart_id")
+    df = df.withColumn("length", F.coalesce(F.col("_stop") - 1, F.col("_end")) - F.col("column_index") + 1).filter(F.col("length") >= least)
+    to = F.col("column_index") + F.col("length")
+    reach = F.max(to).over(by.orderBy("column_index", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1))
+    bounded = F.when(F.coalesce(to <= reach, F.lit(False)), "internal").otherwise("external")
+    return df.select("chart_id", bounded.alias("bounded"), F.when(F.col("_t") == 1, "bearish resistance").otherwise("bullish support").alias("type"), "length", "column_index", "box_index")
+
+
+def base_counts(cells_: DataFrame, marks: DataFrame, box: float, least: int = 5) -> DataFrame:
+    """Horizontal counts of one-box charts: the base is the row of the breakout's columns that has the most filled cells.
+
+    target: the base plus or minus the outer width in boxes; quality: share of the pattern's cells that are filled.
+    """
+    wide = marks.filter(F.col("outer_width") >= least).groupBy("chart_id", "column_index", "trend").agg(F.max("outer_width").alias("outer_width"), F.max("box_index").alias("box_index"))
+    spans = wide.withColumn("_c", F.explode(F.sequence(F.greatest(F.col("column_index") - F.col("outer_width") + 1, F.lit(0)), "column_index")))
+    c = cells_.select("chart_id", F.col("column_index").alias("_c"), F.col("box_index").alias("_r"), "box_value")
+    rows = spans.join(c, ["chart_id", "_c"]).groupBy("chart_id", "column_index", "trend", "outer_width", "box_index", "_r").agg(F.count("*").alias("_n"), F.min("box_value").alias("_v"))
+    best = rows.groupBy("chart_id", "column_index", "trend", "outer_width", "box_index").agg(
+        F.max_by(F.struct("_r", "_v", "_n"), F.struct("_n", -F.col("_r"))).alias("_b"), F.sum("_n").alias("_filled"), (F.max("_r") - F.min("_r") + 1).alias("_h")
+    )
+    cells_in = (F.col("outer_width") - 1) * (F.col("_h") - 1) + F.col("_h")
+    target = F.col("_b._v") + F.col("trend") * F.col("outer_width") * box
+    return best.select("chart_id", "column_index", "box_index", "trend", "outer_width", F.col("_b._r").alias("base_row"), F.round(target, 6).alias("target"), F.round(F.col("_filled") / cells_in, 2).alias("quality"))
+
+
+def risk_and_reward(counts: DataFrame, stats: DataFrame, box: float) -> DataFrame:
+    """Counts (target, trend, column_index) with reward, the risks to the nearer and the farther stop, and their ratios; those without reward go.
+
+    The entry is the column's last box, the stops lie one box beyond the other end of its own and of the column before.
+    """
+    w = in_order()
+    df = stats.withColumns({"_lo1": F.lag("low_value").over(w), "_hi1": F.lag("high_value").over(w)}).select("chart_id", "column_index", "high_value", "low_value", "_lo1", "_hi1")
+    df = counts.join(df, ["chart_id", "column_index"])
+    up = F.col("trend") == 1
+    entry = F.when(up, F.col("high_value")).otherwise(F.col("low_value"))
+    own, other = F.when(up, F.col("low_value") - box).otherwise(F.col("high_value") + box), F.when(up, F.col("_lo1") - box).otherwise(F.col("_hi1") + box)
+    risks = [F.abs(entry - own), F.abs(entry - F.coalesce(other, own))]
+    df = df.withColumns({"reward": F.round(F.abs(F.col("target") - entry), 6), "risk_1": F.round(F.least(*risks), 6), "risk_2": F.round(F.greatest(*risks), 6)}).filter("reward > 0")
+    ratio = lambda r: F.round(F.try_divide("reward", r), 2)
+    return df.withColumns({"ratio_1": ratio("risk_1"), "ratio_2": ratio("risk_2")}).drop("high_value", "low_value", "_lo1", "_hi1")
+
+
+def without_repeats(counts: DataFrame) -> DataFrame:
+    """Drops a count whose length, column and box are those of the next."""
+    w = by_chart().orderBy("column_index", "box_index", "length", "target")
+    same = [F.col(c) == F.lead(c).over(w) for c in ("length", "column_index", "box_index")]
+    return counts.withColumn("_same", F.coalesce(reduce(Column.__and__, same), F.lit(False))).filter("NOT _same").drop("_same")

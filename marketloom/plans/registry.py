@@ -602,3 +602,35 @@ def live_replay(spark, d):
     from marketloom.streaming.candle_stream import replay
 
     return replay(S.from_events(spark, d), 3600)
+
+
+@query("")
+def pnf_trendlines_weak(spark, d):
+    c = K.cells(pnf(spark, d))
+    return K.weak_trendlines(c, K.column_stats(c), K.breakouts(c), 4)
+
+
+@query("")
+def pnf_counts_base(spark, d):
+    c = K.cells(pnf(spark, d, PnfRules(reversal=1, scaling="abs", boxsize=2.0)))
+    return K.base_counts(c, K.breakouts(c), 2.0)
+
+
+RISK = f"""{PNF}, fb AS (SELECT DISTINCT chart_id, column_index, trend FROM br), ct AS (SELECT chart_id, column_index, trend, height AS length, round(CASE WHEN trend = 1 THEN low_value + height * 3 * 1.0::DOUBLE ELSE high_value - height * 3 * 1.0::DOUBLE END, 6) AS target FROM st JOIN fb USING (chart_id, column_index, trend)),
+pv AS (SELECT chart_id, column_index, high_value, low_value, lag(low_value) OVER w AS lo1, lag(high_value) OVER w AS hi1 FROM st WINDOW w AS (PARTITION BY chart_id ORDER BY column_index)),
+rk AS (SELECT ct.*, CASE WHEN trend = 1 THEN high_value ELSE low_value END AS en, CASE WHEN trend = 1 THEN low_value - 1 ELSE high_value + 1 END AS s1, CASE WHEN trend = 1 THEN lo1 - 1 ELSE hi1 + 1 END AS s2 FROM ct JOIN pv USING (chart_id, column_index)),
+rr AS (SELECT chart_id, column_index, trend, length, target, round(abs(target - en), 6) AS reward, round(least(abs(en - s1), abs(en - coalesce(s2, s1))), 6) AS risk_1, round(greatest(abs(en - s1), abs(en - coalesce(s2, s1))), 6) AS risk_2 FROM rk)
+SELECT * FROM rr WHERE reward > 0"""
+
+
+@query(RISK)
+def pnf_risk_reward(spark, d):
+    c = K.cells(pnf(spark, d))
+    s = K.column_stats(c)
+    return K.risk_and_reward(K.vertical_counts(s, K.breakouts(c), 3, 1.0), s, 1.0).drop("ratio_1", "ratio_2")
+
+
+@query("SELECT o_custkey AS k, string_agg(l, chr(10) ORDER BY o) AS text FROM (SELECT o_custkey, o_orderkey AS o, o_orderpriority AS l FROM orders) GROUP BY 1 HAVING sum(length(l) + 1) <= 3900")
+def packed_messages(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("l"))
+    return H.pack_lines(o, "k", "o", "l").select("k", "text")
