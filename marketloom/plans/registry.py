@@ -438,9 +438,9 @@ br AS (SELECT chart_id, trend, CASE WHEN coalesce(z, 0) = 0 THEN CASE WHEN coale
   column_index, box_index, len(k) - p AS hits, k[-1] - k[p + 1] + 1 AS width, CASE WHEN z IS NULL THEN k[-1] + 1 ELSE k[-1] - z + 1 END AS outer_width, action_seq FROM (SELECT *, unnest(range(0, greatest(1, len(k) - 1))) AS p FROM br3))"""
 
 
-def pnf(spark, d, rules: PnfRules = PnfRules()):
+def pnf(spark, d, rules: PnfRules = PnfRules(), chart: str = "event_type"):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return columns(e.select(F.col("event_type").alias("chart_id"), F.col("event_id").alias("seq"), F.round(100 + F.col("value"), 2).alias("close")), rules)
+    return columns(e.select(F.col(chart).cast("string").alias("chart_id"), F.col("event_id").alias("seq"), F.round(100 + F.col("value"), 2).alias("close")), rules)
 
 
 def stats(spark, d):
@@ -612,7 +612,7 @@ def pnf_trendlines_weak(spark, d):
 
 @query("")
 def pnf_counts_base(spark, d):
-    c = K.cells(pnf(spark, d, PnfRules(reversal=1, scaling="abs", boxsize=2.0)))
+    c = K.cells(pnf(spark, d, PnfRules(reversal=1, scaling="abs", boxsize=2.0), chart="user_id"))
     return K.base_counts(c, K.breakouts(c), 2.0)
 
 
