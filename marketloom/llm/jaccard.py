@@ -93,7 +93,7 @@ def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """doc_id, n, digest of the set (two hashes) the tokens of the prefix, in order, and the set's bitmap."""
+    """doc_id, n, digest of the set (two hashes) the tokens of the prefix, in order, the set's bitmap, and how common its tokens are."""
     common = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, rules))
     percent, bits = rules.percent, rules.bits
 
@@ -105,18 +105,19 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
             for r, tokens in shingle_sets(batch.column(1), rules.width, powers):
                 n = len(tokens)
                 if not n:
-                    rows.append((ids[r], 0, None, None, [], []))
+                    rows.append((ids[r], 0, None, None, [], [], 0))
                     continue
                 p = min(n, n - (percent * n + 99) // 100 + 2)
-                first = tokens[np.argsort(levels[tokens & cells], kind="stable")[:p]]
+                level = levels[tokens & cells]
+                first = tokens[np.argsort(level, kind="stable")[:p]]
                 sums = [int(mix(tokens + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2)]
                 parity = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-                rows.append((ids[r], n, *sums, first.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "d1", "d2", "tokens", "bitmap"])
+                rows.append((ids[r], n, *sums, first.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64), int(level.sum())))
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "d1", "d2", "tokens", "bitmap", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, bitmap array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, bitmap array<bigint>, common bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -183,23 +184,20 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     classes = stored(classes.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
     own = lambda *c: firsts.join(made.select(F.col("doc_id").alias("rep"), "d1", "d2", *c), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
-    reps, bitmaps = own("tokens"), stored(own("bitmap").select("rep", "n", "bitmap"), "bitmaps")
-    rows = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    index = stored(rows.join(counts, "token"), "index")
-    central = index.groupBy("rep").agg(F.sum("df").alias("_c"))
-    heads = index.join(central, "rep").groupBy("token").agg(F.max(F.struct("_c", (-F.col("rep")).alias("r"), "n")).alias("_h"))
-    heads = heads.select("token", (-F.col("_h.r")).alias("head"), F.col("_h.n").alias("m"))
+    reps, bitmaps = own("tokens", "common"), stored(own("bitmap").select("rep", "n", "bitmap"), "bitmaps")
+    rows = reps.select("rep", "n", "common", F.posexplode("tokens").alias("pos", "token"))
+    most = F.max(F.struct("common", (-F.col("rep")).alias("r"), "n")).alias("_h")
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"), most).filter("df > 1").select("token", "df", (-F.col("_h.r")).alias("head"), F.col("_h.n").alias("m"))
+    index = stored(rows.drop("common").join(counts, "token"), "index")
     fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * rules.percent
-    first = index.select("token", "rep", "n").join(heads, "token").filter((F.col("rep") != F.col("head")) & fits(F.col("m"), F.col("n")))
-    first = first.groupBy("head", "rep").agg(F.count("*").alias("_c")).filter("_c > 1")
+    first = index.filter((F.col("rep") != F.col("head")) & fits(F.col("m"), F.col("n"))).groupBy("head", "rep").agg(F.count("*").alias("_c")).filter("_c > 1")
     first = cut(near(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), bitmaps, rules))
     found = cut(verified(first, docs, rules).select("a", "b"))
     label = components(found)
 
     # Second turn: keys whose representatives are in several components.
     label = label.select(F.col("node").alias("rep"), "component")
-    index = stored(index.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    index = stored(index.drop("head", "m").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
     several = index.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
     index = index.join(several, "token")
     pos = F.col("pos").cast("int")
