@@ -140,39 +140,36 @@ def breakouts(cells_: DataFrame) -> DataFrame:
     """Breakouts with type, hits, width and outer width; those of more than two hits hold smaller ones.
 
     A candidate is a cell whose left neighbour is empty. Its line is the row before it, up to its column: the marks of its own kind
-    after the last opposite one. Two of them or more make a breakout.
+    after the last opposite one. Two of them or more make a breakout. Marks of a row that follow each other are numbered in runs of one
+    kind, so the line is the run of the last mark up to the candidate's column, and windows over rows are all it takes.
     """
+    row = Window.partitionBy("chart_id", "box_index").orderBy("column_index")
+    run = Window.partitionBy("chart_id", "box_index", "_run")
     c = cells_.select("chart_id", "column_index", "box_index", "trend", "action_seq")
-    left = c.select("chart_id", (F.col("column_index") + 1).alias("column_index"), "box_index")
-    bold = c.filter("column_index >= 1").join(left, ["chart_id", "column_index", "box_index"], "left_anti")
-    rows = c.groupBy("chart_id", "box_index").agg(F.array_sort(F.collect_list(F.struct("column_index", "trend"))).alias("_marks"))
-    line = rows.select("chart_id", F.col("box_index").alias("_row"), F.col("_marks").alias("_line"))
-    same = rows.select("chart_id", "box_index", F.col("_marks").alias("_same"))
-    df = bold.withColumn("_row", F.col("box_index") - F.col("trend")).join(line, ["chart_id", "_row"]).join(same, ["chart_id", "box_index"])
-    upto = F.filter("_line", lambda m: m["column_index"] <= F.col("column_index"))
-    foe = F.coalesce(F.array_max(F.transform(F.filter(upto, lambda m: m["trend"] != F.col("trend")), lambda m: m["column_index"])), F.lit(-1))
-    df = df.withColumn("_foe", foe)
-    hits = F.transform(F.filter("_line", lambda m: (m["column_index"] <= F.col("column_index")) & (m["column_index"] > F.col("_foe")) & (m["trend"] == F.col("trend"))), lambda m: m["column_index"])
-    df = df.withColumn("_k", hits).filter(F.size("_k") >= 2)
-    before = F.filter("_same", lambda m: m["column_index"] < F.col("column_index"))
-    df = df.withColumn("_z", F.get(before, F.size(before) - 1))
-    mark_before = F.filter("_same", lambda m: m["column_index"] == F.col("_z.column_index") - 1)
-    prior = F.coalesce(F.get(mark_before, F.lit(0))["trend"], F.lit(0))
-    t, at = F.col("trend"), F.col("_z.trend")
-    first = F.coalesce(F.col("_z.column_index"), F.lit(0)) == 0
+    c = c.withColumns({"_z": F.lag("column_index").over(row), "_tz": F.lag("trend").over(row), "_z2": F.lag("column_index", 2).over(row), "_t2": F.lag("trend", 2).over(row)})
+    turn = F.coalesce((F.col("_tz") != F.col("trend")).cast("int"), F.lit(1))
+    c = c.withColumn("_run", F.sum(turn).over(row))
+    c = c.withColumns({"_pos": F.row_number().over(run.orderBy("column_index")), "_first": F.min("column_index").over(run)})
+    mark = F.struct("column_index", "trend", "_run", "_pos", "_first").alias("_m")
+    marks = c.select("chart_id", F.col("box_index").alias("_row"), "column_index", F.lit(0).alias("_kind"), mark)
+    bold = c.filter((F.col("column_index") >= 1) & F.coalesce(F.col("_z") != F.col("column_index") - 1, F.lit(True)))
+    bold = bold.select("chart_id", (F.col("box_index") - F.col("trend")).alias("_row"), "column_index", F.lit(1).alias("_kind"), "box_index", "trend", "action_seq", "_z", "_tz", "_z2", "_t2")
+    last = F.last("_m", ignorenulls=True).over(Window.partitionBy("chart_id", "_row").orderBy("column_index", "_kind"))
+    df = marks.unionByName(bold, allowMissingColumns=True).withColumn("_m", last).filter("_kind = 1 AND _m.trend = trend AND _m._pos >= 2")
+    t, z, at, hits, end = F.col("trend"), F.col("_z"), F.col("_tz"), F.col("_m._pos"), F.col("_m.column_index")
+    prior = F.when(F.col("_z2") == z - 1, F.col("_t2")).otherwise(0)
     kind = (
-        F.when(first, F.when(F.coalesce(at, t) == t, "conti").otherwise("reversal"))
+        F.when(F.coalesce(z, F.lit(0)) == 0, F.when(F.coalesce(at, t) == t, "conti").otherwise("reversal"))
         .when((at == t) & (prior != -t), "resistance")
         .when((at == -t) & (prior == -t) & (t == 1), "fulcrum")
         .otherwise("reversal")
     )
-    last = F.get("_k", F.size("_k") - 1)
-    outer = F.when(F.col("_z").isNull(), last + 1).otherwise(last - F.col("_z.column_index") + 1)
-    df = df.withColumns({"type": kind, "outer_width": outer, "_last": last})
-    starts = F.concat(F.array(F.lit(0)), F.when(F.size("_k") > 2, F.sequence(F.lit(1), F.size("_k") - 2)).otherwise(F.array().cast("array<int>")))
-    df = df.withColumn("_p", F.explode(starts))
-    begin = F.get("_k", F.col("_p"))
-    return df.select("chart_id", "trend", "type", "column_index", "box_index", (F.size("_k") - F.col("_p")).alias("hits"), (F.col("_last") - begin + 1).alias("width"), "outer_width", "action_seq")
+    df = df.select("chart_id", "_row", "trend", kind.alias("type"), "column_index", "box_index", hits.alias("hits"), end.alias("_end"), F.col("_m._first").alias("_start"), F.col("_m._run").alias("_run"), (end - F.coalesce(z, F.lit(0)) + 1).alias("outer_width"), "action_seq")
+    out = ["chart_id", "trend", "type", "column_index", "box_index", "hits", (F.col("_end") - F.col("_start") + 1).alias("width"), "outer_width", "action_seq"]
+    inner = df.filter("hits > 2").withColumn("_p", F.explode(F.sequence(F.lit(2), F.col("hits") - 1))).drop("_start")
+    begin = c.select("chart_id", F.col("box_index").alias("_row"), "_run", F.col("_pos").alias("_p"), F.col("column_index").alias("_start"))
+    inner = inner.join(begin, ["chart_id", "_row", "_run", "_p"]).withColumn("hits", F.col("hits") - F.col("_p") + 1)
+    return df.select(out).unionByName(inner.select(out))
 
 
 def buy_sell(stats: DataFrame) -> DataFrame:
