@@ -218,8 +218,12 @@ def label(texts: list[str], weights: Weights, rules: PiiRules) -> list[list]:
 
 
 def train(docs: DataFrame, rules: PiiRules = PiiRules()) -> Weights:
-    rows = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= rules.sample_chars)).select("text").orderBy(F.xxhash64("text"), "text").limit(rules.sample_docs)
-    return fit([r[0] for r in rows.collect()])
+    """Weights from the sample. Documents are counted first, so that tasks send the driver few more than the sample holds."""
+    h = F.xxhash64("text")
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= rules.sample_chars)).select("text")
+    share = min(1.0, 2 * rules.sample_docs / max(1, some.count()))
+    below = some.filter(h <= int(-(2**63) + share * (2**64 - 1025))) if share < 1 else some
+    return fit([r[0] for r in below.orderBy(h, "text").limit(rules.sample_docs).collect()])
 
 
 def mark(docs: DataFrame, rules: PiiRules = PiiRules(), weights: Weights | None = None) -> DataFrame:
