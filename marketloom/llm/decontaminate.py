@@ -99,8 +99,8 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules)
     met = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("_item")).alias("items"), F.array_sort(F.collect_set(F.struct("_i", "_k"))).alias("_hits"))
     state = F.struct(F.lit(1).alias("end"), F.lit(0).cast("long").alias("n"))
     count = F.aggregate("_hits", state, lambda a, x: F.struct(F.greatest(a["end"], x["_i"] + x["_k"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["_i"] + x["_k"] - F.greatest(a["end"], x["_i"]))).alias("n")))["n"]
-    met = met.select("doc_id", "items", count.alias("n_hit"))
-    df = docs.join(met, docs["doc_id"].eqNullSafe(met["doc_id"]), "left").drop(met["doc_id"])
+    met = met.select(F.col("doc_id").alias("_doc"), "items", count.alias("n_hit"))
+    df = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     n = F.size(words(F.col("text"))).cast("long").alias("n_words")
     no_spans = F.lit(None).cast("array<struct<start:int,end:int>>").alias("hits")
     hit = F.struct(n, F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), no_spans)
