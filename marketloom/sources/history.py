@@ -91,8 +91,8 @@ def warmup_ranges(candles: DataFrame, now: int, seconds: int, rows: int = 180, l
 def catch_up_ranges(candles: DataFrame, seconds: int) -> DataFrame:
     """For each symbol that lags behind the furthest one, the range up to it."""
     last = candles.groupBy("symbol").agg(F.max("bucket_epoch").alias("last"))
-    target = last.agg(F.max("last").alias("hi"))  # one row
-    return last.join(F.broadcast(target)).filter(F.col("last") < F.col("hi")).select("symbol", (F.col("last") + seconds).alias("lo"), "hi")
+    target = F.lit(candles.agg(F.max("bucket_epoch")).first()[0]).cast("bigint")  # one number
+    return last.filter(F.col("last") < target).select("symbol", (F.col("last") + seconds).alias("lo"), target.alias("hi"))
 
 
 def tail(df: DataFrame, n: int, order: str = "bucket_epoch") -> DataFrame:
