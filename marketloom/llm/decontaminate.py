@@ -7,7 +7,7 @@ Either way a hit is one of equal words, not of equal hashes.
 
 Defined cases: a null text has no words and hits nothing; items without words have no window; equal items are all named; a null
 item id is written as an empty one; an empty benchmark hits nothing; other columns pass through, those named as the added ones
-are replaced. The join path needs a doc_id that tells documents apart.
+are replaced. The join path gives the same columns; it needs a doc_id, which may be null or repeated.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from marketloom.llm.common import ascii_lower, table, tidy
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 ADDED = ["n_words", "n_hit", "items", "hits"]
 HIT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,hits:array<struct<start:int,end:int>>>"
 
@@ -35,6 +36,16 @@ class DecontaminationRules:
     max_broadcast_words: int = 2_000_000
 
 
+def spans(lower: bytes, turns: list) -> list[dict]:
+    """Spans of code points of turns (first word, word after the last) in order."""
+    where, out, chars, at = [m.span() for m in WORD.finditer(lower)], [], 0, 0
+    for a, b in turns:
+        start = chars + len(lower[at : where[a][0]].decode())
+        chars, at = start + len(lower[where[a][0] : where[b - 1][1]].decode()), where[b - 1][1]
+        out.append({"start": start, "end": chars})
+    return out
+
+
 class Windows:
     """The benchmark's windows: words are numbered, and a window is the bytes of its numbers."""
 
@@ -66,15 +77,12 @@ class Windows:
             return {"n_words": len(words), "n_hit": 0, "items": [], "hits": []}
         hit = np.cumsum(edge[:-1]) > 0
         turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
-        where = [m.span() for m in WORD.finditer(lower)]
-        chars = lambda at: len(text[:at].decode())
-        spans = [{"start": chars(where[a][0]), "end": chars(where[b - 1][1])} for a, b in turns.tolist()]
-        return {"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(items), "hits": spans}
+        return {"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(items), "hits": spans(lower, turns.tolist())}
 
 
 def _by_broadcast(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules) -> DataFrame:
     windows = docs.sparkSession.sparkContext.broadcast(Windows([(i or "", t.encode()) for i, t in benchmark.collect()], rules.n))
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", SPANS)])
 
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([windows.value.hits((t or "").encode()) for t in texts.to_pylist()], kind)
@@ -83,32 +91,49 @@ def _by_broadcast(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationR
 
 
 def _by_join(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules) -> DataFrame:
-    """Windows of documents join those of items by hash and are compared; hits come back to their documents by doc_id."""
+    """Windows of documents join those of items by hash and are compared; hits come back to rows of the same doc_id and text digest."""
     words = lambda c: F.regexp_extract_all(ascii_lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD_SQL})"))
     items = benchmark.select(F.coalesce("item_id", F.lit("")).alias("_item"), words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
     items = items.withColumn("_k", F.least(F.size("_w"), F.lit(rules.n)))
     sizes = [r[0] for r in items.select("_k").distinct().collect()]  # at most n
     gram = F.slice("_w", F.col("_i"), F.col("_k"))
     items = items.select("_item", "_k", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1)).alias("_i")).select("_item", "_k", gram.alias("_g")).withColumn("_h", F.xxhash64("_g"))
-    each = docs.select("doc_id", words(F.col("text")).alias("_w"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")
+    each = docs.select("doc_id", sha, words(F.col("text")).alias("_w"))
     starts = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.struct(F.lit(k).alias("_k"), i.alias("_i"))))
     none = F.array().cast("array<struct<_k:int,_i:int>>")
     at = F.concat(none, *[F.coalesce(starts(k), none) for k in sizes])
-    mine = each.select("doc_id", "_w", F.explode(at).alias("_at")).select("doc_id", "_w", "_at.*").select("doc_id", "_k", "_i", gram.alias("_g")).withColumn("_h", F.xxhash64("_g"))
-    met = mine.join(items, ["_h", "_k"]).filter(mine["_g"] == items["_g"]).select("doc_id", "_k", "_i", "_item")
-    met = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("_item")).alias("items"), F.array_sort(F.collect_set(F.struct("_i", "_k"))).alias("_hits"))
+    mine = each.select("doc_id", "_sha", "_w", F.explode(at).alias("_at")).select("doc_id", "_sha", "_w", "_at.*").select("doc_id", "_sha", "_k", "_i", gram.alias("_g")).withColumn("_h", F.xxhash64("_g"))
+    met = mine.join(items, ["_h", "_k"]).filter(mine["_g"] == items["_g"]).select("doc_id", "_sha", "_k", "_i", "_item")
+    met = met.groupBy("doc_id", "_sha").agg(F.sort_array(F.collect_set("_item")).alias("items"), F.array_sort(F.collect_set(F.struct("_i", "_k"))).alias("_hits"))
     state = F.struct(F.lit(1).alias("end"), F.lit(0).cast("long").alias("n"))
     count = F.aggregate("_hits", state, lambda a, x: F.struct(F.greatest(a["end"], x["_i"] + x["_k"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["_i"] + x["_k"] - F.greatest(a["end"], x["_i"]))).alias("n")))["n"]
-    met = met.select(F.col("doc_id").alias("_doc"), "items", count.alias("n_hit"))
-    df = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    met = met.select(F.col("doc_id").alias("_doc"), F.col("_sha").alias("_text"), "items", count.alias("n_hit"), "_hits")
+    df = docs.withColumn("_sha", sha).join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_sha") == F.col("_text")), "left")
     n = F.size(words(F.col("text"))).cast("long").alias("n_words")
-    no_spans = F.lit(None).cast("array<struct<start:int,end:int>>").alias("hits")
-    hit = F.struct(n, F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), no_spans)
-    return df.withColumn("_hit", hit).drop("items", "n_hit")
+
+    def placed(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([spans(t.encode().lower(), _turns(x)) if x else [] for t, x in zip(texts.to_pylist(), hits.to_pylist())], SPANS)
+
+    where = F.arrow_udf(tidy(placed), "array<struct<start:int,end:int>>")(F.col("text"), F.col("_hits")).alias("hits")
+    hit = F.struct(n, F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), where)
+    return df.withColumn("_hit", hit).drop("_doc", "_sha", "_text", "_hits", "items", "n_hit")
+
+
+def _turns(hits: list) -> list:
+    """Turns of words under windows (_i from 1, _k words) in order; windows that touch are one turn."""
+    out: list = []
+    for x in hits:
+        a, b = x["_i"] - 1, x["_i"] - 1 + x["_k"]
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:
-    """docs with n_words, n_hit, items (ids as strings, sorted) and hits (spans of code points; null on the join path)."""
+    """docs with n_words, n_hit, items (ids as strings, sorted) and hits (spans of code points)."""
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = benchmark.agg(F.sum(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD_SQL)))).first()[0] or 0
     how = _by_broadcast if size <= rules.max_broadcast_words else _by_join

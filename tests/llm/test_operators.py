@@ -294,6 +294,25 @@ def test_decontamination_paths_agree(spark):
     assert any(r[2] for r in a)
 
 
+def test_decontamination_paths_cut_the_same_text(spark):
+    rng = random.Random(17)
+    bench = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate([2, 5, 10, 14])]
+    rows = [(1, "é One, TWO three! ok one two"), (1, "other row, same id"), (None, "no id: one two three"), (None, "no id"), (2, None), (3, ""), (4, "same one two three"), (4, "same one two three")]
+    for i in range(10, 40):
+        w = [rng.choice([*WORDS, "ÀÉ", "😀,"]) for _ in range(rng.randint(0, 60))]
+        w[3:3] = rng.choice(bench)[1].split() * (i % 3)
+        rows.append((i, "; ".join(w)))
+    b = spark.createDataFrame([*bench, (9, "one two three")], "item_id long, text string")
+
+    def pick(rules):
+        df = decontaminate.decontaminate(docs(spark, rows), b, rules)
+        return sorted((str(r.doc_id), str(r.text), str(r.cut), r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.hits))) for r in decontaminate.without_hits(df.withColumn("was", df.text)).withColumnRenamed("text", "cut").withColumnRenamed("was", "text").collect())
+
+    a = pick(decontaminate.DecontaminationRules())
+    assert a == pick(decontaminate.DecontaminationRules(max_broadcast_words=0)) and len(a) == len(rows)
+    assert ("None", "no id", "no id", 2, 0, (), ()) in a and any(len(r[6]) > 1 for r in a)
+
+
 def test_decontamination_spans_and_edges(spark):
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     df = decontaminate.decontaminate(docs(spark, [(1, "é One, TWO three! ok one two"), (2, None), (3, "")]), b)
