@@ -2,7 +2,9 @@ r"""Secret scans that look through encodings.
 
 A text is scanned, then its layers are: a worklist holds every text still to be unwrapped. Percent escapes and Unicode escapes
 are replaced in the layer as a whole, keeping for each character the span it stands for; a base64 run becomes a layer of its
-own that stands for the run, decompressed first where its bytes are gzip, zlib, bzip2, xz or Zstandard. Each new layer is
+own that stands for the run, decompressed first where its bytes are gzip, zlib, bzip2, xz or Zstandard. Runs on adjacent lines are
+also tried joined, and a run may begin after, or end before, a slash, a minus, an underscore or a line border inside it. Streams
+are read through all their members; of a broken one what came before the break is kept. Each new layer is
 scanned and unwrapped in turn until none is new; a set of the layers seen ends cycles. Spans are given in the original text.
 
 Defined cases: a null text is scanned as an empty one and has no secrets; a compressed layer that would grow beyond
@@ -13,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import lzma
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,6 +38,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2}))")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++={0,2}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++={0,2}+)++")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LEAST = 16
 OPENERS = {
     b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78\x01": zlib.decompressobj, b"\x78\x5e": zlib.decompressobj, b"\x78\x9c": zlib.decompressobj,
     b"\x78\xda": zlib.decompressobj, b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ\x00": lzma.LZMADecompressor,
@@ -90,36 +97,174 @@ def _unicode(run: str):
         return None
 
 
-def _opened(data: bytes, most: int) -> bytes:
-    """data without the compressions around it."""
+def _opener(data: bytes, at: int = 0):
+    return next((v for k, v in OPENERS.items() if data.startswith(k, at)), None)
+
+
+def _members(data: bytes, most: int) -> tuple[bytes, bool]:
+    """What the members of a stream hold one after the other, and whether the last one begun was whole."""
+    out, total, at, whole = [], 0, 0, True
+    if data.startswith(ZSTD):
+        with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as f:
+            try:
+                while piece := f.read(min(1 << 16, most + 1 - total)):
+                    out.append(piece)
+                    total += len(piece)
+                    if total > most:
+                        raise TooLarge
+            except zstandard.ZstdError:
+                whole = False
+        return b"".join(out), whole
+    while make := _opener(data, at):
+        opener, whole, before = make(), False, total
+        try:
+            while at < len(data) and not opener.eof:
+                piece = opener.decompress(data[at : at + 1024], most + 1 - total)
+                at += len(data[at : at + 1024])
+                out.append(piece)
+                total += len(piece)
+                if total > most:
+                    raise TooLarge
+        except (ValueError, EOFError, zlib.error, lzma.LZMAError, OSError):
+            whole = total == before > 0  # nothing of what follows a whole member was a stream
+            break
+        if not opener.eof:
+            break
+        whole, at = True, at - len(opener.unused_data)
+        while data[at : at + 1] == b"\0":
+            at += 1
+    return b"".join(out), whole
+
+
+def _opened(data: bytes, most: int) -> tuple[bytes, bool]:
+    """data without the compressions around it, and whether all of them were whole."""
+    whole = True
+    while data.startswith(ZSTD) or _opener(data):
+        plain, good = _members(data, most)
+        if plain == data:
+            break
+        data, whole = plain, whole and good
+    return data, whole
+
+
+def _printable(c: str) -> bool:
+    return c.isprintable() or c in "\r\n\t"
+
+
+def _valid(data: memoryview, at: int) -> int:
+    """Where the UTF-8 that begins at `at` ends."""
+    size = 256
     while True:
-        if data.startswith(ZSTD):
-            with zstandard.ZstdDecompressor().stream_reader(data) as f:
-                data = f.read(most + 1)
-            if len(data) > most:
-                raise TooLarge
+        try:
+            _, used = codecs.utf_8_decode(data[at : at + size], "strict", False)
+        except UnicodeDecodeError as e:
+            return at + e.start
+        if at + size >= len(data):
+            return at + used
+        size *= 4
+
+
+def _texts(data: bytes, starts: list[int], ends: list[int]):
+    """(start, end) in bytes of the texts that are nearly all printable: from each start beyond the last text, up to the farthest end."""
+    view, at, i = memoryview(data), 0, 0
+    while i < len(starts):
+        low = starts[i]
+        if low < at:
+            i += 1
             continue
-        make = next((v for k, v in OPENERS.items() if data.startswith(k)), None)
-        if make is None:
-            return data
-        opener = make()
-        plain = opener.decompress(data, most + 1)
-        if len(plain) > most:
-            raise TooLarge
-        if not opener.eof or plain == data:
-            return data
-        data = plain
-
-
-def _base64(run: str, most: int):
-    core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        text = _opened(base64.b64decode(core + "=" * (-len(core) % 4)), most).decode()
-    except (ValueError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError):
-        return None
-    return text if sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.95 * len(text) else None
+        high = _valid(view, low)
+        stop = bisect_left(starts, max(high, low + 1), i)
+        fit = ends[bisect_left(ends, low + LEAST * 3 // 4) : bisect_right(ends, high)]
+        if fit:
+            # Twenty times the characters that are not printable may be as many as all characters; seen from the region's begin.
+            text, score, where = data[low:high].decode(), {low: 0}, low
+            total = 0
+            for c in text:
+                where += 1 if c < "\x80" else len(c.encode())
+                total += 1 if _printable(c) else -19
+                score[where] = total
+            fit = [e for e in fit if e in score]
+            best = [score[e] for e in fit]
+            for k in range(len(best) - 2, -1, -1):
+                best[k] = max(best[k], best[k + 1])
+            for start in starts[i:stop]:
+                if start >= at and start in score:
+                    k = bisect_right(best, -score[start], key=lambda x: -x) - 1
+                    if k >= 0 and fit[k] - start >= LEAST * 3 // 4:
+                        yield start, fit[k]
+                        at = fit[k]
+        i = stop
+
+
+def _base64(run: str, borders: list[int], most: int):
+    """(start, end, text, whole) of what a run of base64 holds; start and end are 0, a border between lines or beside / - _, or the run's end."""
+    core = run.rstrip("=")
+    cuts = [m.start() for m in re.finditer("[/_-]", core)]
+    starts, ends = sorted({0, *borders, *(c + 1 for c in cuts)}), sorted({*borders, *cuts, len(core)})
+    core = core.replace("-", "+").replace("_", "/")
+    for turn in range(4):
+        mine = [x for x in starts if x % 4 == turn and len(core) - x >= LEAST]
+        if not mine:
+            continue
+        body = core[mine[0] :]
+        data = base64.b64decode((body[:-1] if len(body) % 4 == 1 else body) + "=" * (-len(body) % 4 % 3))
+        place = {(x - mine[0]) // 4 * 3: x for x in mine}
+        for low, x in place.items():
+            if data.startswith(ZSTD, low) or _opener(data, low):
+                try:
+                    plain, whole = _opened(data[low:], most)
+                    text, _ = codecs.utf_8_decode(plain, "strict", whole)
+                except UnicodeDecodeError:
+                    continue
+                except TooLarge:
+                    yield x, len(run), None, True
+                    continue
+                if plain != data[low:] and text and sum(map(_printable, text)) >= 0.95 * len(text):
+                    yield x, len(run), text, whole
+                    place = {k: v for k, v in place.items() if k < low}
+                    break
+        until = {(e - mine[0]) * 3 // 4: e for e in ends if (e - turn) % 4 != 1 and e > mine[0]}
+        for low, high in _texts(data, list(place), list(until)):
+            end = until[high]
+            yield place[low], len(run) if end == len(core) else end, data[low:high].decode(), True
+
+
+def _blocks(layer: str):
+    """Runs on adjacent lines that may be one wrapped run: spans of the lines. A shorter line, or one with = at its end, is the last."""
+    for m in BLOCK.finditer(layer):
+        block: list = []
+        lines = [x.span() for x in LINE.finditer(layer, m.start(), m.end())]
+        width = [b - a for a, b in lines]
+        for i, line in enumerate(lines):
+            block.append(line)
+            shorter = len(block) > 1 and width[i] < width[i - 1]
+            if shorter and len(block) == 2 and i + 1 < len(lines):  # the first line may be longer by what stands before the payload
+                shorter = width[i + 1] != width[i] and layer[block[0][1] - width[i] - 1] not in "/-_"
+            if shorter or layer[line[1] - 1] == "=" or i + 1 == len(lines):
+                if len(block) > 1 and sum(b - a for a, b in block) >= LEAST:
+                    yield block
+                block = []
+
+
+def _runs(layer: str, most: int):
+    """(start, end, text) of the texts in base64, or None for a text that is too large. A broken stream counts if no wrapped block holds it whole."""
+    held: list[tuple[int, int]] = []
+    for lines in _blocks(layer):
+        sums = [0]
+        for a, b in lines:
+            sums.append(sums[-1] + b - a)
+        for low, high, text, whole in _base64("".join(layer[a:b] for a, b in lines), sums[1:-1], most):
+            i, j = bisect_right(sums, low) - 1, bisect_left(sums, high) - 1
+            if i < j:  # what one line holds is found below
+                held.append((lines[i][0] + low - sums[i], lines[j][0] + high - sums[j]))
+                yield *held[-1], text
+    held.sort()
+    for m in BASE64.finditer(layer):
+        for low, high, text, whole in _base64(m[0], [], most):
+            start, end = m.start() + low, m.start() + high
+            k = bisect_right(held, (start, len(layer))) - 1
+            if whole or k < 0 or end > held[k][1]:
+                yield start, end, text
 
 
 def scan_text(text: str, rules: SecretRules) -> dict:
@@ -136,15 +281,13 @@ def scan_text(text: str, rules: SecretRules) -> dict:
                     where = [(i, i + 1) for i in range(len(layer))]
                 if got := _replaced(layer, where, pattern, decode):
                     new.append((*got, f"{path}/{name}"))
-        for m in BASE64.finditer(layer):
-            try:
-                plain = _base64(m[0], rules.max_layer_bytes)
-            except TooLarge:
+        for got in _runs(layer, rules.max_layer_bytes):
+            start, end, plain = got
+            if plain is None:
                 closed += 1
                 continue
-            if plain:
-                whole = (m.start(), m.end()) if where is None else (where[m.start()][0], where[m.end() - 1][1])
-                new.append((plain, [whole] * len(plain), f"{path}/base64"))
+            whole = (start, end) if where is None else (where[start][0], where[end - 1][1])
+            new.append((plain, [whole] * len(plain), f"{path}/base64"))
         for layer, where, path in new:
             mark = (layer, where[0], where[-1])
             if mark in seen or layer == text:

@@ -1,13 +1,16 @@
 """Each operator on edge cases, and against a brute-force version where SQL doesn't check it."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import itertools
 import json
+import lzma
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -65,6 +68,55 @@ def test_secrets_in_layers(spark):
         assert {(a, b) for _, a, b, _ in found} == {(4, 4 + len(code))}, name
 
 
+def layer_spans(text):
+    return {(s["start"], s["end"]) for s in secrets.scan_text(text, secrets.SecretRules())["spans"] if not s["base"]}
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("width", [20, 64, 76])
+def test_secrets_in_wrapped_layers(pack, width):
+    rng = random.Random(12)
+    noise = " ".join(str(rng.random()) for _ in range(12))
+    for inner in (f"{noise} password=hunter2hunter2 {noise}", f"{noise} password=hunter2hunter2"):
+        code = base64.b64encode(pack(inner.encode())).decode()
+        for feed in ("\n", "\r\n", "\n  "):
+            block = feed.join(code[i : i + width] for i in range(0, len(code), width))
+            for before, after in (("ünd ", " end"), ("-----BEGIN X-----\n", "\n-----END X-----"), ("data:x;base64,", "\n\nmore"), ("see key_", ".")):
+                found = layer_spans(f"{before}{block}{after}")
+                assert (len(before), len(before) + len(block)) in found, (pack, width, feed, before)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_secrets_in_further_members_and_broken_streams(pack):
+    first, second = pack(b"nothing here"), pack(b"password=hunter2hunter2")
+    for data in (first + second, second + first, first + second + b"\xff\xfe"):
+        code = base64.b64encode(data).decode()
+        assert layer_spans(f"ünd {code} end") == {(4, 4 + len(code))}
+    rng = random.Random(13)
+    broken = gzip.compress(b"password=hunter2hunter2 " + rng.randbytes(9000).hex().encode())[:6000]
+    code = base64.b64encode(broken).decode()
+    assert layer_spans(f"ünd {code} end") >= {(4, 4 + len(code))}
+    assert layer_spans(base64.b64encode(first * 3 + second).decode())
+
+
+def test_secrets_in_runs_behind_separators():
+    for inner in (b"password=hunter2hunter2", gzip.compress(b"password=hunter2hunter2")):
+        code = base64.urlsafe_b64encode(inner).decode().rstrip("=")
+        for before in ("/v1/a/", "key_", "a-b-", "x/yz/", "/", "abc/"):
+            assert any(start == len(before) for start, _ in layer_spans(f"{before}{code}")), (inner, before)
+            assert any(start == len(before) for start, _ in layer_spans(f"{before}{code}/view/all")), (inner, before)
+
+
+def test_secrets_of_long_runs_take_linear_time():
+    rng = random.Random(14)
+    for data in (rng.randbytes(400_000), b"?\x01?~" * 100_000, b"/?" * 100_000):
+        code = base64.b64encode(data).decode()
+        for text in (code, "\n".join(code[i : i + 64] for i in range(0, len(code), 64))):
+            at = time.monotonic()
+            secrets.scan_text(text, secrets.SecretRules())
+            assert time.monotonic() - at < 30
+
+
 def test_secrets_bound_and_cycles():
     bomb = base64.b64encode(gzip.compress(b"a" * 100_000)).decode()
     assert secrets.scan_text(bomb, secrets.SecretRules(max_layer_bytes=1000)) == {"spans": [], "n_closed": 1}
