@@ -1,8 +1,11 @@
 r"""Personal data: patterns, and a skip-chain conditional random field that carries labels to further mentions.
 
 Nodes of the field are the tokens of a document that hold a digit or an at sign. Neighbouring nodes share a chain potential,
-nodes of the same key (the digits of a token that has seven or more, else its lower-cased characters) a skip potential, from
-each to the next mention, so that their number grows with the text and not with its square. What the patterns find is clamped.
+nodes of the same key (the digits of a token that has seven or more, else its lower-cased characters) a skip potential. What the
+patterns find is clamped. Where they find a mention of a key, each mention is linked to the next one, and to the nearest found ones
+before and after it, however far; where they find none, all mentions of the key share one hub variable, whose potential couples two
+mentions as one skip link would. So the number of links grows with the text and not with its square, and what is known of a key
+is one or two links away from each of its mentions.
 Loopy sum-product passing runs over all documents of a batch as one graph. Labels that beliefs name firmly, in tokens that no
 pattern has found, become further spans, if what they cover can be of that kind. The spans of the patterns always stay.
 
@@ -176,30 +179,57 @@ def believe(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int)
     return out / out.sum(1, keepdims=True)
 
 
+def hub_potential(skip: np.ndarray) -> np.ndarray:
+    """The potential of links to a hub such that two of them together are as strong as one skip link."""
+    n, e = len(skip), np.exp(skip[0, 0])
+    return np.diag(np.full(n, np.log(e + np.sqrt(max(0.0, e * e + e * (n - 2) - (n - 1))))))
+
+
+def mentions(groups: dict, labels: list) -> tuple[list, list]:
+    """Links within groups of mentions, each in order: to the next and the nearest found ones; and the groups in which no pattern found any."""
+    links, hubs = [], []
+    for group in groups.values():
+        found = [i for i in group if labels[i]]
+        if not found:
+            hubs += [group] if len(group) > 1 else []
+            continue
+        k, some = 0, set(zip(group, group[1:]))
+        for i in group:
+            while k < len(found) and found[k] <= i:
+                k += 1
+            if not labels[i]:
+                some |= {(min(i, f), max(i, f)) for f in found[max(0, k - 1) : k + 1]}
+        links += sorted(some)
+    return links, hubs
+
+
 def label(texts: list[str], weights: Weights, rules: PiiRules) -> list[list]:
     """Spans (kind, start, end, base) of each text."""
     n = len(KINDS) + 1
     base = [find(t) for t in texts]
-    unary, edges, kinds, nodes = [], [], [], []
+    unary, edges, kinds, nodes, hubs = [], [], [], [], []
     unknown = np.log(np.array([0.96] + [0.01] * len(KINDS)))
     for d, text in enumerate(texts if weights.seen else ()):
         where, labels = tokens(text, base[d])
-        last = {}
+        first, groups = len(nodes), defaultdict(list)
         for i, ((a, b), y) in enumerate(zip(where, labels)):
-            me = len(nodes)
             nodes.append((d, a, b, y))
             unary.append(weights.unary.get(shape(text[a:b]), unknown) if not y else np.where(np.arange(n) == y, 0.0, -30.0))
             if i and a - where[i - 1][1] <= rules.gap:
-                edges.append((me - 1, me))
+                edges.append((first + i - 1, first + i))
                 kinds.append(0)
-            k = key(text[a:b])
-            if k in last:
-                edges.append((last[k], me))
-                kinds.append(1)
-            last[k] = me
+            groups[key(text[a:b])].append(i)
+        links, shared = mentions(groups, labels)
+        edges += [(first + i, first + f) for i, f in links]
+        kinds += [1] * len(links)
+        hubs += [[first + i for i in group] for group in shared]
+    for group in hubs:  # hubs follow the nodes of all texts
+        edges += [(len(unary), me) for me in group]
+        kinds += [2] * len(group)
+        unary.append(np.zeros(n))
     spans = [[(k, a, b, True) for k, a, b in x] for x in base]
     if nodes:
-        pair = np.stack([weights.chain, weights.skip])[np.array(kinds, int)] if edges else np.zeros((0, n, n))
+        pair = np.stack([weights.chain, weights.skip, hub_potential(weights.skip)])[np.array(kinds, int)] if edges else np.zeros((0, n, n))
         belief = believe(np.array(unary), np.array(edges, int).reshape(-1, 2), pair, rules.rounds)
         best, sure, run = belief.argmax(1), belief.max(1), None
         runs = []

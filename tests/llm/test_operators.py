@@ -405,6 +405,31 @@ def test_pii_field_carries_labels():
     assert all(re.search("555", bare[i][a:b]) for i, s in enumerate(found) for k, a, b, base in s if not base)
 
 
+@pytest.mark.parametrize("ahead", [False, True])
+def test_pii_labels_reach_all_mentions(ahead):
+    # Bare shapes are other things as often as phones, so that only the found mention tells.
+    plain = [f"call +1 (7{i:02d}) 555-{i:04d} now and again 555-{i:04d}, part no 4{i:02d}-{7 * i:04d} of 3" for i in range(80)]
+    plain += [f"call +1 (7{i:02d}) 555-{i:04d} now, or +1 (7{i:02d}) 555-{i:04d} at night" for i in range(240)]
+    plain += [f"part no 4{i % 100:02d}-{7 * i:04d} of 3" for i in range(240)]
+    weights = pii.fit(plain)
+    found = "call +1 (743) 555-3824 today."
+    bare = " ".join(f"Then ask for 555-3824 at desk {'abcdefgh'[i % 8]}." for i in range(50))
+    text = f"{bare} {found}" if ahead else f"{found} {bare}"
+    (alone,) = pii.label(["Then ask for 555-3824"], weights, pii.PiiRules())
+    assert not alone
+    (spans,) = pii.label([text], weights, pii.PiiRules())
+    assert sum(text[a:b] == "555-3824" and not base for _, a, b, base in spans) == 50
+
+
+def test_pii_hub_equals_a_skip_link():
+    skip = np.diag(np.full(5, 2.5))
+    both = np.exp(pii.hub_potential(skip)) @ np.exp(pii.hub_potential(skip))
+    assert np.allclose(both / both[0, 1], np.exp(skip))
+    links, hubs = pii.mentions({"a": [0, 2, 4, 6], "b": [1, 3], "c": [5]}, [0, 0, 1, 0, 0, 0, 1])
+    assert links == [(0, 2), (2, 4), (4, 6)] and hubs == [[1, 3]]
+    assert pii.mentions({"a": [0, 1, 2, 3, 4]}, [0, 0, 1, 0, 0])[0] == [(0, 1), (0, 2), (1, 2), (2, 3), (2, 4), (3, 4)]
+
+
 def test_beliefs_equal_enumeration_on_a_tree():
     rng = np.random.default_rng(9)
     unary, edges = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]])
