@@ -309,20 +309,39 @@ def weak_trendlines(cells_: DataFrame, stats: DataFrame, marks: DataFrame, lengt
 
 
 def base_counts(cells_: DataFrame, marks: DataFrame, box: float, least: int = 5) -> DataFrame:
-    """Horizontal counts of one-box charts: the base is the row of the breakout's columns that has the most filled cells.
+    """Horizontal counts of one-box charts, of each reversal breakout two: by its base and by its signal, in boxes of an even scale.
 
-    target: the base plus or minus the outer width in boxes; quality: share of the pattern's cells that are filled.
+    The base is the row that has the most filled cells in the columns of the outer width, of equal ones the farthest from the target;
+    its quality is the filled share of the row. The signal row is where the breakout's column begins; its quality is the filled share
+    of the pattern's cells before the breakout. The target is the row plus or minus the outer width.
+
+    Cells of a row within a pattern are a difference of running counts along the row, so that wide patterns cost no more than narrow ones.
     """
-    wide = marks.filter(F.col("outer_width") >= least).groupBy("chart_id", "column_index", "trend").agg(F.max("outer_width").alias("outer_width"), F.max("box_index").alias("box_index"))
-    spans = wide.withColumn("_c", F.explode(F.sequence(F.greatest(F.col("column_index") - F.col("outer_width") + 1, F.lit(0)), "column_index")))
-    c = cells_.select("chart_id", F.col("column_index").alias("_c"), F.col("box_index").alias("_r"), "box_value")
-    rows = spans.join(c, ["chart_id", "_c"]).groupBy("chart_id", "column_index", "trend", "outer_width", "box_index", "_r").agg(F.count("*").alias("_n"), F.min("box_value").alias("_v"))
-    best = rows.groupBy("chart_id", "column_index", "trend", "outer_width", "box_index").agg(
-        F.max_by(F.struct("_r", "_v", "_n"), F.struct("_n", -F.col("_r"))).alias("_b"), F.sum("_n").alias("_filled"), (F.max("_r") - F.min("_r") + 1).alias("_h")
+    own = ["chart_id", "column_index", "box_index", "trend", "outer_width"]
+    wide = marks.filter((F.col("type") == "reversal") & (F.col("outer_width") >= least)).select(own).distinct()
+    rows = cells_.groupBy("chart_id", F.col("box_index").alias("_r")).agg(F.min("box_value").alias("_v"))
+    height = rows.groupBy("chart_id").agg(F.min("_r").alias("_low"), F.max("_r").alias("_top"))
+    begin, end = (F.col("column_index") - F.col("outer_width")), F.col("column_index")
+    asked = wide.join(height, "chart_id").select(*own, F.explode(F.sequence("_low", "_top")).alias("_r"))
+    asked = asked.select("*", F.inline(F.array(F.struct(begin.cast("int").alias("_c"), F.lit(-1).alias("_sign")), F.struct(end.cast("int").alias("_c"), F.lit(1).alias("_sign")))))
+    filled = cells_.select("chart_id", F.col("box_index").alias("_r"), F.col("column_index").cast("int").alias("_c"), F.lit(1).alias("_one"))
+    so_far = F.count("_one").over(Window.partitionBy("chart_id", "_r").orderBy("_c"))
+    seen = asked.unionByName(filled, allowMissingColumns=True).withColumn("_n", F.col("_sign") * so_far).filter("_sign IS NOT NULL")
+    each = seen.groupBy(*own, "_r").agg(F.sum("_n").alias("_n")).filter("_n > 0")
+    side = lambda c: F.col("trend") * F.col(c)
+    found = each.groupBy(own).agg(
+        F.max_by(F.struct("_r", "_n"), F.struct("_n", -side("_r"))).alias("_b"), F.sum(F.when(side("_r") < side("box_index"), F.col("_n"))).alias("_filled"), F.min(side("_r")).alias("_far")
     )
-    cells_in = (F.col("outer_width") - 1) * (F.col("_h") - 1) + F.col("_h")
-    target = F.col("_b._v") + F.col("trend") * F.col("outer_width") * box
-    return best.select("chart_id", "column_index", "box_index", "trend", "outer_width", F.col("_b._r").alias("base_row"), F.round(target, 6).alias("target"), F.round(F.col("_filled") / cells_in, 2).alias("quality"))
+    start = cells_.groupBy("chart_id", "column_index", "trend").agg(F.min(side("box_index")).alias("_start"))
+    found = found.join(start, ["chart_id", "column_index", "trend"]).withColumn("_h", side("box_index") - F.col("_far"))
+    within = (F.col("outer_width") - 1) * (F.col("_h") - 1) + F.col("_h")
+    kinds = [
+        F.struct(F.lit("base").alias("type"), F.col("_b._r").alias("_r"), (F.col("_b._n") / F.col("outer_width")).alias("_q")),
+        F.struct(F.lit("signal").alias("type"), side("_start").cast(rows.schema["_r"].dataType).alias("_r"), (F.col("_filled") / within).alias("_q")),
+    ]
+    both = found.select(*own, F.inline(F.array(*kinds))).join(rows, ["chart_id", "_r"])
+    target = F.col("_v") + F.col("trend") * F.col("outer_width") * box
+    return both.select("chart_id", "column_index", "box_index", "trend", "type", "outer_width", F.col("_r").alias("base_row"), F.round(target, 6).alias("target"), F.round("_q", 2).alias("quality"))
 
 
 def risk_and_reward(counts: DataFrame, stats: DataFrame, box: float) -> DataFrame:

@@ -107,3 +107,26 @@ def test_timer_closes_idle_symbols():
     m = L.Machine("A", 5)
     assert list(m.tick(1745379900, 1.0)) == [] and m.next_due(1) == 1745379906
     assert [x[1] for x in m.due(1745379906, 1)] == [1745379900] and m.next_due(1) is None
+
+
+def test_base_counts_equal_brute_force(spark):
+    rng = random.Random(21)
+    c = K.cells(chart(spark, [300 + 2 * rng.randint(-7, 7) for _ in range(160)], reversal=1, scaling="abs", boxsize=2.0))
+    filled = [(r.column_index, r.box_index, r.box_value) for r in c.collect()]
+    value = {b: v for _, b, v in filled}
+    marks = {(r.column_index, r.box_index, r.trend, r.outer_width) for r in K.breakouts(c).filter("type = 'reversal' AND outer_width >= 5").collect()}
+    want = set()
+    for column, box, trend, width in marks:
+        inside = [b for x, b, _ in filled if column - width < x <= column]
+        most = max(inside.count(b) for b in inside)
+        pick = min if trend == 1 else max
+        base = pick(b for b in inside if inside.count(b) == most)
+        signal = pick(b for x, b, _ in filled if x == column)
+        h = abs(box - pick(inside))
+        share = sum((b - box) * trend < 0 for b in inside) / ((width - 1) * (h - 1) + h)
+        for kind, row, q in (("base", base, most / width), ("signal", signal, share)):
+            want.add((column, box, trend, kind, width, row, value[row] + 2.0 * trend * width, q))
+    got = K.base_counts(c, K.breakouts(c), 2.0).collect()
+    assert len(got) == len(want) == 2 * len(marks) and len({m[0] for m in marks}) < len(marks)
+    for g, w in zip(sorted(map(tuple, [r[1:] for r in got])), sorted(want)):
+        assert g[:6] == w[:6] and g[6] == pytest.approx(w[6]) and g[7] == pytest.approx(w[7], abs=0.0051)
