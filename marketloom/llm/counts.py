@@ -9,7 +9,9 @@ many blocks it runs. What follows the last end of a file is an unended document.
 Files are read by byte ranges through the file system that their URI names. Writing gives a manifest, a row a file; what a lost or
 repeated task left behind is in no manifest.
 
-Defined cases: an empty file has no documents; two ends in a row are a document of the end id alone; a null text is an empty one; an
+Strings of special tokens in a text are encoded as ordinary text, so that the end id stands nowhere but at ends.
+
+Defined cases: an empty file has no documents; an id that needs more bytes than the width raises; two ends in a row are a document of the end id alone; a null text is an empty one; an
 empty table gives no file; a byte count that is no multiple of the width raises.
 """
 
@@ -49,7 +51,7 @@ def write_flat(docs: DataFrame, folder: str, rules: CountRules = CountRules()) -
     path = vocabulary_path(rules.vocabulary)
 
     def written(batches):
-        encode = kept_encoder(path, rules.most_words)
+        encode = kept_encoder(path, rules.most_words, literal=True)
         system, base = opened(folder)
         system.create_dir(f"{base}/flat")
         state = {"out": None, "ids": [], "n": 0, "name": ""}
@@ -65,6 +67,8 @@ def write_flat(docs: DataFrame, folder: str, rules: CountRules = CountRules()) -
                     state |= {"name": f"{uuid.uuid4().hex}.bin", "ids": [], "n": 0}
                     state["out"] = system.open_output_stream(f"{base}/flat/{state['name']}")
                 flat, _ = encode(texts, rules.end_id)
+                if flat.max(initial=0) >> (8 * rules.width):
+                    raise ValueError(f"id {flat.max()} needs more than {rules.width} bytes")
                 state["out"].write(flat.astype(f"<u{rules.width}").tobytes())
                 state["ids"] += ids
                 state["n"] += len(flat)

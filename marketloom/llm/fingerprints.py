@@ -66,8 +66,8 @@ def pieces(size: int, stops: np.ndarray, most: int = PIECE) -> Iterator[tuple[in
         start = min(end, size)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A to Z lower-cased, the first word of each text, one more at the end, and the words' starts and ends."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers, table: np.ndarray = TABLE[LOWER]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A to Z lower-cased unless another table says so, the first word of each text, one more at the end, and the words' starts and ends."""
     space = SPACES[data]
     inner = np.ones(len(data) + 1, bool)
     inner[offsets] = False  # no word goes on across the start of a text
@@ -76,7 +76,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[
     after = np.concatenate([space[1:], [True]]) | ~inner[1:] if len(data) else space
     ends = np.flatnonzero(~space & after) + 1
     hashes = np.zeros(len(starts), np.uint64)
-    table = TABLE[LOWER]
     for a, b in pieces(len(data), np.append(starts[1:], len(data))):
         i, j = np.searchsorted(starts, [a, b])
         h = powers.prefix(data[a:b], table)

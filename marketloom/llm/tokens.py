@@ -8,7 +8,11 @@ block of 512. The chunk of id i at the next level stands at rank(i), so any toke
 Segments are binary rows of a Parquet table, so they are written and committed by Spark in whatever store its paths name, and a
 lost executor's files are written anew. Reading needs the table alone.
 
-A text is encoded word by word: the tokenizer never joins what white space parts, so a word that comes again in a task is encoded once.
+Ids are those that the tokenizers library gives for the whole text without adding special tokens: strings of special tokens that
+stand in a text are those tokens. A text is encoded word by word where the tokenizer never joins what white space parts, which is
+read from its file; then a word that comes again in a task is encoded once. Other tokenizers get whole texts.
+
+lookup() finds tokens by their place in the whole output, through the segments' first places and their rank directories.
 
 Defined cases: a null text is an empty one, whose only token is the end id; a null doc_id comes first; rows of one doc_id follow
 by hash and text; an empty table gives no segment; other columns are not read.
@@ -16,20 +20,23 @@ by hash and text; an empty table gives no segment; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import shared_path, table, tidy
-from marketloom.llm.fingerprints import Powers, buffers, word_hashes
+from marketloom.llm.fingerprints import TABLE, Powers, buffers, word_hashes
 
 MAGIC, BLOCK = b"DACS", 512
 HEAD = "<4sBBxxQQ"  # magic, bits, levels, documents, tokens
@@ -115,18 +122,42 @@ class Segment:
 
 #: A word of letters, and marks after it: the tokenizer takes either as one piece, whatever stands around the word.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+# What a tokenizer file must say for its words to be encoded one by one.
 WORD_END = "</w>"
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
+def wordwise(path: str) -> bool:
+    """Whether a tokenizer encodes a text as its words, parted by ASCII white space, one after the other. Read from its file."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in said["added_tokens"])
+    model = said["model"]
+    same = all(said[k] == v for k, v in WORDWISE.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END
+    return apart and same and not model["dropout"] and not said["truncation"] and not said["padding"]
 
 
 class Encoder:
-    """Ids of texts, each different word encoded once. Words are told apart by 64-bit hashes, A to Z lower-cased as the tokenizer does."""
+    """Ids of texts, as the tokenizers library gives them.
 
-    def __init__(self, path: str, most: int):
+    Where the tokenizer is wordwise() each different word is encoded once. A word is found by its 64-bit hash and its bytes are compared;
+    texts of a batch in which two words share a hash are encoded whole, as are all texts of other tokenizers. `literal`: strings of special tokens are
+    ordinary text; by default they are the library's special tokens.
+    """
+
+    def __init__(self, path: str, most: int, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs in parallel
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.powers = Tokenizer.from_file(path), most, Powers()
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.most, self.powers, self.by_word = Tokenizer.from_file(path), most, Powers(), wordwise(path)
+        if literal:
+            self.tokenizer.encode_special_tokens = True
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
@@ -135,6 +166,7 @@ class Encoder:
     def forget(self) -> None:
         self.parts, self.hashes = {"": b""}, np.zeros(0, np.uint64)  # sorted
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.begins, self.lengths, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def encoded(self, words: list[str], together: int = 64, at_once: int = 4096) -> list[bytes]:
         """Ids of each word. Letters are encoded many in a text and told apart by their last ids; other words one by one."""
@@ -159,23 +191,40 @@ class Encoder:
             parts.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in encode(some)]))
         return [parts[c] + parts[m] if c else parts[m] for c, m in split]
 
+    def whole(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, every text given to the library as it is."""
+        ids = [np.array([*e.ids, end_id], np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end_id after each text's, and how many each text has."""
+        if not self.by_word:
+            return self.whole(texts, end_id)
         data, offsets = buffers(texts)
-        hashes, firsts, starts, ends = word_hashes(data, offsets, self.powers)
+        hashes, firsts, starts, ends = word_hashes(data, offsets, self.powers, TABLE)
         different, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) > self.most:
             self.forget()
         new = np.flatnonzero(~np.isin(different, self.hashes, assume_unique=True))
         if len(new):
-            raw = data.tobytes()
-            ids = self.encoded([raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            raw, a, b = data.tobytes(), starts[where[new]], ends[where[new]]
+            own = [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
+            ids = self.encoded([w.decode() for w in own])
+            sizes, lengths = np.array([len(x) // 4 for x in ids], np.int64), b - a
             order = np.argsort(all_ := np.concatenate([self.hashes, different[new]]))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])[order]
-            self.hashes, self.sizes = all_[order], np.concatenate([self.sizes, sizes])[order]
+            self.begins = np.concatenate([self.begins, len(self.letters) + np.cumsum(lengths) - lengths])[order]
+            self.hashes, self.sizes, self.lengths = all_[order], np.concatenate([self.sizes, sizes])[order], np.concatenate([self.lengths, lengths])[order]
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+            self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(own), np.uint8)])
         known = np.searchsorted(self.hashes, different)[which]
+        lengths = ends - starts
+        if (self.lengths[known] != lengths).any():
+            return self.whole(texts, end_id)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        inside = np.arange(upto[-1])
+        if (data[np.repeat(starts - upto[:-1], lengths) + inside] != self.letters[np.repeat(self.begins[known] - upto[:-1], lengths) + inside]).any():
+            return self.whole(texts, end_id)
         sizes = self.sizes[known]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.pool[np.repeat(self.starts[known] - upto[:-1], sizes) + np.arange(upto[-1])]
@@ -183,14 +232,13 @@ class Encoder:
         return np.insert(flat, bounds[1:], end_id), np.diff(bounds) + 1
 
 
-def kept_encoder(path: str, most: int) -> Encoder:
-    """The worker process's encoder: words that one of its tasks has met are known to the next."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path, most)
-    return kept[path]
+def kept_encoder(path: str, most: int, literal: bool = False) -> Encoder:
+    """The worker process's encoder: words that one of its tasks has met are known to the next. Kept in a module of its own, as this one's code is copied to workers."""
+    kept = sys.modules.setdefault("_marketloom_kept", types.ModuleType("_marketloom_kept")).__dict__.setdefault("encoders", {})
+    key = (path, literal)
+    if key not in kept:
+        kept[key] = Encoder(path, most, literal)
+    return kept[key]
 
 
 def vocabulary_path(name: str) -> str:
@@ -270,6 +318,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("partition", "first", "body").mapInArrow(tidy(unpacked), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def lookup(spark: SparkSession, path: str, positions: DataFrame, together: int = 4096) -> DataFrame:
+    """position and id of the tokens at positions (position) of the whole output; places beyond it give no row.
+
+    Segments and positions meet by cells of 2**20 places, of which a segment covers few; a segment's body is read once for up to
+    `together` of its positions, and no code is decoded but those asked for.
+    """
+    rows, cell = spark.read.schema(SEGMENTS).parquet(path), 20
+    sums = rows.groupBy("partition").agg(F.sum("n_tokens").alias("_n"))
+    before = sums.select(F.col("partition").alias("_p"), (F.sum("_n").over(Window.orderBy("partition")) - F.col("_n")).alias("_b"))  # one row a partition
+    placed = rows.select("partition", "number", "first", "n_tokens").join(before, F.col("partition") == F.col("_p"))
+    low = F.col("_b") + F.col("first")
+    placed = placed.select("partition", "number", low.alias("_low"), (low + F.col("n_tokens")).alias("_high"))
+    placed = placed.withColumn("_cell", F.explode(F.sequence(F.shiftright("_low", cell), F.shiftright(F.col("_high") - 1, cell))))
+    asked = positions.select(F.col("position").cast("bigint").alias("position")).distinct().withColumn("_cell", F.shiftright("position", cell))
+    met = asked.join(placed, "_cell").filter("position >= _low AND position < _high").withColumn("_s", F.pmod(F.xxhash64("position"), F.lit(1 + (1 << cell) // together)))
+    met = met.groupBy("partition", "number", "_low", "_s").agg(F.collect_list("position").alias("_at"))
+    both = met.join(rows.select("partition", "number", "body"), ["partition", "number"]).select("_low", "_at", "body")
+
+    def found(batches):
+        for batch in batches:
+            for first, at, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seg = Segment(body)
+                yield pa.RecordBatch.from_pydict({"position": pa.array(at, pa.int64()), "id": pa.array([seg.token(p - first) for p in at], pa.int64())})
+
+    return both.mapInArrow(tidy(found), "position bigint, id bigint")
+
+
 def encode(docs: DataFrame, rules: TokenRules = TokenRules()) -> DataFrame:
     """Writes the segments of docs to the shared folder and reads them back."""
     path = shared_path(docs.sparkSession, "tokens")

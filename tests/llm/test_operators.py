@@ -270,6 +270,21 @@ def test_counts_equal_the_token_files(spark, sf):
     assert a == b
 
 
+def test_counts_edges(spark):
+    path = common.shared_path(spark, "flat")
+    rows = [(1, None), (1, None), (2, ""), (3, "<|endoftext|> a"), (None, "b"), (4, "w " * 50_000)]
+    manifest = counts.write_flat(docs(spark, rows).withColumnRenamed("size", "file"), path, counts.CountRules(file_tokens=1000))
+    named = [(r.file, i, d) for r in manifest.collect() for i, d in enumerate(r.doc_ids)]
+    got = {(r.file, r.ordinal): r.n_tokens for r in counts.count_flat(manifest, counts.CountRules(block_tokens=64)).collect()}
+    t = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), 50, literal=True)
+    expected = collections.Counter((d, len(t(pa.array([s], pa.string()), 49407)[0])) for d, s in rows)
+    assert collections.Counter((d, got[f, i]) for f, i, d in named) == expected and len(got) == len(rows)
+    empty = counts.write_flat(docs(spark, []), common.shared_path(spark, "flat"))
+    assert counts.count_flat(empty).count() == 0
+    with pytest.raises(Exception, match="more than 1 bytes"):
+        counts.write_flat(docs(spark, [(1, "the cat")]), common.shared_path(spark, "flat"), counts.CountRules(width=1))
+
+
 # 5 suffix dedup
 
 
@@ -529,22 +544,25 @@ def test_chat_reads_back(spark):
 # 10 token files
 
 
-def library():
+def library(name="word_bpe_49k.json"):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.vocabulary_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary_path(name))
 
 
-def test_tokens_read_back(spark):
-    t = library()
-    rows = [(3, "The cat, SAT. on 12 mats!"), (1, None), (2, ""), (9, "İ ſ é é '\n<|endoftext|> 's ok's 日本"), (-4, "a " * 3000), (7, "\x85\xa0b\x1cc")]
-    out = {r.doc_id: r for r in tokens.encode(docs(spark, rows), tokens.TokenRules(segment_tokens=500)).collect()}
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|startoftext|> y", "<|endoftext|>,", "THE<|endoftext|>The"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_read_back(spark, name):
+    t = library(name)
+    rows = [(3, "The cat, SAT. on 12 mats!"), (1, None), (2, ""), (9, "İ ſ é é '\n<|endoftext|> 's ok's 日本"), (-4, "a " * 3000), (7, "\x85\xa0b\x1cc")]
+    rows += list(enumerate(SPECIAL, 20))
+    out = {r.doc_id: r for r in tokens.encode(docs(spark, rows), tokens.TokenRules(vocabulary=name, segment_tokens=500)).collect()}
     at = 0
     for i, text in sorted(rows):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
-        assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
         at += len(ids)
     assert tokens.encode(docs(spark, [])).count() == 0
     assert tokens.encode(edge(spark)).count() == 9
@@ -552,10 +570,38 @@ def test_tokens_read_back(spark):
 
 def test_encoder_equals_the_library():
     t, e, rng = library(), tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), 50), random.Random(11)
-    al = ["a", "B", "é", "É", "'s", "'", "s", "1", ".", ",", " ", "\n", "\t", "\r", "\x0b", "́", "ß", "İ", "ſ", "K", "\x85", "\xa0", "日本", "😀", "</s>", "<|endoftext|>", "\x1c", "-", "!", "the", "of"]
+    assert e.by_word and not tokens.wordwise(tokens.vocabulary_path("byte_bpe_50k.json"))
+    al = ["a", "B", "é", "É", "'s", "'", "s", "1", ".", ",", " ", "\n", "\t", "\r", "\x0b", "́", "ß", "İ", "ſ", "K", "\x85", "\xa0", "日本", "😀", "</s>", "\x1c", "-", "!", "the", "of", *SPECIAL]
     for _ in range(1500):
         x = "".join(rng.choice(al) for _ in range(rng.randint(0, 14)))
         assert e(pa.array([x]), 2)[0].tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], x
+    literal = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), 50, literal=True)
+    assert not set(literal(pa.array(SPECIAL), 2)[0].tolist()) & {49406, 49407}
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    texts = ["the cat and dog", "bat rat the", None, "", "cat"]
+    for few in (1, 3):
+        def hashed(data, offsets, powers, table):
+            h, *rest = fingerprints.word_hashes(data, offsets, powers, table)
+            return h % np.uint64(few), *rest
+
+        monkeypatch.setattr(tokens, "word_hashes", hashed)
+        e, t = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), 50), library()
+        for some in (texts, texts[::-1]):
+            flat, n = e(pa.array(some, pa.string()), 2)
+            assert flat.tolist() == [x for s in some for x in [*t.encode(s or "", add_special_tokens=False).ids, 2]] and n.sum() == len(flat)
+
+
+def test_tokens_are_looked_up_by_place(spark):
+    rows = [(i, f"some words {i} " * (i % 7)) for i in range(60)]
+    path, rules = common.shared_path(spark, "tokens"), tokens.TokenRules(segment_tokens=64)
+    tokens.write(docs(spark, rows).repartition(3), path, rules)
+    t = library()
+    ids = [x for i, s in rows for x in [*t.encode(s, add_special_tokens=False).ids, 2]]
+    asked = [*range(0, len(ids), 3), 0, -1, len(ids), len(ids) + 5, None]
+    got = {r.position: r.id for r in tokens.lookup(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()}
+    assert got == {p: ids[p] for p in range(0, len(ids), 3)}
 
 
 @pytest.mark.parametrize("bits", [4, 8, 12])
