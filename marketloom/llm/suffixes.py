@@ -4,21 +4,24 @@ Sampling. Of the 32-byte strings within any `length`-byte string the one of the
 anchors, so strings are compared only around anchors: what all strings of one anchor cover is its context, up to 68 bytes before it
 and 100 from it on.
 
-1. Which anchors repeat. Every task sends parts of its anchors' and contexts' hashes by bucket; the buckets give a table of fixed
-   size that says of an anchor whether it may repeat, repeat with several contexts, or with more than `most_contexts`.
+1. Which anchors repeat. Every task sends parts of its anchors' and contexts' hashes by bucket; the buckets tell of an anchor whether
+   it repeats, repeats with several contexts, or with more than `most_contexts`. What they tell is packed in a table of as many
+   cells as eight times the repeating anchors, at most 2**table_bits. Anchors that share a cell are only looked at in vain.
 2. Anchors that may repeat are dealt by bucket, of equal contexts of a task only the earliest; the others are covered by it. In a
-   bucket the earliest of equal contexts stays and the others are covered.
+   bucket the earliest of equal contexts stays and the others are covered. Contexts are equal if their SHA-256 digests are, 128 bits of them.
 3. Suffix sort. The different contexts of an anchor are sorted by what follows the anchor, and by what stands before it, read
    backwards: mergesorts that compare two suffixes by their longest common extension, found by binary search over prefix
    polynomial hashes. Neighbours' extensions are verified byte by byte; had hashes collided, the bytes are sorted themselves.
    In either order, contexts that share k bytes are a run; strings that start l bytes before the anchor are equal where both runs
    are, for l before and length - l after. The earliest of them stays, the others are covered.
-   Anchors of more contexts than `most_contexts` are not gathered: their strings are grouped by 128-bit hashes instead.
-4. The covered intervals of a document are merged and cut out of its bytes.
+   Anchors of more contexts than `most_contexts` are not gathered in one group. Each task sorts its own contexts in this way, and what
+   it finds to be the earliest of equal strings goes by its digest to a bucket, where the earliest of all tasks' stays.
+4. The covered intervals of a row are merged and cut out of its bytes.
 
 Earlier means a smaller doc_id, or the same and an earlier start. Defined cases: a null text is empty; texts shorter than `length`
-lose nothing; rows without doc_id lose nothing and remove nothing; rows of one doc_id are one document's, and lose what either's
-text at that place loses; an empty table gives an empty result; other columns are not read.
+lose nothing; rows without doc_id lose nothing and remove nothing; rows of one doc_id are one document's, each with starts of its own, so equal
+rows lose what one of them would and a text that stands in no earlier place is kept in each; rows are told apart by doc_id and the
+64-bit hash of the text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,22 +36,26 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import release, shared_path, table, tidy
+from marketloom.llm.common import release, shared_path, stored, table, tidy
 from marketloom.llm.fingerprints import ODD, TABLE, Powers, buffers, mix
 
 NONE, REPEATED, SEVERAL, MANY = range(4)
-SEEN = np.dtype([("id", "<u4"), ("low", "<u4"), ("high", "<u2")])
-FOUND = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("several", "u1")])
+SEEN = np.dtype([("id", "<u4"), ("low", "<u4"), ("high", "<u4")])
+FOUND = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1")])
+SENT = np.dtype([("anchor", "<u8"), ("d1", "<u8"), ("d2", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("several", "u1")])
+STRING = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("pos", "<i4")])
+BYTE = [bytes([k]) for k in range(256)]
 
 
 @dataclass(frozen=True)
 class SuffixRules:
     length: int = 100
     gram: int = 32
-    most_contexts: int = 16_384
-    table_bits: int = 27
+    most_contexts: int = 4_096
+    table_bits: int = 28
     flush: int = 1 << 19
     piece: int = 1 << 19
+    sort_rows: int = 1 << 15
 
     @property
     def before(self) -> int:
@@ -66,8 +73,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def parts(ids: list, data: np.ndarray, offsets: np.ndarray, rules: SuffixRules) -> Iterator[tuple]:
-    """Runs of texts, or overlapping parts of longer ones, as (doc, first byte, start, end, first and last string start) of data."""
+def parts(ids: list, keys: list, data: np.ndarray, offsets: np.ndarray, rules: SuffixRules) -> Iterator[tuple]:
+    """Runs of texts, or overlapping parts of longer ones, as (doc, first byte, start, end, first and last string start, key) of data."""
     held, size = [], 0
     for i, doc in enumerate(ids):
         a, b = int(offsets[i]), int(offsets[i + 1])
@@ -76,7 +83,7 @@ def parts(ids: list, data: np.ndarray, offsets: np.ndarray, rules: SuffixRules)
         for s in range(a, b - rules.length + 1, rules.piece):
             t = min(s + rules.piece, b - rules.length + 1)
             lo, hi = max(a, s - rules.before), min(b, t + rules.before + rules.length)
-            held.append((doc, lo - a, lo, hi, s - lo, t - lo))
+            held.append((doc, lo - a, lo, hi, s - lo, t - lo, keys[i]))
             size += hi - lo
             if size >= rules.piece:
                 yield held
@@ -85,20 +92,20 @@ def parts(ids: list, data: np.ndarray, offsets: np.ndarray, rules: SuffixRules)
         yield held
 
 
-def anchors(ids: list, texts: pa.Array, rules: SuffixRules, powers: Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchors of the texts as FOUND rows, the bytes they were found in and where in them each stands."""
-    data, offsets = buffers(texts)
+def anchors(batch: pa.RecordBatch, rules: SuffixRules, powers: Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors of a batch (doc_id, text, key) as FOUND rows, the bytes they were found in and where in them each stands."""
+    data, offsets = buffers(batch.column(1))
     w = rules.before + 1
-    for held in parts(ids, data, offsets, rules):
-        buf = np.concatenate([data[lo:hi] for _, _, lo, hi, _, _ in held])
-        sizes = np.array([hi - lo for _, _, lo, hi, _, _ in held])
+    for held in parts(batch.column(0).to_pylist(), batch.column(2).to_pylist(), data, offsets, rules):
+        buf = np.concatenate([data[lo:hi] for _, _, lo, hi, *_ in held])
+        sizes = np.array([hi - lo for _, _, lo, hi, *_ in held])
         begins = np.cumsum(sizes) - sizes
         h = powers.prefix(buf)
         at = np.arange(len(buf) - rules.gram + 1)
         grams = mix((h[rules.gram :] - h[: len(at)]) * powers.down[: len(at)])
         least = sliding_least(grams, w)
         valid = np.zeros(len(least) + 1, np.int32)
-        for begin, (_, _, _, _, s, t) in zip(begins.tolist(), held):
+        for begin, (_, _, _, _, s, t, _) in zip(begins.tolist(), held):
             valid[begin + s] += 1
             valid[begin + t] -= 1
         least[np.cumsum(valid[:-1]) == 0] = 0
@@ -114,7 +121,7 @@ def anchors(ids: list, texts: pa.Array, rules: SuffixRules, powers: Powers) -> I
         out["anchor"] = grams[where]
         out["left"], out["right"] = where - lo, hi - where
         out["context"] = mix(powers.between(h, lo, hi) + out["left"].astype(np.uint64) * ODD[0] + out["right"].astype(np.uint64) * ODD[1])
-        out["doc"] = np.array([x[0] for x in held], np.int64)[doc]
+        out["doc"], out["key"] = (np.array([x[k] for x in held], np.int64)[doc] for k in (0, 6))
         out["pos"] = np.array([x[1] for x in held])[doc] + (where - begin)
         yield out, buf, where
 
@@ -142,9 +149,8 @@ def distinct(rows: np.ndarray, *names: str) -> np.ndarray:
     return rows, new
 
 
-def repeats(docs: DataFrame, rules: SuffixRules, bits: int) -> np.ndarray:
-    """Step 1: the packed table, two bits a cell, a cell for the highest table_bits bits of an anchor."""
-    cells = 1 << (rules.table_bits - bits)
+def repeats(docs: DataFrame, rules: SuffixRules, bits: int) -> tuple[np.ndarray, int]:
+    """Step 1: the packed table, two bits a cell, and how many of an anchor's highest bits number its cell."""
 
     def send(rows: list) -> pa.RecordBatch:
         rows, new = distinct(np.concatenate(rows), "anchor", "context")
@@ -157,13 +163,13 @@ def repeats(docs: DataFrame, rules: SuffixRules, bits: int) -> np.ndarray:
         rows = rows[rank <= 2 * rules.most_contexts]
         out = np.zeros(len(rows), SEEN)
         out["id"] = (rows["anchor"] >> np.uint64(32 - bits)).astype(np.uint32)
-        out["low"], out["high"] = rows["context"].astype(np.uint32), (rows["context"] >> np.uint64(32)).astype(np.uint16)
+        out["low"], out["high"] = rows["context"].astype(np.uint32), (rows["context"] >> np.uint64(32)).astype(np.uint32)
         return batch_of(*zip(*((k, out[i].tobytes()) for k, i in by_bucket(rows, rows["anchor"], bits)))) if len(rows) else batch_of([], [])
 
     def seen(batches):
         powers, held = Powers(), []
         for batch in batches:
-            for found, _, _ in anchors(batch.column(0).to_pylist(), batch.column(1), rules, powers):
+            for found, _, _ in anchors(batch, rules, powers):
                 held.append(found)
                 if sum(map(len, held)) >= rules.flush:
                     yield send(held)
@@ -181,17 +187,28 @@ def repeats(docs: DataFrame, rules: SuffixRules, bits: int) -> np.ndarray:
         kinds = np.add.reduceat((~same | np.concatenate([[True], context[1:] != context[:-1]])).astype(np.int64), start)
         count = np.diff(np.append(start, len(ids)))
         level = np.where(kinds > rules.most_contexts, MANY, np.where(kinds > 1, SEVERAL, np.where(count > 1, REPEATED, NONE))).astype(np.uint8)
-        cell = ids[start] >> np.uint32(32 - (rules.table_bits - bits))
-        out = np.zeros(cells, np.uint8)
-        np.maximum.at(out, cell[level > 0], level[level > 0])
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([packed(out).tobytes()], pa.binary())})
+        some = level > 0
+        data = ids[start][some].astype("<u4").tobytes() + level[some].tobytes()
+        release()
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([int(some.sum())], pa.int64()), "payload": pa.array([data], pa.binary())})
 
     kind = "bucket int, payload binary"
-    out = np.zeros(1 << (rules.table_bits - 2), np.uint8)
-    size = cells // 4
-    for r in docs.mapInArrow(tidy(seen), kind).groupBy("bucket").applyInArrow(told, kind).toLocalIterator():
+    levels = stored(docs.mapInArrow(tidy(seen), kind).groupBy("bucket").applyInArrow(told, "bucket int, n bigint, payload binary"), "levels")
+    repeated = levels.agg(F.sum("n")).first()[0] or 0
+    table_bits = min(rules.table_bits, max(bits + 2, (8 * repeated).bit_length()))
+    cells = 1 << (table_bits - bits)
+
+    def celled(batches):
+        for batch in batches:
+            for bucket, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                out = np.zeros(cells, np.uint8)
+                np.maximum.at(out, np.frombuffer(data, "<u4", n) >> np.uint32(32 - (table_bits - bits)), np.frombuffer(data, np.uint8, n, 4 * n))
+                yield batch_of([bucket], [packed(out).tobytes()])
+
+    out, size = np.zeros(1 << (table_bits - 2), np.uint8), cells // 4
+    for r in levels.mapInArrow(celled, kind).toLocalIterator():  # table_bits bound what reaches the driver
         out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["payload"], np.uint8)
-    return out
+    return out, table_bits
 
 
 def packed(levels: np.ndarray) -> np.ndarray:
@@ -273,8 +290,9 @@ def suffix_sort(data: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tup
     return order, extension
 
 
-def cover(rows: np.ndarray, context: list[bytes], rules: SuffixRules) -> tuple[np.ndarray, np.ndarray]:
-    """Of different contexts of anchors, sorted by anchor: how many bytes before each anchor, and from it on, are covered."""
+def equal_strings(rows: np.ndarray, context: list[bytes], rules: SuffixRules) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of different contexts of anchors, sorted by anchor: for each k the rows that have a string k bytes before the anchor, and which of
+    them have an earlier equal one. Rows of the same document and place are as early as each other."""
     n = len(rows)
     before, after = np.zeros((n, rules.before), np.uint8), np.zeros((n, rules.length), np.uint8)
     for i, (c, k) in enumerate(zip(context, rows["left"].tolist())):
@@ -284,107 +302,180 @@ def cover(rows: np.ndarray, context: list[bytes], rules: SuffixRules) -> tuple[n
     group = np.cumsum(np.concatenate([[0], rows["anchor"][1:] != rows["anchor"][:-1]])) if n else np.zeros(0, np.int64)
     right, right_shared = suffix_sort(after, rows["right"], group)
     left, left_shared = suffix_sort(before, rows["left"], group)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort([rows["pos"], rows["doc"]])] = np.arange(n)
-    reach_left, reach_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    rank, order = np.zeros(n, np.int64), np.lexsort([rows["pos"], rows["doc"]])
+    rank[order[1:]] = np.cumsum((rows["doc"][order[1:]] != rows["doc"][order[:-1]]) | (rows["pos"][order[1:]] != rows["pos"][order[:-1]]))
     run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for k in range(rules.before + 1):
         run_right[right] = np.cumsum(right_shared < rules.length - k)
         run_left[left] = np.cumsum(left_shared < k)
         some = np.flatnonzero((rows["left"] >= k) & (rows["right"] >= rules.length - k))
-        key = run_right[some] * (n + 1) + run_left[some]
-        order = some[np.lexsort([rank[some], key])]
-        key = run_right[order] * (n + 1) + run_left[order]
-        later = order[1:][key[1:] == key[:-1]]
+        if len(some):
+            key = run_right[some] * (n + 1) + run_left[some]
+            order = np.lexsort([rank[some], key])
+            some, key = some[order], key[order]
+            begin = np.concatenate([[True], key[1:] != key[:-1]])
+            yield k, some, rank[some] > rank[some][begin][np.cumsum(begin) - 1]
+
+
+def cover(rows: np.ndarray, context: list[bytes], rules: SuffixRules) -> tuple[np.ndarray, np.ndarray]:
+    """Of different contexts of anchors, sorted by anchor: how many bytes before each anchor, and from it on, are covered."""
+    reach_left, reach_right = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for k, some, later in equal_strings(rows, context, rules):
+        later = some[later]
         reach_left[later] = np.maximum(reach_left[later], k)
         reach_right[later] = np.maximum(reach_right[later], rules.length - k)
     return reach_left, reach_right
 
 
-KIND = "doc bigint, bucket int, payload binary"
+KIND = "doc bigint, key bigint, bucket int, payload binary"
+KNOWN = "doc bigint, key bigint, payload binary"
+
 
+def dealt(doc: list, key: list, bucket: list, payload: list) -> pa.RecordBatch:
+    columns = zip([doc, key, bucket, payload], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["doc", "key", "bucket", "payload"])
 
-def intervals_of(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """Rows of KIND that hold the merged intervals of each document."""
-    order = np.lexsort([lo, doc])
-    doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    docs, rows = [], []
+
+def intervals_of(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Rows of KIND that hold the merged intervals of each row of the table that rows come from."""
+    order = np.lexsort([lo, rows["key"], rows["doc"]])
+    doc, key, lo, hi = rows["doc"][order], rows["key"][order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    out = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
         reach = np.maximum.accumulate(hi[a:b])
         new = np.concatenate([[True], lo[a + 1 : b] > reach[:-1]])
         ends = reach[np.append(np.flatnonzero(new)[1:] - 1, b - a - 1)]
-        docs.append(int(doc[a]))
-        rows.append(np.stack([lo[a:b][new], ends], 1).astype("<i4").tobytes())
-    return pa.RecordBatch.from_pydict({"doc": pa.array(docs, pa.int64()), "bucket": pa.array([None] * len(docs), pa.int32()), "payload": pa.array(rows, pa.binary())})
+        out.append(np.stack([lo[a:b][new], ends], 1).astype("<i4").tobytes())
+    return dealt(doc[first].tolist(), key[first].tolist(), [None] * len(out), out)
+
+
+def digest_of(pieces: Iterator[bytes]) -> np.ndarray:
+    """Pairs of 64-bit numbers: the first half of each piece's SHA-256."""
+    return np.frombuffer(b"".join([hashlib.sha256(x).digest()[:16] for x in pieces]), "<u8").reshape(-1, 2)
+
+
+def earliest(rows: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by names, doc, pos and key; of those, which have an earlier equal one; and which repeat the row before in all."""
+    order = np.lexsort([rows["key"], rows["pos"], rows["doc"], *(rows[n] for n in reversed(names))])
+    x = rows[order]
+    begin = np.ones(len(x), bool)
+    begin[1:] = np.logical_or.reduce([x[n][1:] != x[n][:-1] for n in names])
+    first = x[begin][np.cumsum(begin) - 1]
+    again = ~begin
+    again[1:] &= (x["doc"][1:] == x["doc"][:-1]) & (x["pos"][1:] == x["pos"][:-1]) & (x["key"][1:] == x["key"][:-1])
+    return order, (x["doc"] != first["doc"]) | (x["pos"] != first["pos"]), again
+
+
+SAME = ("anchor", "d1", "d2", "left")
 
 
 def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
-    """doc and payload: intervals (pairs of little-endian 32-bit integers) of bytes to remove, in any number of rows a document."""
+    """doc, key and payload: intervals (pairs of little-endian 32-bit integers) of bytes to remove, in any number of rows a text. docs: doc_id, text, key."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bits = min(16, max(6, (8 * docs.rdd.getNumPartitions() - 1).bit_length()))
-    levels = spark.sparkContext.broadcast(repeats(docs, rules, bits))
+    table_, table_bits = repeats(docs, rules, bits)
+    levels = spark.sparkContext.broadcast(table_)
 
-    def send(rows: list, contexts: list, many: list) -> Iterator[pa.RecordBatch]:
+    def send(rows: list, contexts: list) -> Iterator[pa.RecordBatch]:
         rows, contexts = np.concatenate(rows), np.concatenate(contexts)
-        order = np.lexsort([rows["pos"], rows["doc"], rows["context"], rows["anchor"]])
+        order, later, again = earliest(rows, *SAME)
+        x = rows[order[later]]
+        yield intervals_of(x, x["pos"] - x["left"], x["pos"] + x["right"])
+        order = order[~later & ~again]
         rows, contexts = rows[order], contexts[order]
-        again = np.zeros(len(rows), bool)
-        again[1:] = (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["context"][1:] == rows["context"][:-1])
-        x = rows[again]
-        yield intervals_of(x["doc"], x["pos"] - x["left"], x["pos"] + x["right"])
-        rows, contexts = rows[~again], contexts[~again]
         buckets, payloads, small = [], [], zstandard.ZstdCompressor(3)
         for k, i in by_bucket(rows, rows["anchor"], bits):
             own = rows[i]
-            columns = [np.ascontiguousarray(own[n]).tobytes() for n in FOUND.names]
+            columns = [np.ascontiguousarray(own[n]).tobytes() for n in SENT.names]
             payloads.append(small.compress(b"".join([np.array([len(own)], "<i8").tobytes(), *columns, *contexts[i[own["several"] > 0]].tolist()])))
             buckets.append(k)
-        yield pa.RecordBatch.from_pydict({"doc": pa.array([None] * len(buckets), pa.int64()), "bucket": pa.array(buckets, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        yield dealt([None] * len(buckets), [None] * len(buckets), buckets, payloads)
+
+    def send_strings(rows: list, contexts: list) -> Iterator[pa.RecordBatch]:
+        """Anchors of very many contexts: the task's own are sorted, and the earliest of equal strings go on."""
+        rows, contexts = np.concatenate(rows), np.concatenate(contexts)
+        order, later, again = earliest(rows, *SAME)
+        x = rows[order[later]]
+        yield intervals_of(x, x["pos"] - x["left"], x["pos"] + x["right"])
+        order = order[~later & ~again]
+        rows, contexts = rows[order], contexts[order]
+        reach_left, reach_right, out = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), []
+        for k, some, later in equal_strings(rows, contexts.tolist(), rules):
+            gone, first = some[later], some[~later]
+            reach_left[gone], reach_right[gone] = np.maximum(reach_left[gone], k), np.maximum(reach_right[gone], rules.length - k)
+            x = np.zeros(len(first), STRING)
+            starts = rows["left"][first].astype(np.int64) - k
+            digest = digest_of(contexts[i][a : a + rules.length] for i, a in zip(first.tolist(), starts.tolist()))
+            x["d1"], x["d2"], x["doc"], x["key"], x["pos"] = digest[:, 0], digest[:, 1], rows["doc"][first], rows["key"][first], rows["pos"][first] - k
+            out.append(x)
+        some = np.flatnonzero(reach_right)
+        yield intervals_of(rows[some], rows["pos"][some] - reach_left[some], rows["pos"][some] + reach_right[some])
+        x = np.concatenate(out)
+        buckets, payloads = [], []
+        for k, i in by_bucket(x, x["d1"], bits):
+            buckets.append((1 << bits) + k)
+            payloads.append(x[i].tobytes())
+        yield dealt([None] * len(buckets), [None] * len(buckets), buckets, payloads)
 
     def found(batches):
-        powers, rows, contexts = Powers(), [], []
+        powers, few, many = Powers(), ([], []), ([], [])
         for batch in batches:
-            for x, buf, where in anchors(batch.column(0).to_pylist(), batch.column(1), rules, powers):
-                level = level_of(levels.value, x["anchor"], rules.table_bits)
-                keep = np.flatnonzero((level > NONE) & (level < MANY))
-                x["several"] = level == SEVERAL
-                raw = buf.tobytes()
+            for x, buf, where in anchors(batch, rules, powers):
+                level = level_of(levels.value, x["anchor"], table_bits)
+                keep = np.flatnonzero(level > NONE)
+                raw, x, level = buf.tobytes(), x[keep], level[keep]
+                lo, hi = where[keep] - x["left"], where[keep] + x["right"]
+                pieces = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+                out = np.zeros(len(x), SENT)
+                for name in ("anchor", "doc", "key", "pos", "left", "right"):
+                    out[name] = x[name]
+                digest = digest_of(BYTE[k] + p for k, p in zip(x["left"].tolist(), pieces))
+                out["d1"], out["d2"], out["several"] = digest[:, 0], digest[:, 1], level >= SEVERAL
                 context = np.full(len(x), b"", object)
-                for i in np.flatnonzero(level == SEVERAL).tolist():
-                    context[i] = raw[where[i] - x["left"][i] : where[i] + x["right"][i]]
-                rows.append(x[keep])
-                contexts.append(context[keep])
-                if sum(map(len, rows)) >= rules.flush // 2:
-                    yield from send(rows, contexts, [])
-                    rows, contexts = [], []
-        if rows:
-            yield from send(rows, contexts, [])
+                for i in np.flatnonzero(level >= SEVERAL).tolist():
+                    context[i] = pieces[i]
+                for held, mine, most, give in ((few, level < MANY, rules.flush // 2, send), (many, level == MANY, rules.sort_rows, send_strings)):
+                    if mine.any():
+                        held[0].append(out[mine])
+                        held[1].append(context[mine])
+                        if sum(map(len, held[0])) >= most:
+                            yield from give(*held)
+                            held[0].clear()
+                            held[1].clear()
+        if few[0]:
+            yield from send(*few)
+        if many[0]:
+            yield from send_strings(*many)
 
     def resolved(key, part):
-        out = [pa.RecordBatch.from_pydict({"doc": part.column("doc").combine_chunks(), "payload": part.column("payload").combine_chunks()})] if key[0].as_py() < 0 else []
-        if not out:
+        if key[0].as_py() < 0:
+            return part.select(["doc", "key", "payload"])
+        out = []
+        if key[0].as_py() >= 1 << bits:
+            rows = np.concatenate([np.frombuffer(p.as_py(), STRING) for p in part.column("payload")])
+            order, later, _ = earliest(rows, "d1", "d2")
+            x = rows[order[later]]
+            out.append(intervals_of(x, x["pos"], x["pos"] + rules.length))
+        else:
             rows, contexts = [], []
             for p in part.column("payload"):
                 raw = zstandard.ZstdDecompressor().decompress(p.as_py())
-                x = np.zeros(int(np.frombuffer(raw, "<i8", 1)[0]), FOUND)
+                x = np.zeros(int(np.frombuffer(raw, "<i8", 1)[0]), SENT)
                 at = 8
-                for name in FOUND.names:
-                    x[name] = np.frombuffer(raw, FOUND[name], len(x), at)
-                    at += FOUND[name].itemsize * len(x)
+                for name in SENT.names:
+                    x[name] = np.frombuffer(raw, SENT[name], len(x), at)
+                    at += SENT[name].itemsize * len(x)
                 rows.append(x)
                 size = np.where(x["several"] > 0, x["left"].astype(np.int64) + x["right"], 0)
                 ends = at + np.cumsum(size)
                 contexts += [raw[e - s : e] if s else b"" for e, s in zip(ends.tolist(), size.tolist())]
             rows = np.concatenate(rows)
-            order = np.lexsort([rows["pos"], rows["doc"], rows["context"], rows["anchor"]])
+            order, later, again = earliest(rows, *SAME)
+            x = rows[order[later]]
+            out.append(intervals_of(x, x["pos"] - x["left"], x["pos"] + x["right"]))
+            order = order[~later & ~again]
             rows = rows[order]
-            again = np.zeros(len(rows), bool)
-            again[1:] = (rows["anchor"][1:] == rows["anchor"][:-1]) & (rows["context"][1:] == rows["context"][:-1])
-            x = rows[again]
-            out.append(intervals_of(x["doc"], x["pos"] - x["left"], x["pos"] + x["right"]))
-            rows, order = rows[~again], order[~again]
             mates = np.zeros(len(rows), bool)
             same = rows["anchor"][1:] == rows["anchor"][:-1]
             mates[1:] |= same
@@ -393,54 +484,22 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
             x = rows[pick]
             left, right = cover(x, [contexts[i] for i in order[pick]], rules)
             some = right > 0
-            out.append(intervals_of(x["doc"][some], x["pos"][some] - left[some], x["pos"][some] + right[some]))
+            out.append(intervals_of(x[some], x["pos"][some] - left[some], x["pos"][some] + right[some]))
         release()
-        return pa.Table.from_batches([b.select(["doc", "payload"]) for b in out])
+        return pa.Table.from_batches([b.select(["doc", "key", "payload"]) for b in out])
 
     path = shared_path(spark, "covered")
     # Intervals that tasks know already pass through in groups of their own.
-    made = docs.mapInArrow(tidy(found), KIND).withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("doc"), F.lit(1 << bits)).cast("int")))
-    made.groupBy("bucket").applyInArrow(resolved, "doc bigint, payload binary").write.parquet(path)
-    near = spark.read.parquet(path)
-    return near.unionByName(many_contexts(docs, levels, rules))
-
-
-def many_contexts(docs: DataFrame, levels, rules: SuffixRules) -> DataFrame:
-    """Intervals around anchors of too many contexts to be gathered: their strings are grouped by 128-bit hashes."""
-
-    def strings(batches):
-        powers = Powers()
-        for batch in batches:
-            for x, buf, where in anchors(batch.column(0).to_pylist(), batch.column(1), rules, powers):
-                i = np.flatnonzero(level_of(levels.value, x["anchor"], rules.table_bits) == MANY)
-                if not len(i):
-                    continue
-                h1, h2 = powers.prefix(buf), powers.prefix(buf, TABLE[::-1])
-                n = x["left"][i].astype(np.int64) + x["right"][i] - rules.length + 1
-                lag = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                i = np.repeat(i, n)
-                start = where[i] - x["left"][i] + lag
-                a, b = (mix(powers.between(h, start, start + rules.length)).view(np.int64) for h in (h1, h2))
-                at = x["pos"][i] - x["left"][i] + lag
-                yield pa.RecordBatch.from_pydict({"h1": a, "h2": b, "doc": x["doc"][i], "start": at.astype(np.int64)})
-
-    rows = docs.mapInArrow(tidy(strings), "h1 bigint, h2 bigint, doc bigint, start bigint")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = rows.join(firsts, ["h1", "h2"]).filter((F.col("doc") != F.col("_first.doc")) | (F.col("start") != F.col("_first.start"))).select("doc", "start").distinct()
-    size = rules.length
-
-    def merged(batches):
-        for batch in batches:
-            doc, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield intervals_of(doc, start, start + size).select(["doc", "payload"])
-
-    return later.mapInArrow(merged, "doc bigint, payload binary")
+    made = docs.mapInArrow(tidy(found), KIND).withColumn("bucket", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("doc", "key"), F.lit(1 << bits)).cast("int")))
+    made.groupBy("bucket").applyInArrow(resolved, KNOWN).write.parquet(path)
+    return spark.read.schema(KNOWN).parquet(path)
 
 
 def removed(docs: DataFrame, rules: SuffixRules = SuffixRules(), with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; `kept` bytes if asked for."""
-    spans = covered(docs, rules).groupBy("doc").agg(F.collect_list("payload").alias("_spans"))
-    both = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "_spans")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_key"))
+    spans = covered(docs, rules).groupBy("doc", "key").agg(F.collect_list("payload").alias("_spans"))
+    both = docs.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").select("doc_id", "text", "_spans")
 
     def cut_out(batches):
         for batch in batches:

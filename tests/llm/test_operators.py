@@ -289,21 +289,30 @@ def test_counts_edges(spark):
 
 
 def cut_by_force(rows, length):
-    seen, out = set(), {}
-    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+    """Places count by doc_id and start: rows of one doc_id share them."""
+    first, out = {}, []
+    for i, t in rows:
+        data = (t or "").encode()
+        for k in range(len(data) - length + 1):
+            if i is not None:
+                s = data[k : k + length]
+                first[s] = min(first.get(s, (i, k)), (i, k))
+    for i, t in rows:
         data = (t or "").encode()
         gone = bytearray(len(data))
         for k in range(len(data) - length + 1):
-            s = data[k : k + length]
-            if s in seen:
+            if i is not None and first[data[k : k + length]] < (i, k):
                 gone[k : k + length] = b"\1" * length
-            seen.add(s)
         runs = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
-        out[i] = (len(data), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
-    return out
+        out.append((i, len(data), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest()))
+    return collections.Counter(out)
+
+
+def cut_rows(out):
+    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
 
 
-@pytest.mark.parametrize("most", [3, 16384])
+@pytest.mark.parametrize("most", [0, 3, 16384])
 def test_suffixes_equal_brute_force(spark, most):
     rng = random.Random(5)
     base = ["".join(rng.choice("ab cdé") for _ in range(300)) for _ in range(5)]
@@ -315,8 +324,28 @@ def test_suffixes_equal_brute_force(spark, most):
             text += x[a : a + rng.randint(1, 250)] + "".join(rng.choice("xyz") for _ in range(rng.choice([0, 30])))
         rows.append((i, text))
     rows += [(300, "a" * 500), (301, "The " * 120), (302, None), (303, ""), (304, "x" * 99), (305, "x" * 100), (306, "a" * 500)]
-    out = suffixes.removed(docs(spark, rows).repartition(4), suffixes.SuffixRules(most_contexts=most, piece=4096))
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == cut_by_force(rows, 100)
+    out = suffixes.removed(docs(spark, rows).repartition(4), suffixes.SuffixRules(most_contexts=most, piece=4096, sort_rows=40))
+    assert cut_rows(out) == cut_by_force(rows, 100)
+
+
+@pytest.mark.parametrize("most", [0, 3, 4096])
+def test_suffixes_of_repeated_rows(spark, most):
+    rng = random.Random(15)
+    t, u, v = ("".join(rng.choice("abcdef ghij") for _ in range(n)) for n in (160, 160, 400))
+    cases = [
+        [(1, t), (1, t)], [(1, t), (2, t), (2, u)], [(1, t), (1, u), (1, t + u)], [(1, t), (1, "x" + t), (2, t)], [(None, t), (None, t), (3, t)], [(5, v), (5, v), (4, v[100:300]), (4, v[:150]), (4, v[100:300])],
+        [(7, v[50:] + t), (7, t + v), (7, v), (8, t), (8, t + t)], [(9, u * 3), (9, u * 3), (9, u)],
+    ]
+    # Each case has texts of its own, so that all run as one table.
+    rows = [(None if i is None else 10 * n + i, None if x is None else "".join(chr(ord(c) + n) for c in x)) for n, case in enumerate(cases) for i, x in case]
+    assert cut_rows(suffixes.removed(docs(spark, rows).repartition(5), suffixes.SuffixRules(most_contexts=most, sort_rows=5))) == cut_by_force(rows, 100)
+
+
+def test_suffix_table_bound(spark):
+    rng = random.Random(16)
+    base = "".join(rng.choice("abcd efgh") for _ in range(4000))
+    rows = [(i, base[a : a + 600]) for i, a in enumerate(rng.randrange(3400) for _ in range(40))]
+    assert cut_rows(suffixes.removed(docs(spark, rows).repartition(3), suffixes.SuffixRules(table_bits=8))) == cut_by_force(rows, 100)
 
 
 def test_suffix_sort_is_a_sort():
