@@ -22,10 +22,43 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+class Aside:
+    """A table's columns under names of their own, so that none clashes with an operator's, and the way back.
+
+    `df` has them as user_0, user_1, ...; `add` names those that the operator puts in place of columns so named.
+    """
+
+    def __init__(self, docs: DataFrame, add: list[str] | tuple = ()):
+        added = {c.lower() for c in add}
+        self.names = [c for c in docs.columns if c.lower() not in added]
+        self.all = docs.columns
+        self.df = docs.select(*[F.col(_quoted(c)).alias(f"user_{i}") for i, c in enumerate(docs.columns)])
+
+    def col(self, name: str):
+        """The column of that name, of whatever case; null where there is none."""
+        found = [i for i, c in enumerate(self.all) if c.lower() == name.lower()]
+        return F.col(f"user_{found[0]}") if found else F.lit(None).cast("string")
+
+    def kept(self) -> list[str]:
+        return [f"user_{i}" for i, c in enumerate(self.all) if c in self.names]
+
+    def back(self, df: DataFrame, *added) -> DataFrame:
+        return df.select(*[F.col(f"user_{i}").alias(c) for i, c in enumerate(self.all) if c in self.names], *added)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where no folder is set, as in tests."""
+    """A new path in the folder that driver and executors share. Where none is set, a temporary one if all run on this machine, else an error."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

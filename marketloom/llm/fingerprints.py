@@ -56,6 +56,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def runs_of(texts: pa.Array, most: int = PIECE) -> Iterator[pa.Array]:
+    """The texts in runs of at most `most` bytes, or one longer text."""
+    _, offsets = buffers(texts)
+    row = 0
+    while row < len(texts):
+        last = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1))
+        yield texts[row:last]
+        row = last
+
+
 def pieces(size: int, stops: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Cuts [0, size) at some of the sorted stops, each piece as long as `most` allows, or longer where no stop comes earlier."""
     start = 0
@@ -66,9 +76,9 @@ def pieces(size: int, stops: np.ndarray, most: int = PIECE) -> Iterator[tuple[in
         start = min(end, size)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers, table: np.ndarray = TABLE[LOWER]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A to Z lower-cased unless another table says so, the first word of each text, one more at the end, and the words' starts and ends."""
-    space = SPACES[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers, table: np.ndarray = TABLE[LOWER], spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A to Z lower-cased unless another table says so, parted by `spaces`, the first word of each text, one more at the end, and the words' starts and ends."""
+    space = spaces[data]
     inner = np.ones(len(data) + 1, bool)
     inner[offsets] = False  # no word goes on across the start of a text
     before = np.concatenate([[True], space])[: len(data)] | ~inner[:-1]

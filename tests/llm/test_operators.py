@@ -409,6 +409,17 @@ def test_decontamination_paths_cut_the_same_text(spark):
     assert ("None", "no id", "no id", 2, 0, (), ()) in a and any(len(r[6]) > 1 for r in a)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    plain, texts = decontaminate.window_hashes, pa.array(["one two three", "b two; Three four", None, "", "é One, TWO three!"], pa.string())
+    items, said = ["x", "y", "z"], pa.array(["one two three", "two three", "four"])
+    force = decontaminate.scan(texts, decontaminate.window_set(items, said, 2), decontaminate.Powers()).to_pylist()
+    assert [(r["n_words"], r["n_hit"], r["items"]) for r in force] == [(3, 3, ["x", "y"]), (4, 3, ["x", "y", "z"]), (0, 0, []), (0, 0, []), (4, 3, ["x", "y"])]
+    # Few hashes: sets are built with the first seed that tells their windows apart, and hits are compared by words.
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda words, k, powers, seed: plain(words, k, powers, seed) % np.uint64(6))
+    few = decontaminate.window_set(items, said, 2)
+    assert decontaminate.scan(texts, few, decontaminate.Powers()).to_pylist() == force
+
+
 def test_decontamination_spans_and_edges(spark):
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     df = decontaminate.decontaminate(docs(spark, [(1, "é One, TWO three! ok one two"), (2, None), (3, "")]), b)
