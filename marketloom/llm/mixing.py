@@ -2,9 +2,9 @@ r"""Mixing sources to target weights: whole passes over a source, and a subset o
 
 Targets share all words of the corpus by the sources' weights; none exceeds `most_passes` times its source, the excess goes to the
 others by weight. A source is taken as a whole as often as its target allows. For the rest its documents are counted by exact
-length: each length gives the share of its documents that the budget asks for, then single documents, longest first, while more
-than `dp_words` are left, and a bounded knapsack over the last of it, by dynamic programming, comes as near as subsets can
-without exceeding it. Of each length, the documents of the smallest seeded hashes are selected.
+length: all lengths give the same share of their documents, shares of single documents carried on from length to length, and a
+bounded knapsack over the remaining budget of about the longest document, up to `dp_words` if that isn't met, comes by dynamic programming as
+near as subsets can without exceeding it. Of each length, the documents of the smallest seeded hashes are selected.
 
 Large lengths are ranked in two steps, so no task sorts a hot source: documents are counted by slices of the hash range, and only
 those of the slice where the selection ends are ranked.
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import SPACE, cut, table
+from marketloom.llm.common import SPACE, Aside, cut, table
 
 ADDED = ["size", "source_size", "target", "passes", "picked", "taken"]
 
@@ -49,9 +49,7 @@ def targets(sources: DataFrame, rules: MixRules) -> DataFrame:
     for p in sorted(counts):
         offsets[p] = total
         total += counts[p]
-    before = F.lit(0)
-    for p, n in offsets.items():
-        before = F.when(F.col("_p") == p, n).otherwise(before)
+    before = F.get(F.array(*[F.lit(offsets.get(p, 0)) for p in range(max(offsets, default=0) + 1)]), F.col("_p"))  # a number a partition
     own = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("source").asc_nulls_last())) - 1
     weights = F.array(*[F.lit(float(w)) for w in rules.weights])
     df = cut(dealt.withColumn("_w", F.get(weights, (own + before) % len(rules.weights))).drop("_p"))
@@ -68,87 +66,127 @@ def targets(sources: DataFrame, rules: MixRules) -> DataFrame:
     return df.withColumn("target", F.least(F.col("_w") * share, limit)).drop("_w")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come near `budget` from below. Lengths are distinct and above 0."""
-    order = np.argsort(-lengths)
-    n, c = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    total = int((n * c).sum())
-    budget = min(int(budget), total)
-    take = (c.astype(object) * budget // max(total, 1)).astype(np.int64)
-    rest = budget - int((take * n).sum())
-    for i in range(len(n)):
-        if rest <= dp_words:
-            break
-        more = min(int(c[i] - take[i]), (rest - dp_words) // int(n[i]) + 1, rest // int(n[i]))
-        take[i] += more
-        rest -= more * int(n[i])
-    # Bounded knapsack: counts fall into packages of 1, 2, 4, ... documents; each reachable sum keeps the package that reached it first.
-    reach, first = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64)
+def shared(n: np.ndarray, c: np.ndarray, goal: int) -> np.ndarray:
+    """How many of c documents of each length n, ascending, make up about `goal` words, the same share of all lengths.
+
+    Shares of single documents are carried on to the next length, so the words are off by less than the longest document.
+    """
+    upto = np.floor(np.cumsum(c) * (goal / max(1, int((n * c).sum())))).astype(np.int64)
+    return np.minimum(np.diff(np.concatenate([[0], upto])), c)
+
+
+def nearest(w: np.ndarray, c: np.ndarray, room: int) -> np.ndarray:
+    """How many of at most c documents of each weight w reach the largest sum up to `room`, by dynamic programming.
+
+    Counts fall into packages of 1, 2, 4, ... documents; each reachable sum keeps the package that reached it first.
+    """
+    reach, first = np.zeros(room + 1, bool), np.full(room + 1, -1, np.int64)
     reach[0] = True
     packages = []
-    for i in np.flatnonzero((n <= rest) & (take < c)):
-        left, size = min(int(c[i] - take[i]), rest // int(n[i])), 1
-        while left and not reach[rest]:
+    usable = np.flatnonzero((w <= room) & (c > 0))
+    for i in usable[np.random.Generator(np.random.PCG64(1)).permutation(len(usable))]:  # no length is preferred
+        left, size = min(int(c[i]), room // int(w[i])), 1
+        while left and not reach[room]:
             size = min(size, left)
-            w = size * int(n[i])
-            if w <= rest:
-                new = np.flatnonzero(reach[: rest + 1 - w] & ~reach[w:]) + w
+            x = size * int(w[i])
+            if x <= room:
+                new = np.flatnonzero(reach[: room + 1 - x] & ~reach[x:]) + x
                 first[new] = len(packages)
                 reach[new] = True
-                packages.append((i, size, w))
+                packages.append((i, size, x))
             left, size = left - size, size * 2
-        if reach[rest]:
+        if reach[room]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    out, at = np.zeros(len(w), np.int64), int(np.flatnonzero(reach)[-1])
     while at:
-        i, size, w = packages[first[at]]
-        take[i] += size
-        at -= w
+        i, size, x = packages[first[at]]
+        out[i] += size
+        at -= x
+    return out
+
+
+def knapsack(n: np.ndarray, c: np.ndarray, rest: int, dp_words: int) -> np.ndarray:
+    """How many of at most c documents of each length n, ascending, come near `rest` words without exceeding it; the nearest if rest <= dp_words.
+
+    While more than dp_words are left, lengths count in steps of equally many words, rounded up; shorter ones give a share of what no
+    other fits.
+    """
+    out = np.zeros(len(n), np.int64)
+    while True:
+        step = max(1, -(-rest // dp_words))
+        long = n >= step
+        got = nearest(-(-n // step), np.where(long, c - out, 0), rest // step)
+        if step > 1 and not got.any():
+            left = np.where(long, 0, c - out)
+            all_ = int((left * n).sum())
+            got = left if all_ <= rest else shared(n, left, rest - int(n[~long].max()))
+        out, rest = out + got, rest - int((got * n).sum())
+        if step == 1 or not got.any():
+            return out
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int) -> np.ndarray:
+    """How many documents of each length to take so that their words come near `budget` from below. Lengths are distinct and above 0.
+
+    All lengths give the same share of a part of the budget; the knapsack fills the rest, of which it gets more while it isn't met.
+    A budget of at most dp_words is met by the nearest subset.
+    """
+    order = np.argsort(lengths)
+    n, c = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+    budget = min(int(budget), int((n * c).sum()))
+    best, off = np.zeros(len(n), np.int64), budget
+    for slack in sorted({min(budget, int(x)) for x in (n.max(initial=0), max(n.max(initial=0), dp_words // 2), max(n.max(initial=0), dp_words))}):
+        take = shared(n, c, budget - slack)
+        take = take + knapsack(n, c - take, budget - int((take * n).sum()), dp_words)
+        if budget - int((take * n).sum()) < off:
+            best, off = take, budget - int((take * n).sum())
+        if not off:
+            break
     out = np.zeros(len(n), np.int64)
-    out[order] = take
+    out[order] = best
     return out
 
 
 def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """docs with their size in words, their source's size and target, and the words taken: `passes` of the source, plus one if `picked`."""
-    mine = docs.drop(*ADDED)
-    size = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    sized = mine.withColumns({"size": size, "_h": F.xxhash64(F.lit(rules.seed), "doc_id", "text")})
-    lengths = cut(sized.groupBy("source", "size").agg(F.count("*").alias("_n")))
-    aims = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), rules)
+    mine = Aside(docs, ADDED)
+    text = mine.col("text")
+    size = F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+    sized = mine.df.select(*mine.kept(), mine.col("source").alias("source"), size.alias("size"), F.xxhash64(F.lit(rules.seed), mine.col("doc_id"), text).alias("h"))
+    lengths = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+    aims = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), rules)
     whole = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target") / F.col("source_size"), 9))).otherwise(0).cast("long")
-    aims = cut(aims.withColumn("passes", whole).withColumn("_budget", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
+    aims = cut(aims.withColumn("passes", whole).withColumn("budget", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(_take=fit(rows["size"].to_numpy(), rows["_n"].to_numpy(), int(rows["_budget"].iloc[0]), rules.dp_words))
+        return rows.assign(take=fit(rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["budget"].iloc[0]), rules.dp_words))
 
-    each = lengths.filter("size > 0").join(aims.select(F.col("source").alias("_s"), "_budget"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    takes = each.groupBy("source").applyInPandas(fitted, "source string, size bigint, _n bigint, _budget bigint, _take bigint")
+    each = lengths.filter("size > 0").join(aims.select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    takes = each.groupBy("source").applyInPandas(fitted, "source string, size bigint, n bigint, budget bigint, take bigint")
     # Slices of the hash range: as many as keep each to about slice_docs documents.
-    takes = cut(takes.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_take"), F.ceil(F.col("_n") / rules.slice_docs).alias("_slices")))
-    by_length = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    small = sized.select("source", "size", "_h").filter("size > 0").join(takes, by_length).drop("_s", "_z")
-    ends = bounds(small).select(F.col("source").alias("_s"), F.col("size").alias("_z"), "_last")
-    aims = aims.select(F.col("source").alias("_s"), "source_size", "target", "passes")
-    decided = lengths.drop("_n").join(aims, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").join(ends, by_length, "left").drop("_s", "_z")
-    decided = cut(decided.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "passes", "_last"))
-    placed = sized.join(decided, by_length)
-    picked = F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False))
-    taken = F.col("size") * (F.col("passes") + picked.cast("long"))
-    return placed.select(*mine.columns, "size", "source_size", "target", "passes", picked.alias("picked"), taken.alias("taken"))
+    takes = cut(takes.select(F.col("source").alias("s"), F.col("size").alias("z"), "take", F.ceil(F.col("n") / rules.slice_docs).alias("slices")))
+    by_length = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    small = sized.select("source", "size", "h").filter("size > 0").join(takes, by_length).drop("s", "z")
+    ends = bounds(small).select(F.col("source").alias("s"), F.col("size").alias("z"), "last")
+    aims = aims.select(F.col("source").alias("s"), "source_size", "target", "passes")
+    decided = lengths.drop("n").join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(ends, by_length, "left").drop("s", "z")
+    decided = cut(decided.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "passes", "last"))
+    placed = sized.join(decided, by_length).withColumn("picked", F.coalesce(F.col("h") <= F.col("last"), F.lit(False)))
+    taken = F.col("size") * (F.col("passes") + F.col("picked").cast("long"))
+    return mine.back(placed, "size", "source_size", "target", "passes", "picked", taken.alias("taken"))
 
 
 def bounds(rows: DataFrame) -> DataFrame:
-    """source, size, _last: the hash of the last document selected, of rows (source, size, _h, _take, _slices)."""
-    width = F.lit(2.0**64) / F.col("_slices")
-    rows = rows.withColumn("_slice", F.least(F.floor((F.col("_h").cast("double") + 2.0**63) / width), F.col("_slices") - 1))
-    counts = rows.groupBy("source", "size", "_slice").agg(F.count("*").alias("_c"), F.first("_take").alias("_take"))
-    before = F.sum("_c").over(Window.partitionBy("source", "size").orderBy("_slice")) - F.col("_c")
-    ending = counts.withColumn("_before", before).filter((F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_c") >= F.col("_take")))
-    ending = ending.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_slice").alias("_e"), (F.col("_take") - F.col("_before")).alias("_rank"))
-    inside = rows.join(ending, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_slice") == F.col("_e")))
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("source", "size").orderBy("_h")))
-    return ranked.filter(F.col("_r") == F.col("_rank")).select("source", "size", F.col("_h").alias("_last"))
+    """source, size, last: the hash of the last document selected, of rows (source, size, h, take, slices)."""
+    width = F.lit(2.0**64) / F.col("slices")
+    rows = rows.withColumn("slice", F.least(F.floor((F.col("h").cast("double") + 2.0**63) / width), F.col("slices") - 1))
+    counts = rows.groupBy("source", "size", "slice").agg(F.count("*").alias("c"), F.first("take").alias("take"))
+    before = F.sum("c").over(Window.partitionBy("source", "size").orderBy("slice")) - F.col("c")
+    ending = counts.withColumn("before", before).filter((F.col("before") < F.col("take")) & (F.col("before") + F.col("c") >= F.col("take")))
+    ending = ending.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("slice").alias("e"), (F.col("take") - F.col("before")).alias("rank"))
+    inside = rows.join(ending, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("slice") == F.col("e")))
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("source", "size").orderBy("h")))
+    return ranked.filter(F.col("r") == F.col("rank")).select("source", "size", F.col("h").alias("last"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,5 +195,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents appear as often as the mix takes them."""
+    mine = Aside(docs)
+    mixed = mix(mine.df.withColumns({c: mine.col(c) for c in ("doc_id", "text", "source")}))
     times = F.array_repeat(F.lit(1), (F.col("passes") + F.col("picked").cast("long")).cast("int"))
-    return mix(docs).withColumn("_time", F.explode(times)).select(docs.columns)
+    return mine.back(mixed.withColumn("time", F.explode(times)))

@@ -220,14 +220,28 @@ def test_mixing(spark):
 
 def test_budget_fit_is_the_nearest_subset():
     rng = random.Random(4)
-    for _ in range(60):
+    for _ in range(200):
         n = np.array(rng.sample(range(1, 40), 4))
         c = np.array([rng.randint(1, 3) for _ in n])
         budget = rng.randint(0, int((n * c).sum()))
-        got = int((mixing.fit(n, c, budget, 1 << 16) * n).sum())
+        take = mixing.fit(n, c, budget, 1 << 16)
         sums = {sum(a * b for a, b in zip(n, pick)) for pick in itertools.product(*[range(k + 1) for k in c])}
-        # Shares come first, so the result is near the best rather than always equal to it.
-        assert got <= budget and budget - got <= budget - max(s for s in sums if s <= budget) + int(n.max())
+        assert int((take * n).sum()) == max(s for s in sums if s <= budget) and (take <= c).all() and (take >= 0).all()
+    assert mixing.fit(np.zeros(0, np.int64), np.zeros(0, np.int64), 5, 10).tolist() == []
+
+
+def test_budget_fit_prefers_no_length():
+    n = np.arange(1, 20_001)
+    for counts, budget in ((np.ones(20_000, np.int64), n.sum() // 2), (np.ones(20_000, np.int64), n.sum() // 10), (np.full(20_000, 3), n.sum())):
+        take = mixing.fit(n, counts, int(budget), 1 << 16)
+        share = budget / (n * counts).sum()
+        assert int((take * n).sum()) == budget and (take <= counts).all()
+        for part in np.split(take, 10):
+            assert abs(part.sum() / (2000 * counts[0]) - share) < 0.01
+    # Documents longer than the knapsack's table: their lengths count in steps.
+    n, c = np.array([1_000_000, 777_777, 300_001, 40_000, 7]), np.array([5, 5, 5, 5, 100_000])
+    take = mixing.fit(n, c, 3_456_789, 1000)
+    assert 0 <= 3_456_789 - int((take * n).sum()) <= 3_456_789 / 500
 
 
 def test_mixing_edges(spark):
