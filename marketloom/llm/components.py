@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import cut
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b): the smallest node that it reaches.
 
     Alternating large and small stars: every node hands its larger neighbours, then its smaller ones, to the smallest node around
@@ -16,7 +16,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
-    for _ in range(rounds):
+    while True:  # rounds grow with the logarithm of a component's width
         # Large star: u over v. All neighbours of a node, smaller or larger, give its minimum; larger ones are handed to it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_n"), F.least("u", "m").alias("m"))
@@ -30,6 +30,4 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,7 +1,8 @@
 r"""N-gram Jaccard join: token-combination prefixes over shingle sets, then verification.
 
-A token is the 64-bit hash of a shingle. Documents of equal sets form a class, whose smallest doc_id stands for it; only those
-representatives are joined, since a class's members share all of its links.
+A token is the 64-bit hash of a shingle. Documents of equal sets form a class, for which its row of the smallest doc_id stands; only those
+representatives are joined, since a class's members share all of its links. They are numbered in the order of their doc_ids. Sets so
+small that no other set comes near enough are classes, too, but are not joined.
 
 Order: by how often a token occurs, as a count sketch of fixed size tells it in steps, then by hash. Two sets of sizes m and n and
 similarity t share at least k tokens among the first m - a + k of one and the first n - a + k of the other, where
@@ -21,7 +22,8 @@ Verification recomputes sets from the texts and compares sizes of intersection a
 in groups around one of them, which are split where they are large.
 
 Defined cases: texts without words, and null ones, have an empty set, link with nothing and are components of their own; equal
-rows are one class; rows without doc_id get no component; an empty table gives an empty result; other columns are not read.
+rows are one class; rows of one doc_id are documents of their own; rows without doc_id link with nothing and get a null component; an empty table gives an
+empty result; other columns are not read, and in the stage pass through.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import cut, stored, table, tidy
+from marketloom.llm.common import Aside, cut, stored, table, tidy
 from marketloom.llm.components import components
 from marketloom.llm.fingerprints import Powers, mix, shingle_sets
 
@@ -92,8 +94,13 @@ def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
     return np.floor(2 * np.log2(np.maximum(total, usual) / usual)).astype(np.uint8)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, which tells texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+
+
 def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """doc_id, n, digest of the set (two hashes) the tokens of the prefix, in order, the set's bitmap, and how common its tokens are."""
+    """doc_id, key, n, digest of the set (two hashes) the tokens of the prefix, in order, the set's bitmap, and how common its tokens are."""
     common = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, rules))
     percent, bits = rules.percent, rules.bits
 
@@ -101,32 +108,36 @@ def prefixes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
         powers, cells = Powers(), np.uint64((1 << rules.sketch_bits) - 1)
         levels = common.value
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            rows = []
             for r, tokens in shingle_sets(batch.column(1), rules.width, powers):
                 n = len(tokens)
                 if not n:
-                    rows.append((ids[r], 0, None, None, [], [], 0))
+                    rows.append((r, 0, None, None, [], [], 0))
                     continue
                 p = min(n, n - (percent * n + 99) // 100 + 2)
                 level = levels[tokens & cells]
                 first = tokens[np.argsort(level, kind="stable")[:p]]
                 sums = [int(mix(tokens + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2)]
                 parity = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-                rows.append((ids[r], n, *sums, first.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64), int(level.sum())))
+                rows.append((r, n, *sums, first.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64), int(level.sum())))
             cols = list(zip(*rows)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n", "d1", "d2", "tokens", "bitmap", "common"])
+            own = pa.array(cols[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), *(pa.array(c, k) for c, k in zip(cols[1:], kinds[1:]))], ["doc_id", "key", "n", "d1", "d2", "tokens", "bitmap", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, bitmap array<bigint>, common bigint")
+    return keyed(docs).mapInArrow(tidy(made), "doc_id bigint, key bigint, n bigint, d1 bigint, d2 bigint, tokens array<bigint>, bitmap array<bigint>, common bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Those of pairs (a, b) whose texts' sets are similar enough, with the sizes of intersection and union."""
-    texts = wanted(pairs, docs.select("doc_id", "text"))
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Those of pairs (a, b) of representatives (rep, doc_id, key) whose texts' sets are similar enough, with the sizes of intersection and union."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep")
+    asked = stored(asked, "asked")
+    # Equal rows give their text once.
+    texts = wanted(asked, keyed(docs)).groupBy("doc_id", "key").agg(F.first("text").alias("text")).join(asked, ["doc_id", "key"]).select(F.col("rep").alias("d"), "text")
     groups_ = pairs.groupBy("a").agg(F.ceil(F.count("*") / rules.group).cast("int").alias("_s"))
     members = pairs.join(groups_, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("s"), F.col("b").alias("d"))
     heads = groups_.select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("s"), F.col("a").alias("d"))
-    rows = members.unionByName(heads).join(texts, F.col("d") == F.col("doc_id")).select("a", "s", "d", "text")
+    rows = members.unionByName(heads).join(texts, "d").select("a", "s", "d", "text")
     dealt = rows.repartition("a", "s").sortWithinPartitions("a", "s", F.col("d") != F.col("a"))
     percent = rules.percent
 
@@ -157,42 +168,47 @@ def near(pairs: DataFrame, bitmaps: DataFrame, rules: JaccardRules) -> DataFrame
     return both.filter(differ <= sizes - 2 * F.ceil(sizes * rules.percent / (100 + rules.percent))).select("a", "b")
 
 
-def wanted(pairs: DataFrame, texts: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows of texts whose ids may stand in pairs: a bitmap of fixed size keeps the other texts from being shuffled."""
-    size = 1 << bits
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int").alias("c"))
-    words = ids.groupBy(F.shiftright("c", 13).alias("part")).agg(F.collect_set("c").alias("cells")).collect()  # at most 2**23 cells
-    bitmap = np.zeros(size, bool)
-    for r in words:
-        bitmap[r["cells"]] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+def wanted(asked: DataFrame, texts: DataFrame, most_bits: int = 27) -> DataFrame:
+    """Rows of texts whose doc_id and key may stand in asked: a bitmap of eight bits a row, at most 2**most_bits, keeps other texts from being shuffled."""
+    size = 1 << min(most_bits, max(16, (8 * asked.count()).bit_length()))
+    cell = F.pmod(F.xxhash64("doc_id", "key"), F.lit(size))
+    ids = asked.select((cell + 1).alias("c"))
+    parts = ids.groupBy(F.bitmap_bucket_number("c").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
+    bitmap = np.zeros(max(size, 1 << 15) // 8, np.uint8)
+    for r in parts:
+        bitmap[(r["part"] - 1) << 12 : r["part"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def within(cells: pa.Array) -> pa.Array:
         c = cells.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((shared.value[c >> 3] >> (7 - (c & 7)) & 1).astype(bool))
+        return pa.array((shared.value[c >> 3] >> (c & 7) & 1).astype(bool))
 
     return texts.filter(F.arrow_udf(within, "boolean")(cell))
 
 
-def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFrame, DataFrame]:
-    """The classes (doc_id, n, rep) and enough verified links between representatives to join what is linked."""
+def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes (doc_id, n, rep, first doc_id), the representatives (rep, doc_id, key), and enough verified links between these to join what is linked."""
     made = stored(prefixes(docs, rules), "prefixes")
-    firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    firsts = stored(firsts, "classes")
-    classes = made.select("doc_id", "d1", "d2", "n").join(firsts, ["d1", "d2", "n"], "left")
-    classes = stored(classes.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-
-    own = lambda *c: firsts.join(made.select(F.col("doc_id").alias("rep"), "d1", "d2", *c), ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
-    reps, bitmaps = own("tokens", "common"), stored(own("bitmap").select("rep", "n", "bitmap"), "bitmaps")
-    rows = reps.select("rep", "n", "common", F.posexplode("tokens").alias("pos", "token"))
+    firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("d1", "d2", "n", "r.doc_id", "r.key")
+    # Numbers rise with doc_id, within and across the ranges.
+    firsts = stored(firsts.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("rep", F.monotonically_increasing_id()), "classes")
+    label = firsts.select("d1", "d2", "n", "rep", F.col("doc_id").alias("first"))
+    classes = made.select("doc_id", "d1", "d2", "n").join(label, ["d1", "d2", "n"], "left")
+    known = F.col("doc_id").isNotNull()
+    classes = stored(classes.select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.coalesce("first", "doc_id")).alias("first")), "members")
+    reps = firsts.select("rep", "doc_id", "key")
+
+    linkable = firsts.filter(F.col("n") * (100 - rules.percent) >= rules.percent).select("rep", "doc_id", "key")
+    own = made.join(linkable, ["doc_id", "key"]).dropDuplicates(["rep"])
+    bitmaps = stored(own.select("rep", "n", "bitmap"), "bitmaps")
+    rows = own.select("rep", "n", "common", F.posexplode("tokens").alias("pos", "token"))
     most = F.max(F.struct("common", (-F.col("rep")).alias("r"), "n")).alias("_h")
     counts = rows.groupBy("token").agg(F.count("*").alias("df"), most).filter("df > 1").select("token", "df", (-F.col("_h.r")).alias("head"), F.col("_h.n").alias("m"))
     index = stored(rows.drop("common").join(counts, "token"), "index")
     fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * rules.percent
     first = index.filter((F.col("rep") != F.col("head")) & fits(F.col("m"), F.col("n"))).groupBy("head", "rep").agg(F.count("*").alias("_c")).filter("_c > 1")
     first = cut(near(first.select(F.col("head").alias("a"), F.col("rep").alias("b")), bitmaps, rules))
-    found = cut(verified(first, docs, rules).select("a", "b"))
+    found = cut(verified(first, reps, docs, rules).select("a", "b"))
     label = components(found)
 
     # Second turn: keys whose representatives are in several components.
@@ -215,15 +231,15 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     met = x.join(y, reduce(Column.__and__, early, (F.col("x.token") == F.col("y.token")) & (F.col("x.tokens") == F.col("y.tokens")) & apart))
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    more = verified(cut(near(second, bitmaps, rules)), docs, rules).select("a", "b")
-    return classes, cut(found.unionByName(more))
+    more = verified(cut(near(second, bitmaps, rules)), reps, docs, rules).select("a", "b")
+    return classes, reps, cut(found.unionByName(more))
 
 
 def groups(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
-    classes, found = links(docs, rules)
-    label = components(found).select(F.col("node").alias("rep"), "component")
-    return classes.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    classes, reps, found = links(docs, rules)
+    label = components(found).join(reps.select(F.col("rep").alias("component"), F.col("doc_id").alias("least")), "component").select(F.col("node").alias("rep"), "least")
+    return classes.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "first").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,8 +248,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates (shingles of five words, 80 %) the document of the smallest doc_id stays."""
-    group = groups(docs, JaccardRules(width=5, percent=80)).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(group, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    mine = Aside(docs)
+    df = mine.df.withColumns({"doc_id": mine.col("doc_id").cast("bigint"), "key": F.xxhash64(mine.col("text"))})
+    gone = groups(docs, JaccardRules(width=5, percent=80)).filter("doc_id <> component_id").select("doc_id").distinct()
+    return mine.back(df.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "key"]))
 
 
 ORACLE = r"""

@@ -178,6 +178,15 @@ def test_jaccard_edges(spark):
     assert jaccard.groups(docs(spark, [])).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rng = random.Random(19)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    near = lambda w: " ".join([*w[:79], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (None, " ".join(a)), (None, near(b)), (8, "a b c"), (8, "a b c"), (9, "a b c d")]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.groups(docs(spark, rows)).collect())
+    assert got == sorted([("5", 78, 5), ("5", 78, 5), ("6", 78, 5), ("7", 78, 5), ("None", 78, None), ("None", 78, None), ("8", 1, 8), ("8", 1, 8), ("9", 2, 9)])
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(7, 7)]
