@@ -51,11 +51,11 @@ BYTE = [bytes([k]) for k in range(256)]
 class SuffixRules:
     length: int = 100
     gram: int = 32
-    most_contexts: int = 4_096
+    most_contexts: int = 16_384
     table_bits: int = 28
     flush: int = 1 << 19
     piece: int = 1 << 19
-    sort_rows: int = 1 << 15
+    sort_rows: int = 1 << 13
 
     @property
     def before(self) -> int:
