@@ -1,6 +1,8 @@
 """Quality rules: base counts, and the divergence of a document from the references of its language.
 
-References are two histograms a language, over all documents: of character classes and of common words. A document whose
+References are two histograms a language: of character classes and of its common words, lower-cased and without what is no letter. They
+are sums over all documents that the base rule passes and that are long enough to be judged, and then, once more, over those of
+them that these sums keep, so that junk has no part in what it is judged by. A document whose
 Jensen-Shannon distance from either is too large is rejected; short documents are not judged that way. Everything is a
 DataFrame function, so a document is never seen by Python.
 
@@ -12,25 +14,24 @@ Further columns pass through; the operator's own are named by `BASE` and `VERDIC
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import SPACE, cut, held, table
+from marketloom.llm.common import SPACE, Aside, held, stored, table
 
-# Common words of each language.
+# Fifty common words of each language.
 COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich"],
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "las", "un"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une"],
+    "de": "der die und in den von zu das mit sich auf des für ist nicht dem im ein als eine auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur".split(),
+    "en": "the of and to a in is that it for was on with be by as this are at from he his have not had but they which or you she an were her we their one been has all would there when what who will if no more so".split(),
+    "es": "de la que el en y los se del las por un no con su una es para al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque".split(),
+    "fr": "de la le et les des en un du une que pour est qui par dans sur au pas avec il ne se ce plus son a sont ou aux elle cette mais comme ses ont nous vous été leur sa même on deux ces tout sans fait être peut".split(),
 }
 OTHER = "*"
-CLASSES = {"upper": r"\p{Lu}", "mark": r"[^\p{L}" + SPACE + "]", "space": f"[{SPACE}]"}
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "punctuation": r"\p{P}", "symbol": r"\p{S}", "space": f"[{SPACE}]"}
 SYMBOLS = "[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-HISTOGRAMS = ["_lang", "_classes", "_hist", "_size"]
+HISTOGRAMS = ["lang_", "classes_", "hist_", "size_"]
 VERDICT = ["class_distance", "word_distance", "kept"]
 
 
@@ -42,7 +43,7 @@ class QualityRules:
     class_min_chars: int = 200
     max_class_distance: float = 0.25
     word_min_words: int = 80
-    max_word_distance: float = 0.26
+    max_word_distance: float = 0.28
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -54,41 +55,47 @@ class References:
     words: dict
 
 
-def _words() -> Column:
-    return F.array_remove(F.split(F.col("_text"), f"[{SPACE}]+"), "")
-
-
-def _with_histograms(docs: DataFrame, rules: QualityRules) -> DataFrame:
-    lang = F.when(F.col("lang").isin(*rules.common_words), F.col("lang")).otherwise(OTHER)
-    df = held(docs.withColumn("_text", F.coalesce("text", F.lit(""))), _words=_words(), _lang=lang)
-    counts = [F.regexp_count("_text", F.lit(c)) for c in CLASSES.values()]
-    df = held(df, _counts=F.array(*counts), _size=F.length("_text"))
-    classes = F.concat("_counts", F.array(F.col("_size") - reduce(Column.__add__, (F.col("_counts")[i] for i in range(len(counts))))))
+def _with_histograms(docs: DataFrame, text: Column, lang: Column, rules: QualityRules) -> DataFrame:
+    """Adds text_, words_, and the histograms."""
+    lang = F.when(lang.isin(*rules.common_words), lang).otherwise(OTHER)
+    df = held(docs.withColumn("text_", F.coalesce(text, F.lit(""))), words_=F.array_remove(F.split(F.col("text_"), f"[{SPACE}]+"), ""), lang_=lang)
+    df = held(df, counts_=F.array(*[F.regexp_count("text_", F.lit(c)) for c in CLASSES.values()]), size_=F.length("text_"))
     every = sorted({w for ws in rules.common_words.values() for w in ws})
+    plain = F.filter(F.split(F.lower("text_"), r"[^\p{L}]+"), lambda w: w != "")
+    df = held(df, classes_=F.concat("counts_", F.array(F.col("size_") - F.aggregate("counts_", F.lit(0), lambda a, x: a + x))), plain_=plain)
     lists = F.create_map(*[x for k, ws in rules.common_words.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
-    df = held(df, _classes=classes, _common=F.filter("_words", lambda w: w.isin(*every)), _list=lists[F.col("_lang")])
-    own = F.transform("_list", lambda c: F.size(F.filter("_common", lambda w: w == c)))
-    df = held(df, _own=own)
-    rest = F.size("_words") - F.aggregate("_own", F.lit(0), lambda a, x: a + x)
-    return held(df, _hist=F.concat("_own", F.array(rest)))
+    common = F.concat(F.lit(" "), F.array_join(F.filter("plain_", lambda w: w.isin(*every)), "  "), F.lit(" "))
+    df = held(df, n_plain_=F.size("plain_"), common_=common, list_=lists[F.col("lang_")])
+    # Each common word stands between two spaces of its own, so what replacing it takes away tells how often it is there.
+    bytes_ = lambda c: F.octet_length(c)
+    own = F.transform("list_", lambda c: ((bytes_("common_") - bytes_(F.replace(F.col("common_"), F.concat(F.lit(" "), c, F.lit(" "))))) / (bytes_(c) + 2)).cast("int"))
+    df = held(df.drop("plain_"), own_=own)
+    return held(df, hist_=F.concat("own_", F.array(F.col("n_plain_") - F.aggregate("own_", F.lit(0), lambda a, x: a + x))))
 
 
-def fit_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> References:
-    """Sums the histograms of all documents, or of all rows of features(), by language: one row for each listed language and one for the others."""
+def sums(featured: DataFrame, rules: QualityRules) -> References:
+    """Sums of the histograms of rows of features(), by language: one row for each listed language and one for the others."""
     n, w = len(CLASSES) + 1, max(map(len, rules.common_words.values())) + 1
+    long_class, long_word = F.col("size_") >= rules.class_min_chars, F.col("n_words") >= rules.word_min_words
     rows = (
-        (docs if "_hist" in docs.columns else _with_histograms(docs, rules)).groupBy("_lang")
-        .agg(*[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(n)], *[F.sum(F.get("_hist", F.lit(i))).alias(f"w{i}") for i in range(w)])
+        featured.groupBy("lang_")
+        .agg(*[F.sum(F.when(long_class, F.col("classes_")[i])).alias(f"c{i}") for i in range(n)], *[F.sum(F.when(long_word, F.get("hist_", F.lit(i)))).alias(f"w{i}") for i in range(w)])
         .collect()
     )
-    classes = {r["_lang"]: [r[f"c{i}"] for i in range(n)] for r in rows}
+    classes = {r["lang_"]: [r[f"c{i}"] or 0 for i in range(n)] for r in rows}
     if classes:
         classes[OTHER] = [sum(v[i] for v in classes.values()) for i in range(n)]
-    words = {r["_lang"]: [r[f"w{i}"] for i in range(len(rules.common_words[r["_lang"]]) + 1)] for r in rows if r["_lang"] != OTHER}
+    words = {r["lang_"]: [r[f"w{i}"] or 0 for i in range(len(rules.common_words[r["lang_"]]) + 1)] for r in rows if r["lang_"] != OTHER}
     share = lambda table: {k: [float(x) / sum(v) for x in v] for k, v in table.items() if sum(v)}
     return References(share(classes), share(words))
 
 
+def fit_references(featured: DataFrame, rules: QualityRules = QualityRules()) -> References:
+    """References from rows of features(): from those that pass the base rule, then from those of them that these references keep."""
+    good = featured.filter("NOT base_failed")
+    return sums(_judged(good, sums(good, rules), rules).filter("kept"), rules)
+
+
 def _distance(counts: Column, shares: Column) -> Column:
     """Jensen-Shannon distance, from 0 to 1, of counts from shares; null where there are no shares or counts."""
     total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
@@ -105,60 +112,67 @@ def _lookup(table: dict, key: Column) -> Column:
 
 def _repeat_words(df: DataFrame, k: int) -> DataFrame:
     """Adds n_repeat_words: words covered by windows of k words that occur twice or more. Windows are told apart by 64-bit hashes."""
-    n = F.size("_words")
-    windows = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(k)])))
-    df = held(df, _windows=F.coalesce(windows, F.array().cast("array<bigint>")))
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    ranked = F.when(repeats, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = held(df, _ranked=ranked)
-    same = lambda x, j: F.coalesce(F.get("_ranked", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_ranked", j + 1)["h"] == x["h"], F.lit(False))
-    found = F.array_sort(F.transform(F.filter("_ranked", same), lambda x: x["i"]))
+    n = F.size("words_")
+    windows = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get("words_", i + j) for j in range(k)])))
+    df = held(df, windows_=F.coalesce(windows, F.array().cast("array<bigint>")))
+    repeats = F.size(F.array_distinct("windows_")) < F.size("windows_")
+    ranked = F.when(repeats, F.array_sort(F.transform("windows_", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = held(df, ranked_=ranked)
+    same = lambda x, j: F.coalesce(F.get("ranked_", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("ranked_", j + 1)["h"] == x["h"], F.lit(False))
+    found = F.array_sort(F.transform(F.filter("ranked_", same), lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(found, start, lambda a, i: F.struct((i + k).alias("end"), (a["n"] + i + k - F.greatest(a["end"], i)).alias("n")))["n"]
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
-def features(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with the base counts, and the histograms in columns that verdict() drops."""
-    others = [c for c in docs.columns if c not in BASE + VERDICT]
-    df = _repeat_words(_with_histograms(docs.select(others), rules), rules.window)
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+def features(docs: DataFrame, rules: QualityRules = QualityRules(), keep: list[str] | None = None, text: Column | None = None, lang: Column | None = None) -> DataFrame:
+    """docs with the base counts and the histograms; keep: the columns that go along."""
+    text, lang = F.col("text") if text is None else text, F.col("lang") if lang is None else lang
+    df = _repeat_words(_with_histograms(docs, text, lang, rules), rules.window)
+    lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     n = F.col("n_words")
     df = df.select(
-        *others, *HISTOGRAMS, "n_repeat_words",
-        F.size("_words").cast("long").alias("n_words"),
-        (F.col("_size") - F.col("_classes")[list(CLASSES).index("space")]).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        *(docs.columns if keep is None else keep), *HISTOGRAMS, "n_repeat_words",
+        F.size("words_").cast("long").alias("n_words"),
+        (F.col("size_") - F.col("classes_")[list(CLASSES).index("space")]).cast("long").alias("word_chars"),
+        F.regexp_count("text_", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
     return df.withColumn("base_failed", (n < rules.min_words) | (F.col("n_repeat_words") * 100 > n * rules.max_repeat_percent))
 
 
-def verdict(featured: DataFrame, references: References, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Rows of features() with the distances and `kept`, without the histograms."""
-    own_or_pooled = F.coalesce(_lookup(references.classes, F.col("_lang")), _lookup(references.classes, F.lit(OTHER)))
+def _judged(featured: DataFrame, references: References, rules: QualityRules) -> DataFrame:
+    own_or_pooled = F.coalesce(_lookup(references.classes, F.col("lang_")), _lookup(references.classes, F.lit(OTHER)))
     df = held(
         featured,
-        class_distance=F.when(F.col("_size") >= rules.class_min_chars, _distance(F.col("_classes"), own_or_pooled)),
-        word_distance=F.when(F.col("n_words") >= rules.word_min_words, _distance(F.col("_hist"), _lookup(references.words, F.col("_lang")))),
+        class_distance=F.when(F.col("size_") >= rules.class_min_chars, _distance(F.col("classes_"), own_or_pooled)),
+        word_distance=F.when(F.col("n_words") >= rules.word_min_words, _distance(F.col("hist_"), _lookup(references.words, F.col("lang_")))),
     )
     far = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False))
     kept = ~F.col("base_failed") & ~far("class_distance", rules.max_class_distance) & ~far("word_distance", rules.max_word_distance)
-    return df.withColumn("kept", kept).drop(*HISTOGRAMS)
+    return df.withColumn("kept", kept)
+
+
+def verdict(featured: DataFrame, references: References, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Rows of features() with the distances and `kept`, without the histograms."""
+    return _judged(featured, references, rules).drop(*HISTOGRAMS)
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with the base counts, the distances and `kept`: one pass for the references, one for the verdicts."""
-    return verdict(features(docs, rules), fit_references(docs, rules), rules)
+    """docs with the base counts, the distances and `kept`. Rows are written with their features once, for the references and the verdicts."""
+    mine = Aside(docs, BASE + VERDICT)
+    featured = stored(features(mine.df, rules, mine.kept(), mine.col("text"), mine.col("lang")), "features")
+    return mine.back(verdict(featured, fit_references(featured, rules), rules), *BASE, *VERDICT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the features are small, so they are written once and serve both the references and the verdicts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    featured = cut(features(docs).drop("text", "lang"))
+    featured = stored(features(docs, keep=["doc_id"]), "features")
     return verdict(featured, fit_references(featured)).select("doc_id", *BASE, "kept", *VERDICT[:2])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that the rules reject go."""
-    return judge(docs).filter("kept").select(docs.columns)
+    mine = Aside(docs)
+    return mine.back(judge(mine.df.withColumns({"text": mine.col("text"), "lang": mine.col("lang")})).filter("kept"))

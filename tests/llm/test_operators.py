@@ -661,18 +661,34 @@ def test_quality_distance_equals_brute_force(spark):
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.sqrt(max(0, (np.nansum(np.where(p > 0, p * np.log2(p / m), 0)) + np.nansum(np.where(q > 0, q * np.log2(q / m), 0))) / 2))
 
-    good = "the cat of the mat and a dog to be in it is for that one " * 8
-    rows = [(i, f"{good} {i} word") for i in range(20)] + [(50, "XQ## !!ZZ " * 60)]
+    rng = random.Random(22)
+    good = lambda: " ".join(rng.choices(["the", "cat", "Of", "mat,", "and", "a", "dog", "to", "be", "in", "it.", "is", "for", "that", "one", "there", "more", "bird"], k=120))
+    rows = [(i, good()) for i in range(40)] + [(50, " ".join(f"XQ#{i} !!ZZ" for i in range(60)))]
     df = docs(spark, rows)
-    refs = quality.fit_references(df)
-    histogram = quality._with_histograms(df, quality.QualityRules()).select("doc_id", "_classes", "_hist").collect()
+    featured = quality.features(df.drop("n_words", "kept"))
+    refs = quality.fit_references(featured)
+    histogram = featured.select("doc_id", "classes_", "hist_").collect()
     rows = {r.doc_id: r for r in quality.judge(df).collect()}
     for r in histogram:
-        assert abs(rows[r.doc_id].class_distance - distance(r._classes, refs.classes["en"])) < 1e-9
-        assert abs(rows[r.doc_id].word_distance - distance(r._hist, refs.words["en"])) < 1e-9
+        assert abs(rows[r.doc_id].class_distance - distance(r.classes_, refs.classes["en"])) < 1e-9
+        assert abs(rows[r.doc_id].word_distance - distance(r.hist_, refs.words["en"])) < 1e-9
     assert not rows[50].kept and rows[50].class_distance > 0.25
 
 
+def test_quality_histograms_equal_brute_force(spark):
+    rng = random.Random(21)
+    said = [*quality.COMMON_WORDS["de"][:9], *quality.COMMON_WORDS["en"][:9], "x", "dera", "ander"]
+    rows = [(i, "".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" ", ", ", "\n", "1", "-", "$ "]) for w in rng.choices(said, k=rng.randint(0, 40)))) for i in range(80)]
+    df = docs(spark, rows).drop("n_words", "kept")
+    for lang in ("de", "en"):
+        for r in quality.features(df.withColumn("lang", common.F.lit(lang))).select("doc_id", "text", "classes_", "hist_", "size_").collect():
+            plain = re.findall(r"[^\W\d_]+", r.text.lower())
+            own = [plain.count(w) for w in quality.COMMON_WORDS[lang]]
+            assert r.hist_ == [*own, len(plain) - sum(own)]
+            classes = [sum(c.isupper() for c in r.text), sum(c.isdigit() for c in r.text), sum(c in ",-" for c in r.text), r.text.count("$"), sum(c in " \n" for c in r.text)]
+            assert r.classes_ == [*classes, len(r.text) - sum(classes)]
+
+
 def test_quality_edges_and_plan(spark):
     out = quality.judge(edge(spark))
     assert out.count() == 9 and out.filter("doc_id <= 3 AND kept").count() == 0
