@@ -9,8 +9,9 @@ is one or two links away from each of its mentions.
 Loopy sum-product passing runs over all documents of a batch as one graph. Labels that beliefs name firmly, in tokens that no
 pattern has found, become further spans, if what they cover can be of that kind. The spans of the patterns always stay.
 
-Weights are trained on the patterns' labels in a bounded sample: the `sample_docs` documents of at most `sample_chars` characters
-whose hashes are smallest. Unary weights are smoothed log odds of labels by token shape, pairwise ones by label pairs.
+Weights are fitted to the patterns' labels in a bounded sample: the `sample_docs` different texts of at most `sample_chars` characters
+whose hashes are smallest. They maximise the field's pseudo-likelihood, the chance of each label given its token and its neighbours'
+labels, under a Gaussian prior. Unlabelled mentions of a found value say nothing, as they are what the field is to tell, and are left out.
 
 Defined cases: a null text is an empty one and has no spans; without a sample document there are no weights and only the patterns
 count; other columns pass through, those named as the added one are replaced.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import table, tidy
+from marketloom.llm.common import Aside, table, tidy
 from marketloom.llm.secrets import digest
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -97,14 +98,28 @@ def plausible(kind: int, text: str) -> bool:
     if kind == 0:
         return bool(re.fullmatch(r"[^@]+@[^@]+\.[^@]+", text))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text))
-    return 14 <= len(digits) <= 19 if kind == 2 else 7 <= len(digits) <= 15
+        return four_parts(text)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+
+
+def four_parts(text: str) -> bool:
+    return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text)) and all(int(p) <= 255 for p in text.split("."))
 
 
 def shape(token: str) -> str:
-    """d for each digit up to five in a run, a for a run of letters, other characters as they are."""
-    s = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "d", token.replace("d", "a")))
-    return re.sub(r"d{6,}", "dddddd", s)[:40]
+    """d for each digit up to six in a run, a for a run of letters, other characters as they are."""
+    s = re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]+", "a", token))
+    return re.sub(r"0{6,}", "000000", s)[:40].replace("0", "d")
+
+
+def features(token: str) -> tuple[str, ...]:
+    """What is known of a token: its shape first, then what tells shapes never seen apart."""
+    digits = re.sub("[^0-9]", "", token)
+    out = [f"shape {shape(token)}", "any", f"digits {min(len(digits), 20) // 2}", f"dots {min(token.count('.'), 4)}", f"dashes {min(token.count('-'), 3)}"]
+    out += [name for name, has in (("at", "@" in token), ("plus", token.startswith("+")), ("bracket", "(" in token), ("letter", bool(re.search(r"[^\W\d_]", token)))) if has]
+    out += ["four parts"] if four_parts(token) else []
+    out += ["check digit"] if 14 <= len(digits) <= 19 and luhn(digits) else []
+    return tuple(out)
 
 
 def tokens(text: str, spans: list) -> tuple[list, list]:
@@ -130,32 +145,82 @@ def key(token: str) -> str:
 
 @dataclass
 class Weights:
-    unary: dict
+    """Rows of `unary` by feature, log potentials by label pair, and the features' rows. Nothing was seen without a labelled token."""
+
+    rows: dict
+    unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
     seen: bool = True
 
+    def score(self, token: str) -> np.ndarray:
+        """Log potentials of a token's labels. Shapes never seen are thought to be something else."""
+        said = features(token)
+        out = self.unary[[self.rows[f] for f in said if f in self.rows]].sum(0)
+        return out if said[0] in self.rows else out + UNSEEN
 
-def fit(texts: list[str]) -> Weights:
-    n = len(KINDS) + 1
-    by_shape, chain, same, differ = defaultdict(Counter), np.ones((n, n)), 1.0, 1.0
+
+UNSEEN = np.array([3.0] + [0.0] * len(KINDS))
+
+
+def examples(texts: list[str], gap: int) -> Counter:
+    """How often a token's features, the labels before and after it, and those of linked mentions, together and apart, go with its label."""
+    n, out = len(KINDS) + 1, Counter()
     for text in texts:
         where, labels = tokens(text, find(text))
-        last = {}
-        for i, ((a, b), y) in enumerate(zip(where, labels)):
-            by_shape[shape(text[a:b])][y] += 1
-            if i and a - where[i - 1][1] <= 2:
-                chain[labels[i - 1], y] += 1
-            k = key(text[a:b])
-            if k in last:
-                same, differ = same + (last[k] == y), differ + (last[k] != y)
-            last[k] = y
-    unary = {s: np.log([(c[y] + 0.1) / (sum(c.values()) + 0.1 * n) for y in range(n)]) for s, c in by_shape.items() if sum(c.values()) >= 3}
-    share = chain / chain.sum()
-    pair = np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True)))
-    skip = np.full((n, n), 0.0)
-    np.fill_diagonal(skip, max(0.0, np.log((n - 1) * same / differ)))
-    return Weights(unary, pair, skip, bool(unary))
+        groups = defaultdict(list)
+        for i, (a, b) in enumerate(where):
+            groups[key(text[a:b])].append(i)
+        hidden = {i for g in groups.values() if any(labels[i] for i in g) for i in g if not labels[i]}
+        linked = defaultdict(lambda: [0] * n)
+        for group in groups.values():
+            for i, j in zip(group, group[1:]):
+                if not {i, j} & hidden:
+                    linked[i][labels[j]] += 1
+                    linked[j][labels[i]] += 1
+        near = [i > 0 and where[i][0] - where[i - 1][1] <= gap for i in range(len(where))] + [False]
+        for i, (a, b) in enumerate(where):
+            if i not in hidden:
+                before = labels[i - 1] if near[i] and i - 1 not in hidden else -1
+                after = labels[i + 1] if near[i + 1] and i + 1 not in hidden else -1
+                said, links = features(text[a:b]), tuple(linked[i])
+                out[said, before, after, links, labels[i]] += 1
+                # Evidence is also taken by itself, so that none leaves it to the others to explain a label.
+                out[said, -1, -1, (0,) * n, labels[i]] += 1
+                if any(links):
+                    out[("any",), -1, -1, links, labels[i]] += 1
+    return out
+
+
+def fit(texts: list[str], gap: int = 2, least: int = 3, steps: int = 400, same: float = 3.0, precision: float = 0.02) -> Weights:
+    """Maximises the pseudo-likelihood by gradient ascent, with steps that adapt to each weight. The prior's mean is `same` for the skip weight, else 0, its precision `precision`."""
+    n, counted = len(KINDS) + 1, examples(texts, gap)
+    often = Counter()
+    for (said, *_), k in counted.items():
+        often.update({f: k for f in said})
+    rows = {f: i for i, f in enumerate(sorted(f for f, k in often.items() if k >= least))}
+    if not any(y for *_, y in counted):
+        return Weights(rows, np.zeros((len(rows), n)), np.zeros((n, n)), np.zeros((n, n)), False)
+    x = np.zeros((len(counted), len(rows)), np.float32)
+    before, after, linked, label_, count = (np.zeros((len(counted), n), np.float32) for _ in range(5))
+    for r, ((said, b, a, links, y), k) in enumerate(sorted(counted.items())):
+        x[r, [rows[f] for f in said if f in rows]] = 1
+        if b >= 0:
+            before[r, b] = 1
+        if a >= 0:
+            after[r, a] = 1
+        linked[r], label_[r, y], count[r] = links, 1, k
+    unary, chain, skip = np.zeros((len(rows), n)), np.zeros((n, n)), np.full(1, same)
+    memory = [[np.zeros_like(w), np.zeros_like(w)] for w in (unary, chain, skip)]
+    for step in range(1, steps + 1):
+        score = x @ unary + before @ chain + after @ chain.T + skip * linked
+        p = np.exp(score - score.max(1, keepdims=True))
+        off = count * (label_ - p / p.sum(1, keepdims=True))
+        slopes = (x.T @ off - precision * unary, before.T @ off + (after.T @ off).T - precision * chain, np.array([(linked * off).sum()]) - precision * (skip - same))
+        for w, slope, m in zip((unary, chain, skip), slopes, memory):
+            m[0], m[1] = 0.9 * m[0] + 0.1 * slope, 0.99 * m[1] + 0.01 * slope**2
+            w += 0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)
+    return Weights(rows, unary, chain, np.diag(np.full(n, max(0.0, float(skip[0])))))
 
 
 def believe(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int) -> np.ndarray:
@@ -203,18 +268,17 @@ def mentions(groups: dict, labels: list) -> tuple[list, list]:
     return links, hubs
 
 
-def label(texts: list[str], weights: Weights, rules: PiiRules) -> list[list]:
-    """Spans (kind, start, end, base) of each text."""
+def label(texts: list[str], weights: Weights, rules: PiiRules, base: list | None = None) -> list[list]:
+    """Spans (kind, start, end, base) of each text. base: what patterns found, if it isn't to be sought."""
     n = len(KINDS) + 1
-    base = [find(t) for t in texts]
+    base = [find(t) for t in texts] if base is None else base
     unary, edges, kinds, nodes, hubs = [], [], [], [], []
-    unknown = np.log(np.array([0.96] + [0.01] * len(KINDS)))
     for d, text in enumerate(texts if weights.seen else ()):
         where, labels = tokens(text, base[d])
         first, groups = len(nodes), defaultdict(list)
         for i, ((a, b), y) in enumerate(zip(where, labels)):
             nodes.append((d, a, b, y))
-            unary.append(weights.unary.get(shape(text[a:b]), unknown) if not y else np.where(np.arange(n) == y, 0.0, -30.0))
+            unary.append(weights.score(text[a:b]) if not y else np.where(np.arange(n) == y, 0.0, -30.0))
             if i and a - where[i - 1][1] <= rules.gap:
                 edges.append((first + i - 1, first + i))
                 kinds.append(0)
@@ -248,24 +312,25 @@ def label(texts: list[str], weights: Weights, rules: PiiRules) -> list[list]:
 
 
 def train(docs: DataFrame, rules: PiiRules = PiiRules()) -> Weights:
-    """Weights from the sample. Documents are counted first, so that tasks send the driver few more than the sample holds."""
-    h = F.xxhash64("text")
-    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= rules.sample_chars)).select("text")
-    share = min(1.0, 2 * rules.sample_docs / max(1, some.count()))
-    below = some.filter(h <= int(-(2**63) + share * (2**64 - 1025))) if share < 1 else some
-    return fit([r[0] for r in below.orderBy(h, "text").limit(rules.sample_docs).collect()])
+    """Weights from the sample. Different texts are counted first, so that tasks send the driver few more than the sample holds."""
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= rules.sample_chars)).select("text", F.xxhash64("text").alias("h"))
+    share = min(1.0, 2 * rules.sample_docs / max(1, some.agg(F.approx_count_distinct("h")).first()[0]))
+    below = some.filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1025))) if share < 1 else some
+    different = below.groupBy("h").agg(F.min("text").alias("text"))  # copies are dropped in the tasks that read them
+    return fit([r[0] for r in different.orderBy("h").limit(rules.sample_docs).select("text").collect()], rules.gap)
 
 
 def mark(docs: DataFrame, rules: PiiRules = PiiRules(), weights: Weights | None = None) -> DataFrame:
     """docs with `pii`: kind, start, end and whether a pattern gave the span."""
-    weights = weights or train(docs, rules)
+    mine = Aside(docs, ["pii"])
+    weights = weights or train(mine.df.select(mine.col("text").alias("text")), rules)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def found(texts: pa.Array) -> pa.Array:
         rows = label([t or "" for t in texts.to_pylist()], weights, rules)
         return pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in x] for x in rows], kind)
 
-    return docs.withColumn("pii", F.arrow_udf(tidy(found), "array<struct<kind:string,start:int,end:int,base:boolean>>")(F.col("text")))
+    return mine.back(mine.df, F.arrow_udf(tidy(found), "array<struct<kind:string,start:int,end:int,base:boolean>>")(mine.col("text")).alias("pii"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

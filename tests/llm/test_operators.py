@@ -612,6 +612,57 @@ def test_pii_hub_equals_a_skip_link():
     assert pii.mentions({"a": [0, 1, 2, 3, 4]}, [0, 0, 1, 0, 0])[0] == [(0, 1), (0, 2), (1, 2), (2, 3), (2, 4), (3, 4)]
 
 
+def test_pii_field_finds_what_is_hidden():
+    """Held-out recall on documents: fitted on one half, with all patterns hidden in the other."""
+    rows = common_documents()
+    fitted, held = [t for k, t in enumerate(rows) if k % 2], [t for k, t in enumerate(rows) if k % 2 == 0]
+    weights = pii.fit(fitted)
+    spans = pii.label(held, weights, pii.PiiRules(), base=[[] for _ in held])
+    hit, all_, false, clean = collections.Counter(), collections.Counter(), 0, 0
+    for text, got in zip(held, spans):
+        true = pii.find(text)
+        for k, a, b in true:
+            all_[pii.KINDS[k]] += 1
+            hit[pii.KINDS[k]] += any(k == z and c < b and a < d for z, c, d, _ in got)
+        false += sum(not any(c < b and a < d for _, a, b in true) for _, c, d, _ in got)
+        clean += not true and not got
+    assert all(all_[k] >= 60 and hit[k] >= 0.9 * all_[k] for k in pii.KINDS), (hit, all_)
+    assert false <= 0.02 * sum(all_.values()), false
+
+
+def common_documents():
+    import pyarrow.parquet as pq
+
+    return sorted({t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist() if t})
+
+
+def test_pii_query_equals_a_plain_scan(spark, sf):
+    """Plain regular expressions, over whole documents."""
+    ip, card, phone = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), re.compile(r"[0-9](?:[\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+    def checked(d):
+        return (sum(int(c) for c in d[-1::-2]) + sum(sum(divmod(2 * int(c), 10)) for c in d[-2::-2])) % 10 == 0
+
+    def plain(t):
+        out = [("email", *m.span()) for m in email.finditer(t)]
+        out += [("ip", *m.span()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [("card", *m.span()) for m in card.finditer(t) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and checked(d)]
+        out += [("phone", *m.span()) for m in phone.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+    rng = random.Random(23)
+    for _ in range(3000):
+        t = "".join(rng.choice("123450. +-()@ax") for _ in range(rng.randint(0, 40)))
+        assert sorted((pii.KINDS[k], a, b) for k, a, b in pii.find(t)) == sorted(plain(t)), t
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in pii.query(spark, sf).collect():
+        want = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in want) for x in pii.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(",")) | {""}
+
+
 def test_beliefs_equal_enumeration_on_a_tree():
     rng = np.random.default_rng(9)
     unary, edges = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]])
