@@ -851,6 +851,37 @@ def test_any_token_is_read_alone(bits):
 # The pipeline
 
 
+CLASHING = """_found _s _z _h _n _time _hit _size _gone _key _row user_0 user_1 user_12 hit found h n s z e r c rank last key rep time take slice slices before budget lang_ text_ words_ size_ hist_
+classes_ plain_ common_ list_ own_ counts_ windows_ ranked_ size source_size target passes picked taken sha w k i g mine items hits n_words n_hit spans secrets n_closed pii kept base_failed word_chars
+n_symbols n_dup_lines n_repeat_words class_distance word_distance doc bucket payload partition number first body start position id""".split()
+
+
+def test_columns_of_clashing_names_pass_through(spark, sf):
+    import corpus_pipeline as p
+
+    rng = random.Random(24)
+    said = lambda: " ".join(rng.choices([*quality.COMMON_WORDS["en"], *(f"word{i}" for i in range(200))], k=60))
+    rows = [(i, said(), "en", "abc"[i % 3], 9, *(f"{c} of {i}" for c in CLASHING)) for i in range(12)] + [(12, None, None, None, None, *CLASHING), (None, "", "xx", "a", 0, *CLASHING)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for f, added in [
+        (secrets.scan, ["secrets", "n_closed"]), (lambda d: decontaminate.decontaminate(d, bench), decontaminate.ADDED), (lambda d: decontaminate.decontaminate(d, bench, decontaminate.DecontaminationRules(max_broadcast_words=0)), decontaminate.ADDED),
+        (pii.mark, ["pii"]), (quality.judge, quality.BASE + quality.VERDICT), (mixing.mix, mixing.ADDED),
+    ]:
+        out = f(df)
+        assert set(out.columns) == {*df.columns, *added} and len(out.columns) == len(set(out.columns))
+        same = [c for c in df.columns if c not in added]
+        assert sorted(map(str, out.select(same).collect())) == sorted(map(str, df.select(same).collect()))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns and {str(r) for r in out.collect()} <= {str(r) for r in df.collect()}, name
+        assert out.count() >= 10, name
+        assert stage(spark, df.filter("doc_id < 0"), sf).count() == 0
+    assert p.STAGES[-1][1](spark, df, sf).count() == 14
+    for f in (jaccard.groups, suffixes.removed, tokens.encode):
+        assert f(df).count() == 14
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as p
 
