@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. Its result is written as Parquet in the
 shared folder and read again. All stages but the last return the columns of documents.
+
+Defined cases: a null or empty text has no words and is rejected by the first stage; rows of one doc_id are documents of their own, of
+equal rows one stays; rows without doc_id link with nothing and stay; columns of any further names pass through all
+stages but the last; an empty table gives an empty result. A document that the mix takes n times is written n times.
 """
 
 from __future__ import annotations
