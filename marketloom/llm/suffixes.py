@@ -368,6 +368,33 @@ def earliest(rows: np.ndarray, *names: str) -> tuple[np.ndarray, np.ndarray, np.
 
 
 SAME = ("anchor", "d1", "d2", "left")
+PLACE = ("doc", "key", "pos", "left", "right")
+
+
+def wired(rows: np.ndarray, contexts: np.ndarray) -> bytes:
+    """Rows of SENT by columns: those of anchors with one context go by its digest, the others by anchor and context."""
+    several = rows["several"] > 0
+    out = [np.array([(~several).sum(), several.sum()], "<i8").tobytes()]
+    for some, names in ((~several, ("d1", "d2", *PLACE)), (several, ("anchor", *PLACE))):
+        out += [np.ascontiguousarray(rows[n][some]).tobytes() for n in names]
+    return b"".join([*out, *contexts[several].tolist()])
+
+
+def unwired(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Rows of SENT, anchors left out where one context's digest stands for them, and their contexts."""
+    one, many = np.frombuffer(raw, "<i8", 2).tolist()
+    rows, at = np.zeros(one + many, SENT), 16
+    rows["several"][one:] = 1
+    for part, names in ((rows[:one], ("d1", "d2", *PLACE)), (rows[one:], ("anchor", *PLACE))):
+        for n in names:
+            part[n] = np.frombuffer(raw, SENT[n], len(part), at)
+            at += SENT[n].itemsize * len(part)
+    size = rows["left"][one:].astype(np.int64) + rows["right"][one:]
+    ends = at + np.cumsum(size)
+    contexts = [raw[e - k : e] for e, k in zip(ends.tolist(), size.tolist())]
+    digest = digest_of(BYTE[k] + c for k, c in zip(rows["left"][one:].tolist(), contexts))
+    rows["d1"][one:], rows["d2"][one:] = digest[:, 0], digest[:, 1]
+    return rows, [b""] * one + contexts
 
 
 def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
@@ -386,9 +413,7 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
         rows, contexts = rows[order], contexts[order]
         buckets, payloads, small = [], [], zstandard.ZstdCompressor(3)
         for k, i in by_bucket(rows, rows["anchor"], bits):
-            own = rows[i]
-            columns = [np.ascontiguousarray(own[n]).tobytes() for n in SENT.names]
-            payloads.append(small.compress(b"".join([np.array([len(own)], "<i8").tobytes(), *columns, *contexts[i[own["several"] > 0]].tolist()])))
+            payloads.append(small.compress(wired(rows[i], contexts[i])))
             buckets.append(k)
         yield dealt([None] * len(buckets), [None] * len(buckets), buckets, payloads)
 
@@ -460,16 +485,9 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
         else:
             rows, contexts = [], []
             for p in part.column("payload"):
-                raw = zstandard.ZstdDecompressor().decompress(p.as_py())
-                x = np.zeros(int(np.frombuffer(raw, "<i8", 1)[0]), SENT)
-                at = 8
-                for name in SENT.names:
-                    x[name] = np.frombuffer(raw, SENT[name], len(x), at)
-                    at += SENT[name].itemsize * len(x)
+                x, own = unwired(zstandard.ZstdDecompressor().decompress(p.as_py()))
                 rows.append(x)
-                size = np.where(x["several"] > 0, x["left"].astype(np.int64) + x["right"], 0)
-                ends = at + np.cumsum(size)
-                contexts += [raw[e - s : e] if s else b"" for e, s in zip(ends.tolist(), size.tolist())]
+                contexts += own
             rows = np.concatenate(rows)
             order, later, again = earliest(rows, *SAME)
             x = rows[order[later]]
@@ -497,7 +515,10 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
 
 def removed(docs: DataFrame, rules: SuffixRules = SuffixRules(), with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; `kept` bytes if asked for."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_key"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # Keys tell rows of one doc_id apart, where there are any; else they need no room.
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    docs = docs.withColumn("_key", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
     spans = covered(docs, rules).groupBy("doc", "key").agg(F.collect_list("payload").alias("_spans"))
     both = docs.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("_key") == F.col("key")), "left").select("doc_id", "text", "_spans")
 
