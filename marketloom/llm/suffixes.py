@@ -53,7 +53,7 @@ class SuffixRules:
     gram: int = 32
     most_contexts: int = 16_384
     table_bits: int = 28
-    flush: int = 1 << 19
+    flush: int = 1 << 18
     piece: int = 1 << 19
     sort_rows: int = 1 << 13
 
@@ -468,6 +468,7 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
                             yield from give(*held)
                             held[0].clear()
                             held[1].clear()
+                            release()
         if few[0]:
             yield from send(*few)
         if many[0]:
