@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
+from marketloom.functions.folds import fold, once
+from marketloom.operators.pnf.columns import scale
+
 
 def by_chart() -> WindowSpec:
     return Window.partitionBy("chart_id")
@@ -27,25 +32,29 @@ SIGNALS = [
 
 
 def cells(columns: DataFrame) -> DataFrame:
-    """chart_id, column_index, box_value, box_index (rank of the value in the chart), trend, action_seq: filled cells only."""
-    each = columns.select("chart_id", "column_index", "trend", F.explode(F.arrays_zip("boxes", "actions")).alias("_c"))
-    each = each.select("chart_id", "column_index", F.col("_c.boxes").alias("box_value"), "trend", F.col("_c.actions").alias("action_seq"))
-    each = each.groupBy("chart_id", "column_index", "box_value").agg(F.max_by("trend", "action_seq").alias("trend"), F.max("action_seq").alias("action_seq"))
-    rank = F.dense_rank().over(by_chart().orderBy("box_value")) - 1
-    return each.withColumn("box_index", rank)
+    """chart_id, column_index, box_value, box_index (rank of the value in the chart), trend, action_seq: filled cells only.
+
+    Ranks are those of a chart's different values, of which there are far fewer than cells.
+    """
+    each = columns.select("chart_id", "column_index", F.explode(F.arrays_zip("boxes", "trends", "actions")).alias("_c"))
+    each = each.select("chart_id", "column_index", F.col("_c.boxes").alias("box_value"), F.col("_c.trends").alias("trend"), F.col("_c.actions").alias("action_seq"))
+    values = columns.select("chart_id", F.explode("boxes").alias("box_value")).distinct()
+    ranks = values.withColumn("box_index", F.row_number().over(by_chart().orderBy("box_value")) - 1)
+    return each.join(ranks, ["chart_id", "box_value"])
 
 
 def column_stats(cells_: DataFrame) -> DataFrame:
-    """high, low (box indexes), height, high and low value, trend and midpoint (median box) of each column."""
+    """high, low (box indexes), height, high and low value, trend (of the lowest box) and midpoint (median box) of each column."""
     return cells_.groupBy("chart_id", "column_index").agg(
         F.max("box_index").alias("high"), F.min("box_index").alias("low"), F.count("*").cast("int").alias("height"), F.max("box_value").alias("high_value"), F.min("box_value").alias("low_value"),
-        F.max_by("trend", "action_seq").alias("trend"), F.median("box_value").alias("midpoint"),
+        F.min_by("trend", "box_index").alias("trend"), F.median("box_value").alias("midpoint"),
     )
 
 
 def time_series(columns: DataFrame) -> DataFrame:
-    """One row a column, at the bar that ended it."""
-    return columns.select("chart_id", F.col("end_seq").alias("seq"), F.element_at("boxes", -1).alias("box_value"), "column_index", "trend", F.size("boxes").alias("filled_boxes"))
+    """One row a bar that changed the chart: the box where it left off, its column and trend, and how many boxes the column has by then."""
+    each = columns.select("chart_id", "column_index", F.explode("series").alias("_s"))
+    return each.select("chart_id", F.col("_s.seq").alias("seq"), F.col("_s.box_value").alias("box_value"), "column_index", F.col("_s.trend").alias("trend"), F.col("_s.filled").alias("filled_boxes"))
 
 
 def _full(value: Column, n: int) -> Column:
@@ -71,69 +80,86 @@ def donchian(stats: DataFrame, period: int, ignore: int = 0) -> DataFrame:
     return df.withColumns({"upper": late("_u"), "lower": late("_l")}).drop("_u", "_l")
 
 
-def _folded(stats: DataFrame, fields: list[str], out: str, fold) -> DataFrame:
-    """A fold over a chart's columns in order, one value each. A chart has far fewer columns than bars, so they meet in one array."""
-    rows = F.array_sort(F.collect_list(F.struct("column_index", *fields)))
-    df = stats.groupBy("chart_id").agg(rows.alias("_r")).select("chart_id", "_r", fold(F.col("_r")).alias("_v"))
-    values = df.select("chart_id", F.explode(F.arrays_zip("_r", "_v")).alias("_z")).select("chart_id", F.col("_z._r.column_index").alias("column_index"), F.col("_z._v").alias(out))
-    return stats.join(values, ["chart_id", "column_index"])
-
-
-def ema(stats: DataFrame, period: int) -> DataFrame:
-    """Seeded with the mean of the first `period` midpoints."""
-    k = 2.0 / (period + 1)
-
-    def fold(rows: Column) -> Column:
-        first = F.aggregate(F.slice(rows, 1, period), F.lit(0.0), lambda a, x: a + x["midpoint"]) / period
-        start = F.struct(F.array(first).alias("all"), first.alias("last"))
+def _folded(stats: DataFrame, out: str, start) -> DataFrame:
+    """stats with one value a column, from a fold over a chart's columns in order. start() makes what values(frame) gives them by."""
+    names = stats.columns
 
-        def step(a, x):
-            new = a["last"] + (x["midpoint"] - a["last"]) * k
-            return F.struct(F.concat(a["all"], F.array(new)).alias("all"), new.alias("last"))
+    class Kept:
+        def __init__(self, chart):
+            self.state, self.rows = start(), []
 
-        rest = F.slice(rows, period + 1, F.greatest(F.size(rows), F.lit(1)))
-        values = F.concat(F.array_repeat(F.lit(None).cast("double"), period - 1), F.aggregate(rest, start, step, lambda a: a["all"]))
-        return F.when(F.size(rows) >= period, values).otherwise(F.array_repeat(F.lit(None).cast("double"), F.size(rows)))
+        def given(self, values: list) -> list[tuple]:
+            done, self.rows = self.rows[: len(values)], self.rows[len(values) :]
+            return [(*r, v) for r, v in zip(done, values)]
 
-    return _folded(stats, ["midpoint"], f"ema_{period}", fold)
+        def step(self, frame) -> list[tuple]:
+            self.rows += list(zip(*(frame[c].tolist() for c in names)))
+            return self.given(self.state.values(frame))
 
+        def end(self) -> list[tuple]:
+            return self.given([None] * len(self.rows))
 
-def psar(stats: DataFrame, step: float, leap: float) -> DataFrame:
-    """Parabolic stop of each column, signed by its direction; null in charts of two columns or fewer.
+    return fold(stats, "chart_id", ["column_index"], StructType([*stats.schema.fields, StructField(out, DoubleType())]), Kept)
 
-    `leap` stops the growth of the acceleration where it is met exactly.
-    """
 
-    def fold(rows: Column) -> Column:
-        a, c = F.get(rows, F.lit(0)), F.get(rows, F.lit(2))
-        falls = a["high_value"] > c["high_value"]
-        sar, ep, flag = F.when(falls, a["high_value"]).otherwise(a["low_value"]), F.when(falls, a["low_value"]).otherwise(a["high_value"]), F.when(falls, -1).otherwise(1)
-        start = F.struct(F.array(sar * flag).alias("all"), sar.alias("sar"), ep.alias("ep"), flag.alias("flag"), F.lit(step).alias("acc"))
-        let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # binds a value once
+def ema(stats: DataFrame, period: int) -> DataFrame:
+    """Exponential mean of the midpoints, seeded with the mean of the first `period`; null before."""
 
-        def move(s, x):
-            high, low = x["high_value"], x["low_value"]
+    class Mean:
+        def __init__(self):
+            self.first, self.last, self.k = [], None, 2.0 / (period + 1)
 
-            def with_candidate(cand):
-                hit = ((s["flag"] > 0) & (cand > low)) | ((s["flag"] < 0) & (cand < high))
-                return let(F.when(hit, s["ep"]).otherwise(cand), with_stop)
+        def values(self, frame) -> list:
+            out = []
+            for x in frame["midpoint"].tolist():
+                if self.last is not None:
+                    self.last += (x - self.last) * self.k
+                else:
+                    self.first.append(x)
+                    self.last = sum(self.first) / period if len(self.first) == period else None
+                out.append(self.last)
+            return out
 
-            def with_stop(new):
-                flag_ = F.when(new < high, 1).when(new > low, -1).otherwise(s["flag"])
-                return let(F.struct(new.alias("sar"), flag_.alias("flag")), with_flag)
+    return _folded(stats, f"ema_{period}", Mean)
 
-            def with_flag(n):
-                ep_ = F.when(n["flag"] > 0, F.greatest(s["ep"], high)).otherwise(F.least(s["ep"], low))
-                better = ep_ != s["ep"]
-                acc = F.when(n["flag"] != s["flag"], step).when(s["acc"] == leap, F.lit(leap)).when(better, s["acc"] + step).otherwise(s["acc"])
-                return F.struct(F.concat(s["all"], F.array(n["sar"] * n["flag"])).alias("all"), n["sar"].alias("sar"), ep_.alias("ep"), n["flag"].alias("flag"), acc.alias("acc"))
 
-            return with_candidate(s["sar"] + s["acc"] * (s["ep"] - s["sar"]))
+def psar(stats: DataFrame, step: float, leap: float) -> DataFrame:
+    """Parabolic stop of each column, signed by its direction; null in charts of two columns or fewer.
 
-        values = F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), start, move, lambda s: s["all"])
-        return F.when(F.size(rows) > 2, values).otherwise(F.array_repeat(F.lit(None).cast("double"), F.size(rows)))
+    `leap` stops the growth of the acceleration where it is met exactly.
+    """
 
-    return _folded(stats, ["high_value", "low_value"], "psar", fold)
+    class Stop:
+        def __init__(self):
+            self.held, self.flag = [], 0
+
+        def values(self, frame) -> list:
+            out = []
+            for high, low in zip(frame["high_value"].tolist(), frame["low_value"].tolist()):
+                if self.flag:
+                    out.append(self.move(high, low))
+                    continue
+                self.held.append((high, low))
+                if len(self.held) == 3:  # the first and the third column tell the direction
+                    (high, low), falls = self.held[0], self.held[0][0] > self.held[2][0]
+                    self.sar, self.ep, self.flag, self.acc = (high, low, -1, step) if falls else (low, high, 1, step)
+                    out += [self.sar * self.flag, *(self.move(*x) for x in self.held[1:])]
+            return out
+
+        def move(self, high: float, low: float) -> float:
+            to = self.sar + self.acc * (self.ep - self.sar)
+            hit = to > low if self.flag > 0 else to < high
+            self.sar = self.ep if hit else to
+            flag = 1 if self.sar < high else -1 if self.sar > low else self.flag
+            ep = max(self.ep, high) if flag > 0 else min(self.ep, low)
+            if flag != self.flag:
+                self.acc = step
+            elif self.acc != leap and ep != self.ep:
+                self.acc += step
+            self.ep, self.flag = ep, flag
+            return self.sar * self.flag
+
+    return _folded(stats, "psar", Stop)
 
 
 def breakouts(cells_: DataFrame) -> DataFrame:
@@ -149,7 +175,7 @@ def breakouts(cells_: DataFrame) -> DataFrame:
     c = c.withColumns({"_z": F.lag("column_index").over(row), "_tz": F.lag("trend").over(row), "_z2": F.lag("column_index", 2).over(row), "_t2": F.lag("trend", 2).over(row)})
     turn = F.coalesce((F.col("_tz") != F.col("trend")).cast("int"), F.lit(1))
     c = c.withColumn("_run", F.sum(turn).over(row))
-    c = c.withColumns({"_pos": F.row_number().over(run.orderBy("column_index")), "_first": F.min("column_index").over(run)})
+    c = once(c.withColumns({"_pos": F.row_number().over(run.orderBy("column_index")), "_first": F.min("column_index").over(run)}), "marks")
     mark = F.struct("column_index", "trend", "_run", "_pos", "_first").alias("_m")
     marks = c.select("chart_id", F.col("box_index").alias("_row"), "column_index", F.lit(0).alias("_kind"), mark)
     bold = c.filter((F.col("column_index") >= 1) & F.coalesce(F.col("_z") != F.col("column_index") - 1, F.lit(True)))
@@ -172,49 +198,131 @@ def breakouts(cells_: DataFrame) -> DataFrame:
     return df.select(out).unionByName(inner.select(out))
 
 
+SIGNAL = ["chart_id", "column_index", "code", "box_index", "width"]
+
+
+def _run(stats: DataFrame, holds: Column, name: str, stride: int = 1) -> DataFrame:
+    """stats with how many columns in a row, in strides backwards from each, hold."""
+    w = Window.partitionBy("chart_id", F.pmod("column_index", F.lit(stride))).orderBy("column_index")
+    broken = F.max(F.when(~F.coalesce(holds, F.lit(False)), F.col("column_index"))).over(w)
+    return stats.withColumn(name, ((F.col("column_index") - F.coalesce(broken, F.col("column_index") % stride - stride)) / stride).cast("int"))
+
+
 def buy_sell(stats: DataFrame) -> DataFrame:
-    """Columns that pass the extreme of the column two before."""
+    """Columns that pass the extreme of the column two before; box_index is one above the column's top, or its bottom's number from 1."""
     two = lambda c: F.lag(c, 2).over(in_order())
     code = F.when((F.col("trend") == 1) & (F.col("high") > two("high")), 0).when((F.col("trend") == -1) & (F.col("low") < two("low")), 1)
-    box = F.when(code == 0, two("high") + 1).otherwise(two("low") - 1)
+    box = F.when(code == 0, F.col("high") + 1).otherwise(F.col("low") + 1)
     return stats.select("chart_id", "column_index", code.alias("code"), box.alias("box_index")).filter("code IS NOT NULL")
 
 
-def signals(stats: DataFrame, marks: DataFrame, reversal: int = 3) -> DataFrame:
-    """One signal a column: code, label, box_index and width, of the detectors the one of the highest priority."""
-    b = marks.join(stats.select("chart_id", "column_index", F.col("height").alias("_n")), ["chart_id", "column_index"])
-    odd = F.when(F.col("trend") == 1, 0).otherwise(1)
-    plain = lambda where, code, priority: b.filter(where).select("chart_id", "column_index", (odd + code).alias("code"), "box_index", "width", F.lit(priority).alias("_p"))
+def triangles(stats: DataFrame, marks: DataFrame, strict: bool = False) -> DataFrame:
+    """Breakouts of width 3 after more than three columns, each about two boxes less high than the one before and one box lower at its top."""
+    slack = 0 if strict else 1
+    near = lambda c, d: F.abs(F.col(c) - F.lead(c).over(in_order()) - d) <= slack
+    s = _run(stats, near("height", 2) & near("high", 1) & (F.col("column_index") > 0), "_links")
+    s = s.select("chart_id", (F.col("column_index") + 2).alias("column_index"), (F.col("_links") + 1).alias("_hits"))
+    found = marks.filter("width = 3").join(s, ["chart_id", "column_index"]).filter("_hits > 3")
+    return found.select("chart_id", "column_index", _odd(14), "box_index", F.col("_hits").alias("width"), "hits")
+
+
+def poles(stats: DataFrame) -> DataFrame:
+    """Columns more than three boxes beyond the one two before that are more than half as high as the next, which bears the signal.
+
+    The second column is compared with the chart's last one.
+    """
+    whole = in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    two = lambda c: F.when(F.col("column_index") == 1, F.last(c).over(whole)).otherwise(F.lag(c, 2).over(in_order()))
+    s = stats.withColumns({"_h2": two("high"), "_l2": two("low"), **{f"_{c}": F.lead(c).over(in_order()) for c in ("high", "low", "height")}})
+    tall = (F.col("height") / F.col("_height") > 0.5) & (F.col("column_index") >= 1)
+    high, low = (F.col("trend") == 1) & (F.col("high") > F.col("_h2") + 3), (F.col("trend") == -1) & (F.col("low") < F.col("_l2") - 3)
+    s = s.filter(tall & (high | low))
+    return s.select("chart_id", (F.col("column_index") + 1).alias("column_index"), F.when(F.col("trend") == 1, 21).otherwise(22).alias("code"), F.when(F.col("trend") == 1, F.col("_low") + 1).otherwise(F.col("_high")).alias("box_index"), F.lit(3).alias("width"), F.lit(0).alias("hits"))
+
+
+def traps(stats: DataFrame, marks: DataFrame, reversal: int = 3) -> DataFrame:
+    """Triple breakouts of one box beyond the column two before, after which a column of the reversal's height turns; that one bears the signal."""
+    s = stats.select("chart_id", "column_index", "high", "low", F.lag("high", 2).over(in_order()).alias("_h2"), F.lag("low", 2).over(in_order()).alias("_l2"), *[F.lead(c).over(in_order()).alias(f"_{c}") for c in ("high", "low", "height")])
+    df = marks.filter("hits = 3 AND width = 5").join(s, ["chart_id", "column_index"])
+    one = F.when(F.col("trend") == 1, F.col("high") - F.col("_h2")).otherwise(F.col("_l2") - F.col("low")) == 1
+    df = df.filter(one & (F.col("_height") >= reversal))
+    return df.select("chart_id", (F.col("column_index") + 1).alias("column_index"), _odd(17), (F.when(F.col("trend") == 1, F.col("_low")).otherwise(F.col("_high")) + 1).alias("box_index"), F.lit(6).alias("width"), "hits")
+
+
+def follow_ups(marks: DataFrame) -> DataFrame:
+    """Double breakouts two columns after the breakout before them in order of column, box and hits, of the same trend.
+
+    Codes from 8: after any; from 10: after a triple one, as a second row.
+    """
     w = by_chart().orderBy("column_index", "box_index", "hits")
-    pairs = b.withColumns({f"_{c}": F.lag(c).over(w) for c in ("trend", "column_index", "hits", "width")}).withColumnRenamed("_trend", "_t")
-    follows = (F.col("_t") == F.col("trend")) & (F.col("column_index") - F.col("_column_index") == 2) & (F.col("hits") == 2) & (F.col("width") == 3)
-    pair = lambda where, code, priority: pairs.filter(follows & where).select("chart_id", "column_index", (odd + code).alias("code"), "box_index", "width", F.lit(priority).alias("_p"))
-    near = stats.withColumns({
-        "_h2": F.lag("high", 2).over(in_order()), "_l2": F.lag("low", 2).over(in_order()), "_h1": F.lag("high").over(in_order()), "_l1": F.lag("low").over(in_order()), "_next": F.lead("height").over(in_order()), "_i": F.row_number().over(in_order()),
-    })
-    up, down = F.col("trend") == 1, F.col("trend") == -1
-    tall = F.col("_next") / F.col("height") > 0.5
-    high_pole, low_pole = up & (F.col("high") > F.col("_h2") + 3) & tall, down & (F.col("low") < F.col("_l2") - 3) & tall
-    poles = near.filter((high_pole | low_pole) & (F.col("_i") >= 3)).select("chart_id", (F.col("column_index") + 1).alias("column_index"), F.when(high_pole, 21).otherwise(22).alias("code"), F.when(high_pole, F.col("high")).otherwise(F.col("low")).alias("box_index"), F.lit(3).alias("width"), F.lit(8).alias("_p"))
-    trap = b.filter("hits = 3 AND width = 5").join(near.select("chart_id", "column_index", "high", "low", "_h2", "_l2", "_next"), ["chart_id", "column_index"])
-    one = F.when(F.col("trend") == 1, F.col("high") - F.col("_h2") == 1).otherwise(F.col("_l2") - F.col("low") == 1)
-    traps = trap.filter(one & (F.col("_next") >= reversal)).select("chart_id", (F.col("column_index") + 1).alias("column_index"), (odd + 17).alias("code"), "box_index", F.col("width").cast("int").alias("width"), F.lit(7).alias("_p"))
-    tri = b.filter("width = 3").join(near.select("chart_id", "column_index", "_h1", "_l1", "_h2", "_l2", "high", "low"), ["chart_id", "column_index"])
-    before = stats.select("chart_id", (F.col("column_index") + 3).alias("column_index"), F.col("high").alias("_h3"), F.col("low").alias("_l3"))
-    tri = tri.join(before, ["chart_id", "column_index"]).filter("_h3 > _h1 AND _l3 < _l1 AND _h2 - _l2 > _h1 - _l1").select("chart_id", "column_index", (odd + 14).alias("code"), "box_index", "width", F.lit(9).alias("_p"))
-    steps = near.withColumns({"_s1": F.lag("high", 1).over(in_order()) - F.lag("high", 3).over(in_order()), "_s2": F.lag("low", 1).over(in_order()) - F.lag("low", 3).over(in_order())})
-    stairs = b.filter("hits = 2 AND width = 3").join(steps.select("chart_id", "column_index", "_s1", "_s2"), ["chart_id", "column_index"])
-    reversed_ = stairs.filter(((F.col("trend") == 1) & (F.col("_s1") == -1) & (F.col("_s2") == -1)) | ((F.col("trend") == -1) & (F.col("_s1") == 1) & (F.col("_s2") == 1)))
-    reversed_ = reversed_.select("chart_id", "column_index", (F.lit(13) - odd).alias("code"), "box_index", "width", F.lit(4).alias("_p"))
-    simple = buy_sell(stats).select("chart_id", "column_index", "code", "box_index", F.lit(3).alias("width"), F.lit(0).alias("_p"))
-    found = [
-        simple, plain("hits = 2 AND width = 3", 2, 1), plain("hits = 3 AND width = 5", 4, 3), plain("hits = 4 AND width = 7", 6, 5), plain("hits = 3 AND width IN (7, 9)", 19, 4),
-        pair((F.col("_hits") == 2) & (F.col("_width") == 3), 8, 6), pair((F.col("_hits") == 3) & (F.col("_width") == 5), 10, 6), reversed_, tri, traps, poles,
+    p = marks.withColumns({f"_{c}": F.lag(c).over(w) for c in ("trend", "column_index", "hits", "width")})
+    p = p.filter((F.col("_trend") == F.col("trend")) & (F.col("column_index") - F.col("_column_index") == 2) & (F.col("hits") == 2) & (F.col("width") == 3))
+    any_ = p.select("chart_id", "column_index", _odd(8), "box_index", F.lit(5).alias("width"), "hits")
+    return any_.unionByName(p.filter("_hits = 3 AND _width = 5").select("chart_id", "column_index", _odd(10), "box_index", F.lit(7).alias("width"), "hits"))
+
+
+def reversed_signals(stats: DataFrame, marks: DataFrame) -> DataFrame:
+    """Double breakouts after stairs of one box against them, of any length: the columns' ends move a box every second column."""
+    back = lambda c, k: F.lag(c, k).over(in_order()) if k else F.col(c)
+    out = []
+    for trend, own, other in ((1, "low", "high"), (-1, "high", "low")):
+        stair = (F.col("column_index") > 2) & (F.col(own) == back(own, 2) - trend) & (back(other, 1) == back(other, 3) - trend)
+        s = _run(stats.withColumn("_stair", stair), F.col("_stair"), "_steps", 2)
+        s = s.select("chart_id", (F.col("column_index") + 1).alias("column_index"), "_steps").filter("_steps > 0")
+        found = marks.filter((F.col("trend") == trend) & (F.col("hits") == 2) & (F.col("width") == 3)).join(s, ["chart_id", "column_index"])
+        out.append(found.select("chart_id", "column_index", _odd(12), "box_index", (2 * F.col("_steps") + 2).alias("width"), "hits"))
+    return out[0].unionByName(out[1])
+
+
+def _odd(code: int) -> Column:
+    """The code, or the next one where the trend is down."""
+    return F.when(F.col("trend") == 1, code).otherwise(code + 1).alias("code")
+
+
+def signals(stats: DataFrame, marks: DataFrame, reversal: int = 3, strict: bool = False, cells_: DataFrame | None = None) -> DataFrame:
+    """One signal a column: code, label, box_index and width, and the top and bottom box (numbered from 1) of what it looks at.
+
+    Of several detectors the last in this order wins, of one detector's breakouts the last by box and hits: triangles, poles, traps, ascending
+    and descending triples, catapults, reversals, spread triples, triples, quadruples. Double breakouts, the first of a column, and
+    simple signals only fill what is free. With cells_, `action_seq` is the bar that filled the signal's box, 0 where it is empty.
+    """
+    plain = lambda where, code: marks.filter(where).select("chart_id", "column_index", _odd(code), "box_index", "width", "hits")
+    follow = follow_ups(marks)
+    simple = buy_sell(stats).withColumns({"width": F.lit(3), "hits": F.lit(0)})
+    ranked = [
+        (0, simple), (1, plain("hits = 2 AND width = 3", 2)), (2, triangles(stats, marks, strict)), (3, poles(stats)), (4, traps(stats, marks, reversal)), (5, follow.filter("code < 10")), (6, follow.filter("code >= 10")),
+        (7, reversed_signals(stats, marks)), (8, plain("hits = 3 AND width IN (7, 9)", 19)), (9, plain("hits = 3 AND width = 5", 4)), (10, plain("hits = 4 AND width = 7", 6)),
     ]
-    every = reduce(DataFrame.unionByName, [f.select("chart_id", "column_index", "code", F.col("box_index").cast("int").alias("box_index"), F.col("width").cast("int").alias("width"), "_p") for f in found])
-    best = every.groupBy("chart_id", "column_index").agg(F.max_by(F.struct("code", "box_index", "width"), F.struct("_p", "code", "box_index", "width")).alias("_s"))
-    names = F.array(*map(F.lit, SIGNALS))
-    return best.select("chart_id", "column_index", F.col("_s.code").alias("code"), F.get(names, F.col("_s.code")).alias("label"), F.col("_s.box_index").alias("box_index"), F.col("_s.width").alias("width"))
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    every = reduce(DataFrame.unionByName, [f.select("chart_id", "column_index", whole("code"), whole("box_index"), whole("width"), F.lit(p).alias("_p"), whole("hits")) for p, f in ranked])
+    # Of double breakouts the first by box and hits stays, of all others the last.
+    rank = lambda c: F.when(F.col("_p") == 1, -F.col(c)).otherwise(F.col(c))
+    best = every.groupBy("chart_id", "column_index").agg(F.max_by(F.struct("code", "box_index", "width"), F.struct("_p", rank("box_index").alias("b"), rank("hits").alias("h"), rank("code").alias("c"))).alias("_s"))
+    best = best.select("chart_id", "column_index", "_s.*")
+    # The columns that a signal looks at: from its own column, or the one before, so many back; its own end counts where the pattern ends there.
+    code, at = F.col("code"), F.col("column_index")
+    back = F.when(code.isin(21, 22), 2).when(code.isin(17, 18), 5).when(code.isin(8, 9), 4).when(code.isin(10, 11), 6).when(code.isin(19, 20), F.col("width") - 1).when(code.isin(0, 1), 1).otherwise(F.col("width"))
+    # A reversal looks at one column only, before its stairs; where they begin with the second column that is the chart's last.
+    best = best.join(stats.groupBy("chart_id").agg(F.max("column_index").alias("_end")), "chart_id")
+    before = at - F.col("width") - 1
+    before = F.when(before < 0, F.col("_end") + 1 + before).otherwise(before)
+    first, last = F.when(code.isin(12, 13), before).otherwise(F.greatest(F.lit(0), at - back)), F.when(code.isin(12, 13), before).otherwise(at - 1)
+    seen = best.withColumn("_c", F.explode(F.sequence(first, last)))
+    span = seen.join(stats.select("chart_id", F.col("column_index").alias("_c"), "high", "low"), ["chart_id", "_c"])
+    span = span.groupBy("chart_id", "column_index").agg(F.max("high").alias("_top"), F.min("low").alias("_bottom"))
+    own = stats.select("chart_id", "column_index", F.col("high").alias("_h"), F.col("low").alias("_l"), *[F.lag(c, k).over(in_order()).alias(f"_{c}{k}") for c in ("high", "low") for k in (1, 2)])
+    df = best.join(span, ["chart_id", "column_index"]).join(own, ["chart_id", "column_index"])
+    up, down = code.isin(0, 2, 4, 6, 12, 19), code.isin(1, 3, 5, 7, 13, 20)
+    # A pole is the column before, its foot or head the one before that.
+    top = F.when(up, F.col("_h")).when(code == 21, F.col("_high1")).when(code == 22, F.col("_high2")).otherwise(F.col("_top")) + 1
+    bottom = F.when(down, F.col("_l")).when(code == 21, F.col("_low2")).when(code == 22, F.col("_low1")).otherwise(F.col("_bottom")) + 1
+    df = df.select("chart_id", "column_index", "code", F.get(F.array(*map(F.lit, SIGNALS)), code).alias("label"), "box_index", "width", top.alias("top_index"), bottom.alias("bottom_index"))
+    if cells_ is None:
+        return df
+    height = stats.groupBy("chart_id").agg(F.max("high").alias("_max"))
+    df = df.join(height, "chart_id").withColumn("_b", F.least("box_index", "_max"))
+    at_ = cells_.select("chart_id", "column_index", F.col("box_index").alias("_b"), "action_seq")
+    return df.join(at_, ["chart_id", "column_index", "_b"], "left").withColumn("action_seq", F.coalesce("action_seq", F.lit(0))).drop("_max", "_b")
 
 
 def multiple(marks: DataFrame, m: int, trend: int) -> DataFrame:
@@ -222,6 +330,18 @@ def multiple(marks: DataFrame, m: int, trend: int) -> DataFrame:
     return marks.filter((F.col("trend") == trend) & (F.col("hits") == m) & (F.col("width") <= 2 * m - 1))
 
 
+def multiple_prices(series: DataFrame, cells_: DataFrame, marks: DataFrame, m: int, trend: int) -> DataFrame:
+    """Rows of time_series() at which a column has come as far as such a breakout's box, with `price`, that box's value.
+
+    A row that serves several breakouts has the price of the last by column, box and hits.
+    """
+    values = cells_.select("chart_id", "box_index", F.col("box_value").alias("price")).distinct()
+    asked = multiple(marks, m, trend).select("chart_id", "column_index", "box_index", "hits").join(values, ["chart_id", "box_index"])
+    met = series.join(asked, ["chart_id", "column_index"]).filter((F.col("box_value") - F.col("price")) * trend >= 0)
+    first = met.groupBy("chart_id", "column_index", "price", "box_index", "hits").agg(F.min("seq").alias("seq"))
+    return first.groupBy("chart_id", "column_index", "seq").agg(F.max_by("price", F.struct("box_index", "hits")).alias("price"))
+
+
 def next_simple_signal(stats: DataFrame) -> DataFrame:
     """Box indexes at which each chart would next buy and sell, from its last three columns; charts of fewer have none."""
     last = stats.withColumn("_k", F.row_number().over(by_chart().orderBy(F.desc("column_index")))).filter("_k <= 3")
@@ -232,137 +352,299 @@ def next_simple_signal(stats: DataFrame) -> DataFrame:
     return df.select("chart_id", buy.alias("next_buy"), sell.alias("next_sell"))
 
 
-def trendlines(cells_: DataFrame, stats: DataFrame, length: int = 4) -> DataFrame:
-    """Strong lines: falling at 45 degrees from above each X column, rising from below each O column, to the first filled cell.
+LINE = "chart_id STRING, bounded STRING, type STRING, length INT, column_index INT, box_index INT"
+
+
+class Lines:
+    """The lines of one chart: a few numbers for each of its columns are kept, and walked from left to right.
 
-    Cells of one diagonal share box_index + column_index, or box_index - column_index, so a line meets them by an equi-join.
-    `is_external` marks lines that no longer line of their kind spans.
+    A column has one line at most: rising (1) below an O column, falling (-1) above an X column. Lines that reach the chart's end
+    count `pad` columns beyond it.
     """
-    least = max(3, length)
-    ends = stats.groupBy("chart_id").agg(F.max("column_index").alias("_end"))
+
+    def __init__(self, chart: str, length: int, weak: bool):
+        self.chart, self.least, self.weak, self.rows = chart, length, weak, []
+
+    def step(self, frame) -> list[tuple]:
+        names = ["column_index", "sign", "start", "stop", "touch", "up", "down"]
+        self.rows += list(zip(*(frame[c].tolist() for c in names)))
+        return []
+
+    def stops(self) -> list:
+        """Weak lines end at the first column with a breakout against them: at or above a falling line, below a rising one."""
+        out, stacks = [None] * len(self.rows), {1: [], -1: []}
+        for i in range(len(self.rows) - 1, -1, -1):
+            n, sign, start, _, _, up, down = self.rows[i]
+            if sign:
+                # In the line's own direction breakouts lie on diagonals; the nearest whose diagonal is far enough ends it.
+                stack = stacks[sign]
+                far = start + n if sign < 0 else n - start + 1
+                lo, hi = 0, len(stack)
+                while lo < hi:  # the farther down the stack, the later and the farther
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid + 1, hi) if stack[mid][0] >= far else (lo, mid)
+                out[i] = stack[lo - 1][1] if lo else None
+            for sign, d in ((-1, up), (1, down)):
+                if d == d and d is not None:
+                    while stacks[sign] and stacks[sign][-1][0] <= d:
+                        stacks[sign].pop()
+                    stacks[sign].append((d, n))
+        return out
+
+    def end(self) -> list[tuple]:
+        width = len(self.rows)
+        stops = self.stops() if self.weak else [None if r[3] != r[3] else r[3] for r in self.rows]
+        line, touch = np.zeros(width, np.int64), np.full(width, width, np.int64)
+        for i, (r, stop) in enumerate(zip(self.rows, stops)):
+            size = int(stop) - r[0] if stop is not None else width + self.least - 1 - r[0]
+            line[i] = r[1] * size if size >= self.least else 0
+            touch[i] = width if r[4] != r[4] or r[4] is None else int(r[4])
+        outer = self.walk(line, touch)
+        out = []
+        for i in np.flatnonzero(line).tolist():
+            size = abs(int(line[i]))
+            size = size - self.least + 1 if size + i >= width else size
+            if size:
+                out.append((self.chart, "external" if i in outer else "internal", "bullish support" if line[i] > 0 else "bearish resistance", size, i, int(self.rows[i][2])))
+        return out
+
+    @staticmethod
+    def walk(line: np.ndarray, touch: np.ndarray) -> set:
+        """The columns of the outer chain. Within a line's span an opposite line that leaves it is preferred, else the chain goes on behind it.
+
+        Lines within a span whose opposite lines all stay inside it are taken out of `line`. An opposite line that meets a filled box within the
+        span does not count; of lines of one length the first one's boxes are looked at.
+        """
+        width, some = len(line), np.flatnonzero(line)
+        if not len(some):
+            return set()
+        at, turns = int(some[0]), 0
+        outer = {at}
+        while at + abs(int(line[at])) <= width - 1 and turns <= width:
+            sign, span = np.sign(line[at]), abs(int(line[at]))
+            part = line[at : at + span]
+            across = np.where(np.sign(part) == -sign, np.abs(part), 0)
+            for x in np.flatnonzero(across).tolist():
+                b = int(np.argmax(across == across[x]))
+                if touch[at + b] < at + span:
+                    across[x] = 0
+            reach = np.where(across > 0, np.arange(1, len(across) + 1) + across, 0)
+            turns += 1
+            if reach.any():
+                if reach.max() > len(across):
+                    at += int(np.argmax(reach))
+                    outer.add(at)
+                else:
+                    line[at + 1 : at + span - 1] = 0
+                continue
+            later = np.flatnonzero(line[at + span :])
+            if not len(later):
+                break
+            at += span + int(later[0])
+            outer.add(at)
+        return outer
+
+
+def trendlines(cells_: DataFrame, stats: DataFrame, length: int = 4, marks: DataFrame | None = None, lowest: bool = False) -> DataFrame:
+    """Lines that fall at 45 degrees from above each X column, or rise from below each O column, of `length` or to the chart's end.
+
+    Strong lines end at the first filled box; weak ones, for which marks are given, at a breakout against them. Outer lines form one chain
+    from left to right, `external`; the others are `internal`. `lowest`: whether lines begin below the chart's lowest row, too.
+
+    Boxes of one diagonal share box_index + column_index, or box_index - column_index, so a line meets them by an equi-join; what is left
+    for the walk is a row a column.
+    """
+    weak = marks is not None
+    least = max(4 if weak else 3, length)
+    sign = F.when(F.col("trend") == -1, 1).otherwise(-1)
+    if not lowest:
+        sign = F.when((F.col("trend") == -1) & (F.col("low") == 0), 0).when((F.col("trend") == 1) & (F.col("high") == 0), 0).otherwise(sign)
     start = F.when(F.col("trend") == 1, F.col("high") + 1).otherwise(F.col("low") - 1)
-    lines = stats.select("chart_id", "column_index", F.col("trend").alias("_t"), start.alias("box_index"))
-    lines = lines.withColumn("_d", F.col("box_index") + F.col("_t") * F.col("column_index"))
-    on = cells_.select("chart_id", F.col("column_index").alias("_c"), "box_index", F.explode(F.array(F.lit(1), F.lit(-1))).alias("_t"))
-    on = on.select("chart_id", "_t", (F.col("box_index") + F.col("_t") * F.col("_c")).alias("_d"), "_c")
-    met = lines.join(on, ["chart_id", "_t", "_d"], "left").withColumn("_c", F.when(F.col("_c") > F.col("column_index"), F.col("_c")))
-    met = met.groupBy("chart_id", "_t", "column_index", "box_index").agg(F.min("_c").alias("_stop")).join(ends, "chart_id")
-    df = met.withColumn("length", F.coalesce(F.col("_stop") - 1, F.col("_end")) - F.col("column_index") + 1).filter(F.col("length") >= least)
-    to = F.col("column_index") + F.col("length")
-    before = Window.partitionBy("chart_id", "_t").orderBy("column_index", F.desc("length"))
-    reach = F.max(to).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    bounded = F.when(F.coalesce(to <= reach, F.lit(False)), "internal").otherwise("external")
-    return df.select("chart_id", bounded.alias("bounded"), F.when(F.col("_t") == 1, "bearish resistance").otherwise("bullish support").alias("type"), "length", "column_index", "box_index")
-
-
-def vertical_counts(stats: DataFrame, marks: DataFrame, reversal: int, box: float) -> DataFrame:
-    """Targets of columns that break out: the column's extreme plus its height times the reversal, in boxes of an even scale."""
-    first = marks.groupBy("chart_id", "column_index", "trend").agg(F.min("box_index").alias("box_index"))
-    df = stats.drop("trend").join(first, ["chart_id", "column_index"])
-    target = F.when(F.col("trend") == 1, F.col("low_value") + F.col("height") * reversal * box).otherwise(F.col("high_value") - F.col("height") * reversal * box)
-    return df.select("chart_id", "column_index", "trend", F.col("height").alias("length"), F.round(target, 6).alias("target"))
-
-
-def horizontal_counts(stats: DataFrame, marks: DataFrame, reversal: int, box: float, least: int = 5) -> DataFrame:
-    """Targets of reversal breakouts: the pattern's extreme plus its width times the reversal."""
-    df = marks.filter((F.col("type") == "reversal") & (F.col("width") >= least)).select("chart_id", "column_index", "box_index", "trend", "width")
-    span = stats.select("chart_id", F.col("column_index").alias("_c"), "high_value", "low_value")
-    met = df.withColumn("_c", F.explode(F.sequence(F.col("column_index") - F.col("width") + 1, "column_index"))).join(span, ["chart_id", "_c"])
-    out = met.groupBy("chart_id", "column_index", "box_index", "trend", "width").agg(F.max("high_value").alias("_h"), F.min("low_value").alias("_l"))
-    target = F.when(F.col("trend") == 1, F.col("_l") + F.col("width") * reversal * box).otherwise(F.col("_h") - F.col("width") * reversal * box)
-    return out.select("chart_id", "column_index", "box_index", "trend", "width", F.round(target, 6).alias("target"))
+    lines = stats.select("chart_id", "column_index", sign.alias("sign"), start.alias("start"))
+    # What a line asks of its diagonal: where it first meets a box; a rising one is also looked at one row lower.
+    d = F.col("start") - F.col("sign") * F.col("column_index")
+    asks = F.array(F.struct(F.lit("stop").alias("what"), d.alias("_d")), F.struct(F.lit("touch").alias("what"), F.when(F.col("sign") > 0, d - 1).otherwise(d).alias("_d")))
+    asked = lines.filter("sign <> 0").select("chart_id", "column_index", "sign", F.inline(asks))
+    on = cells_.select("chart_id", F.col("column_index").alias("_c"), "box_index", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+    on = on.select("chart_id", "sign", (F.col("box_index") - F.col("sign") * F.col("_c")).alias("_d"), "_c")
+    met = asked.join(on, ["chart_id", "sign", "_d"]).filter("_c > column_index").groupBy("chart_id", "column_index").agg(*[F.min(F.when(F.col("what") == w, F.col("_c"))).alias(w) for w in ("stop", "touch")])
+    df = lines.join(met, ["chart_id", "column_index"], "left")
+    if weak:
+        own = F.col("box_index")
+        far = marks.groupBy("chart_id", "column_index").agg(F.max(F.when(F.col("trend") == 1, own + F.col("column_index"))).alias("up"), F.max(F.when(F.col("trend") == -1, F.col("column_index") - own)).alias("down"))
+        df = df.join(far, ["chart_id", "column_index"], "left")
+    else:
+        df = df.withColumns({"up": F.lit(None).cast("int"), "down": F.lit(None).cast("int")})
+    return fold(df, "chart_id", ["column_index"], LINE, lambda chart: Lines(chart, least, weak))
 
 
-def render(cells_: DataFrame, columns: int = 30) -> DataFrame:
-    """The last columns of each chart as text: a line a box, highest first."""
-    last = F.max("column_index").over(by_chart())
-    shown = cells_.withColumn("_at", F.col("column_index") - last + columns - 1).filter("_at >= 0")
-    marks = shown.groupBy("chart_id", "box_index", "box_value").agg(F.map_from_entries(F.collect_list(F.struct("_at", F.when(F.col("trend") == 1, "X").otherwise("O").alias("m")))).alias("_m"))
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("int")], F.lit("."))), " ")
-    rank = F.row_number().over(by_chart().orderBy(F.desc("box_index")))
-    return marks.select("chart_id", rank.alias("line"), "box_value", line.alias("text"))
+def weak_trendlines(cells_: DataFrame, stats: DataFrame, marks: DataFrame, length: int = 4, lowest: bool = False) -> DataFrame:
+    return trendlines(cells_, stats, length, marks, lowest)
+
+
+COUNT = ["chart_id", "trend", "type", "column_index", "box_index", "box", "anchor_column", "anchor_box", "length", "target", "reward", "risk_1", "risk_2", "ratio_1", "ratio_2", "quality"]
 
 
-def weak_trendlines(cells_: DataFrame, stats: DataFrame, marks: DataFrame, length: int = 4) -> DataFrame:
-    """Weak lines: as strong ones, but a line ends only at a breakout against it that lies beyond it.
+def scale_rows(cells_: DataFrame, rules, up: int, down: int) -> DataFrame:
+    """chart_id, row, value: the rows of each chart's boxes, and so many above and below. Scales don't go below their beginning.
 
-    A falling line ends at the first later column that breaks out upwards at or above the line, a rising one at the first that breaks
-    down at or below it. Lines and breakouts of a chart meet by a range condition within the chart, bounded by the chart's columns.
+    Beyond its boxes the step-frozen scale goes on by its percentage, in hundredths.
     """
-    least = max(4, length)
-    ends = stats.groupBy("chart_id").agg(F.max("column_index").alias("_end"))
-    start = F.when(F.col("trend") == 1, F.col("high") + 1).otherwise(F.col("low") - 1)
-    lines = stats.select("chart_id", "column_index", F.col("trend").alias("_t"), start.alias("box_index"))
-    by = Window.partitionBy("chart_id", "_t")
-    # In coordinates of the line, a breakout is beyond it when its own diagonal is: the next one in column order whose diagonal passes.
-    b = marks.groupBy("chart_id", F.col("trend").alias("_t"), "column_index").agg(F.max(F.col("trend") * F.col("box_index") + F.col("column_index")).alias("_b"))
-    df = lines.withColumn("_d", F.col("_t") * F.col("box_index") + F.col("column_index"))
-    later = F.array_sort(F.collect_list(F.struct("column_index", "_b")))
-    df = df.join(b.groupBy("chart_id", "_t").agg(later.alias("_all")), ["chart_id", "_t"], "left")
-    hit = F.filter("_all", lambda x: (x["column_index"] > F.col("column_index")) & (x["_b"] >= F.col("_d")))
-    df = df.withColumn("_stop", F.get(hit, F.lit(0))["column_index"]).drop("_all").join(ends, "chart_id")
-    df = df.withColumn("length", F.coalesce(F.col("_stop") - 1, F.col("_end")) - F.col("column_index") + 1).filter(F.col("length") >= least)
-    to = F.col("column_index") + F.col("length")
-    reach = F.max(to).over(by.orderBy("column_index", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1))
-    bounded = F.when(F.coalesce(to <= reach, F.lit(False)), "internal").otherwise("external")
-    return df.select("chart_id", bounded.alias("bounded"), F.when(F.col("_t") == 1, "bearish resistance").otherwise("bullish support").alias("type"), "length", "column_index", "box_index")
-
-
-def base_counts(cells_: DataFrame, marks: DataFrame, box: float, least: int = 5) -> DataFrame:
-    """Horizontal counts of one-box charts, of each reversal breakout two: by its base and by its signal, in boxes of an even scale.
-
-    The base is the row that has the most filled cells in the columns of the outer width, of equal ones the farthest from the target;
-    its quality is the filled share of the row. The signal row is where the breakout's column begins; its quality is the filled share
-    of the pattern's cells before the breakout. The target is the row plus or minus the outer width.
-
-    Cells of a row within a pattern are a difference of running counts along the row, so that wide patterns cost no more than narrow ones.
+    rows = cells_.select("chart_id", F.col("box_index").alias("row"), F.col("box_value").alias("value")).distinct()
+    ends = rows.groupBy("chart_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max("row").alias("top"))
+
+    def beyond(chart, low: float, high: float, top: int) -> list:
+        if rules.scaling == "log":
+            step = 1 + rules.boxsize / 100
+            return [(top + k, round(high * step**k, 2)) for k in range(1, up + 1)] + [(-k, round(low / step**k, 2)) for k in range(1, down + 1)]
+        over = max(up, down)
+        grid = scale(low, high, rules, over)
+        a, b = int(np.argmin(np.abs(grid - low))), int(np.argmin(np.abs(grid - high)))
+        return [(top + k, float(v)) for k, v in enumerate(grid[b + 1 : b + 1 + up], 1)] + [(-k, float(v)) for k, v in enumerate(grid[max(0, a - down) : a][::-1], 1)]
+
+    class Ends:
+        def __init__(self, chart):
+            self.chart = chart
+
+        def step(self, frame) -> list[tuple]:
+            return [(self.chart, r, v) for x in frame[["low", "high", "top"]].itertuples(index=False) for r, v in beyond(self.chart, float(x[0]), float(x[1]), int(x[2]))]
+
+        def end(self) -> list[tuple]:
+            return []
+
+    more = fold(ends, "chart_id", [], "chart_id STRING, row INT, value DOUBLE", Ends)
+    return rows.unionByName(more)
+
+
+def _extent(stats: DataFrame, marks: DataFrame, reversal: int, least: int) -> int:
+    """How many rows a count can reach beyond a chart: by its highest column, or its widest reversal pattern."""
+    height = stats.agg(F.max("height")).first()[0] or 0
+    wide = marks.filter("type = 'reversal'").agg(F.max("outer_width")).first()[0] or 0
+    return int(max(2 * reversal * height, reversal * max(wide, least)) + 1)
+
+
+def _valued(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Counts with rows `_anchor`, `_target`, `_stop1` and `_stop2`, as COUNT: their values, the reward and the risks. Rows below the scale are its lowest."""
+    low = rows.groupBy("chart_id").agg(F.min("row").alias("_least"))
+    df = df.join(low, "chart_id")
+    for name in ("_anchor", "_target", "_stop1", "_stop2", "box_index"):
+        row = F.greatest(F.col(name), F.col("_least")) if name != "box_index" else F.col(name)
+        df = df.withColumn("row", row.cast("int")).join(rows.withColumnRenamed("value", f"{name}_value"), ["chart_id", "row"], "left").drop("row")
+    sign, box = F.col("trend"), F.col("box_index_value")
+    reward = (F.col("_target_value") - box) * sign
+    risks = [(box - F.col(f"_stop{k}_value")) * sign for k in (1, 2)]
+    two = lambda x: F.round(x, 2)
+    return df.select(
+        "chart_id", "trend", "type", "column_index", "box_index", box.alias("box"), "anchor_column", F.col("_anchor_value").alias("anchor_box"), F.col("length").cast("int").alias("length"), F.col("_target_value").alias("target"),
+        F.round(reward, 6).alias("reward"), F.round(risks[0], 6).alias("risk_1"), F.round(risks[1], 6).alias("risk_2"), two(F.try_divide(reward, risks[0])).alias("ratio_1"), two(F.try_divide(reward, risks[1])).alias("ratio_2"), two("quality").alias("quality"),
+    )
+
+
+def _patterns(stats: DataFrame, marks: DataFrame, width: str) -> DataFrame:
+    """marks with what their columns hold: the farthest row against the trend, the first and the last but one column, and how many boxes are filled before the breakout.
+
+    Rows are looked at in the trend's direction: what is low for a bull is high, negative, for a bear.
     """
-    own = ["chart_id", "column_index", "box_index", "trend", "outer_width"]
-    wide = marks.filter((F.col("type") == "reversal") & (F.col("outer_width") >= least)).select(own).distinct()
-    rows = cells_.groupBy("chart_id", F.col("box_index").alias("_r")).agg(F.min("box_value").alias("_v"))
-    height = rows.groupBy("chart_id").agg(F.min("_r").alias("_low"), F.max("_r").alias("_top"))
-    begin, end = (F.col("column_index") - F.col("outer_width")), F.col("column_index")
-    asked = wide.join(height, "chart_id").select(*own, F.explode(F.sequence("_low", "_top")).alias("_r"))
-    asked = asked.select("*", F.inline(F.array(F.struct(begin.cast("int").alias("_c"), F.lit(-1).alias("_sign")), F.struct(end.cast("int").alias("_c"), F.lit(1).alias("_sign")))))
-    filled = cells_.select("chart_id", F.col("box_index").alias("_r"), F.col("column_index").cast("int").alias("_c"), F.lit(1).alias("_one"))
+    up = F.col("trend") == 1
+    s = stats.select("chart_id", F.col("column_index").alias("_c"), F.col("trend").alias("_t"), "high", "low", "height")
+    first = F.col("column_index") - F.col(width) + 1
+    keys = ["chart_id", "trend", "type", "column_index", "box_index", "hits", "width", "outer_width"]
+    met = marks.select(*keys, F.explode(F.sequence(first, F.col("column_index"))).alias("_c")).join(s, ["chart_id", "_c"])
+    foot, head = F.when(up, F.col("low")).otherwise(-F.col("high")), F.when(up, F.col("high")).otherwise(-F.col("low"))
+    before = F.least(head, F.when(up, F.col("box_index")).otherwise(-F.col("box_index")) - 1)
+    at = lambda c, x: F.max(F.when(F.col("_c") == c, x))
+    return met.groupBy(*keys).agg(
+        F.min(foot).alias("_foot"), F.max(F.struct(-foot, F.col("_c").alias("c"))).alias("_last"), F.sum(F.greatest(F.lit(0), before - foot + 1)).alias("_filled"),
+        at(first, foot).alias("_foot1"), at(first, F.col("_t")).alias("_t1"), at(first, F.col("height")).alias("_height1"), at(F.col("column_index") - 1, foot).alias("_foot2"), at(F.col("column_index"), foot).alias("_own"),
+    )
+
+
+def _quality(width: str) -> Column:
+    """The filled share of a pattern's boxes before its breakout."""
+    h = F.col("trend") * F.col("box_index") - F.col("_foot")
+    return F.col("_filled") / ((F.col(width) - 1) * (h - 1) + h)
+
+
+def vertical_counts(stats: DataFrame, marks: DataFrame, cells_: DataFrame, rules, least: int = 5) -> DataFrame:
+    """Counts of breakouts whose first column begins at the pattern's farthest row, in the breakout's direction: its height times the reversal, from one row beyond that row."""
+    df = _patterns(stats, marks, "width").filter("_foot1 = _foot AND _t1 = trend")
+    t, foot = F.col("trend"), F.col("_foot")
+    df = df.withColumns({
+        "type": F.lit("vertical"), "anchor_column": F.col("column_index") - F.col("width") + 1, "length": F.col("_height1"), "_anchor": t * (foot - 1), "_target": t * (foot - 1 + F.col("_height1") * rules.reversal),
+        "_stop1": t * (F.col("_foot2") - 1), "_stop2": t * (foot - 1), "quality": _quality("width"),
+    })
+    return _valued(df, scale_rows(cells_, rules, *[_extent(stats, marks, rules.reversal, least)] * 2))
+
+
+def horizontal_counts(stats: DataFrame, marks: DataFrame, cells_: DataFrame, rules, least: int = 5) -> DataFrame:
+    """Counts of reversal breakouts of at least so many columns: the width times the reversal, from the pattern's farthest row. Bears count like bulls."""
+    df = _patterns(stats, marks.filter((F.col("type") == "reversal") & (F.col("width") >= least)), "width")
+    t, foot = F.col("trend"), F.col("_foot")
+    df = df.withColumns({
+        "type": F.lit("horizontal R>1"), "anchor_column": F.col("_last.c"), "length": F.col("width"), "_anchor": t * foot, "_target": t * (foot + F.col("width") * rules.reversal),
+        "_stop1": t * (F.col("_foot2") - 1), "_stop2": t * (foot - 1), "quality": _quality("width"),
+    })
+    return _valued(df, scale_rows(cells_, rules, *[_extent(stats, marks, rules.reversal, least)] * 2))
+
+
+def base_counts(stats: DataFrame, marks: DataFrame, cells_: DataFrame, rules, least: int = 5) -> DataFrame:
+    """Horizontal counts of one-box charts, of each reversal breakout two: by its base and by its signal, over the outer width.
+
+    The base is the row that has the most filled boxes in the pattern, of equal ones the farthest from the target; its quality is the
+    filled share of the row, and a target short of the breakout has no reward. The signal's row is where the breakout's column begins; its
+    quality is the filled share of the pattern's boxes before the breakout. The target is the row plus or minus the outer width.
+
+    Boxes of a row within a pattern are a difference of running counts along the row, so that wide patterns cost no more than narrow ones.
+    """
+    wide = _patterns(stats, marks.filter((F.col("type") == "reversal") & (F.col("outer_width") >= least)), "outer_width")
+    wide = once(wide, "wide")
+    own = ["chart_id", "column_index", "box_index", "trend", "hits", "outer_width"]
+    t, foot = F.col("trend"), F.col("_foot")
+    reach = stats.select("chart_id", F.col("column_index").alias("_c"), "high", "low")
+    # The pattern's rows, from its farthest one to the breakout's column's end.
+    end = F.when(t == 1, F.col("high")).otherwise(-F.col("low"))
+    asked = wide.join(reach, (wide["chart_id"] == reach["chart_id"]) & (wide["column_index"] == reach["_c"])).select(*[wide[c] for c in own], F.explode(F.sequence(foot, end)).alias("_f")).withColumn("_r", (t * F.col("_f")).cast("int"))
+    ends = F.array(F.struct((F.col("column_index") - F.col("outer_width")).cast("int").alias("_c"), F.lit(-1).alias("_sign")), F.struct(F.col("column_index").cast("int").alias("_c"), F.lit(1).alias("_sign")))
+    asked = asked.select("*", F.inline(ends))
+    filled = cells_.select("chart_id", F.col("box_index").cast("int").alias("_r"), F.col("column_index").cast("int").alias("_c"), F.lit(1).alias("_one"))
     so_far = F.count("_one").over(Window.partitionBy("chart_id", "_r").orderBy("_c"))
     seen = asked.unionByName(filled, allowMissingColumns=True).withColumn("_n", F.col("_sign") * so_far).filter("_sign IS NOT NULL")
-    each = seen.groupBy(*own, "_r").agg(F.sum("_n").alias("_n")).filter("_n > 0")
-    side = lambda c: F.col("trend") * F.col(c)
-    found = each.groupBy(own).agg(
-        F.max_by(F.struct("_r", "_n"), F.struct("_n", -side("_r"))).alias("_b"), F.sum(F.when(side("_r") < side("box_index"), F.col("_n"))).alias("_filled"), F.min(side("_r")).alias("_far")
-    )
-    start = cells_.groupBy("chart_id", "column_index", "trend").agg(F.min(side("box_index")).alias("_start"))
-    found = found.join(start, ["chart_id", "column_index", "trend"]).withColumn("_h", side("box_index") - F.col("_far"))
-    within = (F.col("outer_width") - 1) * (F.col("_h") - 1) + F.col("_h")
+    each = seen.groupBy(*own, "_f").agg(F.sum("_n").alias("_n"))
+    base = each.groupBy(own).agg(F.max_by(F.struct("_f", "_n"), F.struct("_n", -F.col("_f"))).alias("_b"))
+    df = wide.join(base, own)
     kinds = [
-        F.struct(F.lit("base").alias("type"), F.col("_b._r").alias("_r"), (F.col("_b._n") / F.col("outer_width")).alias("_q")),
-        F.struct(F.lit("signal").alias("type"), side("_start").cast(rows.schema["_r"].dataType).alias("_r"), (F.col("_filled") / within).alias("_q")),
+        F.struct(F.lit("horizontal (base) R=1").alias("kind"), F.col("_b._f").alias("_at"), (F.col("_b._n") / F.col("outer_width")).alias("quality")),
+        F.struct(F.lit("horizontal (signal) R=1").alias("kind"), F.col("_own").alias("_at"), _quality("outer_width").alias("quality")),
     ]
-    both = found.select(*own, F.inline(F.array(*kinds))).join(rows, ["chart_id", "_r"])
-    target = F.col("_v") + F.col("trend") * F.col("outer_width") * box
-    return both.select("chart_id", "column_index", "box_index", "trend", "type", "outer_width", F.col("_r").alias("base_row"), F.round(target, 6).alias("target"), F.round("_q", 2).alias("quality"))
+    df = df.select("*", F.inline(F.array(*kinds)))
+    df = df.withColumns({
+        "type": F.col("kind"), "anchor_column": F.col("column_index"), "length": F.col("outer_width"), "_anchor": t * F.col("_at"), "_target": t * (F.col("_at") + F.col("outer_width")),
+        "_stop1": t * (F.col("_at") - 1), "_stop2": t * (foot - 1),
+    })
+    out = _valued(df, scale_rows(cells_, rules, *[_extent(stats, marks, rules.reversal, least)] * 2))
+    short = (F.col("type") == "horizontal (base) R=1") & (F.col("reward") < 0)
+    return out.withColumns({c: F.when(short, 0.0).otherwise(F.col(c)) for c in ("reward", "ratio_1", "ratio_2")})
 
 
-def risk_and_reward(counts: DataFrame, stats: DataFrame, box: float) -> DataFrame:
-    """Counts (target, trend, column_index) with reward, the risks to the nearer and the farther stop, and their ratios; those without reward go.
+def counts(stats: DataFrame, marks: DataFrame, cells_: DataFrame, rules, least: int = 5) -> DataFrame:
+    """All price targets of charts: by columns and rows, or by base and signal where a turn takes one box."""
+    if rules.reversal == 1:
+        return without_repeats(base_counts(stats, marks, cells_, rules, least))
+    return without_repeats(vertical_counts(stats, marks, cells_, rules, least).unionByName(horizontal_counts(stats, marks, cells_, rules, least)))
 
-    The entry is the column's last box, the stops lie one box beyond the other end of its own and of the column before.
-    """
-    w = in_order()
-    df = stats.withColumns({"_lo1": F.lag("low_value").over(w), "_hi1": F.lag("high_value").over(w)}).select("chart_id", "column_index", "high_value", "low_value", "_lo1", "_hi1")
-    df = counts.join(df, ["chart_id", "column_index"])
-    up = F.col("trend") == 1
-    entry = F.when(up, F.col("high_value")).otherwise(F.col("low_value"))
-    own, other = F.when(up, F.col("low_value") - box).otherwise(F.col("high_value") + box), F.when(up, F.col("_lo1") - box).otherwise(F.col("_hi1") + box)
-    risks = [F.abs(entry - own), F.abs(entry - F.coalesce(other, own))]
-    df = df.withColumns({"reward": F.round(F.abs(F.col("target") - entry), 6), "risk_1": F.round(F.least(*risks), 6), "risk_2": F.round(F.greatest(*risks), 6)}).filter("reward > 0")
-    ratio = lambda r: F.round(F.try_divide("reward", r), 2)
-    return df.withColumns({"ratio_1": ratio("risk_1"), "ratio_2": ratio("risk_2")}).drop("high_value", "low_value", "_lo1", "_hi1")
+
+def render(cells_: DataFrame, columns: int = 30) -> DataFrame:
+    """The last columns of each chart as text: a line a box, highest first."""
+    last = F.max("column_index").over(by_chart())
+    shown = cells_.withColumn("_at", F.col("column_index") - last + columns - 1).filter("_at >= 0")
+    marks = shown.groupBy("chart_id", "box_index", "box_value").agg(F.map_from_entries(F.collect_list(F.struct("_at", F.when(F.col("trend") == 1, "X").otherwise("O").alias("m")))).alias("_m"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("int")], F.lit("."))), " ")
+    rank = F.row_number().over(by_chart().orderBy(F.desc("box_index")))
+    return marks.select("chart_id", rank.alias("line"), "box_value", line.alias("text"))
 
 
 def without_repeats(counts: DataFrame) -> DataFrame:
-    """Drops a count whose length, column and box are those of the next."""
-    w = by_chart().orderBy("column_index", "box_index", "length", "target")
+    """Drops a count whose length, column and box are those of the next, in order of type, column and box."""
+    w = by_chart().orderBy("type", "column_index", "box_index", "length", "target")
     same = [F.col(c) == F.lead(c).over(w) for c in ("length", "column_index", "box_index")]
     return counts.withColumn("_same", F.coalesce(reduce(Column.__and__, same), F.lit(False))).filter("NOT _same").drop("_same")

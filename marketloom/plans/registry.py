@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text as T
 from marketloom.functions import timebucket as B
+from marketloom.functions.folds import once
 from marketloom.operators import candles as C
 from marketloom.operators import instruments as I
 from marketloom.operators import paper as P
 from marketloom.operators.pnf import cells as K
-from marketloom.operators.pnf.columns import PnfRules, columns
+from marketloom.operators.pnf.columns import PnfRules, columns, mean_true_range
 from marketloom.sources import history as H
 from marketloom.sources import ticks as S
 
@@ -253,31 +254,39 @@ def trades_reverse(spark, d):
     return P.reversal_trades(P.breakout_signal(hours(spark, d)))
 
 
-@query(
-    f"""{TRADES}, x AS (SELECT tr.symbol, entry_epoch, min_by(struct_pack(ltp := t.ltp, e := t.e), struct_pack(e := t.e, seq := t.seq)) AS x FROM tr JOIN t ON t.symbol = tr.symbol AND t.e > entry_epoch AND t.e < coalesce(exit_epoch, 9999999999)
-  AND (CASE WHEN side = 'BUY' THEN t.ltp - entry_price ELSE entry_price - t.ltp END <= -10 OR CASE WHEN side = 'BUY' THEN t.ltp - entry_price ELSE entry_price - t.ltp END >= 20) GROUP BY 1, 2)
-SELECT tr.symbol, side, entry_price, entry_epoch, coalesce(x.ltp, exit_price) AS exit_price, coalesce(x.e, exit_epoch) AS exit_epoch,
-  CASE WHEN x IS NULL THEN CASE WHEN exit_epoch IS NULL THEN 'OPEN' ELSE 'REVERSAL' END WHEN (CASE WHEN side = 'BUY' THEN x.ltp - entry_price ELSE entry_price - x.ltp END) < 0 THEN 'SL' ELSE 'TP' END AS reason,
-  round(CASE WHEN side = 'BUY' THEN coalesce(x.ltp, exit_price) - entry_price ELSE entry_price - coalesce(x.ltp, exit_price) END, 2) AS pnl FROM tr LEFT JOIN x USING (symbol, entry_epoch)"""
-)
+#: The book as a recursion over candles and ticks in order: what is open after each, and what it closed.
+PAPER = f"""{SIG.replace('WITH raw', 'WITH RECURSIVE raw', 1)}, ev0 AS (SELECT symbol, bucket_epoch + 3600 AS due, 0 AS kind, 0 AS seq, close AS price, bucket_epoch AS epoch, signal FROM s WHERE signal <> 'NONE' UNION ALL SELECT symbol, e, 1, seq, ltp, e, NULL FROM t),
+ev AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY due, kind, seq) AS i FROM ev0),
+bk AS (SELECT DISTINCT symbol, 0::BIGINT AS i, NULL::VARCHAR AS side, NULL::DOUBLE AS entry, NULL::BIGINT AS since, NULL::VARCHAR AS c_side, NULL::DOUBLE AS c_entry, NULL::BIGINT AS c_since, NULL::DOUBLE AS c_price, NULL::BIGINT AS c_epoch, NULL::VARCHAR AS c_reason FROM ev
+ UNION ALL SELECT symbol, i, CASE WHEN opens THEN signal WHEN NOT ends THEN side END, CASE WHEN opens THEN price WHEN NOT ends THEN entry END, CASE WHEN opens THEN epoch WHEN NOT ends THEN since END,
+   CASE WHEN ends THEN side END, CASE WHEN ends THEN entry END, CASE WHEN ends THEN since END, CASE WHEN ends THEN price END, CASE WHEN ends THEN epoch END, CASE WHEN ends THEN CASE WHEN kind = 0 THEN 'REVERSAL' WHEN sl THEN 'SL' ELSE 'TP' END END
+  FROM (SELECT *, kind = 0 AND (side IS NULL OR side <> signal) AS opens, coalesce(side IS NOT NULL AND CASE WHEN kind = 0 THEN side <> signal ELSE sl OR tp END, false) AS ends
+   FROM (SELECT ev.*, side, entry, since, CASE WHEN side = 'BUY' THEN ev.price <= entry - 10 AND entry <> 10 ELSE ev.price >= entry + 10 END AS sl, CASE WHEN side = 'BUY' THEN ev.price >= entry + 20 ELSE ev.price <= entry - 20 AND entry <> 20 END AS tp
+    FROM bk JOIN ev ON ev.symbol = bk.symbol AND ev.i = bk.i + 1))),
+pt0 AS (SELECT symbol, c_side AS side, c_entry AS entry_price, c_since AS entry_epoch, c_price AS exit_price, c_epoch AS exit_epoch, c_reason AS reason FROM bk WHERE c_side IS NOT NULL
+ UNION ALL SELECT symbol, side, entry, since, NULL, NULL, 'OPEN' FROM bk WHERE side IS NOT NULL AND i = (SELECT max(ev.i) FROM ev WHERE ev.symbol = bk.symbol)),
+pt AS (SELECT *, round(CASE WHEN side = 'BUY' THEN exit_price - entry_price ELSE entry_price - exit_price END, 2) AS pnl FROM pt0)"""
+
+
+@query(f"{PAPER} SELECT * FROM pt")
 def sl_tp_exit(spark, d):
-    return P.level_exits(P.reversal_trades(P.breakout_signal(hours(spark, d))), S.from_events(spark, d))
+    return P.paper_trades(P.breakout_signal(hours(spark, d)), S.from_events(spark, d), 3600)
 
 
 @query(
-    f"""{TRADES}, l AS (SELECT symbol, max_by(ltp, seq) AS mark FROM t GROUP BY 1), a AS (SELECT symbol, count(*) AS trades, round(coalesce(sum(pnl) FILTER (exit_epoch IS NOT NULL), 0), 2) AS realized,
-  round(coalesce(sum(CASE WHEN side = 'BUY' THEN mark - entry_price ELSE entry_price - mark END) FILTER (exit_epoch IS NULL), 0), 2) AS unrealized FROM tr LEFT JOIN l USING (symbol) GROUP BY 1)
+    f"""{PAPER}, l AS (SELECT symbol, max_by(ltp, seq) AS mark FROM t GROUP BY 1), a AS (SELECT symbol, count(*) AS trades, round(coalesce(sum(pnl) FILTER (exit_epoch IS NOT NULL), 0), 2) AS realized,
+  round(coalesce(sum(CASE WHEN side = 'BUY' THEN mark - entry_price ELSE entry_price - mark END) FILTER (exit_epoch IS NULL), 0), 2) AS unrealized FROM pt LEFT JOIN l USING (symbol) GROUP BY 1)
 SELECT *, round(realized + unrealized, 2) AS total FROM a"""
 )
 def pnl_summary(spark, d):
     t = S.from_events(spark, d)
-    return P.summary(P.reversal_trades(P.breakout_signal(C.session_ohlc(t, 3600))), S.latest(t))
+    return P.summary(P.paper_trades(P.breakout_signal(C.session_ohlc(t, 3600)), t, 3600), S.latest(t))
 
 
 # Instruments: parts are underlyings, line items their options.
 
 OPT = """WITH o AS (SELECT DISTINCT p_brand AS underlying_symbol, floor(epoch(date_trunc('week', l_shipdate)))::BIGINT + 302400 AS expiry_epoch, (p_size * 50 + 1000)::DOUBLE AS strike,
-  CASE WHEN l_linenumber % 2 = 0 THEN 'CE' ELSE 'PE' END AS option_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1995-07-01'),
+  CASE WHEN l_linenumber % 2 = 0 THEN 'CE' ELSE 'PE' END AS option_type FROM lineitem JOIN part ON l_partkey = p_partkey),
 opt AS (SELECT *, underlying_symbol || '-' || expiry_epoch || '-' || strike::BIGINT || '-' || option_type AS symbol FROM o), sp AS (SELECT p_brand AS underlying_symbol, 1000 + 25.0::DOUBLE * (max(p_size) + min(p_size)) AS spot FROM part GROUP BY 1)"""
 EXP = f"{OPT}, x AS (SELECT DISTINCT underlying_symbol, expiry_epoch, strftime(make_timestamp((expiry_epoch + 19800) * 1000000), '%Y-%m') AS m FROM opt), y AS (SELECT underlying_symbol, expiry_epoch, expiry_epoch = max(expiry_epoch) OVER (PARTITION BY underlying_symbol, m) AS is_monthly FROM x), ex AS (SELECT *, row_number() OVER (PARTITION BY underlying_symbol ORDER BY expiry_epoch) AS nth, row_number() OVER (PARTITION BY underlying_symbol, is_monthly ORDER BY expiry_epoch) AS nth_of_kind FROM y)"
 ATM = f"{OPT}, am AS (SELECT underlying_symbol, expiry_epoch, min_by(strike, abs(strike - spot) * 1000000 + strike) AS atm_strike FROM opt JOIN sp USING (underlying_symbol) GROUP BY 1, 2)"
@@ -285,7 +294,6 @@ ATM = f"{OPT}, am AS (SELECT underlying_symbol, expiry_epoch, min_by(strike, abs
 
 def options(spark, d):
     l, p = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "part"))
-    l = l.filter("l_shipdate >= '1995-01-01' AND l_shipdate < '1995-07-01'")
     week = (B.epoch(F.date_trunc("week", "l_shipdate")) + 302_400).alias("expiry_epoch")
     o = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("underlying_symbol"), week, (F.col("p_size") * 50 + 1000).cast("double").alias("strike"), F.when(F.col("l_linenumber") % 2 == 0, "CE").otherwise("PE").alias("option_type"))
     return o.distinct().withColumn("symbol", F.concat_ws("-", "underlying_symbol", F.col("expiry_epoch").cast("string"), F.col("strike").cast("bigint").cast("string"), "option_type"))
@@ -430,12 +438,15 @@ ends AS (SELECT chart_id, column_index, max(seq) AS action_seq, max(trend) AS tr
 cl AS (SELECT *, dense_rank() OVER (PARTITION BY chart_id ORDER BY box_value) - 1 AS box_index FROM (SELECT DISTINCT chart_id, column_index, box_value, ends.trend, ends.action_seq FROM b2 JOIN ends USING (chart_id, column_index))),
 st AS (SELECT chart_id, column_index, max(box_index) AS high, min(box_index) AS low, count(*)::INT AS height, max(box_value) AS high_value, min(box_value) AS low_value, max(trend) AS trend, median(box_value) AS midpoint FROM cl GROUP BY 1, 2),
 br0 AS (SELECT c.* FROM cl c ANTI JOIN (SELECT chart_id, column_index + 1 AS column_index, box_index FROM cl) l USING (chart_id, column_index, box_index) WHERE c.column_index >= 1),
-br1 AS (SELECT b.*, coalesce((SELECT max(m.column_index) FROM cl m WHERE m.chart_id = b.chart_id AND m.box_index = b.box_index - b.trend AND m.column_index <= b.column_index AND m.trend <> b.trend), -1) AS foe,
-  (SELECT max(m.column_index) FROM cl m WHERE m.chart_id = b.chart_id AND m.box_index = b.box_index AND m.column_index < b.column_index) AS z FROM br0 b),
-br2 AS (SELECT b.chart_id, b.column_index, b.box_index, b.trend, b.action_seq, z, list_sort(list(m.column_index)) AS k FROM br1 b JOIN cl m ON m.chart_id = b.chart_id AND m.box_index = b.box_index - b.trend AND m.column_index <= b.column_index AND m.column_index > foe AND m.trend = b.trend GROUP BY ALL HAVING count(*) >= 2),
-br3 AS (SELECT b.*, z1.trend AS tz, coalesce(z0.trend, 0) AS pz FROM br2 b LEFT JOIN cl z1 ON z1.chart_id = b.chart_id AND z1.box_index = b.box_index AND z1.column_index = z LEFT JOIN cl z0 ON z0.chart_id = b.chart_id AND z0.box_index = b.box_index AND z0.column_index = z - 1),
-br AS (SELECT chart_id, trend, CASE WHEN coalesce(z, 0) = 0 THEN CASE WHEN coalesce(tz, trend) = trend THEN 'conti' ELSE 'reversal' END WHEN tz = trend AND pz <> -trend THEN 'resistance' WHEN tz = -trend AND pz = -trend AND trend = 1 THEN 'fulcrum' ELSE 'reversal' END AS type,
-  column_index, box_index, len(k) - p AS hits, k[-1] - k[p + 1] + 1 AS width, CASE WHEN z IS NULL THEN k[-1] + 1 ELSE k[-1] - z + 1 END AS outer_width, action_seq FROM (SELECT *, unnest(range(0, greatest(1, len(k) - 1))) AS p FROM br3))"""
+mk AS (SELECT *, row_number() OVER (PARTITION BY chart_id, box_index, trend ORDER BY column_index) AS rk FROM cl),
+br1 AS (SELECT b.*, b.box_index - b.trend AS line, coalesce(m.column_index, -1) AS foe FROM br0 b ASOF LEFT JOIN mk m ON m.chart_id = b.chart_id AND m.box_index = b.box_index - b.trend AND m.trend = -b.trend AND b.column_index >= m.column_index),
+br2 AS (SELECT b.*, m.rk AS last_rk, m.column_index AS last FROM br1 b ASOF JOIN mk m ON m.chart_id = b.chart_id AND m.box_index = b.line AND m.trend = b.trend AND b.column_index >= m.column_index),
+br3 AS (SELECT b.*, coalesce(m.rk, 0) AS foe_rk FROM br2 b ASOF LEFT JOIN mk m ON m.chart_id = b.chart_id AND m.box_index = b.line AND m.trend = b.trend AND b.foe >= m.column_index),
+br4 AS (SELECT b.*, m.column_index AS z, m.trend AS tz FROM br3 b ASOF LEFT JOIN cl m ON m.chart_id = b.chart_id AND m.box_index = b.box_index AND b.column_index > m.column_index WHERE last_rk - foe_rk >= 2),
+br5 AS (SELECT b.*, coalesce(m.trend, 0) AS pz FROM br4 b LEFT JOIN cl m ON m.chart_id = b.chart_id AND m.box_index = b.box_index AND m.column_index = z - 1),
+br AS (SELECT b.chart_id, b.trend, CASE WHEN coalesce(z, 0) = 0 THEN CASE WHEN coalesce(tz, b.trend) = b.trend THEN 'conti' ELSE 'reversal' END WHEN tz = b.trend AND pz <> -b.trend THEN 'resistance' WHEN tz = -b.trend AND pz = -b.trend AND b.trend = 1 THEN 'fulcrum' ELSE 'reversal' END AS type,
+  b.column_index, b.box_index, last_rk - foe_rk - p AS hits, last - m.column_index + 1 AS width, CASE WHEN z IS NULL THEN last + 1 ELSE last - z + 1 END AS outer_width, b.action_seq
+  FROM (SELECT *, unnest(range(0, greatest(1, last_rk - foe_rk - 1))) AS p FROM br5) b JOIN mk m ON m.chart_id = b.chart_id AND m.box_index = line AND m.trend = b.trend AND m.rk = foe_rk + p + 1)"""
 
 
 def pnf(spark, d, rules: PnfRules = PnfRules()):
@@ -443,10 +454,21 @@ def pnf(spark, d, rules: PnfRules = PnfRules()):
     return columns(e.select(F.col("event_type").alias("chart_id"), F.col("event_id").alias("seq"), F.round(100 + F.col("value"), 2).alias("close")), rules)
 
 
+def drawn(spark, d, rules: PnfRules = PnfRules()):
+    """The charts' cells, computed once for all that is asked of them."""
+    return once(K.cells(pnf(spark, d, rules)), "cells")
+
+
 def stats(spark, d):
     return K.column_stats(K.cells(pnf(spark, d)))
 
 
+def parts_of(spark, d, rules: PnfRules = PnfRules()):
+    """Cells, column figures and breakouts."""
+    c = drawn(spark, d, rules)
+    return c, once(K.column_stats(c), "stats"), once(K.breakouts(c), "breakouts")
+
+
 @query(f"{PNF} SELECT chart_id, column_index, trend, start_seq, action_seq AS end_seq, filled FROM ends")
 def pnf_columns(spark, d):
     return pnf(spark, d).select("chart_id", "column_index", "trend", "start_seq", "end_seq", F.size("boxes").alias("filled"))
@@ -503,32 +525,36 @@ def pnf_psar(spark, d):
 
 @query(f"{PNF} SELECT * FROM br")
 def pnf_breakouts(spark, d):
-    return K.breakouts(K.cells(pnf(spark, d)))
-
+    return K.breakouts(drawn(spark, d))
 
-TWO = "high > lag(high, 2) OVER w"
-BUYS = f"{PNF}, bs AS (SELECT chart_id, column_index, CASE WHEN trend = 1 AND {TWO} THEN 0 WHEN trend = -1 AND low < lag(low, 2) OVER w THEN 1 END AS code, lag(high, 2) OVER w + 1 AS up, lag(low, 2) OVER w - 1 AS down FROM st WINDOW w AS (PARTITION BY chart_id ORDER BY column_index))"
 
-
-@query(f"{BUYS} SELECT chart_id, column_index, code, CASE WHEN code = 0 THEN up ELSE down END AS box_index FROM bs WHERE code IS NOT NULL")
+@query(f"{PNF}, bs AS (SELECT chart_id, column_index, CASE WHEN trend = 1 AND high > lag(high, 2) OVER w THEN 0 WHEN trend = -1 AND low < lag(low, 2) OVER w THEN 1 END AS code, high, low FROM st WINDOW w AS (PARTITION BY chart_id ORDER BY column_index)) SELECT chart_id, column_index, code, CASE WHEN code = 0 THEN high ELSE low END + 1 AS box_index FROM bs WHERE code IS NOT NULL")
 def pnf_buy_sell(spark, d):
     return K.buy_sell(stats(spark, d))
 
 
 @query(f"{PNF} SELECT chart_id, column_index, box_index, hits, width, type FROM br WHERE trend = 1 AND hits = 2 AND width <= 3")
 def pnf_double_top_buy(spark, d):
-    return K.multiple(K.breakouts(K.cells(pnf(spark, d))), 2, 1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
+    return K.multiple(K.breakouts(drawn(spark, d)), 2, 1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
 
 
 @query(f"{PNF} SELECT chart_id, column_index, box_index, hits, width, type FROM br WHERE trend = -1 AND hits = 3 AND width <= 5")
 def pnf_triple_bottom_sell(spark, d):
-    return K.multiple(K.breakouts(K.cells(pnf(spark, d))), 3, -1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
+    return K.multiple(K.breakouts(drawn(spark, d)), 3, -1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
 
 
 @query("")
 def pnf_signals(spark, d):
-    c = K.cells(pnf(spark, d))
-    return K.signals(K.column_stats(c), K.breakouts(c))
+    c, s, b = parts_of(spark, d)
+    return K.signals(s, b, cells_=c)
+
+
+#: In a series of one row a column, the row of each breakout's column has come to its end.
+@query(f"{PNF} SELECT br.chart_id, br.column_index, max(ends.action_seq) AS seq, max_by(v.box_value, br.box_index) AS price FROM br JOIN ends ON ends.chart_id = br.chart_id AND ends.column_index = br.column_index JOIN (SELECT DISTINCT chart_id, box_index, box_value FROM cl) v ON v.chart_id = br.chart_id AND v.box_index = br.box_index WHERE br.trend = 1 AND hits = 2 AND width <= 3 GROUP BY 1, 2")
+def pnf_double_top_prices(spark, d):
+    columns_ = once(pnf(spark, d), "columns")
+    c = once(K.cells(columns_), "cells")
+    return K.multiple_prices(K.time_series(columns_), c, K.breakouts(c), 2, 1)
 
 
 @query(
@@ -540,32 +566,58 @@ def pnf_next_signal(spark, d):
     return K.next_simple_signal(stats(spark, d))
 
 
-@query(
-    f"""{PNF}, en AS (SELECT chart_id, max(column_index) AS e FROM st GROUP BY 1), ln AS (SELECT chart_id, column_index, trend AS t, CASE WHEN trend = 1 THEN high + 1 ELSE low - 1 END AS box_index FROM st),
-mt AS (SELECT ln.*, (SELECT min(c.column_index) FROM cl c WHERE c.chart_id = ln.chart_id AND c.box_index + t * c.column_index = ln.box_index + t * ln.column_index AND c.column_index > ln.column_index) AS stop FROM ln),
-lg AS (SELECT mt.*, coalesce(stop - 1, e) - column_index + 1 AS length FROM mt JOIN en USING (chart_id)), lf AS (SELECT *, max(column_index + length) OVER (PARTITION BY chart_id, t ORDER BY column_index, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM lg WHERE length >= 4)
-SELECT chart_id, CASE WHEN coalesce(column_index + length <= reach, false) THEN 'internal' ELSE 'external' END AS bounded, CASE WHEN t = 1 THEN 'bearish resistance' ELSE 'bullish support' END AS type, length, column_index, box_index FROM lf"""
-)
+@query("")
 def pnf_trendlines_strong(spark, d):
-    c = K.cells(pnf(spark, d))
+    c = drawn(spark, d)
     return K.trendlines(c, K.column_stats(c), 4)
 
 
-@query(
-    f"{PNF}, fb AS (SELECT DISTINCT chart_id, column_index, trend FROM br) SELECT chart_id, column_index, trend, height AS length, round(CASE WHEN trend = 1 THEN low_value + height * 3 * 1.0::DOUBLE ELSE high_value - height * 3 * 1.0::DOUBLE END, 6) AS target FROM st JOIN fb USING (chart_id, column_index, trend)"
-)
-def pnf_counts_vertical(spark, d):
-    c = K.cells(pnf(spark, d))
-    return K.vertical_counts(K.column_stats(c), K.breakouts(c), 3, 1.0)
+@query("")
+def pnf_trendlines_weak(spark, d):
+    c, s, b = parts_of(spark, d)
+    return K.weak_trendlines(c, s, b, 4)
 
 
-@query(
-    f"""{PNF} SELECT b.chart_id, b.column_index, b.box_index, b.trend, b.width, round(CASE WHEN b.trend = 1 THEN min(s.low_value) + b.width * 3 * 1.0::DOUBLE ELSE max(s.high_value) - b.width * 3 * 1.0::DOUBLE END, 6) AS target
-FROM br b JOIN st s ON s.chart_id = b.chart_id AND s.column_index BETWEEN b.column_index - b.width + 1 AND b.column_index WHERE b.type = 'reversal' AND b.width >= 5 GROUP BY 1, 2, 3, 4, 5"""
-)
-def pnf_counts_horizontal(spark, d):
-    c = K.cells(pnf(spark, d))
-    return K.horizontal_counts(K.column_stats(c), K.breakouts(c), 3, 1.0)
+#: What the columns of a breakout's width hold, rows seen in its direction; the scale goes on by its percentage beyond the boxes.
+COUNTS = f"""{PNF}, pat AS (SELECT b.chart_id, b.trend, b.type, b.column_index, b.box_index, b.hits, b.width, min(CASE WHEN b.trend = 1 THEN s.low ELSE -s.high END) AS foot, max_by(CASE WHEN b.trend = 1 THEN s.low ELSE -s.high END, -s.column_index) AS foot1, max_by(s.trend, -s.column_index) AS t1,
+  max_by(s.height, -s.column_index) AS height1, max(CASE WHEN s.column_index = b.column_index - 1 THEN CASE WHEN b.trend = 1 THEN s.low ELSE -s.high END END) AS foot2, sum(greatest(0, least(CASE WHEN b.trend = 1 THEN s.high ELSE -s.low END, b.trend * b.box_index - 1) - CASE WHEN b.trend = 1 THEN s.low ELSE -s.high END + 1)) AS filled,
+  max(struct_pack(f := -CASE WHEN b.trend = 1 THEN s.low ELSE -s.high END, c := s.column_index)).c AS last FROM br b JOIN st s ON s.chart_id = b.chart_id AND s.column_index BETWEEN b.column_index - b.width + 1 AND b.column_index GROUP BY ALL),
+ct0 AS (SELECT chart_id, trend, 'vertical' AS type, column_index, box_index, column_index - width + 1 AS anchor_column, height1::INT AS length, trend * (foot - 1) AS ar, trend * (foot - 1 + height1 * 3) AS tr, trend * (foot2 - 1) AS r1, trend * (foot - 1) AS r2, filled / ((width - 1) * (trend * box_index - foot - 1) + trend * box_index - foot) AS q FROM pat WHERE foot1 = foot AND t1 = trend
+ UNION ALL SELECT chart_id, trend, 'horizontal R>1', column_index, box_index, last, width::INT, trend * foot, trend * (foot + width * 3), trend * (foot2 - 1), trend * (foot - 1), filled / ((width - 1) * (trend * box_index - foot - 1) + trend * box_index - foot) FROM pat WHERE type = 'reversal' AND width >= 5),
+sc AS (SELECT chart_id, box_index, max(box_value) AS v FROM cl GROUP BY 1, 2), se AS (SELECT chart_id, max(box_index) AS top, max(v) AS hi, min(v) AS lo FROM sc GROUP BY 1),
+need AS (SELECT DISTINCT chart_id, r FROM (SELECT chart_id, unnest([ar, tr, r1, r2, box_index]) AS r FROM ct0)), rv AS (SELECT n.chart_id, n.r, CASE WHEN n.r > top THEN round(hi * 1.01 ** (n.r - top), 2) WHEN n.r < 0 THEN round(lo / 1.01 ** -n.r, 2) ELSE v END AS v FROM need n JOIN se USING (chart_id) LEFT JOIN sc ON sc.chart_id = n.chart_id AND sc.box_index = n.r),
+ct AS (SELECT ct0.chart_id, trend, type, column_index, box_index, b.v AS box, anchor_column, a.v AS anchor_box, length, t.v AS target, round((t.v - b.v) * trend, 6) AS reward, round((b.v - s1.v) * trend, 6) AS risk_1, round((b.v - s2.v) * trend, 6) AS risk_2, round(q, 2) AS quality FROM ct0
+  JOIN rv b ON b.chart_id = ct0.chart_id AND b.r = box_index JOIN rv a ON a.chart_id = ct0.chart_id AND a.r = ar JOIN rv t ON t.chart_id = ct0.chart_id AND t.r = tr JOIN rv s1 ON s1.chart_id = ct0.chart_id AND s1.r = r1 JOIN rv s2 ON s2.chart_id = ct0.chart_id AND s2.r = r2)"""
+
+
+def counted(f):
+    def run(spark, d):
+        c, s, b = parts_of(spark, d)
+        return f(s, b, c, PnfRules()).drop("ratio_1", "ratio_2")
+
+    return run
+
+
+QUERIES["pnf_counts_vertical"] = counted(K.vertical_counts)
+ORACLES["pnf_counts_vertical"] = f"{COUNTS} SELECT * FROM ct WHERE type = 'vertical'"
+QUERIES["pnf_counts_horizontal"] = counted(K.horizontal_counts)
+ORACLES["pnf_counts_horizontal"] = f"{COUNTS} SELECT * FROM ct WHERE type <> 'vertical'"
+
+
+@query("")
+def pnf_counts_base(spark, d):
+    rules = PnfRules(reversal=1, scaling="abs", boxsize=2.0)
+    c, s, b = parts_of(spark, d, rules)
+    return K.counts(s, b, c, rules)
+
+
+#: How far targets lie against how far the stops do, by chart and direction.
+@query(f"{COUNTS} SELECT chart_id, trend, type, count(*) AS n, round(avg(reward), 1) AS reward, round(avg(risk_1), 1) AS risk_1, round(avg(risk_2), 1) AS risk_2 FROM ct GROUP BY 1, 2, 3")
+def pnf_risk_reward(spark, d):
+    c, s, b = parts_of(spark, d)
+    both = K.vertical_counts(s, b, c, PnfRules()).unionByName(K.horizontal_counts(s, b, c, PnfRules()))
+    mean = lambda x: F.round(F.avg(x), 1).alias(x)
+    return both.groupBy("chart_id", "trend", "type").agg(F.count("*").alias("n"), mean("reward"), mean("risk_1"), mean("risk_2"))
 
 
 @query("")
@@ -587,14 +639,9 @@ def pnf_render(spark, d):
     "WITH b AS (SELECT o_orderpriority AS k, o_orderdate AS t, max(o_totalprice) AS h, min(o_totalprice) AS l, max_by(o_totalprice, o_orderkey) AS c FROM orders GROUP BY 1, 2), r AS (SELECT k, t, greatest(h - l, abs(h - p), abs(l - p)) AS tr, row_number() OVER (PARTITION BY k ORDER BY t DESC) AS n FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY t) AS p FROM b) WHERE p IS NOT NULL) SELECT k AS chart_id, round(avg(tr), 4) AS atr FROM r WHERE n <= 14 GROUP BY 1"
 )
 def true_range_atr(spark, d):
-    from pyspark.sql import Window
-
     o = spark.read.parquet(f"{d}/orders.parquet")
-    b = o.groupBy(F.col("o_orderpriority").alias("chart_id"), F.col("o_orderdate").alias("t")).agg(F.max("o_totalprice").alias("h"), F.min("o_totalprice").alias("l"), F.max_by("o_totalprice", "o_orderkey").alias("c"))
-    w = Window.partitionBy("chart_id")
-    b = b.withColumn("p", F.lag("c").over(w.orderBy("t"))).filter("p IS NOT NULL")
-    b = b.withColumn("tr", F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - F.col("p")), F.abs(F.col("l") - F.col("p")))).withColumn("n", F.row_number().over(w.orderBy(F.desc("t"))))
-    return b.filter("n <= 14").groupBy("chart_id").agg(F.round(F.avg("tr"), 4).alias("atr"))
+    b = o.groupBy(F.col("o_orderpriority").alias("chart_id"), F.col("o_orderdate").alias("seq")).agg(F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", "o_orderkey").alias("close"))
+    return mean_true_range(b, 14).select("chart_id", F.round("atr", 4).alias("atr"))
 
 
 @query("")
@@ -604,32 +651,6 @@ def live_replay(spark, d):
     return replay(S.from_events(spark, d), 3600)
 
 
-@query("")
-def pnf_trendlines_weak(spark, d):
-    c = K.cells(pnf(spark, d))
-    return K.weak_trendlines(c, K.column_stats(c), K.breakouts(c), 4)
-
-
-@query("")
-def pnf_counts_base(spark, d):
-    c = K.cells(pnf(spark, d, PnfRules(reversal=1, scaling="abs", boxsize=2.0)))
-    return K.base_counts(c, K.breakouts(c), 2.0)
-
-
-RISK = f"""{PNF}, fb AS (SELECT DISTINCT chart_id, column_index, trend FROM br), ct AS (SELECT chart_id, column_index, trend, height AS length, round(CASE WHEN trend = 1 THEN low_value + height * 3 * 1.0::DOUBLE ELSE high_value - height * 3 * 1.0::DOUBLE END, 6) AS target FROM st JOIN fb USING (chart_id, column_index, trend)),
-pv AS (SELECT chart_id, column_index, high_value, low_value, lag(low_value) OVER w AS lo1, lag(high_value) OVER w AS hi1 FROM st WINDOW w AS (PARTITION BY chart_id ORDER BY column_index)),
-rk AS (SELECT ct.*, CASE WHEN trend = 1 THEN high_value ELSE low_value END AS en, CASE WHEN trend = 1 THEN low_value - 1 ELSE high_value + 1 END AS s1, CASE WHEN trend = 1 THEN lo1 - 1 ELSE hi1 + 1 END AS s2 FROM ct JOIN pv USING (chart_id, column_index)),
-rr AS (SELECT chart_id, column_index, trend, length, target, round(abs(target - en), 6) AS reward, round(least(abs(en - s1), abs(en - coalesce(s2, s1))), 6) AS risk_1, round(greatest(abs(en - s1), abs(en - coalesce(s2, s1))), 6) AS risk_2 FROM rk)
-SELECT * FROM rr WHERE reward > 0"""
-
-
-@query(RISK)
-def pnf_risk_reward(spark, d):
-    c = K.cells(pnf(spark, d))
-    s = K.column_stats(c)
-    return K.risk_and_reward(K.vertical_counts(s, K.breakouts(c), 3, 1.0), s, 1.0).drop("ratio_1", "ratio_2")
-
-
 @query("SELECT o_custkey AS k, string_agg(l, chr(10) ORDER BY o) AS text FROM (SELECT o_custkey, o_orderkey AS o, o_orderpriority AS l FROM orders) GROUP BY 1 HAVING sum(length(l) + 1) <= 3900")
 def packed_messages(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("l"))

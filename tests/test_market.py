@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import instruments as I
 from marketloom.operators import paper as P
 from marketloom.operators.pnf import cells as K
-from marketloom.operators.pnf.columns import FrozenSteps, PnfRules, columns
+from marketloom.operators.pnf.columns import FrozenChart, PnfRules, columns
 from marketloom.streaming import candle_stream as L
 
 
@@ -19,7 +19,7 @@ def test_integer_boxes_equal_decimal_ones():
         part = Decimal(str(size / 100))
         r, p = Decimal(ref) / 100, Decimal(price) / 100
         n = int((abs(p - r) / (r * part)).to_integral_value(ROUND_FLOOR))
-        steps = FrozenSteps(size)
+        steps = FrozenChart("c", PnfRules(boxsize=size))
         assert abs(steps.count(price, ref)) == n
         if n:
             sign = 1 if price > ref else -1
@@ -35,7 +35,7 @@ def chart(spark, closes, **rules):
 def test_columns_turn_at_three_boxes(spark):
     rows = chart(spark, [100, 103, 105, 103.5, 101, 110], boxsize=1.0, scaling="abs").orderBy("column_index").collect()
     assert [r.trend for r in rows] == [1, -1, 1]
-    assert rows[0].boxes == [101.0, 102.0, 103.0, 104.0, 105.0]
+    assert rows[0].boxes == [100.0, 101.0, 102.0, 103.0, 104.0, 105.0]
     assert rows[1].boxes == [104.0, 103.0, 102.0, 101.0]
     rows = chart(spark, [100, 102, 103.5, 99]).orderBy("column_index").collect()
     assert [(r.trend, r.boxes) for r in rows] == [(1, [101.0, 102.0, 103.0]), (-1, [101.97, 100.94, 99.91])]
@@ -63,10 +63,31 @@ def test_signals_trades_and_levels(spark):
     t = P.reversal_trades(s)
     assert [(r.side, r.entry_price, r.exit_price, r.pnl) for r in t.orderBy("entry_epoch").collect()] == [("BUY", 4.0, 1.0, -3.0), ("SELL", 1.0, None, None)]
     ticks = spark.createDataFrame([("A", 70, 30.0, 1), ("A", 200, 12.0, 2)], "symbol string, e long, ltp double, seq long")
-    out = P.level_exits(t, ticks).orderBy("entry_epoch").collect()
+    out = P.paper_trades(s, ticks).orderBy("entry_epoch").collect()
     assert [(r.reason, r.exit_epoch, r.pnl) for r in out] == [("TP", 70, 26.0), ("SL", 200, -11.0)]
 
 
+def book(spark, signals, ticks, seconds=0):
+    s = spark.createDataFrame([("A", e, float(c), x) for e, c, x in signals], "symbol string, bucket_epoch long, close double, signal string")
+    t = spark.createDataFrame([("A", e, float(p), i) for i, (e, p) in enumerate(ticks)], "symbol string, e long, ltp double, seq long")
+    return [(r.side, r.entry_price, r.entry_epoch, r.exit_price, r.exit_epoch, r.reason, r.pnl) for r in P.paper_trades(s, t, seconds).orderBy("entry_epoch").collect()]
+
+
+def test_paper_trades_by_hand(spark):
+    # The target ends the trade; the same signal then opens a new one, and is ignored while that is open.
+    assert book(spark, [(60, 100, "BUY"), (120, 110, "BUY"), (180, 111, "BUY"), (240, 112, "BUY")], [(70, 105), (100, 120), (101, 50)]) == [
+        ("BUY", 100.0, 60, 120.0, 100, "TP", 20.0), ("BUY", 110.0, 120, None, None, "OPEN", None),
+    ]
+    # A stop, a tick without position, a turn at the close, and levels of the other side.
+    assert book(spark, [(60, 100, "SELL"), (120, 95, "BUY"), (180, 90, "SELL"), (240, 91, "NONE")], [(61, 110), (62, 500), (130, 100), (190, 70), (200, 1)]) == [
+        ("SELL", 100.0, 60, 110.0, 61, "SL", -10.0), ("BUY", 95.0, 120, 90.0, 180, "REVERSAL", -5.0), ("SELL", 90.0, 180, 70.0, 190, "TP", 20.0),
+    ]
+    # A candle acts at its end: ticks before it don't see its position, and at the end itself it comes first. A level of 0 is none.
+    assert book(spark, [(60, 100, "BUY")], [(61, 200), (119, 1), (120, 90)], 60) == [("BUY", 100.0, 60, 90.0, 120, "SL", -10.0)]
+    assert book(spark, [(60, 10, "BUY")], [(61, 0), (62, -5), (63, 30)]) == [("BUY", 10.0, 60, 30.0, 63, "TP", 20.0)]
+    assert book(spark, [], [(1, 1)]) == [] and book(spark, [(1, 5, "SELL")], []) == [("SELL", 5.0, 1, None, None, "OPEN", None)]
+
+
 def test_instruments(spark):
     head = ["tok", "Name", "short", "12.9", "x", "isin", "s", "u", "1745000000", "NSE:A-EQ", "10", "10", "1", "2", "A", "100.5", "CE", "15"]
     rows = [tuple([*head]), tuple([*head[:9], "NSE:B-INDEX", *head[10:]]), tuple([*head[:9], " ", *head[10:]]), tuple([*head[:17], None])]
@@ -107,26 +128,3 @@ def test_timer_closes_idle_symbols():
     m = L.Machine("A", 5)
     assert list(m.tick(1745379900, 1.0)) == [] and m.next_due(1) == 1745379906
     assert [x[1] for x in m.due(1745379906, 1)] == [1745379900] and m.next_due(1) is None
-
-
-def test_base_counts_equal_brute_force(spark):
-    rng = random.Random(21)
-    c = K.cells(chart(spark, [300 + 2 * rng.randint(-7, 7) for _ in range(160)], reversal=1, scaling="abs", boxsize=2.0))
-    filled = [(r.column_index, r.box_index, r.box_value) for r in c.collect()]
-    value = {b: v for _, b, v in filled}
-    marks = {(r.column_index, r.box_index, r.trend, r.outer_width) for r in K.breakouts(c).filter("type = 'reversal' AND outer_width >= 5").collect()}
-    want = set()
-    for column, box, trend, width in marks:
-        inside = [b for x, b, _ in filled if column - width < x <= column]
-        most = max(inside.count(b) for b in inside)
-        pick = min if trend == 1 else max
-        base = pick(b for b in inside if inside.count(b) == most)
-        signal = pick(b for x, b, _ in filled if x == column)
-        h = abs(box - pick(inside))
-        share = sum((b - box) * trend < 0 for b in inside) / ((width - 1) * (h - 1) + h)
-        for kind, row, q in (("base", base, most / width), ("signal", signal, share)):
-            want.add((column, box, trend, kind, width, row, value[row] + 2.0 * trend * width, q))
-    got = K.base_counts(c, K.breakouts(c), 2.0).collect()
-    assert len(got) == len(want) == 2 * len(marks) and len({m[0] for m in marks}) < len(marks)
-    for g, w in zip(sorted(map(tuple, [r[1:] for r in got])), sorted(want)):
-        assert g[:6] == w[:6] and g[6] == pytest.approx(w[6]) and g[7] == pytest.approx(w[7], abs=0.0051)
