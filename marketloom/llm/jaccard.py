@@ -132,12 +132,12 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rules: JaccardR
     """Those of pairs (a, b) of representatives (rep, doc_id, key) whose texts' sets are similar enough, with the sizes of intersection and union."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps, "rep")
     asked = stored(asked, "asked")
-    # Equal rows give their text once.
-    texts = wanted(asked, keyed(docs)).groupBy("doc_id", "key").agg(F.first("text").alias("text")).join(asked, ["doc_id", "key"]).select(F.col("rep").alias("d"), "text")
+    # Equal rows give their text once. Members come to the texts by the same keys, so texts are dealt out once before they meet in groups.
+    texts = wanted(asked, keyed(docs)).groupBy("doc_id", "key").agg(F.first("text").alias("text"))
     groups_ = pairs.groupBy("a").agg(F.ceil(F.count("*") / rules.group).cast("int").alias("_s"))
     members = pairs.join(groups_, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("s"), F.col("b").alias("d"))
     heads = groups_.select("a", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("s"), F.col("a").alias("d"))
-    rows = members.unionByName(heads).join(texts, "d").select("a", "s", "d", "text")
+    rows = members.unionByName(heads).join(asked.withColumnRenamed("rep", "d"), "d").join(texts, ["doc_id", "key"]).select("a", "s", "d", "text")
     dealt = rows.repartition("a", "s").sortWithinPartitions("a", "s", F.col("d") != F.col("a"))
     percent = rules.percent
 

@@ -158,11 +158,20 @@ def verdict(featured: DataFrame, references: References, rules: QualityRules = Q
     return _judged(featured, references, rules).drop(*HISTOGRAMS)
 
 
+def _keyed(mine: Aside, rules: QualityRules) -> tuple[DataFrame, DataFrame]:
+    """The rows with keys k1 and k2, and a verdict for each key. Features are computed and written once, without the texts; verdicts come back by key."""
+    text, lang = mine.col("text"), mine.col("lang")
+    df = mine.df.withColumns({"k1": mine.col("doc_id").cast("bigint"), "k2": F.xxhash64(text, lang)})
+    featured = stored(features(df, rules, ["k1", "k2"], text, lang), "features")
+    return df, verdict(featured, fit_references(featured, rules), rules).dropDuplicates(["k1", "k2"])
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """docs with the base counts, the distances and `kept`. Rows are written with their features once, for the references and the verdicts."""
+    """docs with the base counts, the distances and `kept`. Rows are told apart by doc_id and the 64-bit hash of text and language."""
     mine = Aside(docs, BASE + VERDICT)
-    featured = stored(features(mine.df, rules, mine.kept(), mine.col("text"), mine.col("lang")), "features")
-    return mine.back(verdict(featured, fit_references(featured, rules), rules), *BASE, *VERDICT)
+    df, found = _keyed(mine, rules)
+    found = found.withColumnsRenamed({"k1": "j1", "k2": "j2"})
+    return mine.back(df.join(found, F.col("k1").eqNullSafe(F.col("j1")) & (F.col("k2") == F.col("j2"))), *BASE, *VERDICT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +184,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that the rules reject go."""
     mine = Aside(docs)
-    return mine.back(judge(mine.df.withColumns({"text": mine.col("text"), "lang": mine.col("lang")})).filter("kept"))
+    df, found = _keyed(mine, QualityRules())
+    kept = found.filter("kept").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"))
+    return mine.back(df.join(kept, F.col("k1").eqNullSafe(F.col("j1")) & (F.col("k2") == F.col("j2")), "left_semi"))
