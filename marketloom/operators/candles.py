@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.timebucket import session_bucket
@@ -85,17 +85,50 @@ def contiguous_prefix(candles: DataFrame, seconds: int, most: int = 500) -> Data
     return df.withColumn("_k", rank).filter(F.col("_k") <= most).drop("_k")
 
 
+def closed(rows: DataFrame, seconds: int) -> DataFrame:
+    """Rows of a candle file as closed candles, as streams give them: of `seconds`, complete, without volume."""
+    price = [F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]
+    return rows.select("symbol", F.col("bucket_epoch").cast("bigint").alias("bucket_epoch"), F.lit(seconds).alias("timeframe_seconds"), *price, F.lit(0).cast("bigint").alias("volume"), F.lit(True).alias("is_complete"))
+
+
+def backfilled(candles: DataFrame, history: DataFrame, seconds: int) -> DataFrame:
+    """candles and, `filled`, the history's (symbol, timestamp, prices) for gaps that it can close: all of a gap's buckets, or none of them.
+
+    A history's repeated rows count once, the last by its own order being unknown the one of the greatest prices.
+    """
+    fields = ["open", "high", "low", "close", "volume"]
+    wanted = gaps(candles, seconds).select("symbol", "gap_from", "missing", F.explode(F.sequence("gap_from", "gap_to", F.lit(seconds))).alias("bucket_epoch"))
+    have = history.groupBy("symbol", F.col("timestamp").alias("bucket_epoch")).agg(F.max(F.struct(*fields)).alias("_h"))
+    met = wanted.join(have, KEY)
+    whole = met.groupBy("symbol", "gap_from").agg(F.count("*").alias("_n"), F.first("missing").alias("missing")).filter("_n = missing").select("symbol", "gap_from")
+    rows = met.join(whole, ["symbol", "gap_from"], "left_semi").select(*KEY, "_h.*")
+    return candles.select(*KEY, *fields).withColumn("filled", F.lit(False)).unionByName(rows.withColumn("filled", F.lit(True)))
+
+
+def counted(rows: DataFrame, name: str, **counts: Column):
+    """rows, observed, and what they are observed by: how many there are and how many hold each of `counts`, known when rows were computed."""
+    watch = Observation(name)
+    return rows.observe(watch, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()]), watch
+
+
 def last_bucket(candles: DataFrame) -> DataFrame:
     return candles.groupBy("symbol").agg(F.max("bucket_epoch").alias("last_bucket"), F.count("*").alias("n"))
 
 
-def quality_flags(ticks: DataFrame, seconds: int, bucket: Column, gap: int = 2) -> DataFrame:
-    """Candles with first and last tick time and why they are partial: opened late, or ticks further apart than `gap` seconds."""
+def quality_flags(ticks: DataFrame, seconds: int, bucket: Column, gap: int = 2, outages: DataFrame | None = None) -> DataFrame:
+    """Candles with first and last tick time and why they are partial: opened late, ticks further apart than `gap` seconds, or, first of all,
+    an outage (reason, from_epoch, to_epoch, and symbol, null for all symbols) that touches the bucket. Outages are few."""
     w = Window.partitionBy("symbol", "bucket_epoch").orderBy("seq")
     df = ticks.withColumn("bucket_epoch", bucket).withColumn("_g", F.col("e") - F.lag("e").over(w))
     out = df.groupBy(KEY).agg(F.min("e").alias("first_tick"), F.max("e").alias("last_tick"), F.max("_g").alias("widest"), F.count("*").alias("volume"))
     reason = F.when(F.col("first_tick") - F.col("bucket_epoch") > gap, "late_start").when(F.col("widest") > gap, "tick_gap")
-    return out.withColumn("partial_reason", F.coalesce(reason, F.lit(""))).withColumn("is_partial", F.col("partial_reason") != "").drop("widest")
+    if outages is not None:
+        o = F.broadcast(outages.select(F.col("symbol").alias("_s"), F.col("reason").alias("_why"), F.col("from_epoch").alias("_a"), F.col("to_epoch").alias("_z")))
+        touched = (F.col("_s").isNull() | (F.col("_s") == F.col("symbol"))) & (F.col("_a") < F.col("bucket_epoch") + seconds) & (F.col("_z") >= F.col("bucket_epoch"))
+        out = out.join(o, touched, "left").groupBy(*[c for c in out.columns]).agg(F.min_by("_why", "_a").alias("_why"))
+        reason = F.coalesce(F.col("_why"), reason)
+    out = out.withColumn("partial_reason", F.coalesce(reason, F.lit(""))).withColumn("is_partial", F.col("partial_reason") != "").drop("widest")
+    return out.drop("_why")
 
 
 def reconcile(candles: DataFrame, history: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -110,7 +110,9 @@ def near_money(options: DataFrame, spots: DataFrame, option_type: str, side: str
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def for_strikes(options: DataFrame, strikes: DataFrame) -> DataFrame:
+def for_strikes(options: DataFrame, strikes: DataFrame, expiry_epoch: int | None = None) -> DataFrame:
+    """Options at the strikes of their underlying, of one expiry or of all."""
+    options = options if expiry_epoch is None else options.filter(F.col("expiry_epoch") == expiry_epoch)
     return options.join(strikes.select("underlying_symbol", "strike").distinct(), ["underlying_symbol", "strike"], "left_semi")
 
 
@@ -122,6 +124,19 @@ def strike_ladder(opens: DataFrame, n: int) -> DataFrame:
     return opens.select("name", F.explode(F.sequence(F.least(low, now), F.greatest(high, now), F.col("step").cast("bigint"))).alias("strike"))
 
 
+def with_index(df: DataFrame, name: str = "name") -> DataFrame:
+    """df with the spot symbol, option exchange and strike step of the index it names; names that are none have nulls."""
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("spot_symbol"), F.lit(e).alias("option_exchange"), F.lit(k).alias("step")) for n, s, e, k in INDICES])
+    found = F.get(F.filter(table, lambda x: x["n"] == F.upper(F.trim(F.col(name)))), F.lit(0))
+    return df.withColumns({c: found[c] for c in ("spot_symbol", "option_exchange", "step")})
+
+
+def strikes_of(options: DataFrame, expiry_epoch: int | None = None) -> DataFrame:
+    """Different strikes of each underlying, of one expiry or of all."""
+    df = options if expiry_epoch is None else options.filter(F.col("expiry_epoch") == expiry_epoch)
+    return df.filter("strike IS NOT NULL").select("underlying_symbol", "strike").distinct()
+
+
 def expansion(subscribed: DataFrame, quotes: DataFrame, n: int) -> DataFrame:
     """New strikes of each name whose current strike has left the subscribed range: n steps around it, those not yet subscribed."""
     now = (F.floor(F.col("current_price") / F.col("step")) * F.col("step")).cast("bigint")

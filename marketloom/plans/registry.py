@@ -149,6 +149,20 @@ def tail_n(spark, d):
     return H.tail(hours(spark, d), 180)
 
 
+@query(f"{HOURS} SELECT symbol, bucket_epoch, 3600 AS timeframe_seconds, open, high, low, close, 0 AS volume, true AS is_complete FROM c")
+def closed_candles(spark, d):
+    return C.closed(H.candle_rows(hours(spark, d), 3600), 3600)
+
+
+#: The history has six of seven missing quarter hours, so that some gaps can be closed as a whole.
+@query(f"{GAPS}, h AS (SELECT symbol, gap_from, missing, unnest(range(gap_from, gap_to + 1, 900)) AS bucket_epoch FROM g), k AS (SELECT *, count(*) OVER (PARTITION BY symbol, gap_from) AS n FROM h WHERE bucket_epoch // 900 % 7 <> 0) SELECT {FIELDS}, false AS filled FROM c UNION ALL SELECT symbol, bucket_epoch, 1.0::DOUBLE, 3.0::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE, 4, true FROM k WHERE n = missing")
+def gap_backfill(spark, d):
+    u = users(spark, d)
+    price = {"open": 1.0, "high": 3.0, "low": 0.5, "close": 2.0}
+    history = C.missing_buckets(u, 900).filter("floor(bucket_epoch / 900) % 7 <> 0").select("symbol", F.col("bucket_epoch").alias("timestamp"), *[F.lit(v).alias(k) for k, v in price.items()], F.lit(4).cast("bigint").alias("volume"))
+    return C.backfilled(u, history, 900)
+
+
 @query(f"{USERS} SELECT symbol, max(bucket_epoch) AS last_bucket, count(*) AS n FROM c GROUP BY 1")
 def last_bucket(spark, d):
     return C.last_bucket(users(spark, d))
@@ -361,6 +375,18 @@ for _type in ("CE", "PE"):
         _near(_type, _side)
 
 
+@query(f"{OPT} SELECT DISTINCT underlying_symbol, strike FROM opt")
+def distinct_strikes(spark, d):
+    return I.strikes_of(options(spark, d))
+
+
+@query("SELECT r_name AS name, CASE r_regionkey WHEN 1 THEN 'NSE:NIFTY50-INDEX' WHEN 2 THEN 'BSE:SENSEX-INDEX' END AS spot_symbol, CASE r_regionkey WHEN 1 THEN 'NSE' WHEN 2 THEN 'BSE' END AS option_exchange, CASE r_regionkey WHEN 1 THEN 50 WHEN 2 THEN 100 END AS step FROM region")
+def index_configuration(spark, d):
+    r = spark.read.parquet(f"{d}/region.parquet")
+    index = F.when(F.col("r_regionkey") == 1, " nifty").when(F.col("r_regionkey") == 2, "SENSEX").otherwise("none")
+    return I.with_index(r.select(F.col("r_name").alias("name"), index.alias("index")), "index").drop("index")
+
+
 @query(f"{OPT} SELECT opt.* FROM opt WHERE strike IN (1500, 2000, 2500)")
 def strikes_for(spark, d):
     o = options(spark, d)

@@ -28,8 +28,9 @@ def without_existing(rows: DataFrame, existing: DataFrame, keys: list[str]) -> D
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and new together; of rows of one key new ones win."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    """old and new together; of rows of one key new ones win, of several new ones the last that arrived."""
+    arrived = lambda df, turn: df.withColumn("_new", F.struct(F.lit(turn).alias("turn"), F.monotonically_increasing_id().alias("at")))
+    both = arrived(old, 0).unionByName(arrived(new, 1), allowMissingColumns=True)
     return keep_last(both, keys, "_new").drop("_new")
 
 
@@ -91,7 +92,7 @@ def warmup_ranges(candles: DataFrame, now: int, seconds: int, rows: int = 180, l
 def catch_up_ranges(candles: DataFrame, seconds: int) -> DataFrame:
     """For each symbol that lags behind the furthest one, the range up to it."""
     last = candles.groupBy("symbol").agg(F.max("bucket_epoch").alias("last"))
-    target = F.lit(candles.agg(F.max("bucket_epoch")).first()[0]).cast("bigint")  # one number
+    target = candles.agg(F.max("bucket_epoch")).scalar()  # a subquery of one number
     return last.filter(F.col("last") < target).select("symbol", (F.col("last") + seconds).alias("lo"), target.alias("hi"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from marketloom.functions.folds import fold
 from marketloom.functions.timebucket import IST, OPEN, OPEN_MCX
 
 CANDLE = "symbol STRING, bucket_epoch BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT, gap_from BIGINT"
@@ -112,11 +113,17 @@ class CandleProcessor(StatefulProcessor):
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDLE.split(", ")])
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Seeds a symbol with the last bucket that it has stored: ticks of it and of earlier ones are late, later ones show gaps."""
+        machine = Machine(key[0], self.seconds, self.drop)
+        machine.last = int(initialState["bucket_epoch"].max())
+        self.kept.update(machine.state())
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         machine, out = self._machine(key[0]), []
-        for batch in rows:
-            for e, price in batch.sort_values("seq")[["e", "ltp"]].itertuples(index=False):
-                out += machine.tick(int(e), float(price))
+        batch = pd.concat([b[["seq", "e", "ltp"]] for b in rows])  # a micro-batch of one symbol, in order of arrival
+        for e, price in batch.sort_values("seq")[["e", "ltp"]].itertuples(index=False):
+            out += machine.tick(int(e), float(price))
         yield from self._done(machine, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -127,25 +134,97 @@ class CandleProcessor(StatefulProcessor):
         pass
 
 
-def live_candles(ticks: DataFrame, seconds: int, grace: int = 1, drop_partial_first: bool = True, timers: bool = True) -> DataFrame:
+def live_candles(ticks: DataFrame, seconds: int, grace: int = 1, drop_partial_first: bool = True, timers: bool = True, seed: DataFrame | None = None) -> DataFrame:
     """Closed candles of streaming ticks (symbol, e, ltp, seq). gap_from: the first bucket missing before the candle, if any.
 
-    Needs the RocksDB state store. Without timers only ticks close candles, which makes a replay deterministic.
+    seed: stored candles (symbol, bucket_epoch), whose last bucket a symbol starts from. Needs the RocksDB state store. Without timers
+    only ticks close candles, which makes a replay deterministic.
     """
     processor = CandleProcessor(seconds, grace, drop_partial_first, timers)
-    return ticks.groupBy("symbol").transformWithStateInPandas(processor, outputStructType=CANDLE, outputMode="append", timeMode="ProcessingTime" if timers else "none")
+    start = seed.groupBy("symbol").agg(F.max("bucket_epoch").alias("bucket_epoch")).groupBy("symbol") if seed is not None else None
+    return ticks.groupBy("symbol").transformWithStateInPandas(processor, outputStructType=CANDLE, outputMode="append", timeMode="ProcessingTime" if timers else "none", initialState=start)
 
 
-def replay(ticks: DataFrame, seconds: int, drop_partial_first: bool = True) -> DataFrame:
-    """The same machine over a stored stream, a symbol at a time; candles still open at its end are not given."""
+class _Replay:
+    """The machine as a fold over stored ticks."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        machine, out = Machine(rows["symbol"].iloc[0], seconds, drop_partial_first), []
-        for e, price in rows.sort_values("seq")[["e", "ltp"]].itertuples(index=False):
-            out += machine.tick(int(e), float(price))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CANDLE.split(", ")])
+    def __init__(self, symbol: str, seconds: int, drop_partial_first: bool):
+        self.machine, self.begun = Machine(symbol, seconds, drop_partial_first), False
+
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        if not self.begun and "_last" in rows and not pd.isna(rows["_last"].iloc[0]):
+            self.machine.last = int(rows["_last"].iloc[0])
+        self.begun, out = True, []
+        for e, price in zip(rows["e"].tolist(), rows["ltp"].tolist()):
+            out += self.machine.tick(int(e), float(price))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def replay(ticks: DataFrame, seconds: int, drop_partial_first: bool = True, seed: DataFrame | None = None) -> DataFrame:
+    """The same machine over a stored stream, in memory of one batch of ticks; candles still open at its end are not given."""
+    rows = ticks.select("symbol", "e", "ltp", "seq")
+    if seed is not None:
+        rows = rows.join(seed.groupBy("symbol").agg(F.max("bucket_epoch").alias("_last")), "symbol", "left")
+    return fold(rows, "symbol", ["seq"], CANDLE, lambda symbol: _Replay(symbol, seconds, drop_partial_first))
+
+
+ROLL = "symbol STRING, bucket_epoch BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT"
+
+
+class Roller:
+    """Closed candles of one symbol, rolled up as they come: a target bucket is given when it has all its source buckets, in order."""
+
+    def __init__(self, symbol: str, source: int, target: int, state=None):
+        self.symbol, self.source, self.target = symbol, source, target
+        self.bucket, self.next, self.held = state or (None, None, None)
+        self.held = list(self.held) if self.held is not None else None
+
+    def state(self):
+        return (self.bucket, self.next, self.held)
+
+    def candle(self, bucket: int, o: float, h: float, l: float, c: float, volume: int) -> Iterator[tuple]:
+        own = bucket_of(bucket, self.symbol, self.target)
+        if bucket == own:
+            self.bucket, self.next, self.held = own, bucket + self.source, [o, h, l, c, float(volume)]
+        elif own == self.bucket and bucket == self.next:
+            x = self.held
+            self.next, self.held = bucket + self.source, [x[0], max(x[1], h), min(x[2], l), c, x[4] + volume]
+        elif own != self.bucket or bucket > (self.next or 0):
+            self.bucket, self.next, self.held = None, None, None  # something is missing
+            return
+        else:
+            return
+        if self.next == own + self.target:
+            yield (self.symbol, own, *self.held[:4], int(self.held[4]))
+            self.bucket, self.next, self.held = None, None, None
+
+
+class RollProcessor(StatefulProcessor):
+    def __init__(self, source: int, target: int):
+        self.source, self.target = source, target
+
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState("roller", "bucket BIGINT, next BIGINT, held ARRAY<DOUBLE>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        roller, out = Roller(key[0], self.source, self.target, self.kept.get() if self.kept.exists() else None), []
+        names = ["bucket_epoch", "open", "high", "low", "close", "volume"]
+        for row in pd.concat([b[names] for b in rows]).sort_values("bucket_epoch").itertuples(index=False):
+            out += roller.candle(int(row[0]), *map(float, row[1:5]), int(row[5]))
+        self.kept.update(roller.state())
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROLL.split(", ")])
+
+    def close(self) -> None:
+        pass
 
-    return ticks.groupBy("symbol").applyInPandas(run, CANDLE)
+
+def live_rollup(closed: DataFrame, source: int, target: int) -> DataFrame:
+    """Streaming closed candles of `source` seconds as candles of `target` seconds. Of a bucket that lacks a candle nothing is given."""
+    return closed.groupBy("symbol").transformWithStateInPandas(RollProcessor(source, target), outputStructType=ROLL, outputMode="append", timeMode="none")
 
 
 def event_time_candles(ticks: DataFrame, seconds: int, lateness: str = "1 second") -> DataFrame:
@@ -158,18 +237,23 @@ def event_time_candles(ticks: DataFrame, seconds: int, lateness: str = "1 second
 
 
 def write_once(path: str):
-    """A foreachBatch function that appends candles whose (symbol, bucket) is not yet at path, so a repeated batch adds nothing."""
+    """A foreachBatch function that appends candles whose (symbol, bucket) is not yet at path, so a repeated batch adds nothing.
+
+    Candles lie by day, and a batch is compared with the days that it has, not with all that was ever written.
+    """
 
     def write(batch: DataFrame, _id: int) -> None:
-        spark, rows = batch.sparkSession, batch.dropDuplicates(["symbol", "bucket_epoch"])
+        spark, rows = batch.sparkSession, batch.dropDuplicates(["symbol", "bucket_epoch"]).withColumn("day", F.floor(F.col("bucket_epoch") / 86_400))
+        days = [r[0] for r in rows.select("day").distinct().collect()]  # a batch has few
         try:
-            have = spark.read.parquet(path).select("symbol", "bucket_epoch")
+            have = spark.read.parquet(path).filter(F.col("day").isin(days)).select("symbol", "bucket_epoch")
         except Exception as e:  # nothing has been written yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             have = None
         if have is not None:
             rows = rows.join(have, ["symbol", "bucket_epoch"], "left_anti")
-        rows.write.mode("append").parquet(path)
+        if days:
+            rows.write.mode("append").partitionBy("day").parquet(path)
 
     return write

@@ -99,3 +99,27 @@ def test_completed_end(spark):
     df = spark.createDataFrame([(OPEN + 30,), (OPEN + 130,), (OPEN + 90000 - 3600,)], "now long")
     out = [r[0] for r in df.select(completed_end(F.col("now"), F.lit("A"), 60)).collect()]
     assert out[0] == OPEN - 1 and out[1] == OPEN + 119
+
+
+def test_backfill_is_all_or_nothing(spark):
+    df = candle_rows(spark, [OPEN, OPEN + 180, OPEN + 300])
+    history = spark.createDataFrame([("A", OPEN + x, 1.0, 2.0, 0.5, 1.5, 9) for x in (60, 240, 240, 0)], "symbol string, timestamp long, open double, high double, low double, close double, volume int")
+    out = {(r.bucket_epoch - OPEN, r.filled) for r in C.backfilled(df, history, 60).collect()}
+    assert out == {(0, False), (180, False), (300, False), (240, True)}  # the first gap lacks a bucket
+    assert C.backfilled(df, history.filter("timestamp < 0"), 60).count() == 3
+
+
+def test_counters_and_outages(spark):
+    df, watch = C.counted(candle_rows(spark, [OPEN, OPEN + 60]), "interval", late=F.col("bucket_epoch") > OPEN)
+    assert df.count() == 2 and watch.get == {"rows": 2, "late": 1}
+    t = spark.createDataFrame([("A", OPEN, 1.0, 1), ("A", OPEN + 61, 2.0, 2), ("B", OPEN, 1.0, 1)], "symbol string, e long, ltp double, seq long")
+    o = spark.createDataFrame([("A", "subscription_down", OPEN + 60, OPEN + 70), (None, "stream_down", OPEN + 5, OPEN + 6)], "symbol string, reason string, from_epoch long, to_epoch long")
+    out = {(r.symbol, r.bucket_epoch - OPEN): r.partial_reason for r in C.quality_flags(t, 60, session_bucket(F.col("e"), F.col("symbol"), 60), outages=o).collect()}
+    assert out == {("A", 0): "stream_down", ("A", 60): "subscription_down", ("B", 0): "stream_down"}
+
+
+def test_upsert_takes_the_last_arrival(spark):
+    df = candle_rows(spark, [OPEN])
+    new = spark.createDataFrame([("A", OPEN, float(i)) for i in range(5)], "symbol string, bucket_epoch long, close double").coalesce(1)
+    assert [r.close for r in H.upsert(df.select("symbol", "bucket_epoch", "close"), new, ["symbol", "bucket_epoch"]).collect()] == [4.0]
+    assert H.catch_up_ranges(candle_rows(spark, [OPEN]).unionByName(candle_rows(spark, [OPEN + 60], "B")), 60).collect() == [("A", OPEN + 60, OPEN + 60)]

@@ -1,7 +1,3 @@
-from pyspark.sql import functions as F
-
-from marketloom.operators.pnf import cells as K
-from marketloom.operators.pnf.columns import PnfRules, columns
 from marketloom.sources import instrument_files as N
 
 
@@ -36,14 +32,3 @@ def test_constituents_and_state(spark, tmp_path):
     assert N.load_state(spark, str(tmp_path / "s")) == {}
     N.save_state(spark, str(tmp_path / "s"), {"a": [1, None]})
     assert N.load_state(spark, str(tmp_path / "s")) == {"a": [1, None]}
-
-
-def test_counts_and_weak_lines(spark):
-    prices = [100, 105, 101, 105, 101, 106, 102, 108, 95, 99, 94]
-    bars = spark.createDataFrame([("c", i, float(p)) for i, p in enumerate(prices)], "chart_id string, seq long, close double")
-    c = K.cells(columns(bars, PnfRules(scaling="abs")))
-    s, b = K.column_stats(c), K.breakouts(c)
-    assert K.weak_trendlines(c, s, b).filter(F.col("length") < 4).count() == 0
-    for r in K.risk_and_reward(K.vertical_counts(s, b, 3, 1.0), s, 1.0).collect():
-        assert r.reward > 0 and r.risk_1 <= r.risk_2 and r.ratio_1 == round(r.reward / r.risk_1, 2)
-    assert K.base_counts(c, b, 1.0).filter("quality > 1 OR quality <= 0").count() == 0
