@@ -182,8 +182,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that the rules reject go."""
-    mine = Aside(docs)
-    df, found = _keyed(mine, QualityRules())
-    kept = found.filter("kept").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"))
-    return mine.back(df.join(kept, F.col("k1").eqNullSafe(F.col("j1")) & (F.col("k2") == F.col("j2")), "left_semi"))
+    """Pipeline: documents that the rules reject go. Features are computed once for the references and once for the verdicts, so that no text is shuffled or written."""
+    mine, rules = Aside(docs), QualityRules()
+    text, lang = mine.col("text"), mine.col("lang")
+    references = fit_references(stored(features(mine.df, rules, [], text, lang), "features"), rules)
+    return mine.back(verdict(features(mine.df, rules, mine.kept(), text, lang), references, rules).filter("kept"))
