@@ -898,7 +898,20 @@ def test_pipeline_stages(spark, sf, tmp_path):
         if name == "benchmark_decontamination":
             assert decontaminate.decontaminate(after, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("n_hit > 0").count() == 0
         before = after
-    assert len(p.STAGES) == 5 and p.run(spark, sf).count() == before.count()
+        if name == "quality_rules":
+            judged = {r.doc_id for r in quality.query(spark, sf).filter("kept").collect()}
+            assert ids == judged and not any(base_by_force(r.text)[-1] for r in after.collect())
+    # What the last stage writes are the ids of the untouched library, of each document as often as the mix takes it.
+    assert len(p.STAGES) == 5
+    t = library()
+    want = collections.Counter()
+    for r in before.select("doc_id", "text").collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[r.doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
+    out = p.run(spark, sf).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+    ends = sorted((r.start, r.start + r.n_tokens) for r in out)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
 
 
 def test_powers_and_pieces():
