@@ -169,7 +169,12 @@ def near(pairs: DataFrame, bitmaps: DataFrame, rules: JaccardRules) -> DataFrame
 
 
 def wanted(asked: DataFrame, texts: DataFrame, most_bits: int = 27) -> DataFrame:
-    """Rows of texts whose doc_id and key may stand in asked: a bitmap of eight bits a row, at most 2**most_bits, keeps other texts from being shuffled."""
+    """Rows of texts whose doc_id and key may stand in asked: so other texts are not shuffled."""
+    return texts.filter(maybe_in(asked, most_bits))
+
+
+def maybe_in(asked: DataFrame, most_bits: int = 27) -> Column:
+    """Whether a row's doc_id and key may stand in asked, by a bitmap of eight bits a row of it, at most 2**most_bits."""
     size = 1 << min(most_bits, max(16, (8 * asked.count()).bit_length()))
     cell = F.pmod(F.xxhash64("doc_id", "key"), F.lit(size))
     ids = asked.select((cell + 1).alias("c"))
@@ -177,25 +182,25 @@ def wanted(asked: DataFrame, texts: DataFrame, most_bits: int = 27) -> DataFrame
     bitmap = np.zeros(max(size, 1 << 15) // 8, np.uint8)
     for r in parts:
         bitmap[(r["part"] - 1) << 12 : r["part"] << 12] = np.frombuffer(r["bits"], np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    shared = asked.sparkSession.sparkContext.broadcast(bitmap)
 
     def within(cells: pa.Array) -> pa.Array:
         c = cells.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array((shared.value[c >> 3] >> (c & 7) & 1).astype(bool))
 
-    return texts.filter(F.arrow_udf(within, "boolean")(cell))
+    return F.arrow_udf(within, "boolean")(cell)
 
 
 def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The classes (doc_id, n, rep, first doc_id), the representatives (rep, doc_id, key), and enough verified links between these to join what is linked."""
+    """The classes (doc_id, key, n, rep, first doc_id), the representatives (rep, doc_id, key), and enough verified links between these to join what is linked."""
     made = stored(prefixes(docs, rules), "prefixes")
     firsts = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("d1", "d2", "n", "r.doc_id", "r.key")
     # Numbers rise with doc_id, within and across the ranges.
     firsts = stored(firsts.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("rep", F.monotonically_increasing_id()), "classes")
     label = firsts.select("d1", "d2", "n", "rep", F.col("doc_id").alias("first"))
-    classes = made.select("doc_id", "d1", "d2", "n").join(label, ["d1", "d2", "n"], "left")
+    classes = made.select("doc_id", "key", "d1", "d2", "n").join(label, ["d1", "d2", "n"], "left")
     known = F.col("doc_id").isNotNull()
-    classes = stored(classes.select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.coalesce("first", "doc_id")).alias("first")), "members")
+    classes = stored(classes.select("doc_id", "key", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.coalesce("first", "doc_id")).alias("first")), "members")
     reps = firsts.select("rep", "doc_id", "key")
 
     linkable = firsts.filter(F.col("n") * (100 - rules.percent) >= rules.percent).select("rep", "doc_id", "key")
@@ -246,12 +251,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
+def surplus(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """doc_id and key of the rows that go, `goes`, as another of their group stays, and of those that stand several times.
+
+    Of a group the row of the smallest doc_id stays, of several the one of the smallest key.
+    """
+    classes, reps, found = links(docs, rules)
+    label = components(found).select(F.col("node").alias("rep"), "component")
+    heads = reps.select(F.col("rep").alias("_head"), F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+    rows = classes.filter("doc_id IS NOT NULL").join(label, "rep", "left").withColumn("_head", F.coalesce("component", "rep")).join(heads, "_head", "left")
+    other = F.coalesce((F.col("_d") != F.col("doc_id")) | (F.col("_k") != F.col("key")), F.lit(False))
+    return rows.groupBy("doc_id", "key").agg(F.max(other).alias("goes"), F.count("*").alias("_n")).filter("goes OR _n > 1").select("doc_id", "key", "goes")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each group of near duplicates (shingles of five words, 80 %) the document of the smallest doc_id stays."""
+    """Pipeline: of each group of near duplicates (shingles of five words, 80 %) one document stays, the first by doc_id, then key; of equal rows one.
+
+    Rows are told apart by doc_id and key. Only those that may go, or may stand several times, are shuffled.
+    """
     mine = Aside(docs)
     df = mine.df.withColumns({"doc_id": mine.col("doc_id").cast("bigint"), "key": F.xxhash64(mine.col("text"))})
-    gone = groups(docs, JaccardRules(width=5, percent=80)).filter("doc_id <> component_id").select("doc_id").distinct()
-    return mine.back(df.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "key"]))
+    spare = stored(surplus(docs, JaccardRules(width=5, percent=80)), "surplus")
+    asked = F.col("doc_id").isNotNull() & maybe_in(spare)
+    df = df.withColumn("_asked", asked)
+    met = df.filter("_asked").join(spare.filter("goes").select("doc_id", "key"), ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "key"])
+    return mine.back(df.filter("NOT _asked").unionByName(met))
 
 
 ORACLE = r"""

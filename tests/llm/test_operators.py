@@ -291,6 +291,17 @@ def test_jaccard_of_repeated_ids(spark):
     assert got == sorted([("5", 78, 5), ("5", 78, 5), ("6", 78, 5), ("7", 78, 5), ("None", 78, None), ("None", 78, None), ("8", 1, 8), ("8", 1, 8), ("9", 2, 9)])
 
 
+def test_jaccard_stage_of_repeated_and_null_ids(spark):
+    rng = random.Random(23)
+    x, y, z = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    stays = lambda rows: sorted(((r.doc_id, r.text) for r in jaccard.stage(spark, docs(spark, rows), "").collect()), key=str)
+    assert stays([(3, x), (5, x), (5, y)]) == [(3, x), (5, y)]
+    assert len(stays([(5, x), (5, f"{x} more"), (6, z)])) == 2
+    assert stays([(None, x), (None, x), (None, f"{x} more"), (4, x), (9, f"{x} more")]) == sorted([(None, x), (None, x), (None, f"{x} more"), (4, x)], key=str)
+    assert stays([(7, z), (7, z), (7, None), (7, None), (8, ""), (9, "a b")]) == sorted([(7, z), (7, None), (8, ""), (9, "a b")], key=str)
+    assert stays([]) == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)] + [(7, 7)]
