@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,6 +86,24 @@ def held(df: DataFrame, **exprs) -> DataFrame:
     return df.select("*", F.inline(one))
 
 
+def maybe_in(asked: DataFrame, on: list[str], most_bits: int = 27) -> Column:
+    """Whether a row's `on` may stand in asked, by a bitmap of eight bits a row of it, at most 2**most_bits. A row that does stand there always may."""
+    size = 1 << min(most_bits, max(16, (8 * asked.count()).bit_length()))
+    cell = F.pmod(F.xxhash64(*on), F.lit(size))
+    ids = asked.select((cell + 1).alias("c"))
+    parts = ids.groupBy(F.bitmap_bucket_number("c").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
+    bitmap = np.zeros(max(size, 1 << 15) // 8, np.uint8)
+    for r in parts:
+        bitmap[(r["part"] - 1) << 12 : r["part"] << 12] = np.frombuffer(r["bits"], np.uint8)
+    shared = asked.sparkSession.sparkContext.broadcast(bitmap)
+
+    def within(cells: pa.Array) -> pa.Array:
+        c = cells.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((shared.value[c >> 3] >> (c & 7) & 1).astype(bool))
+
+    return F.arrow_udf(within, "boolean")(cell)
+
+
 def release() -> None:
     """Gives memory that Python, numpy and Arrow have freed back to the system; workers live on between tasks."""
     import ctypes

@@ -2,7 +2,7 @@ r"""Benchmark decontamination: training token windows against the set of normali
 
 Words are runs of digits, letters and characters beyond ASCII, with A to Z lower-cased. A window is `n` consecutive words of an
 item, or all words of a shorter one. The benchmark's windows travel to the tasks as a hash set, sorted hashes and the words' bytes in
-plain arrays of some 50 bytes a word, while they are at most `max_broadcast_words` words, whose number is counted first; beyond
+plain arrays of some 50 bytes a word, while they are at most `max_broadcast_words` words and `max_broadcast_bytes` bytes, which are counted first, items without words left out; beyond
 that the windows of documents and items are joined by hash. Either way a hit is one of equal words, not of equal hashes.
 
 Defined cases: a null text has no words and hits nothing; items without words have no window; equal items are all named; a null
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Aside, ascii_lower, table, tidy
+from marketloom.llm.common import Aside, ascii_lower, maybe_in, table, tidy
 from marketloom.llm.fingerprints import LOWER, ODD, Powers, buffers, mix, runs_of, word_hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -36,6 +36,7 @@ HIT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,hits:array<struct<
 class DecontaminationRules:
     n: int = 10
     max_broadcast_words: int = 1_000_000
+    max_broadcast_bytes: int = 32_000_000
 
 
 def spans(lower: bytes, turns: list) -> list[dict]:
@@ -145,7 +146,7 @@ def scan(texts: pa.Array, windows: dict, powers: Powers) -> pa.Array:
 
 
 def _by_broadcast(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules) -> DataFrame:
-    rows = benchmark.collect()  # its words were counted
+    rows = benchmark.collect()  # its words, bytes and rows were counted
     windows = docs.sparkSession.sparkContext.broadcast(window_set([r[0] or "" for r in rows], pa.array([r[1] for r in rows], pa.string()), rules.n))
 
     def found(texts: pa.Array) -> pa.Array:
@@ -173,7 +174,8 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules)
     none = F.array().cast("array<struct<k:int,i:int>>")
     at = F.concat(none, *[F.coalesce(starts(k), none) for k in sizes])
     mine = each.select("sha", "w", F.explode(at).alias("at")).select("sha", "w", "at.*").select("sha", "k", "i", gram.alias("mine")).withColumn("h", F.xxhash64("mine"))
-    met = mine.join(different, "h").filter("mine = g").select("sha", "k", "i", "g")
+    # A bitmap of the benchmark's hashes keeps other windows from being shuffled.
+    met = mine.filter(maybe_in(different, ["h"])).join(different, "h").filter("mine = g").select("sha", "k", "i", "g")
     where = met.groupBy("sha").agg(F.array_sort(F.collect_set(F.struct("i", "k"))).alias("places"))
     named = met.select("sha", "g").distinct().join(items, "g").groupBy("sha").agg(F.sort_array(F.collect_set("item")).alias("items"))
     state = F.struct(F.lit(1).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -205,8 +207,10 @@ def _turns(hits: list) -> list:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:
     """docs with n_words, n_hit, items (ids as strings, sorted) and hits (spans of code points)."""
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = benchmark.agg(F.sum(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD_SQL)))).first()[0] or 0
-    how, mine = _by_broadcast if size <= rules.max_broadcast_words else _by_join, Aside(docs, ADDED)
+    benchmark = benchmark.withColumn("_n", F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD_SQL))).filter("_n > 0")
+    n_words, n_bytes = benchmark.agg(F.sum("_n"), F.sum(F.octet_length("text") + F.octet_length(F.coalesce("item_id", F.lit(""))))).first()
+    small = (n_words or 0) <= rules.max_broadcast_words and (n_bytes or 0) <= rules.max_broadcast_bytes
+    how, mine, benchmark = _by_broadcast if small else _by_join, Aside(docs, ADDED), benchmark.drop("_n")
     found = how(mine.df.select(*mine.kept(), mine.col("text").alias("text")), benchmark, rules)
     return mine.back(found, *[F.col(f"hit.{c}").alias(c) for c in ADDED])
 

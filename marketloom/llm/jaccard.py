@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Aside, cut, stored, table, tidy
+from marketloom.llm.common import Aside, cut, maybe_in, stored, table, tidy
 from marketloom.llm.components import components
 from marketloom.llm.fingerprints import Powers, mix, shingle_sets
 
@@ -170,25 +170,7 @@ def near(pairs: DataFrame, bitmaps: DataFrame, rules: JaccardRules) -> DataFrame
 
 def wanted(asked: DataFrame, texts: DataFrame, most_bits: int = 27) -> DataFrame:
     """Rows of texts whose doc_id and key may stand in asked: so other texts are not shuffled."""
-    return texts.filter(maybe_in(asked, most_bits))
-
-
-def maybe_in(asked: DataFrame, most_bits: int = 27) -> Column:
-    """Whether a row's doc_id and key may stand in asked, by a bitmap of eight bits a row of it, at most 2**most_bits."""
-    size = 1 << min(most_bits, max(16, (8 * asked.count()).bit_length()))
-    cell = F.pmod(F.xxhash64("doc_id", "key"), F.lit(size))
-    ids = asked.select((cell + 1).alias("c"))
-    parts = ids.groupBy(F.bitmap_bucket_number("c").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
-    bitmap = np.zeros(max(size, 1 << 15) // 8, np.uint8)
-    for r in parts:
-        bitmap[(r["part"] - 1) << 12 : r["part"] << 12] = np.frombuffer(r["bits"], np.uint8)
-    shared = asked.sparkSession.sparkContext.broadcast(bitmap)
-
-    def within(cells: pa.Array) -> pa.Array:
-        c = cells.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((shared.value[c >> 3] >> (c & 7) & 1).astype(bool))
-
-    return F.arrow_udf(within, "boolean")(cell)
+    return texts.filter(maybe_in(asked, ["doc_id", "key"], most_bits))
 
 
 def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -272,7 +254,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mine = Aside(docs)
     df = mine.df.withColumns({"doc_id": mine.col("doc_id").cast("bigint"), "key": F.xxhash64(mine.col("text"))})
     spare = stored(surplus(docs, JaccardRules(width=5, percent=80)), "surplus")
-    asked = F.col("doc_id").isNotNull() & maybe_in(spare)
+    asked = F.col("doc_id").isNotNull() & maybe_in(spare, ["doc_id", "key"])
     df = df.withColumn("_asked", asked)
     met = df.filter("_asked").join(spare.filter("goes").select("doc_id", "key"), ["doc_id", "key"], "left_anti").dropDuplicates(["doc_id", "key"])
     return mine.back(df.filter("NOT _asked").unionByName(met))

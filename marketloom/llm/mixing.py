@@ -9,8 +9,8 @@ near as subsets can without exceeding it. Of each length, the documents of the s
 Large lengths are ranked in two steps, so no task sorts a hot source: documents are counted by slices of the hash range, and only
 those of the slice where the selection ends are ranked.
 
-Defined cases: a null text has size 0 and is taken 0 words; a null source is one of its own and comes last; rows that are equal in id and text share
-a hash and are selected together or not at all, which may miss the target by their words; an empty table gives an empty mix; other columns pass through, those named
+Defined cases: a null text has size 0 and is taken 0 words; a null source is one of its own and comes last; rows that are equal in id, text and source
+stand for each other and are numbered, so that any number of them can be selected; an empty table gives an empty mix; other columns pass through, those named
 as the added ones are replaced.
 """
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import SPACE, Aside, cut, table
+from marketloom.llm.common import SPACE, Aside, cut, maybe_in, stored, table
 
 ADDED = ["size", "source_size", "target", "passes", "picked", "taken"]
 
@@ -152,8 +152,15 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     mine = Aside(docs, ADDED)
     text = mine.col("text")
     size = F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    sized = mine.df.select(*mine.kept(), mine.col("source").alias("source"), size.alias("size"), F.xxhash64(F.lit(rules.seed), mine.col("doc_id"), text).alias("h"))
-    lengths = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+    sized = mine.df.select(*mine.kept(), mine.col("source").alias("source"), size.alias("size"), F.xxhash64(F.lit(rules.seed), mine.col("doc_id"), text, mine.col("source")).alias("h"))
+    narrow = stored(sized.select("source", "size", "h"), "sizes")
+    again = stored(narrow.groupBy("source", "size", "h").agg(F.count("*").alias("n")).filter("n > 1 AND size > 0"), "again")
+    if not again.isEmpty():
+        single = narrow.join(again.select("h"), "h", "left_anti").select("source", "size", "h")
+        counted = again.select("source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), "h").select("source", "size", F.xxhash64("h", "i").alias("h"))
+        narrow = stored(single.unionByName(counted), "sizes")
+        sized = numbered(sized, again)
+    lengths = cut(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     aims = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), rules)
     whole = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target") / F.col("source_size"), 9))).otherwise(0).cast("long")
     aims = cut(aims.withColumn("passes", whole).withColumn("budget", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")))
@@ -166,7 +173,7 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     # Slices of the hash range: as many as keep each to about slice_docs documents.
     takes = cut(takes.select(F.col("source").alias("s"), F.col("size").alias("z"), "take", F.ceil(F.col("n") / rules.slice_docs).alias("slices")))
     by_length = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    small = sized.select("source", "size", "h").filter("size > 0").join(takes, by_length).drop("s", "z")
+    small = narrow.filter("size > 0").join(takes, by_length).drop("s", "z")
     ends = bounds(small).select(F.col("source").alias("s"), F.col("size").alias("z"), "last")
     aims = aims.select(F.col("source").alias("s"), "source_size", "target", "passes")
     decided = lengths.drop("n").join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(ends, by_length, "left").drop("s", "z")
@@ -176,6 +183,25 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     return mine.back(placed, "size", "source_size", "target", "passes", "picked", taken.alias("taken"))
 
 
+def numbered(rows: DataFrame, again: DataFrame, together: int = 12) -> DataFrame:
+    """rows with the hashes that stand several times (again: h) replaced by hashes of h and a number from 0 within h.
+
+    Only such rows are moved. They are numbered in blocks of 2**together rows of the table that they are written to; blocks' counts
+    are added up by hash, so equal rows are never gathered.
+    """
+    maybe = maybe_in(again, ["h"])
+    rows = rows.withColumn("_m", maybe)
+    met = rows.filter("_m").join(again.select("h", F.lit(True).alias("_again")), "h", "left").withColumn("_at", F.monotonically_increasing_id())
+    met = stored(met.withColumn("_b", F.shiftright("_at", together)), "repeated")
+    counts = met.filter("_again").groupBy("h", "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("h").orderBy("_b")) - F.col("_n")  # a row a block
+    own = F.row_number().over(Window.partitionBy("h", "_b").orderBy("_at")) - 1
+    moved = met.filter("_again").withColumn("_i", own).join(counts.select("h", "_b", before.alias("_before")), ["h", "_b"])
+    moved = moved.withColumn("h", F.xxhash64("h", (F.col("_before") + F.col("_i")).cast("long")))
+    names = [c for c in rows.columns if c != "_m"]
+    return rows.filter("NOT _m").select(names).unionByName(met.filter("_again IS NULL").select(names)).unionByName(moved.select(names))
+
+
 def bounds(rows: DataFrame) -> DataFrame:
     """source, size, last: the hash of the last document selected, of rows (source, size, h, take, slices)."""
     width = F.lit(2.0**64) / F.col("slices")

@@ -373,6 +373,18 @@ def test_mixing_edges(spark):
     assert len(out) == 9 and {r.size for r in out if r.doc_id in (1, 2, 3)} == {0}
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i // 40], ids=["null", "one", "groups"])
+def test_mixing_takes_any_number_of_equal_rows(spark, ids):
+    rows = [(ids(i), "a b c d", "s") for i in range(120)] + [(1000 + i, "x " * (1 + i % 9), "t") for i in range(120)] + [(2000, "y z", "u")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = (sorted((str(r) for r in mixing.mix(d).collect())) for d in (df, df.repartition(5)))
+    got = mixing.mix(df).collect()
+    assert once == again and len(got) == len(rows)
+    for s in "stu":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 and all(r.taken <= 3 * r.size for r in own)
+
+
 def test_slices_rank_as_a_sort(spark):
     df = spark.createDataFrame([(i, "w w", "s") for i in range(500)] + [(1000 + i, "w", "t") for i in range(900)], "doc_id long, text string, source string")
     a = sorted(tuple(r) for r in mixing.mix(df, mixing.MixRules(slice_docs=16)).select("doc_id", "taken").collect())
@@ -567,6 +579,23 @@ def test_decontamination_spans_and_edges(spark):
     assert decontaminate.decontaminate(edge(spark), b.filter("item_id < 0")).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_bounds_what_it_broadcasts(spark, monkeypatch):
+    """Twenty words of 16 MB in all take the join path; rows without words are not collected."""
+    long = [chr(0x4E00 + i) * 260_000 for i in range(20)]
+    items = [(i, w) for i, w in enumerate(long)] + [(100 + i, "... " * 5000) for i in range(20)] + [(200, "one two")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    paths = []
+    for name in ("_by_broadcast", "_by_join"):
+        own = getattr(decontaminate, name)
+        monkeypatch.setattr(decontaminate, name, lambda d, b, r, own=own, name=name: (paths.append((name, b.count())), own(d, b, r))[1])
+    df = docs(spark, [(1, f"x {long[3]} y"), (2, long[4] + "z"), (3, "say One, two."), (4, None)])
+    found = lambda r: sorted((x.doc_id, x.n_hit, tuple(x["items"])) for x in decontaminate.decontaminate(df, b, r).select("doc_id", "n_hit", "items").collect())
+    want = [(1, 1, ("3",)), (2, 0, ()), (3, 2, ("200",)), (4, 0, ())]
+    assert found(decontaminate.DecontaminationRules(max_broadcast_bytes=10_000_000)) == want
+    assert found(decontaminate.DecontaminationRules(max_broadcast_bytes=100_000_000)) == want
+    assert paths == [("_by_join", 21), ("_by_broadcast", 21)]
+
+
 # 7 personal data
 
 
