@@ -366,9 +366,11 @@ class Widths:
         return self.chart.end() if self.chart else []
 
 
-def columns(bars: DataFrame, rules: PnfRules = PnfRules()) -> DataFrame:
+def columns(bars: DataFrame, rules: PnfRules = PnfRules(), run: int | None = None) -> DataFrame:
     """bars (chart_id, seq and the method's prices) as columns: trend 1 or -1, boxes in the order they were filled, with their marks and when,
     and the series of what each acting bar left behind. A chart without a trend has no columns. `atr`: boxes of the mean true range.
+
+    run: a chart is folded in several tasks, of about so many bars each, with the same columns; None: one task a chart.
     """
     ranged = rules.scaling == "atr"
     missing = [c for c in ["chart_id", "seq", *METHODS[rules.method], *(["high", "low", "close"] if ranged else [])] if c not in bars.columns]
@@ -377,10 +379,15 @@ def columns(bars: DataFrame, rules: PnfRules = PnfRules()) -> DataFrame:
     wanted = ["seq", *[c for c in METHODS["ohlc"] if c in METHODS[rules.method] or ranged or (rules.scaling == "log" and c in bars.columns)]]
     wanted = [c for c in wanted if c in bars.columns]
     bars = bars.select(F.col("chart_id").cast("string").alias("chart_id"), *wanted)
+    from marketloom.operators.pnf import parallel
+
     if rules.scaling == "log":
+        bars = bars if run is None else parallel.without_quiet(bars, rules, run)
         return fold(bars, "chart_id", ["seq"], COLUMNS, lambda chart: FrozenChart(chart, rules))
     low, high = ("close", "close") if rules.method == "cl" else ("low", "high")
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     spans = bars.groupBy("chart_id").agg(F.min(known(low)).alias("_low"), F.max(known(high)).alias("_high"))
     spans = spans.join(mean_true_range(bars, rules.atr_bars).withColumnRenamed("atr", "_box"), "chart_id") if ranged else spans.withColumn("_box", F.lit(float(rules.boxsize)))
+    if run is not None:
+        return parallel.grid_columns(bars.join(spans, "chart_id"), rules, run)
     return fold(bars.join(spans, "chart_id"), "chart_id", ["seq"], COLUMNS, lambda chart: Widths(chart, rules))

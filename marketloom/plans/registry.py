@@ -475,9 +475,9 @@ br AS (SELECT b.chart_id, b.trend, CASE WHEN coalesce(z, 0) = 0 THEN CASE WHEN c
   FROM (SELECT *, unnest(range(0, greatest(1, last_rk - foe_rk - 1))) AS p FROM br5) b JOIN mk m ON m.chart_id = b.chart_id AND m.box_index = line AND m.trend = b.trend AND m.rk = foe_rk + p + 1)"""
 
 
-def pnf(spark, d, rules: PnfRules = PnfRules()):
+def pnf(spark, d, rules: PnfRules = PnfRules(), run: int | None = None):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return columns(e.select(F.col("event_type").alias("chart_id"), F.col("event_id").alias("seq"), F.round(100 + F.col("value"), 2).alias("close")), rules)
+    return columns(e.select(F.col("event_type").alias("chart_id"), F.col("event_id").alias("seq"), F.round(100 + F.col("value"), 2).alias("close")), rules, run)
 
 
 def drawn(spark, d, rules: PnfRules = PnfRules()):
@@ -648,12 +648,12 @@ def pnf_risk_reward(spark, d):
 
 @query("")
 def pnf_abs_grid(spark, d):
-    return K.column_stats(K.cells(pnf(spark, d, PnfRules(scaling="abs", boxsize=2.0))))
+    return K.column_stats(K.cells(pnf(spark, d, PnfRules(scaling="abs", boxsize=2.0), run=10_000)))
 
 
 @query("")
 def pnf_log_grid(spark, d):
-    return K.column_stats(K.cells(pnf(spark, d, PnfRules(scaling="log_compounding", boxsize=2.0))))
+    return K.column_stats(K.cells(pnf(spark, d, PnfRules(scaling="log_compounding", boxsize=2.0), run=10_000)))
 
 
 @query("")
