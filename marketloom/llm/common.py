@@ -96,6 +96,8 @@ def maybe_in(asked: DataFrame, on: list[str], most_bits: int = 27) -> Column:
     for r in parts:
         bitmap[(r["part"] - 1) << 12 : r["part"] << 12] = np.frombuffer(r["bits"], np.uint8)
     shared = asked.sparkSession.sparkContext.broadcast(bitmap)
+    del parts, bitmap
+    release()
 
     def within(cells: pa.Array) -> pa.Array:
         c = cells.to_numpy(zero_copy_only=False).astype(np.int64)

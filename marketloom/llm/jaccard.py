@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Aside, cut, maybe_in, stored, table, tidy
+from marketloom.llm.common import Aside, cut, maybe_in, release, stored, table, tidy
 from marketloom.llm.components import components
 from marketloom.llm.fingerprints import Powers, mix, shingle_sets
 
@@ -91,7 +91,10 @@ def count_sketch(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
         return np.zeros(size, np.uint8)
     total = np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(rows)])
     usual = max(2.0, 1.25 * total.mean())
-    return np.floor(2 * np.log2(np.maximum(total, usual) / usual)).astype(np.uint8)
+    levels = np.floor(2 * np.log2(np.maximum(total, usual) / usual)).astype(np.uint8)
+    del rows, total
+    release()
+    return levels
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -186,7 +189,7 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
     reps = firsts.select("rep", "doc_id", "key")
 
     linkable = firsts.filter(F.col("n") * (100 - rules.percent) >= rules.percent).select("rep", "doc_id", "key")
-    own = made.join(linkable, ["doc_id", "key"]).dropDuplicates(["rep"])
+    own = made.join(linkable, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])  # one a rep, where the join has dealt it
     bitmaps = stored(own.select("rep", "n", "bitmap"), "bitmaps")
     rows = own.select("rep", "n", "common", F.posexplode("tokens").alias("pos", "token"))
     most = F.max(F.struct("common", (-F.col("rep")).alias("r"), "n")).alias("_h")
