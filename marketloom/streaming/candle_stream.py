@@ -32,10 +32,13 @@ class Machine:
     def __init__(self, symbol: str, seconds: int, drop_partial_first: bool = True, state=None):
         self.symbol, self.seconds, self.drop = symbol, seconds, drop_partial_first
         current, pending, self.newer, self.last, self.partial, self.started = state or (None, None, 0, None, None, False)
-        self.current, self.pending = list(current) if current is not None else None, list(pending) if pending is not None else None
+        # State gives a null array back as one null.
+        self.current, self.pending = (None if x is None or x[0] is None else list(x) for x in (current, pending))
 
     def state(self):
-        return (self.current, self.pending, self.newer, self.last, self.partial, self.started)
+        # A state's array of doubles keeps no whole numbers.
+        current, pending = (x and [float(v) for v in x] for x in (self.current, self.pending))
+        return (current, pending, self.newer, self.last, self.partial, self.started)
 
     def close(self, candle: list) -> Iterator[tuple]:
         bucket = int(candle[0])
@@ -101,7 +104,7 @@ class CandleProcessor(StatefulProcessor):
     def _machine(self, symbol: str) -> Machine:
         return Machine(symbol, self.seconds, self.drop, self.kept.get() if self.kept.exists() else None)
 
-    def _done(self, machine: Machine, rows: list) -> Iterator[pd.DataFrame]:
+    def _done(self, machine: Machine, rows: list, timerValues) -> Iterator[pd.DataFrame]:
         current, pending, newer, last, partial, started = machine.state()
         self.kept.update((current, pending, newer, last, partial, started))
         if self.timers:
@@ -109,7 +112,8 @@ class CandleProcessor(StatefulProcessor):
                 self.handle.deleteTimer(t)
             end = machine.next_due(self.grace)
             if end is not None:
-                self.handle.registerTimer(int(end * 1000))
+                # A timer in the past would not run: what is overdue is closed by the next micro-batch.
+                self.handle.registerTimer(max(int(end * 1000), timerValues.getCurrentProcessingTimeInMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDLE.split(", ")])
 
@@ -124,11 +128,11 @@ class CandleProcessor(StatefulProcessor):
         batch = pd.concat([b[["seq", "e", "ltp"]] for b in rows])  # a micro-batch of one symbol, in order of arrival
         for e, price in batch.sort_values("seq")[["e", "ltp"]].itertuples(index=False):
             out += machine.tick(int(e), float(price))
-        yield from self._done(machine, out)
+        yield from self._done(machine, out, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         machine = self._machine(key[0])
-        yield from self._done(machine, list(machine.due(expiredTimerInfo.getExpiryTimeInMs() / 1000, self.grace)))
+        yield from self._done(machine, list(machine.due(expiredTimerInfo.getExpiryTimeInMs() / 1000, self.grace)), timerValues)
 
     def close(self) -> None:
         pass
@@ -180,7 +184,7 @@ class Roller:
     def __init__(self, symbol: str, source: int, target: int, state=None):
         self.symbol, self.source, self.target = symbol, source, target
         self.bucket, self.next, self.held = state or (None, None, None)
-        self.held = list(self.held) if self.held is not None else None
+        self.held = None if self.held is None or self.held[0] is None else list(self.held)
 
     def state(self):
         return (self.bucket, self.next, self.held)
@@ -227,13 +231,28 @@ def live_rollup(closed: DataFrame, source: int, target: int) -> DataFrame:
     return closed.groupBy("symbol").transformWithStateInPandas(RollProcessor(source, target), outputStructType=ROLL, outputMode="append", timeMode="none")
 
 
-def event_time_candles(ticks: DataFrame, seconds: int, lateness: str = "1 second") -> DataFrame:
-    """Candles by Spark's own watermark: a bucket is final when event time passes its end by `lateness`. Ticks carry `ts`."""
-    w = F.window("ts", f"{seconds} seconds", startTime=f"{(OPEN - IST) % seconds} seconds")
-    out = ticks.withWatermark("ts", lateness).groupBy("symbol", w.alias("w")).agg(
-        F.min_by("ltp", "seq").alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", "seq").alias("close"), F.count("*").alias("volume")
-    )
-    return out.select("symbol", F.unix_seconds("w.start").alias("bucket_epoch"), "open", "high", "low", "close", "volume")
+def event_time_candles(ticks: DataFrame, steps: list[int], lateness: str = "1 second") -> DataFrame:
+    """Streaming candles of the last of `steps` seconds in one query, by Spark's own watermark: ticks to candles of the first step, those to the next.
+
+    A bucket is final when event time passes its end by `lateness`. Steps divide each other and a quarter of an hour, so the session's
+    opening begins a bucket; ticks before the opening belong to the first. From the second step on, buckets that lack a source are
+    left out. Ticks (symbol, e, ltp, seq).
+    """
+    bad = [s for a, s in zip([1, *steps], steps) if s % a or 900 % s]
+    if bad:
+        raise ValueError(f"steps must divide each other and 900: {bad}")
+    opening = F.when(F.col("symbol").startswith("MCX:"), F.lit(OPEN_MCX)).otherwise(OPEN) - IST
+    anchor = F.floor((F.col("e") + IST) / 86_400) * 86_400 + opening
+    timed = ticks.withColumn("_ts", F.timestamp_seconds(F.greatest(F.col("e"), anchor))).withWatermark("_ts", lateness)
+    first = [F.min_by("ltp", "seq").alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", "seq").alias("close"), F.count("*").alias("volume")]
+    out = timed.groupBy("symbol", F.window("_ts", f"{steps[0]} seconds").alias("_w")).agg(*first)
+    for source, target in zip(steps, steps[1:]):
+        start = F.col("_w.start")
+        out = out.groupBy("symbol", F.window(F.window_time("_w"), f"{target} seconds").alias("_v")).agg(
+            F.min_by("open", start).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", start).alias("close"),
+            F.sum("volume").alias("volume"), F.count("*").alias("_n"),
+        ).filter(F.col("_n") == target // source).withColumnRenamed("_v", "_w")
+    return out.select("symbol", F.unix_seconds("_w.start").alias("bucket_epoch"), "open", "high", "low", "close", "volume")
 
 
 def write_once(path: str):
