@@ -103,11 +103,11 @@ def rollup_lenient(spark, d):
     return C.rollup(hours(spark, d), 3600, 10_800, strict=False)
 
 
-MIN5 = f"{TICKS}, f AS (SELECT symbol, e - e % 3600 + (seq % 12) * 5 AS bucket_epoch, min_by(ltp, seq) AS open, max(ltp) AS high, min(ltp) AS low, max_by(ltp, seq) AS close FROM t GROUP BY 1, 2), m AS (SELECT symbol, bucket_epoch - bucket_epoch % 60 AS b, min_by(open, bucket_epoch) AS open, max(high) AS high, min(low) AS low, max_by(close, bucket_epoch) AS close, count(DISTINCT bucket_epoch) AS n FROM f GROUP BY 1, 2 HAVING n = 12)"
+MIN5 = f"{TICKS}, f AS (SELECT symbol, e - e % 86400 + (seq % 12) * 5 AS bucket_epoch, min_by(ltp, seq) AS open, max(ltp) AS high, min(ltp) AS low, max_by(ltp, seq) AS close FROM t GROUP BY 1, 2), m AS (SELECT symbol, bucket_epoch - bucket_epoch % 60 AS b, min_by(open, bucket_epoch) AS open, max(high) AS high, min(low) AS low, max_by(close, bucket_epoch) AS close, count(DISTINCT bucket_epoch) AS n FROM f GROUP BY 1, 2 HAVING n = 12)"
 
 
 def five(spark, d):
-    return C.ohlc(S.from_events(spark, d), B.plain_bucket(F.col("e"), 3600) + F.pmod("seq", F.lit(12)) * 5)
+    return C.ohlc(S.from_events(spark, d), B.plain_bucket(F.col("e"), 86_400) + F.pmod("seq", F.lit(12)) * 5)
 
 
 @query(f"{MIN5} SELECT symbol, b AS bucket_epoch, open, high, low, close, 0 AS volume FROM m")
@@ -115,9 +115,9 @@ def minute_from_5s(spark, d):
     return C.minute_from_5s(five(spark, d))
 
 
-@query(f"{MIN5} SELECT symbol, b AS bucket_epoch, open, high, low, close, 0 AS volume FROM m WHERE b BETWEEN 1704500000 AND 1705500000 AND b % 7200 <> 0")
+@query(f"{MIN5} SELECT symbol, b AS bucket_epoch, open, high, low, close, 0 AS volume FROM m WHERE b BETWEEN 1704500000 AND 1705500000 AND b % 172800 <> 0")
 def repair_minutes(spark, d):
-    return C.repaired_minutes(five(spark, d), C.minute_from_5s(five(spark, d)).filter("bucket_epoch % 7200 = 0"), 1_704_500_000, 1_705_500_000)
+    return C.repaired_minutes(five(spark, d), C.minute_from_5s(five(spark, d)).filter("bucket_epoch % 172800 = 0"), 1_704_500_000, 1_705_500_000)
 
 
 GAPS = f"{USERS}, p AS (SELECT symbol, bucket_epoch AS b, lag(bucket_epoch) OVER (PARTITION BY symbol ORDER BY bucket_epoch) AS p FROM c), g AS (SELECT symbol, p + 900 AS gap_from, b - 900 AS gap_to, (b - p) // 900 - 1 AS missing FROM p WHERE b - p > 900 AND (b + 19800) // 86400 = (p + 19800) // 86400)"
@@ -243,6 +243,43 @@ def tick_parse(spark, d):
     return S.parse(e.select(F.col("event_id").alias("seq"), F.to_json(F.struct(F.col("event_type").alias("symbol"), F.col("value").alias("ltp"), B.epoch("ts").alias("exch_feed_time"))).alias("value")))
 
 
+@query("")
+def paper_book(spark, d):
+    from marketloom.streaming.ordered import paper_events
+
+    return paper_events(P.breakout_signal(hours(spark, d)), S.from_events(spark, d), 3600, every=86_400)
+
+
+#: Order books of the parts' brands: the dearest parts as bids, the cheapest of another size as asks.
+BOOKS = """WITH p AS (SELECT p_brand AS symbol, p_retailprice AS price, p_size::BIGINT AS volume, p_partkey AS ord FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY price DESC, ord) - 1 AS level, sum(volume) OVER (PARTITION BY symbol ORDER BY price DESC, ord) AS upto FROM p WHERE volume % 2 = 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY price, ord) - 1 AS level, sum(volume) OVER (PARTITION BY symbol ORDER BY price, ord) AS upto FROM p WHERE volume % 2 = 1)"""
+
+
+def books(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("symbol"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("bigint").alias("volume"), F.col("p_partkey").alias("ord"))
+    level = F.struct("price", "volume", "ord")
+    side = lambda odd, sign: F.transform(F.array_sort(F.collect_list(F.when(F.col("volume") % 2 == odd, F.struct((sign * F.col("price")).alias("k"), "ord", level.alias("l"))))), lambda x: x["l"])
+    book = p.groupBy("symbol").agg(F.struct(side(0, -1).alias("bids"), side(1, 1).alias("ask")).alias("b"))
+    return H.depth(book.select(F.to_json(F.struct(F.lit("ok").alias("s"), F.create_map("symbol", "b").alias("d"))).alias("value")))
+
+
+@query(
+    f"""{BOOKS} SELECT coalesce(b.symbol, a.symbol) AS symbol, coalesce(b.level, a.level) AS level, b.price AS bid, b.volume AS bid_volume, b.ord AS bid_orders, b.upto::BIGINT AS bid_upto,
+  a.price AS ask, a.volume AS ask_volume, a.ord AS ask_orders, a.upto::BIGINT AS ask_upto, a.price - b.price AS spread FROM b FULL JOIN a ON a.symbol = b.symbol AND a.level = b.level"""
+)
+def depth_levels(spark, d):
+    return books(spark, d)
+
+
+@query(
+    f"""{BOOKS}, t AS (SELECT *, greatest(0, least(volume, 500 - (upto - volume))) AS n FROM a)
+SELECT symbol, coalesce(sum(n), 0)::BIGINT AS filled, round(sum(n * price) / nullif(sum(n), 0), 6) AS mean_price, max(price) FILTER (n > 0) AS worst FROM (SELECT DISTINCT symbol FROM p) LEFT JOIN t USING (symbol) GROUP BY 1"""
+)
+def depth_price(spark, d):
+    return H.price_for(books(spark, d), 500).withColumn("mean_price", F.round("mean_price", 6))
+
+
 @query("SELECT s_name AS symbol, s_acctbal AS open_price, s_acctbal + 1 AS current_price FROM supplier")
 def quotes_extract(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet")
@@ -417,9 +454,10 @@ def parts(spark, d):
     return p.select(F.col("p_name").alias("symbol"), F.col("p_type").alias("display_name"), F.col("p_brand").alias("underlying_symbol"))
 
 
-@query("SELECT p_name AS symbol, p_type AS display_name, p_brand AS underlying_symbol FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), '1') ORDER BY symbol LIMIT 50")
+@query("SELECT * FROM (SELECT p_name || ' ' || p_partkey AS symbol, p_type AS display_name, p_brand AS underlying_symbol FROM part) WHERE contains(lower(symbol), 'ring 1') OR contains(lower(display_name), 'ring 1') ORDER BY symbol LIMIT 50")
 def symbol_search(spark, d):
-    return I.search(parts(spark, d), " 1 ")
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return I.search(p.select(F.concat_ws(" ", "p_name", "p_partkey").alias("symbol"), F.col("p_type").alias("display_name"), F.col("p_brand").alias("underlying_symbol")), " Ring 1 ")
 
 
 @query("SELECT p_name AS symbol, p_type AS display_name, p_brand AS underlying_symbol FROM part WHERE contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 'brand1') OR contains(regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g'), 'brand1') OR contains(regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g'), 'brand1')")

@@ -27,18 +27,28 @@ def without_existing(rows: DataFrame, existing: DataFrame, keys: list[str]) -> D
     return rows.join(existing.select(keys).distinct(), keys, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and new together; of rows of one key new ones win, of several new ones the last that arrived."""
-    arrived = lambda df, turn: df.withColumn("_new", F.struct(F.lit(turn).alias("turn"), F.monotonically_increasing_id().alias("at")))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """old and new together; of rows of one key new ones win, of several new ones the last by `order`.
+
+    Without order the last that stands in the input wins, which holds for files and not for rows that were shuffled.
+    """
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    arrived = lambda df, turn: df.withColumn("_new", F.struct(F.lit(turn).alias("turn"), at.alias("at")))
     both = arrived(old, 0).unionByName(arrived(new, 1), allowMissingColumns=True)
     return keep_last(both, keys, "_new").drop("_new")
 
 
 def read_candles(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Candles of a CSV folder, the last row of each (symbol, bucket); a file's later rows come later."""
+    """Candles of a CSV folder, the last row of each (symbol, bucket): the file written last counts, in a file the later row. No folder, or an empty one, gives none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+    if not found:
+        return spark.createDataFrame([], CANDLE_CSV)
     df = spark.read.schema(CANDLE_CSV).option("header", True).csv(path)
     df = df.filter(F.col("symbol") == symbol) if symbol else df
-    return keep_last(df.withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id())), ["symbol", "bucket_epoch"], "_at").drop("_at")
+    m = "_metadata"
+    written = F.struct(F.col(f"{m}.file_modification_time"), F.col(f"{m}.file_name"), F.col(f"{m}.file_block_start"), F.monotonically_increasing_id())
+    return keep_last(df.withColumn("_at", written), ["symbol", "bucket_epoch"], "_at").drop("_at")
 
 
 def candle_rows(candles: DataFrame, seconds: int) -> DataFrame:
@@ -108,6 +118,42 @@ def quotes(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(F.explode(q["d"]).alias("q")).select(F.col("q.n").alias("symbol"), F.col("q.v.open_price").alias("open_price"), F.col("q.v.lp").alias("current_price"))
 
 
+def index_spots(quotes_: DataFrame, names: dict[str, str]) -> DataFrame:
+    """name, open_price and current_price of the indices of quotes() that `names` maps from their symbols; others are left out, missing prices are 0."""
+    name = F.coalesce(*[F.when(F.col("symbol") == k, v) for k, v in names.items()])
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return quotes_.select(name.alias("name"), zero("open_price"), zero("current_price")).filter("name IS NOT NULL")
+
+
+LEVELS = "ARRAY<STRUCT<price: DOUBLE, volume: BIGINT, ord: BIGINT>>"
+
+
+def depth(df: DataFrame, column: str = "value") -> DataFrame:
+    """The order books of depth responses, a row a symbol and level from 0: price, volume and orders of either side, the volume down to
+    the level, and the spread of the level. A side that has fewer levels is null beyond them.
+    """
+    r = F.from_json(column, f"s STRING, d MAP<STRING, STRUCT<bids: {LEVELS}, ask: {LEVELS}>>")
+    books = df.select(r.alias("_r")).filter("_r.s = 'ok'").select(F.explode("_r.d").alias("symbol", "b"))
+    upto = lambda side: F.transform(side, lambda _, i: F.aggregate(F.slice(side, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["volume"], F.lit(0))))
+    zipped = F.arrays_zip(F.col("b.bids").alias("bid"), F.col("b.ask").alias("ask"), upto(F.col("b.bids")).alias("bids"), upto(F.col("b.ask")).alias("asks"))
+    rows = books.select("symbol", F.posexplode(zipped).alias("level", "z"))
+    return rows.select(
+        "symbol", "level", F.col("z.bid.price").alias("bid"), F.col("z.bid.volume").alias("bid_volume"), F.col("z.bid.ord").alias("bid_orders"), F.col("z.bids").alias("bid_upto"),
+        F.col("z.ask.price").alias("ask"), F.col("z.ask.volume").alias("ask_volume"), F.col("z.ask.ord").alias("ask_orders"), F.col("z.asks").alias("ask_upto"),
+        (F.col("z.ask.price") - F.col("z.bid.price")).alias("spread"),
+    )
+
+
+def price_for(book: DataFrame, quantity: int, side: str = "BUY") -> DataFrame:
+    """For each symbol of depth() what `quantity` can be traded for: how much of it there is, its mean price, and the worst level's."""
+    of, sign = ("ask", 1) if side == "BUY" else ("bid", -1)
+    taken = F.greatest(F.lit(0), F.least(F.col(f"{of}_volume"), quantity - (F.col(f"{of}_upto") - F.col(f"{of}_volume"))))
+    rows = book.withColumn("_n", F.coalesce(taken, F.lit(0)))
+    worst = sign * F.max(F.when(F.col("_n") > 0, sign * F.col(of)))
+    out = rows.groupBy("symbol").agg(F.sum("_n").alias("filled"), F.sum(F.col("_n") * F.col(of)).alias("_v"), worst.alias("worst"))
+    return out.select("symbol", "filled", F.when(F.col("filled") > 0, F.col("_v") / F.col("filled")).alias("mean_price"), "worst")
+
+
 def pack_lines(df: DataFrame, group: str, order: str, line: str, limit: int = 3900) -> DataFrame:
     """The lines of each group in messages of at most `limit` characters; a longer line is cut."""
     text = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.substring(line, 1, limit).alias("l"))))

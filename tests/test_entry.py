@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-FAST = ["ohlc_session_1h", "rollup_lenient", "gap_ranges", "trades_reverse", "sl_tp_exit", "gap_backfill", "pnf_counts_vertical", "expiry_calendar", "atm_pair", "strike_ladder", "pnf_cells", "pnf_breakouts"]
+FAST = ["ohlc_session_1h", "rollup_lenient", "gap_ranges", "trades_reverse", "sl_tp_exit", "gap_backfill", "pnf_counts_vertical", "expiry_calendar", "atm_pair", "strike_ladder", "pnf_cells", "pnf_breakouts", "depth_levels", "depth_price", "symbol_search", "minute_from_5s", "repair_minutes"]
 
 
 def test_flagship(spark):
