@@ -67,13 +67,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it without its lineage."""
     shared_path(df.sparkSession, "")
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release()
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), in a Parquet table: smaller, and read by columns."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    release()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
