@@ -633,11 +633,24 @@ def counts(stats: DataFrame, marks: DataFrame, cells_: DataFrame, rules, least:
     return without_repeats(vertical_counts(stats, marks, cells_, rules, least).unionByName(horizontal_counts(stats, marks, cells_, rules, least)))
 
 
-def render(cells_: DataFrame, columns: int = 30) -> DataFrame:
-    """The last columns of each chart as text: a line a box, highest first."""
+def render(cells_: DataFrame, columns: int = 30, lines: DataFrame | None = None) -> DataFrame:
+    """The last columns of each chart as text: a line a box, highest first. Boxes that no shown column fills have no line.
+
+    lines: trendlines(), whose external ones are drawn as * where no box stands, from their first column up or down by a box a column.
+    """
     last = F.max("column_index").over(by_chart())
     shown = cells_.withColumn("_at", F.col("column_index") - last + columns - 1).filter("_at >= 0")
-    marks = shown.groupBy("chart_id", "box_index", "box_value").agg(F.map_from_entries(F.collect_list(F.struct("_at", F.when(F.col("trend") == 1, "X").otherwise("O").alias("m")))).alias("_m"))
+    marked = shown.select("chart_id", "box_index", "box_value", "_at", F.when(F.col("trend") == 1, "X").otherwise("O").alias("m"))
+    if lines is not None:
+        ends = cells_.groupBy("chart_id").agg(F.max("column_index").alias("_last"))
+        rising = F.when(F.col("type").startswith("bullish"), 1).otherwise(-1)
+        steps = lines.filter("bounded = 'external' AND length > 0").select("chart_id", "column_index", "box_index", rising.alias("_s"), F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("_k"))
+        on = steps.select("chart_id", (F.col("column_index") + F.col("_k")).alias("column_index"), (F.col("box_index") + F.col("_s") * F.col("_k")).alias("box_index")).distinct()
+        free = on.join(cells_, ["chart_id", "column_index", "box_index"], "left_anti").join(ends, "chart_id")
+        free = free.withColumn("_at", F.col("column_index") - F.col("_last") + columns - 1).filter("_at >= 0 AND column_index <= _last")
+        boxes = marked.select("chart_id", "box_index", "box_value").distinct()
+        marked = marked.unionByName(free.join(boxes, ["chart_id", "box_index"]).select("chart_id", "box_index", "box_value", "_at", F.lit("*").alias("m")))
+    marks = marked.groupBy("chart_id", "box_index", "box_value").agg(F.map_from_entries(F.collect_list(F.struct("_at", "m"))).alias("_m"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda i: F.coalesce(F.col("_m")[i.cast("int")], F.lit("."))), " ")
     rank = F.row_number().over(by_chart().orderBy(F.desc("box_index")))
     return marks.select("chart_id", rank.alias("line"), "box_value", line.alias("text"))

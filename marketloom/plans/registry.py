@@ -699,6 +699,12 @@ def pnf_render(spark, d):
     return K.render(K.cells(pnf(spark, d)))
 
 
+@query("")
+def pnf_render_lines(spark, d):
+    c = drawn(spark, d)
+    return K.render(c, lines=K.trendlines(c, once(K.column_stats(c), "stats")))
+
+
 @query(
     "WITH b AS (SELECT o_orderpriority AS k, o_orderdate AS t, max(o_totalprice) AS h, min(o_totalprice) AS l, max_by(o_totalprice, o_orderkey) AS c FROM orders GROUP BY 1, 2), r AS (SELECT k, t, greatest(h - l, abs(h - p), abs(l - p)) AS tr, row_number() OVER (PARTITION BY k ORDER BY t DESC) AS n FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY t) AS p FROM b) WHERE p IS NOT NULL) SELECT k AS chart_id, round(avg(tr), 4) AS atr FROM r WHERE n <= 14 GROUP BY 1"
 )

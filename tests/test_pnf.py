@@ -509,3 +509,27 @@ def test_text_chart_and_series_prices(spark):
     cells = K.cells(cols)
     out = K.multiple_prices(K.time_series(cols), cells, K.breakouts(cells), 2, 1).collect()
     assert [(r.column_index, r.seq, r.price) for r in out] == [(2, 3, 106.0)]
+
+
+def text_by_force(m, lines, columns):
+    """The text chart of a dense grid with its outer lines."""
+    shown = np.array([["." if x == 0 else "X" if x > 0 else "O" for x in row] for row in m], object)
+    for bounded, kind, length, c, r in lines:
+        for k in range(length if bounded == "external" else 0):
+            at = r + k if kind == "bullish support" else r - k
+            if c + k < m.shape[1] and 0 <= at < m.shape[0] and m[at, c + k] == 0:
+                shown[at, c + k] = "*"
+    n = min(columns, m.shape[1])
+    pad = ". " * (columns - n)
+    return [pad + " ".join(shown[r, -n:]) for r in range(m.shape[0] - 1, -1, -1) if m[r, -n:].any()]
+
+
+def test_text_charts_show_outer_lines(spark):
+    rng, stars = random.Random(41), 0
+    for columns_ in (200, 12, 30):
+        c, m, _ = matrix_of(spark, rng, PnfRules("cl", 3, 1.0, "abs"), 300, 5.0)
+        lines = once(K.trendlines(c, once(K.column_stats(c)), 4))
+        got = [r.text for r in K.render(c, columns_, lines).orderBy("line").collect()]
+        assert got == text_by_force(m, [(r.bounded, r.type, r.length, r.column_index, r.box_index) for r in lines.collect()], columns_)
+        stars += sum(t.count("*") for t in got)
+    assert stars > 10
