@@ -162,13 +162,20 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rules: JaccardR
     return dealt.mapInArrow(tidy(compared), "a bigint, b bigint, same bigint, union bigint")
 
 
+def folded(bits: int, words: int = 4) -> Column:
+    """The column `bitmap` of so many bits as the parity of its words by place, `words` of them. Sets differ in no fewer tokens than these do in bits."""
+    return F.array(*[reduce(Column.bitwiseXOR, [F.get("bitmap", F.lit(k)) for k in range(i, bits // 64, words)]) for i in range(min(words, bits // 64))])
+
+
 def near(pairs: DataFrame, bitmaps: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Those of pairs (a, b) whose bitmaps (rep, n, bitmap) leave room for a link."""
-    side = lambda k: bitmaps.select(F.col("rep").alias(k), F.col("n").alias(f"_n{k}"), F.col("bitmap").alias(f"_m{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = F.col("_na") + F.col("_nb")
-    differ = F.aggregate(F.zip_with("_ma", "_mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.filter(differ <= sizes - 2 * F.ceil(sizes * rules.percent / (100 + rules.percent))).select("a", "b")
+    """Those of pairs (a, b) whose bitmaps (rep, n, bitmap and its fold) leave room for a link. Folds go first, so few pairs are moved with whole bitmaps."""
+    for bits in ("fold", "bitmap"):
+        side = lambda k: bitmaps.select(F.col("rep").alias(k), F.col("n").cast("int").alias(f"_n{k}"), F.col(bits).alias(f"_m{k}"))  # noqa: E731, B023
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        sizes = F.col("_na").cast("long") + F.col("_nb")
+        differ = F.aggregate(F.zip_with("_ma", "_mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        pairs = both.filter(differ <= sizes - 2 * F.ceil(sizes * rules.percent / (100 + rules.percent))).select("a", "b")
+    return pairs
 
 
 def wanted(asked: DataFrame, texts: DataFrame, most_bits: int = 27) -> DataFrame:
@@ -190,7 +197,7 @@ def links(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> tuple[DataFr
 
     linkable = firsts.filter(F.col("n") * (100 - rules.percent) >= rules.percent).select("rep", "doc_id", "key")
     own = made.join(linkable, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])  # one a rep, where the join has dealt it
-    bitmaps = stored(own.select("rep", "n", "bitmap"), "bitmaps")
+    bitmaps = stored(own.select("rep", "n", "bitmap", folded(rules.bits).alias("fold")), "bitmaps")
     rows = own.select("rep", "n", "common", F.posexplode("tokens").alias("pos", "token"))
     most = F.max(F.struct("common", (-F.col("rep")).alias("r"), "n")).alias("_h")
     counts = rows.groupBy("token").agg(F.count("*").alias("df"), most).filter("df > 1").select("token", "df", (-F.col("_h.r")).alias("head"), F.col("_h.n").alias("m"))
