@@ -7,7 +7,8 @@ Jensen-Shannon distance from either is too large is rejected; short documents ar
 DataFrame function, so a document is never seen by Python.
 
 Defined cases: a null text counts as an empty one, which has no words and fails the base rule; a null or unlisted language is
-judged by the pooled character reference alone; without any document there are no references and nothing is judged by them.
+judged by the pooled character reference alone, and by none where less than half of its letters are Latin; without any document
+there are no references and nothing is judged by them.
 Further columns pass through; the operator's own are named by `BASE` and `VERDICT` and replace input columns so named.
 """
 
@@ -29,6 +30,7 @@ COMMON_WORDS = {
 }
 OTHER = "*"
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "punctuation": r"\p{P}", "symbol": r"\p{S}", "space": f"[{SPACE}]"}
+LETTER, LATIN = r"\p{L}", r"\p{IsLatin}"
 SYMBOLS = "[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 HISTOGRAMS = ["lang_", "classes_", "hist_", "size_"]
@@ -62,7 +64,10 @@ def _with_histograms(docs: DataFrame, text: Column, lang: Column, rules: Quality
     df = held(df, counts_=F.array(*[F.regexp_count("text_", F.lit(c)) for c in CLASSES.values()]), size_=F.length("text_"))
     every = sorted({w for ws in rules.common_words.values() for w in ws})
     plain = F.filter(F.split(F.lower("text_"), r"[^\p{L}]+"), lambda w: w != "")
-    df = held(df, classes_=F.concat("counts_", F.array(F.col("size_") - F.aggregate("counts_", F.lit(0), lambda a, x: a + x))), plain_=plain)
+    # The listed languages are written in Latin letters, so their references say nothing about a text in other ones.
+    foreign = (F.col("lang_") == OTHER) & (2 * F.regexp_count("text_", F.lit(LATIN)) < F.regexp_count("text_", F.lit(LETTER)))
+    classes = F.concat("counts_", F.array(F.col("size_") - F.aggregate("counts_", F.lit(0), lambda a, x: a + x)))
+    df = held(df, classes_=F.when(~foreign, classes), plain_=plain)
     lists = F.create_map(*[x for k, ws in rules.common_words.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
     common = F.concat(F.lit(" "), F.array_join(F.filter("plain_", lambda w: w.isin(*every)), "  "), F.lit(" "))
     df = held(df, n_plain_=F.size("plain_"), common_=common, list_=lists[F.col("lang_")])
@@ -134,7 +139,7 @@ def features(docs: DataFrame, rules: QualityRules = QualityRules(), keep: list[s
     df = df.select(
         *(docs.columns if keep is None else keep), *HISTOGRAMS, "n_repeat_words",
         F.size("words_").cast("long").alias("n_words"),
-        (F.col("size_") - F.col("classes_")[list(CLASSES).index("space")]).cast("long").alias("word_chars"),
+        (F.col("size_") - F.col("counts_")[list(CLASSES).index("space")]).cast("long").alias("word_chars"),
         F.regexp_count("text_", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )

@@ -4,7 +4,8 @@ A text is scanned, then its layers are: a worklist holds every text still to be
 are replaced in the layer as a whole, each character keeping the span it stands for; a base64 run becomes a layer of its
 own that stands for the run, decompressed first where its bytes are gzip, zlib, bzip2, xz or Zstandard. Runs on adjacent lines are
 also tried joined, and a run may begin after, or end before, a slash, a minus, an underscore or a line border inside it. Streams
-are read through all their members; of a broken one what came before the break is kept. Bytes that are no UTF-8 are read as
+are read through all their members; of a broken one what came before the break is kept. Deflate without a header is read where it
+ends with the run and holds text. The escapes of a string in JSON (quotes, slashes, line ends) are taken as Unicode escapes are, one level a layer. Bytes that are no UTF-8 are read as
 single characters, and null bytes are left out, so that UTF-16 can be read. Each new layer is
 scanned and unwrapped in turn until none is new; a set of digests of the layers seen ends cycles. Spans are given in the original text.
 
@@ -44,18 +45,17 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2})+")
-UNICODE_ONE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2}))")
+UNICODE = re.compile(r"""(?:\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\x[0-9a-fA-F]{2}|\\["'\\/nrt])+""")
+UNICODE_ONE = re.compile(r"""\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|(["'\\/nrt]))""")
+#: What a backslash and one character stand for, where that isn't the character itself.
+ESCAPED = {"n": 10, "r": 13, "t": 9}
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++={0,2}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++={0,2}+)++")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LEAST = 16
 #: What a scan or a further unwrapping could find in bytes.
 SUSPECT = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}")
-OPENERS = {
-    b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78\x01": zlib.decompressobj, b"\x78\x5e": zlib.decompressobj, b"\x78\x9c": zlib.decompressobj,
-    b"\x78\xda": zlib.decompressobj, b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ\x00": lzma.LZMADecompressor,
-}
+OPENERS = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ\x00": lzma.LZMADecompressor}
 ZSTD = b"\x28\xb5\x2f\xfd"
 
 
@@ -157,7 +157,7 @@ def _percent(run: str) -> tuple[str, list]:
 
 def _unicode(run: str) -> tuple[str, list]:
     """As _percent(); a surrogate without its other half, and a number beyond Unicode, is a replacement character."""
-    codes = [(int(m[m.lastindex], 16), len(m[0])) for m in UNICODE_ONE.finditer(run)]
+    codes = [(ESCAPED.get(m[5], ord(m[5])) if m[5] else int(m[m.lastindex], 16), len(m[0])) for m in UNICODE_ONE.finditer(run)]
     out, widths, i = [], [], 0
     while i < len(codes):
         code, width = codes[i]
@@ -170,9 +170,38 @@ def _unicode(run: str) -> tuple[str, list]:
 
 
 def _opener(data: bytes, at: int = 0):
+    """What makes a decompressor of the stream that begins at `at`, if one does. A zlib header has method 8, a window of at most 32 KB, no dictionary, and 31 divides it."""
+    head = data[at : at + 2]
+    if len(head) == 2 and head[0] & 15 == 8 and head[0] < 0x80 and not head[1] & 32 and int.from_bytes(head, "big") % 31 == 0:
+        return zlib.decompressobj
     return next((v for k, v in OPENERS.items() if data.startswith(k, at)), None)
 
 
+def _deflated(data: bytes, at: int, most: int) -> bytes | None:
+    """What a deflate stream without header holds, if one begins at `at` and ends, all but padding, with the data, and is nearly all printable."""
+    opener, out, total, low = zlib.decompressobj(-15), [], 0, at
+    try:
+        while at < len(data) and not opener.eof:
+            out.append(opener.decompress(data[at : at + 1024], most - total + 1))
+            total, at = total + len(out[-1]), at + 1024
+            if total > most or (total >= 1024 and len(out) == 1 and not _readable(out[0])):
+                return None
+            while opener.unconsumed_tail:
+                out.append(opener.decompress(opener.unconsumed_tail, most - total + 1))
+                total += len(out[-1])
+                if total > most:
+                    return None
+    except zlib.error:
+        return None
+    plain = b"".join(out)
+    return plain if opener.eof and at >= len(data) and len(opener.unused_data) <= 2 and len(plain) >= max(LEAST, len(data) - low >> 1) and _readable(plain) else None
+
+
+def _readable(data: bytes) -> bool:
+    text = _text(data)
+    return sum(map(_printable, text)) >= 0.95 * len(text)
+
+
 def _flow(data: bytes, said: dict):
     """What the members of a stream hold, piece by piece; said["whole"]: whether the last one begun was whole."""
     said["whole"] = True
@@ -252,6 +281,10 @@ def _text(data: bytes) -> str:
         return data.decode("latin-1")
 
 
+def _printable_ascii(data: bytes) -> bool:
+    return data.isascii() and all(map(_printable, data.decode()))
+
+
 def _printable(c: str) -> bool:
     return c.isprintable() or c in "\r\n\t"
 
@@ -344,9 +377,15 @@ def _base64(run: str, borders: list[int], most: int):
                 text = _text(plain)
                 if plain != data[low:] and text:
                     yield x, len(run), text, whole
-                    if whole or sum(map(_printable, text)) >= 0.95 * len(text):  # else the bytes may only look like a stream
+                    # Else the bytes may only look like a stream, which those of a text may, too.
+                    if whole or sum(map(_printable, text)) >= 0.95 * len(text) and not _printable_ascii(data[low : low + LEAST]):
                         place = {k: v for k, v in place.items() if k < low}
                         break
+        for low, x in place.items():
+            if not _printable_ascii(data[low : low + 8]) and (plain := _deflated(data, low, most)):
+                yield x, len(run), _text(plain), True
+                place = {k: v for k, v in place.items() if k < low}
+                break
         until = {(e - mine[0]) * 3 // 4: e for e in ends if (e - turn) % 4 != 1 and e > mine[0]}
         rest = bytearray(data)
         for low, high in _texts(data, list(place), list(until)):

@@ -107,6 +107,34 @@ def test_secrets_in_runs_behind_separators():
             assert any(start == len(before) for start, _ in layer_spans(f"{before}{code}/view/all")), (inner, before)
 
 
+@pytest.mark.parametrize("bits", [*range(9, 16), -15])
+def test_secrets_in_zlib_of_any_window_and_raw_deflate(bits):
+    inner = "what follows is a password=hunter2hunter2 and no more, " * 3
+    opener = zlib.compressobj(6, zlib.DEFLATED, bits)
+    run = base64.b64encode(opener.compress(inner.encode()) + opener.flush()).decode()
+    text = f"see {run} here"
+    spans = secrets.scan_text(text, secrets.SecretRules())["spans"]
+    assert [(x["kind"], text[x["start"] : x["end"]], x["layer"]) for x in spans] == [("assign", run, "/base64")]
+
+
+def test_secrets_in_texts_that_begin_like_a_stream():
+    for head in ("hC", "x^", "8O", "H\x89".encode("latin-1").decode("latin-1")):
+        text = base64.b64encode((head + " a plain text with token=abcdefghijk in it").encode()).decode()
+        assert secrets.scan_text(text, secrets.SecretRules())["spans"], head
+
+
+def test_secrets_in_strings_within_strings():
+    text, secret = json.dumps({"password": "hunter2hunter2"}), "hunter2hunter2"
+    for level in range(4):
+        (span,) = secrets.scan_text(text, secrets.SecretRules())["spans"]
+        assert text[span["start"] : span["end"]].endswith(secret) and text[span["start"] :].startswith("password") and span["layer"] == "/unicode" * level
+        text = json.dumps({"value": text})
+    lines = json.dumps("key:\n" + base64.encodebytes(("the key is secret=abcdefghijkl, " * 6).encode()).decode())
+    assert any(x["layer"] == "/unicode/base64" for x in secrets.scan_text(lines, secrets.SecretRules())["spans"])
+    (span,) = secrets.scan_text("token\\\\u003dabcdefghijk", secrets.SecretRules())["spans"]
+    assert (span["start"], span["end"], span["layer"]) == (0, 23, "/unicode/unicode")
+
+
 def test_secrets_of_long_runs_take_linear_time():
     rng = random.Random(14)
     for data in (rng.randbytes(400_000), b"?\x01?~" * 100_000, b"/?" * 100_000):
@@ -791,6 +819,20 @@ def test_quality_keeps_good_documents(spark, sf):
     table = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     good = table.filter("quality = 1 AND NOT base_failed")
     assert good.filter("kept").count() >= 0.99 * good.count()
+    bad = table.filter("quality = 0 AND NOT base_failed")
+    assert bad.filter("NOT kept").count() >= 0.85 * bad.count()
+
+
+def test_quality_of_other_scripts(spark):
+    rng = random.Random(23)
+    latin = [(i, "xx", " ".join(rng.choices(["these", "Are", "some", "words,", "of", "any", "language", "here."], k=60))) for i in range(30)]
+    other = [(100, "zh", " ".join("天地玄黄宇宙洪荒"[i % 8] * (1 + i % 3) + chr(0x4E00 + i) for i in range(200))), (101, None, " ".join("слово" + chr(0x430 + i % 32) * (1 + i // 32) for i in range(90)))]
+    junk = [(200, "zh", " ".join(f"XQ#{i} !!ZZ" for i in range(60))), (201, "en", other[0][2])]
+    df = spark.createDataFrame(latin + other + junk, "doc_id long, lang string, text string")
+    got = {r.doc_id: (r.kept, r.class_distance is None) for r in quality.judge(df).collect()}
+    assert got[100] == got[101] == (True, True)
+    assert got[200] == (False, False) and not got[201][1]
+    assert all(got[i] == (True, False) for i in range(30))
 
 
 # 9 chat formatting
