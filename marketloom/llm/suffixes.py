@@ -118,7 +118,7 @@ def anchors(batch: pa.RecordBatch, rules: SuffixRules, powers: Powers) -> Iterat
         where, doc, begin, end = (x[where + rules.gram <= end] for x in (where, doc, begin, end))
         lo, hi = np.maximum(where - rules.before, begin), np.minimum(where + rules.length, end)
         out = np.zeros(len(where), FOUND)
-        out["anchor"] = grams[where]
+        out["anchor"] = mix(grams[where])  # least hashes are low ones; mixed once more they fill buckets and cells evenly
         out["left"], out["right"] = where - lo, hi - where
         out["context"] = mix(powers.between(h, lo, hi) + out["left"].astype(np.uint64) * ODD[0] + out["right"].astype(np.uint64) * ODD[1])
         out["doc"], out["key"] = (np.array([x[k] for x in held], np.int64)[doc] for k in (0, 6))
@@ -126,6 +126,17 @@ def anchors(batch: pa.RecordBatch, rules: SuffixRules, powers: Powers) -> Iterat
         yield out, buf, where
 
 
+def whole(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts sorted keys into runs of at most `most` rows that part no equal ones, or of one longer group."""
+    edges = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    start = 0
+    while start < len(keys):
+        k = int(np.searchsorted(edges, start, "right"))
+        end = int(edges[max(k, int(np.searchsorted(edges, start + most, "right")) - 1)])
+        yield start, end
+        start = end
+
+
 def by_bucket(rows: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row numbers by the highest bits of their keys."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -500,10 +511,12 @@ def covered(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
             mates[1:] |= same
             mates[:-1] |= same
             pick = np.flatnonzero(mates & (rows["several"] > 0))
-            x = rows[pick]
-            left, right = cover(x, [contexts[i] for i in order[pick]], rules)
-            some = right > 0
-            out.append(intervals_of(x[some], x["pos"][some] - left[some], x["pos"][some] + right[some]))
+            # Sorting takes some 3 KB a row, so of a bucket only some anchors are sorted at a time.
+            for a, b in whole(rows["anchor"][pick], rules.sort_rows):
+                x = rows[pick[a:b]]
+                left, right = cover(x, [contexts[i] for i in order[pick[a:b]]], rules)
+                some = right > 0
+                out.append(intervals_of(x[some], x["pos"][some] - left[some], x["pos"][some] + right[some]))
         release()
         return pa.Table.from_batches([b.select(["doc", "key", "payload"]) for b in out])
 

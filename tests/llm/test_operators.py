@@ -526,6 +526,21 @@ def test_suffix_table_bound(spark):
     assert cut_rows(suffixes.removed(docs(spark, rows).repartition(3), suffixes.SuffixRules(table_bits=8))) == cut_by_force(rows, 100)
 
 
+def test_suffix_anchors_fill_buckets_evenly():
+    rng = random.Random(21)
+    text = "".join(rng.choice("abcdefgh ijkl") for _ in range(200_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text], "key": [0]})
+    found = [x["anchor"] for x, _, _ in suffixes.anchors(batch, suffixes.SuffixRules(), fingerprints.Powers())]
+    buckets = np.bincount((np.concatenate(found) >> np.uint64(60)).astype(int), minlength=16)
+    assert buckets.sum() > 5000 and buckets.max() < 1.5 * buckets.mean() and buckets.min() > 0.5 * buckets.mean()
+
+
+def test_suffix_contexts_are_sorted_some_anchors_at_a_time():
+    keys = np.array([1, 1, 2, 3, 3, 3, 3, 4, 5, 5], np.uint64)
+    assert list(suffixes.whole(keys, 3)) == [(0, 3), (3, 7), (7, 10)] and list(suffixes.whole(keys, 99)) == [(0, 10)] and list(suffixes.whole(keys[:0], 3)) == []
+    assert [(a, b) for a, b in suffixes.whole(keys, 1)] == [(0, 2), (2, 3), (3, 7), (7, 8), (8, 10)]
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(6)
     data = rng.integers(0, 2, (400, 12)).astype(np.uint8)
