@@ -830,6 +830,16 @@ def test_quality_edges_and_plan(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_quality_computes_once_a_row(spark):
+    df = docs(spark, [(1, "a b c d e " * 30)]).drop("n_words", "kept")
+    featured = quality.features(df)
+    plan = featured._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and plan.count("regexp_extract_all(") <= 2  # the two are for other scripts only
+    refs = quality.References({"*": [0.1] * 5 + [0.5]}, {"en": [0.01] * 50 + [0.5]})
+    plan = quality.verdict(featured, refs)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(classes_#") == plan.count("aggregate(hist_#") == 1  # not in lambdas
+
+
 def test_quality_keeps_good_documents(spark, sf):
     table = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     good = table.filter("quality = 1 AND NOT base_failed")
