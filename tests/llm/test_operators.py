@@ -339,6 +339,17 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_sketch_parts_are_small(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "tidy", lambda f: made.append(f) or f)
+    table = docs(spark, [(i, f"one two three word{i} end") for i in range(9)])
+    levels = jaccard.count_sketch(table, jaccard.JaccardRules())
+    (batch,) = made[0](iter([pa.RecordBatch.from_pydict({"text": ["one two three four"]})]))
+    sizes = [len(x.as_py()) for x in batch.column("counts")]
+    assert max(sizes) <= 1 << 15 and sum(sizes) == 2 * len(levels) == 2 << 22
+    assert levels.max() > 0
+
+
 # 3 mixing
 
 
