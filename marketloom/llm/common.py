@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -68,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it without its lineage."""
     shared_path(df.sparkSession, "")
     out = df.checkpoint(eager=True)
-    release()
+    settle(df.sparkSession)
     return out
 
 
@@ -76,7 +77,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), in a Parquet table: smaller, and read by columns."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    release()
+    settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -109,6 +110,16 @@ def maybe_in(asked: DataFrame, on: list[str], most_bits: int = 27) -> Column:
     return F.arrow_udf(within, "boolean")(cell)
 
 
+def settle(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that its heap shrinks to what it holds and Spark drops shuffles, broadcasts and checkpoints of tables gone.
+
+    Each stage leaves plans and statuses behind. Left to itself the JVM widens its heap up to the limit before it collects them all.
+    """
+    gc.collect()  # plans stay as long as Python refers to them
+    spark.sparkContext._jvm.System.gc()
+    release()
+
+
 def release() -> None:
     """Gives memory that Python, numpy and Arrow have freed back to the system; workers live on between tasks."""
     import ctypes

@@ -174,7 +174,7 @@ def mix(docs: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     takes = cut(takes.select(F.col("source").alias("s"), F.col("size").alias("z"), "take", F.ceil(F.col("n") / rules.slice_docs).alias("slices")))
     by_length = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
     small = narrow.filter("size > 0").join(takes, by_length).drop("s", "z")
-    ends = bounds(small).select(F.col("source").alias("s"), F.col("size").alias("z"), "last")
+    ends = cut(bounds(small).select(F.col("source").alias("s"), F.col("size").alias("z"), "last"))
     aims = aims.select(F.col("source").alias("s"), "source_size", "target", "passes")
     decided = lengths.drop("n").join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(ends, by_length, "left").drop("s", "z")
     decided = cut(decided.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "passes", "last"))
@@ -210,6 +210,7 @@ def bounds(rows: DataFrame) -> DataFrame:
     before = F.sum("c").over(Window.partitionBy("source", "size").orderBy("slice")) - F.col("c")
     ending = counts.withColumn("before", before).filter((F.col("before") < F.col("take")) & (F.col("before") + F.col("c") >= F.col("take")))
     ending = ending.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("slice").alias("e"), (F.col("take") - F.col("before")).alias("rank"))
+    ending = cut(ending)  # a row a length; one plan of all its joins and windows would take the driver's memory
     inside = rows.join(ending, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("slice") == F.col("e")))
     ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("source", "size").orderBy("h")))
     return ranked.filter(F.col("r") == F.col("rank")).select("source", "size", F.col("h").alias("last"))

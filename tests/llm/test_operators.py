@@ -430,6 +430,21 @@ def test_slices_rank_as_a_sort(spark):
     assert a == sorted(tuple(r) for r in mixing.mix(df).select("doc_id", "taken").collect())
 
 
+def test_mixing_plans_stay_small(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mixing, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), common.cut(df))[1])
+    mixing.mix(docs(spark, [(i, "a " * (i % 7)) for i in range(40)]))
+    assert max(len(re.findall(r"(?m)^[ :+-]*Join ", p)) for p in plans) <= 2  # 5 in one plan widened the driver's heap
+
+
+@pytest.mark.parametrize("write", [common.cut, lambda df: common.stored(df, "t")])
+def test_tables_leave_no_garbage_on_the_driver(spark, write):
+    old = next(b for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = old.getCollectionCount()
+    assert write(spark.range(3)).count() == 3
+    assert old.getCollectionCount() > before
+
+
 # 4 token counts
 
 
