@@ -519,8 +519,8 @@ def pnf(spark, d, rules: PnfRules = PnfRules(), run: int | None = None):
 
 
 def drawn(spark, d, rules: PnfRules = PnfRules()):
-    """The charts' cells, computed once for all that is asked of them."""
-    return once(K.cells(pnf(spark, d, rules)), "cells")
+    """The charts' cells, of columns that are computed once for all that is asked of them."""
+    return K.cells(once(pnf(spark, d, rules), "columns"))
 
 
 def stats(spark, d):
@@ -530,7 +530,7 @@ def stats(spark, d):
 def parts_of(spark, d, rules: PnfRules = PnfRules()):
     """Cells, column figures and breakouts."""
     c = drawn(spark, d, rules)
-    return c, once(K.column_stats(c), "stats"), once(K.breakouts(c), "breakouts")
+    return c, once(K.column_stats(c).drop("midpoint"), "stats"), once(K.breakouts(c), "breakouts")
 
 
 @query(f"{PNF} SELECT chart_id, column_index, trend, start_seq, action_seq AS end_seq, filled FROM ends")
@@ -617,7 +617,7 @@ def pnf_signals(spark, d):
 @query(f"{PNF} SELECT br.chart_id, br.column_index, max(ends.action_seq) AS seq, max_by(v.box_value, br.box_index) AS price FROM br JOIN ends ON ends.chart_id = br.chart_id AND ends.column_index = br.column_index JOIN (SELECT DISTINCT chart_id, box_index, box_value FROM cl) v ON v.chart_id = br.chart_id AND v.box_index = br.box_index WHERE br.trend = 1 AND hits = 2 AND width <= 3 GROUP BY 1, 2")
 def pnf_double_top_prices(spark, d):
     columns_ = once(pnf(spark, d), "columns")
-    c = once(K.cells(columns_), "cells")
+    c = K.cells(columns_)
     return K.multiple_prices(K.time_series(columns_), c, K.breakouts(c), 2, 1)
 
 

@@ -533,3 +533,18 @@ def test_text_charts_show_outer_lines(spark):
         assert got == text_by_force(m, [(r.bounded, r.type, r.length, r.column_index, r.box_index) for r in lines.collect()], columns_)
         stars += sum(t.count("*") for t in got)
     assert stars > 10
+
+
+def test_breakouts_shuffle_cells_once_in_groups_of_rows(spark):
+    rng = random.Random(41)
+    cells = once(K.cells(drawn(spark, bars_of(rng, 500, 4.0), PnfRules("h/l", 2, 1.0, "abs"))))
+    rows = cells.collect()
+    m = np.zeros((max(r.box_index for r in rows) + 1, max(r.column_index for r in rows) + 1), int)
+    for r in rows:
+        m[r.box_index, r.column_index] = r.trend
+    want = breakouts_by_force(m)
+    for size in (1, 40, 2**20):
+        df = K.breakouts(cells, size=size)
+        assert sorted((r.trend, r.type, r.column_index, r.box_index, r.hits, r.width, r.outer_width) for r in df.collect()) == sorted(want) and len(want) > 50, size
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
