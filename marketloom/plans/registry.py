@@ -599,12 +599,12 @@ def pnf_buy_sell(spark, d):
 
 @query(f"{PNF} SELECT chart_id, column_index, box_index, hits, width, type FROM br WHERE trend = 1 AND hits = 2 AND width <= 3")
 def pnf_double_top_buy(spark, d):
-    return K.multiple(K.breakouts(drawn(spark, d)), 2, 1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
+    return K.multiple(K.breakouts(drawn(spark, d), hits=2), 2, 1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
 
 
 @query(f"{PNF} SELECT chart_id, column_index, box_index, hits, width, type FROM br WHERE trend = -1 AND hits = 3 AND width <= 5")
 def pnf_triple_bottom_sell(spark, d):
-    return K.multiple(K.breakouts(drawn(spark, d)), 3, -1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
+    return K.multiple(K.breakouts(drawn(spark, d), hits=3), 3, -1).select("chart_id", "column_index", "box_index", "hits", "width", "type")
 
 
 @query("")
@@ -618,7 +618,7 @@ def pnf_signals(spark, d):
 def pnf_double_top_prices(spark, d):
     columns_ = once(pnf(spark, d), "columns")
     c = K.cells(columns_)
-    return K.multiple_prices(K.time_series(columns_), c, K.breakouts(c), 2, 1)
+    return K.multiple_prices(K.time_series(columns_), c, K.breakouts(c, hits=2), 2, 1)
 
 
 @query(

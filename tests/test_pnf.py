@@ -548,3 +548,13 @@ def test_breakouts_shuffle_cells_once_in_groups_of_rows(spark):
         assert sorted((r.trend, r.type, r.column_index, r.box_index, r.hits, r.width, r.outer_width) for r in df.collect()) == sorted(want) and len(want) > 50, size
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_breakouts_of_some_hits_are_those_of_all(spark):
+    rng = random.Random(43)
+    cells = once(K.cells(drawn(spark, bars_of(rng, 500, 4.0), PnfRules("h/l", 2, 1.0, "abs"))))
+    every = K.breakouts(cells).collect()
+    for n in (2, 3):
+        assert sorted(K.breakouts(cells, hits=n).collect()) == sorted(r for r in every if r.hits == n) != []
+    outer = {(r.column_index, r.box_index): max(x.hits for x in every if (x.column_index, x.box_index) == (r.column_index, r.box_index)) for r in every}
+    assert sorted(K.breakouts(cells, inner=False).collect()) == sorted(r for r in every if r.hits == outer[r.column_index, r.box_index])
