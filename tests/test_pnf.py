@@ -558,3 +558,39 @@ def test_breakouts_of_some_hits_are_those_of_all(spark):
         assert sorted(K.breakouts(cells, hits=n).collect()) == sorted(r for r in every if r.hits == n) != []
     outer = {(r.column_index, r.box_index): max(x.hits for x in every if (x.column_index, x.box_index) == (r.column_index, r.box_index)) for r in every}
     assert sorted(K.breakouts(cells, inner=False).collect()) == sorted(r for r in every if r.hits == outer[r.column_index, r.box_index])
+
+
+def long_pattern(spark, trend):
+    """A chart of 80,000 columns and one breakout over all of them."""
+    n, top = 80_000, 100_000
+    low = [(7 * i) % 50 + (0 if i == 0 else 3) for i in range(n)]
+    spans = [(low[i], top - i % 11 - 20 * (i != n - 1)) for i in range(n)]
+    spans = spans if trend == 1 else [(top - h, top - l) for l, h in spans]
+    stats = spark.createDataFrame([("c", i, h, l, 9, trend if i % 2 == 0 else -trend) for i, (l, h) in enumerate(spans)], "chart_id string, column_index int, high int, low int, height int, trend int")
+    box = top - 40 if trend == 1 else 40
+    marks = spark.createDataFrame([("c", trend, "reversal", n - 1, box, 2, n, 9, 1)], K.MARK)
+    cells = spark.createDataFrame([("c", 0, r, 100.0 + r / 1000) for r in range(top + 1)], "chart_id string, column_index int, box_index int, box_value double")
+    foot = np.array([l if trend == 1 else -h for l, h in spans])
+    head = np.array([h if trend == 1 else -l for l, h in spans])
+    h = trend * box - int(foot.min())
+    quality = int(np.maximum(0, np.minimum(head, trend * box - 1) - foot + 1).sum()) / ((n - 1) * (h - 1) + h)
+    return stats, marks, cells, n, foot, round(quality, 2)
+
+
+@pytest.mark.parametrize("trend", [1, -1])
+def test_horizontal_counts_of_long_patterns(spark, trend):
+    stats, marks, cells, n, foot, quality = long_pattern(spark, trend)
+    (r,) = K.horizontal_counts(stats, marks, cells, PnfRules()).collect()
+    assert r.quality == quality and r.length == n and r.anchor_column == int(np.flatnonzero(foot == foot.min())[-1])
+    assert r.target == (math.inf if trend == 1 else 0.0) and r.reward == (math.inf if trend == 1 else round(r.box, 6))
+
+
+def test_least_rows_and_filled_rows_between_columns():
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 64, 700):
+        foot = rng.integers(-40, 40, n)
+        head, first, last, row = foot + rng.integers(0, 30, n), rng.integers(0, n, 300), rng.integers(0, n, 300), rng.integers(-60, 90, 300)
+        first, last = np.minimum(first, last), np.maximum(first, last)
+        assert K.least_between(foot, first, last).tolist() == [foot[a : b + 1].min() for a, b in zip(first, last)]
+        to = np.where(np.arange(300) % 7 == 0, -1, last)
+        assert K.filled_below(foot, head, to, row).tolist() == [int(np.maximum(0, np.minimum(head[: b + 1], r - 1) - foot[: b + 1] + 1).sum()) for b, r in zip(to, row)]
