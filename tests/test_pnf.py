@@ -594,3 +594,13 @@ def test_least_rows_and_filled_rows_between_columns():
         assert K.least_between(foot, first, last).tolist() == [foot[a : b + 1].min() for a, b in zip(first, last)]
         to = np.where(np.arange(300) % 7 == 0, -1, last)
         assert K.filled_below(foot, head, to, row).tolist() == [int(np.maximum(0, np.minimum(head[: b + 1], r - 1) - foot[: b + 1] + 1).sum()) for b, r in zip(to, row)]
+
+
+@pytest.mark.parametrize("trend", [1, -1])
+def test_vertical_counts_of_long_patterns(spark, trend):
+    from pyspark.sql import functions as F
+
+    stats, marks, cells, n, foot, quality = long_pattern(spark, trend)
+    (r,) = K.vertical_counts(stats, marks, cells, PnfRules()).collect()
+    assert foot[0] == foot.min() and (r.quality, r.length, r.anchor_column) == (quality, 9, 0)
+    assert "_filled" in K._patterns(stats, marks, "width", begins=True).columns and not K._patterns(stats.withColumn("trend", -F.col("trend")), marks, "width", begins=True).count()
