@@ -604,3 +604,13 @@ def test_vertical_counts_of_long_patterns(spark, trend):
     (r,) = K.vertical_counts(stats, marks, cells, PnfRules()).collect()
     assert foot[0] == foot.min() and (r.quality, r.length, r.anchor_column) == (quality, 9, 0)
     assert "_filled" in K._patterns(stats, marks, "width", begins=True).columns and not K._patterns(stats.withColumn("trend", -F.col("trend")), marks, "width", begins=True).count()
+
+
+def test_risk_of_counts_that_reach_beyond_all_numbers(spark):
+    """A query over both counts averages rewards; those of the longest patterns are infinite, as in SQL."""
+    from pyspark.sql import functions as F
+
+    stats, marks, cells, *_ = long_pattern(spark, 1)
+    both = K.vertical_counts(stats, marks, cells, PnfRules()).unionByName(K.horizontal_counts(stats, marks, cells, PnfRules()))
+    got = {r.type: r.reward for r in both.groupBy("type").agg(F.round(F.avg("reward"), 1).alias("reward")).collect()}
+    assert got["horizontal R>1"] == math.inf and math.isfinite(got["vertical"])
