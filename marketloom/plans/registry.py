@@ -633,13 +633,13 @@ def pnf_next_signal(spark, d):
 @query("")
 def pnf_trendlines_strong(spark, d):
     c = drawn(spark, d)
-    return K.trendlines(c, K.column_stats(c), 4)
+    return K.trendlines(c, once(K.column_stats(c).drop("midpoint"), "stats"), 4)
 
 
 @query("")
 def pnf_trendlines_weak(spark, d):
-    c, s, b = parts_of(spark, d)
-    return K.weak_trendlines(c, s, b, 4)
+    c = drawn(spark, d)
+    return K.weak_trendlines(c, once(K.column_stats(c).drop("midpoint"), "stats"), K.breakouts(c, inner=False), 4)
 
 
 #: What the columns of a breakout's width hold, rows seen in its direction; the scale goes on by its percentage beyond the boxes.
@@ -702,7 +702,7 @@ def pnf_render(spark, d):
 @query("")
 def pnf_render_lines(spark, d):
     c = drawn(spark, d)
-    return K.render(c, lines=K.trendlines(c, once(K.column_stats(c), "stats")))
+    return K.render(c, lines=K.trendlines(c, once(K.column_stats(c).drop("midpoint"), "stats")))
 
 
 @query(

@@ -614,3 +614,22 @@ def test_risk_of_counts_that_reach_beyond_all_numbers(spark):
     both = K.vertical_counts(stats, marks, cells, PnfRules()).unionByName(K.horizontal_counts(stats, marks, cells, PnfRules()))
     got = {r.type: r.reward for r in both.groupBy("type").agg(F.round(F.avg("reward"), 1).alias("reward")).collect()}
     assert got["horizontal R>1"] == math.inf and math.isfinite(got["vertical"])
+
+
+def test_lines_meet_boxes_in_runs_of_any_size(spark):
+    rng = random.Random(47)
+    c = once(K.cells(drawn(spark, bars_of(rng, 500, 4.0), PnfRules("h/l", 2, 1.0, "abs"))))
+    s = once(K.column_stats(c))
+    from pyspark.sql import functions as F
+
+    lines = s.select("chart_id", "column_index", F.when(F.col("trend") == -1, 1).otherwise(-1).alias("sign"), F.when(F.col("trend") == 1, F.col("high") + 1).otherwise(F.col("low") - 1).alias("start"))
+    boxes = {(r.column_index, r.box_index) for r in c.collect()}
+    n = max(c for c, _ in boxes) + 1
+    want = {}
+    for r in lines.collect():
+        meets = [next((k for k in range(r.column_index + 1, n) if (k, r.start - low + r.sign * (k - r.column_index)) in boxes), None) for low in (0, int(r.sign > 0))]
+        if any(k is not None for k in meets):
+            want[r.column_index] = tuple(meets)
+    for size in (1, 60, 2**20, 2**40):
+        df = K._met(c, s, lines, size)
+        assert {r.column_index: (r.stop, r.touch) for r in df.collect()} == want and len(want) > 20, size
