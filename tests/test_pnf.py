@@ -633,3 +633,14 @@ def test_lines_meet_boxes_in_runs_of_any_size(spark):
     for size in (1, 60, 2**20, 2**40):
         df = K._met(c, s, lines, size)
         assert {r.column_index: (r.stop, r.touch) for r in df.collect()} == want and len(want) > 20, size
+
+
+def test_rendering_looks_at_the_shown_columns_alone(spark):
+    from pyspark.sql import functions as F
+
+    c = once(K.cells(drawn(spark, bars_of(random.Random(48), 400, 4.0), PnfRules("h/l", 2, 1.0, "abs"))))
+    last = c.agg(F.max("column_index")).first()[0]
+    lines = spark.createDataFrame([("c", "external", "bullish support", 10**9, 0, 0), ("c", "external", "bearish resistance", 10, last - 3, 8)], K.LINE)
+    df = K.render(c, 5, lines)  # a line of a thousand million steps: only those within five columns are made
+    short = K.render(c, 5, lines.filter("length = 10")).collect()
+    assert sorted(df.collect()) == sorted(short) and any("*" in r.text for r in short)
