@@ -133,13 +133,14 @@ def depth(df: DataFrame, column: str = "value") -> DataFrame:
     the level, and the spread of the level. A side that has fewer levels is null beyond them.
     """
     r = F.from_json(column, f"s STRING, d MAP<STRING, STRUCT<bids: {LEVELS}, ask: {LEVELS}>>")
-    books = df.select(r.alias("_r")).filter("_r.s = 'ok'").select(F.explode("_r.d").alias("symbol", "b"))
-    upto = lambda side: F.transform(side, lambda _, i: F.aggregate(F.slice(side, F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["volume"], F.lit(0))))
-    zipped = F.arrays_zip(F.col("b.bids").alias("bid"), F.col("b.ask").alias("ask"), upto(F.col("b.bids")).alias("bids"), upto(F.col("b.ask")).alias("asks"))
-    rows = books.select("symbol", F.posexplode(zipped).alias("level", "z"))
+    books = df.select(F.monotonically_increasing_id().alias("_id"), r.alias("_r")).filter("_r.s = 'ok'").select("_id", F.posexplode("_r.d").alias("_k", "symbol", "b"))
+    sides = F.size("b.bids").alias("_bids"), F.size("b.ask").alias("_asks")
+    rows = books.select("_id", "_k", "symbol", *sides, F.posexplode(F.arrays_zip(F.col("b.bids").alias("bid"), F.col("b.ask").alias("ask"))).alias("level", "z"))
+    down = Window.partitionBy("_id", "_k").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = lambda side: F.when(F.col("level") < F.col(f"_{side}s"), F.sum(F.coalesce(F.col(f"z.{side}.volume"), F.lit(0))).over(down)).alias(f"{side}_upto")
     return rows.select(
-        "symbol", "level", F.col("z.bid.price").alias("bid"), F.col("z.bid.volume").alias("bid_volume"), F.col("z.bid.ord").alias("bid_orders"), F.col("z.bids").alias("bid_upto"),
-        F.col("z.ask.price").alias("ask"), F.col("z.ask.volume").alias("ask_volume"), F.col("z.ask.ord").alias("ask_orders"), F.col("z.asks").alias("ask_upto"),
+        "symbol", "level", F.col("z.bid.price").alias("bid"), F.col("z.bid.volume").alias("bid_volume"), F.col("z.bid.ord").alias("bid_orders"), upto("bid"),
+        F.col("z.ask.price").alias("ask"), F.col("z.ask.volume").alias("ask_volume"), F.col("z.ask.ord").alias("ask_orders"), upto("ask"),
         (F.col("z.ask.price") - F.col("z.bid.price")).alias("spread"),
     )
 

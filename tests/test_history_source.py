@@ -77,3 +77,16 @@ def test_upsert_by_an_order_column(spark):
     rows = [("A", 1, float(k), k) for k in range(50)]
     df = spark.createDataFrame(rows, "symbol string, bucket_epoch long, close double, n long")
     assert [r.close for r in H.upsert(df, df.filter("n < 30").repartition(7), ["symbol", "bucket_epoch"], "n").collect()] == [29.0]
+
+
+def test_deep_books_are_summed_in_one_pass(spark):
+    volumes = [(7 * i) % 31 for i in range(3000)]
+    side = lambda n: [{"price": 100.0 + i, "volume": volumes[i], "ord": i} for i in range(n)]
+    # A symbol that stands in two responses has two books.
+    value = [(json.dumps({"s": "ok", "d": {"a": {"bids": side(3000), "ask": side(1000)}}}),), (json.dumps({"s": "ok", "d": {"a": {"bids": side(2), "ask": []}}}),)]
+    df = H.depth(spark.createDataFrame(value, "value string"))
+    sums = [sum(volumes[: i + 1]) for i in range(3000)]
+    want = [(i, sums[i], sums[i] if i < 1000 else None) for i in range(3000)] + [(i, sums[i], None) for i in range(2)]
+    key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
+    assert sorted(((r.level, r.bid_upto, r.ask_upto) for r in df.collect()), key=key) == sorted(want, key=key)
+    assert "slice(" not in df._jdf.queryExecution().optimizedPlan().toString()
