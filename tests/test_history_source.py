@@ -90,3 +90,11 @@ def test_deep_books_are_summed_in_one_pass(spark):
     key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
     assert sorted(((r.level, r.bid_upto, r.ask_upto) for r in df.collect()), key=key) == sorted(want, key=key)
     assert "slice(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prices_of_deep_books(spark):
+    levels = [{"price": 10.0 + i, "volume": 2, "ord": 1} for i in range(2000)]
+    df = H.price_for(H.depth(spark.createDataFrame([(json.dumps({"s": "ok", "d": {"a": {"bids": [], "ask": levels}}}),)], "value string")), 3001)
+    assert "slice(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    (r,) = df.collect()
+    assert (r.symbol, r.filled, r.worst) == ("a", 3001, 10.0 + 1500) and abs(r.mean_price - (2 * sum(10.0 + i for i in range(1500)) + 1510.0) / 3001) < 1e-9
