@@ -609,8 +609,9 @@ def pnf_triple_bottom_sell(spark, d):
 
 @query("")
 def pnf_signals(spark, d):
-    c, s, b = parts_of(spark, d)
-    return K.signals(s, b, cells_=c)
+    c = drawn(spark, d)
+    s = once(K.column_stats(c).drop("midpoint"), "stats")
+    return K.signals(s, once(K.breakouts(c).drop("type", "outer_width", "action_seq"), "breakouts"), cells_=c)
 
 
 #: In a series of one row a column, the row of each breakout's column has come to its end.

@@ -644,3 +644,21 @@ def test_rendering_looks_at_the_shown_columns_alone(spark):
     df = K.render(c, 5, lines)  # a line of a thousand million steps: only those within five columns are made
     short = K.render(c, 5, lines.filter("length = 10")).collect()
     assert sorted(df.collect()) == sorted(short) and any("*" in r.text for r in short)
+
+
+def test_follow_ups_sort_only_columns_that_can_follow(spark):
+    rng = random.Random(53)
+    marks = {}
+    for _ in range(700):
+        c, b = rng.randrange(900), rng.randrange(4)
+        h = rng.choice([2, 2, 3])
+        marks["c", c, b, h] = (rng.choice([1, -1]), rng.choice([3, 5]))
+    ordered, want = sorted(marks), []
+    for was, at in zip(ordered, ordered[1:]):
+        (t0, w0), (t, w) = marks[was], marks[at]
+        if t == t0 and at[1] - was[1] == 2 and (at[3], w) == (2, 3):
+            want.append((at[1], 8 if t == 1 else 9, at[2], 5, 2))
+            want += [(at[1], 10 if t == 1 else 11, at[2], 7, 2)] if (was[3], w0) == (3, 5) else []
+    df = K.follow_ups(spark.createDataFrame([(c, t, "conti", k, b, h, w, 1, 0) for (c, k, b, h), (t, w) in marks.items()], K.MARK))
+    assert sorted(tuple(r)[1:] for r in df.collect()) == sorted(want) and len(want) > 10
+    assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
